@@ -37,7 +37,7 @@ def map_rows(
 ) -> DataFrame:
     """Run ``work`` over groups of rows (lists in the order of ``columns``) in Arrow batches.
 
-    ``work`` gets an iterator of column lists and yields dicts of column lists; groups are cut
+    ``work`` gets an iterator of column lists and yields dicts of column lists or Arrow arrays; groups are cut
     so that the last column, the text, stays under CHARS_AT_ONCE characters a group.
     """
     fields = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _schema(schema).fields])
@@ -58,7 +58,8 @@ def map_rows(
                     yield [c.to_pylist() for c in b.slice(at).columns]
 
         for out in work(groups()):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+            columns = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
     return df.select(*columns).mapInArrow(run, schema)
 

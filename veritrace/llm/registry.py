@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from veritrace.llm import decontaminate, sharding
+from veritrace.llm import bpe, decontaminate, sharding, simhash
 
-_MODULES = (sharding, decontaminate)
+_MODULES = (sharding, bpe, decontaminate, simhash)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
