@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
             for b in batches:
-                lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(
+                lengths = pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(
                     zero_copy_only=False
                 )
                 at = total = 0
