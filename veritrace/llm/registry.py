@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from veritrace.llm import bpe, decontaminate, quality, sharding, simhash
+from veritrace.llm import bpe, decontaminate, pii, quality, sharding, simhash
 
-_MODULES = (sharding, quality, bpe, decontaminate, simhash)
+_MODULES = (sharding, quality, bpe, decontaminate, simhash, pii)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
