@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, as a Parquet table in the same folder: smaller, and read back by column."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(df.sparkSession.range(1))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Characters of text that one Python step holds at a time; batches of long texts are cut to it.
 CHARS_AT_ONCE = 4_000_000
 

@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from veritrace.llm import bpe, decontaminate, language, pii, quality, sharding, simhash, urls
+from veritrace.llm import bpe, decontaminate, language, pii, quality, sharding, simhash, suffix_array, urls
 
-_MODULES = (sharding, quality, bpe, decontaminate, simhash, language, urls, pii)
+_MODULES = (sharding, quality, bpe, decontaminate, simhash, language, urls, suffix_array, pii)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
