@@ -2,8 +2,8 @@
 
 Every 200-byte string is named by the least hash of the short grams in it, which its own bytes decide; so
 equal strings have equal names, and a text falls into runs of neighbouring string starts with one name.
-Runs whose name is seen once hold no repeat. Runs with one name and equal bytes repeat as a whole. What is
-left, runs that share a name and differ, goes by name into shards: a suffix array of each (Larsson and
+Runs whose name is seen once hold no repeat, unless its gram recurs in them. Runs with one name and equal bytes repeat as a whole. What is
+left, runs that share a name and differ or that may repeat in themselves, goes by name into shards: a suffix array of each (Larsson and
 Sadakane's refinement), common prefixes (Kasai's method), and a binary search for names that two shards share.
 """
 
@@ -54,13 +54,17 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :])
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, number of starts, name) of each run of neighbouring starts with one name."""
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, number of starts, name, inner) of each run of neighbouring starts with one name.
+
+    inner: the gram with the least hash occurs more than once, so that strings may repeat inside the run.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    names = _least(_gram_hashes(data), LENGTH - GRAM + 1)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    grams, width = _gram_hashes(data), LENGTH - GRAM + 1
+    names = _least(grams, width)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(names)]
     valid = np.arange(len(names)) + LENGTH <= ends[owner]
@@ -70,7 +74,12 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     count = np.diff(np.append(at, len(names)))
     live = valid[at]
     at, count = at[live], count[live]
-    return owner[at], at - (ends - sizes)[owner[at]], count, names[at]
+    # a run's first string holds the first place of its gram, its last string the last one
+    windows, inner = np.lib.stride_tricks.sliding_window_view(grams, width), np.zeros(len(at), bool)
+    for k in range(0, len(at), 4096):
+        a, z = at[k : k + 4096], (at + count - 1)[k : k + 4096]
+        inner[k : k + 4096] = a + windows[a].argmin(axis=1) != z + width - 1 - windows[z][:, ::-1].argmin(axis=1)
+    return owner[at], at - (ends - sizes)[owner[at]], count, names[at], inner
 
 
 def _run_key(name: np.ndarray, body: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -86,13 +95,13 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
 
 
 def _described(ids: list, raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(owner, start, count, name, body hash, row key) of all runs of some texts."""
-    owner, start, count, name = runs(raw)
+    """(owner, start, count, name, inner, body hash, row key) of all runs of some texts."""
+    owner, start, count, name, inner = runs(raw)
     digest = xxhash.xxh3_64_intdigest
     body = [digest(raw[o][a:b]) for o, a, b in zip(owner.tolist(), start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
     seeds = [42 if i is None else xxhash.xxh64_intdigest(str(i), 42) for i in ids]
     text = np.array([xxhash.xxh64_intdigest(r, k) for r, k in zip(raw, seeds, strict=True)], np.uint64).view(np.int64)
-    return owner, start, count, name.view(np.int64), np.array(body, np.uint64).view(np.int64), text[owner]
+    return owner, start, count, name.view(np.int64), inner, np.array(body, np.uint64).view(np.int64), text[owner]
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
@@ -101,15 +110,15 @@ def text_key(doc_id: Column, text: Column) -> Column:
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, start, count, name, body): every run of every text; text is the row's text_key, body a hash of the run's bytes."""
+    """(doc_id, text, start, count, name, inner, body): every run of every text; text is the row's text_key, body a hash of the run's bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(groups):
         for ids, texts in groups:
-            owner, start, count, name, body, text = _described(ids, _encoded(texts))
-            yield {"doc_id": [ids[i] for i in owner.tolist()], "text": text, "start": start, "count": count, "name": name, "body": body}
+            owner, start, count, name, inner, body, text = _described(ids, _encoded(texts))
+            yield {"doc_id": [ids[i] for i in owner.tolist()], "text": text, "start": start, "count": count, "name": name, "inner": inner, "body": body}
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, text bigint, start int, count int, name bigint, body bigint", work)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, text bigint, start int, count int, name bigint, inner boolean, body bigint", work)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -309,7 +318,7 @@ def _split_crowds(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if crowds.isEmpty():
             break
         hot = rows.join(crowds, "key", "left_semi").select("name", "body", "off", "bytes")
-        calm.append(rows.join(crowds, "key", "left_anti"))
+        calm.append(rows.join(crowds, "key", "left_anti").select(rows.columns))
         if level > _levels():
             return reduce(DataFrame.union, calm), hot.drop("bytes")
 
@@ -339,16 +348,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     every = stored(find_runs(docs))
-    names = stored(
-        every.groupBy("name").agg(F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).where("n > 1").select("name", (F.col("a") != F.col("b")).alias("mixed"))
-    )
+    by_name = every.groupBy("name").agg(F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b"), F.bool_or("inner").alias("inner"))
+    names = stored(by_name.where("n > 1 OR inner").select("name", (F.expr("a <> b OR inner")).alias("mixed")))
     maybe = spark.sparkContext.broadcast(bloom.build(names.select("name")))
 
     @F.pandas_udf("boolean")
     def known(name):
         return pd.Series(bloom.passes(maybe.value, name.to_numpy(np.int64)))
 
-    again = stored(every.where(known("name")).join(names, "name"))
+    again = stored(every.drop("inner").where(known("name")).join(names, "name"))
     mixed = again.where("mixed")
     bodies = stored(
         mixed.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("text", "start")).alias("r")).select("name", "body", "n", F.col("r.text").alias("text"), F.col("r.start").alias("start"))
@@ -363,7 +371,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     def work(groups):
         for ids, texts in groups:
             raw = _encoded(texts)
-            owner, start, count, name, body, text = _described(ids, raw)
+            owner, start, count, name, _, body, text = _described(ids, raw)
             keep = np.flatnonzero(bloom.passes(chosen.value, _run_key(name, body, text, start)))
             cut = [raw[o][a : a + c + LENGTH - 1] for o, a, c in zip(owner[keep].tolist(), start[keep].tolist(), count[keep].tolist(), strict=True)]
             yield {"name": name[keep], "body": body[keep], "text": text[keep], "start": start[keep], "bytes": cut}
@@ -387,7 +395,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     parts = rows.repartition("key").sortWithinPartitions("key").mapInArrow(shards, "name bigint, body bigint, `from` int, `to` int")
     if solved is not None:
         parts = parts.union(solved.select("name", "body", "off", "off"))
-    whole = mixed.join(bodies.where("n > 1").select("name", "body"), ["name", "body"], "left_semi").union(again.where("NOT mixed").select(mixed.columns))
+    whole = mixed.join(bodies.where("n > 1").select("name", "body"), ["name", "body"], "left_semi").unionByName(again.where("NOT mixed"))
     spans = whole.select("doc_id", "text", F.col("start").alias("lo"), (F.col("start") + F.col("count") + (LENGTH - 1)).alias("hi")).union(
         mixed.join(parts, ["name", "body"]).select("doc_id", "text", F.col("start") + F.col("from"), F.col("start") + F.col("to") + LENGTH)
     )
