@@ -367,7 +367,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])), ",")
 
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kinds"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    def counted(kind):
+        return F.size(F.filter(base, lambda s: s["kinds"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(k) for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
