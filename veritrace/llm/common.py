@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,41 +46,50 @@ CHARS_AT_ONCE = 4_000_000
 
 
 def map_rows(
-    df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[list]], Iterator[dict[str, list]]]
+    df: DataFrame,
+    columns: list[str],
+    schema: str,
+    work: Callable[[Iterator[list]], Iterator[dict[str, list]]],
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """Run ``work`` over groups of rows (lists in the order of ``columns``) in Arrow batches.
 
     ``work`` gets an iterator of column lists and yields dicts of column lists or Arrow arrays; groups are cut
-    so that the last column, the text, stays under CHARS_AT_ONCE characters a group.
+    so that the last of ``columns``, the text, stays under CHARS_AT_ONCE bytes a group, or is one row.
+    ``carry`` names columns of any type that pass by unchanged, and their names in the result; it asks for one
+    yield of as many rows for each group.
     """
-    fields = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _schema(schema).fields])
+    carry = carry or {}
+    made = StructType.fromDDL(schema)
+    fields = [(f.name, _arrow(f.dataType.simpleString())) for f in made.fields]
+    full = StructType([*made.fields, *(StructField(new, df.schema[old].dataType) for old, new in carry.items())])
+    n = len(columns)
+    current: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
             for b in batches:
-                lengths = pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(
-                    zero_copy_only=False
-                )
+                lengths = pc.fill_null(pc.binary_length(b.column(n - 1)), 0).to_numpy(zero_copy_only=False)
                 at = total = 0
-                for i, n in enumerate(lengths):
-                    total += int(n)
+                cuts = []
+                for i, size in enumerate(lengths.tolist()):
+                    total += size
                     if total >= CHARS_AT_ONCE:
-                        yield [c.to_pylist() for c in b.slice(at, i + 1 - at).columns]
+                        cuts.append((at, i + 1))
                         at, total = i + 1, 0
                 if at < b.num_rows:
-                    yield [c.to_pylist() for c in b.slice(at).columns]
+                    cuts.append((at, b.num_rows))
+                for lo, hi in cuts:
+                    part = b.slice(lo, hi - lo).columns
+                    current[:] = part[n:]
+                    yield [c.to_pylist() for c in part[:n]]
 
         for out in work(groups()):
-            columns = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays(columns, schema=fields)
+            arrays = [x if isinstance(x := out[name], pa.Array) else pa.array(x, kind) for name, kind in fields] + current
+            yield pa.RecordBatch.from_arrays(arrays, names=full.names)
 
-    return df.select(*columns).mapInArrow(run, schema)
-
-
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
+    picked = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate([*columns, *carry])]
+    return df.select(*picked).mapInArrow(run, full)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -100,3 +110,19 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts whose other letters have no lower-case form to change take the fast path."""
     other = text.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]")
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+#: Row keys are broadcast up to this many (some 16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def row_key(df: DataFrame) -> DataFrame:
+    """df with _id and _key, which tell rows with different doc_id or text apart; null doc_ids are one."""
+    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), "_key": F.xxhash64("text")})
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key is in keys (_id, _key); their columns and all other rows stay."""
+    keys = stored(keys.select("_id", "_key").distinct())
+    small = keys.count() <= BROADCAST_ROWS
+    return row_key(docs).join(F.broadcast(keys) if small else keys, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

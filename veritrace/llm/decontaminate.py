@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import ascii_lower, read
+from veritrace.llm.common import ascii_lower, drop_rows, read, row_key
 
 #: What separates words: all of ASCII but digits and lower-case letters.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,6 +101,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, keep: tup
     return grouped.select(*keep, "n_words", F.col("_s").alias("spans"), merged.alias("n_hit"), "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
+    """docs without the rows in which a benchmark window occurs; all columns stay."""
+    return drop_rows(docs, find_hits(row_key(docs), benchmark, length, ("_id", "_key")).where("n_hit > 0"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words over whole texts of documents and benchmark.
 

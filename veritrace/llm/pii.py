@@ -334,25 +334,35 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_spans(df: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), redacted: bool = False) -> DataFrame:
-    """(key, keep..., kinds, starts, ends, by_rule) of every whole text, in code points, and with ``redacted`` the ``clean`` text.
+def find_spans(df: DataFrame, key: str = "doc_id", redacted: bool = False, carry: dict[str, str] | None = None) -> DataFrame:
+    """(key, kinds, starts, ends, by_rule) of every whole text, in code points, with ``redacted`` the ``clean`` text, and what carry names.
 
     A null or empty text has no spans; its clean text is itself.
     """
     shared = df.sparkSession.sparkContext.broadcast(trained())  # some kilobytes
 
     def work(groups):
-        for *kept, texts in groups:
+        for keys, texts in groups:
             found = [all_spans(t, shared.value) if t else [] for t in texts]
-            out = dict(zip((key, *keep), kept, strict=True))
+            out = {key: keys}
             out |= {name: [[s[j] for s in f] for f in found] for j, name in enumerate(("kinds", "starts", "ends", "by_rule"))}
             if redacted:
                 out["clean"] = [redact(t, f) if f else t for t, f in zip(texts, found, strict=True)]
             yield out
 
-    head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    schema = head + ", kinds array<string>, starts array<int>, ends array<int>, by_rule array<boolean>" + ", clean string" * redacted
-    return map_rows(df, [key, *keep, "text"], schema, work)
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, kinds array<string>, starts array<int>, ends array<int>, by_rule array<boolean>" + ", clean string" * redacted
+    return map_rows(df, [key, "text"], schema, work, carry)
+
+
+def redact_documents(df: DataFrame) -> DataFrame:
+    """df with every span replaced by its kind in the text, and n_chars, if there, set anew; all other columns stay."""
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    carry = {c: f"_carried_{i}" for i, c in enumerate(others)}
+    found = find_spans(df, redacted=True, carry=carry)
+    columns = {c: F.col(carry[c]) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("clean")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.size("kinds") > 0, F.char_length("clean").cast(df.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in df.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import cut, map_rows, read
+from veritrace.llm.common import cut, drop_rows, map_rows, read, row_key
 from veritrace.operators.components import connected_components
 
 #: A trie node with at most so many fingerprints is one side of a task; with more than LEAVES times as many
@@ -43,19 +43,18 @@ def _fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(df: DataFrame, keep: str = "doc_id", width: int = 3) -> DataFrame:
-    """(keep, fp): the SimHash of every whole text as a signed long; a text without words has 0.
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = 3) -> DataFrame:
+    """(fp, keep...): the SimHash of every whole text as a signed long; a text without words has 0.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; shingles are ``width`` words
     joined by spaces, repeats included (fewer words: all of them), hashed by XXH64 with seed 42.
     """
 
     def work(groups):
-        for ids, texts in groups:
-            yield {keep: ids, "fp": _fingerprints(texts, width)}
+        for (texts,) in groups:
+            yield {"fp": _fingerprints(texts, width)}
 
-    kind = df.schema[keep].dataType.simpleString()
-    return map_rows(df, [keep, "text"], f"{keep} {kind}, fp bigint", work)
+    return map_rows(df, ["text"], "fp bigint", work, {c: c for c in keep})
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -212,18 +211,35 @@ def link(fps: DataFrame, budget: int = 2) -> DataFrame:
     return fps.select("fp").mapInPandas(deal, "pair int, side int, fp bigint").groupBy("pair").applyInPandas(join, "src bigint, dst bigint")
 
 
-def components(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable.
+def components(docs: DataFrame, budget: int = 2, width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., fp, component, component_id) for every row of docs.
 
-    Rows without doc_id take part in links; a group that has only such rows has a null component_id.
+    component names the group by one of its fingerprints; component_id is the smallest doc_id reachable. Rows
+    without doc_id take part in links; a group that has only such rows has a null component_id.
     """
-    marked = cut(fingerprints(docs, width=width))
+    marked = cut(fingerprints(docs, keep, width))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     groups = connected_components(link(classes.select("fp"), budget))
     linked = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = cut(linked.join(ids, "component").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(linked.join(ids, "component").select("fp", "component", "component_id"))
+    return marked.join(named, "fp").select(*keep, "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
+    """docs with one row of each group: of its smallest doc_id (none at all last), and of such the least text hash.
+
+    Rows that are repeated whole count as one.
+    """
+    rows = cut(components(row_key(docs), budget, width, ("doc_id", "_id", "_key")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_id")
+    first = rows.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o._id").alias("_one"), F.col("o._key").alias("_one_key"))
+    gone = rows.join(first, "component").where((F.col("_id") != F.col("_one")) | (F.col("_key") != F.col("_one_key")))
+    kept = drop_rows(docs, gone)
+    if rows.groupBy("_id", "_key").count().where("count > 1").isEmpty():
+        return kept
+    one = Window.partitionBy("_id", "_key").orderBy("_key")
+    return row_key(kept).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
