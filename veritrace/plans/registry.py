@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from veritrace.plans.base import ORACLE_SQL, QUERIES
+from veritrace.plans import algorithms, analytics, dashboards, resolution, templates  # noqa: F401  each adds its queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
