@@ -1 +1,156 @@
-"""Graph algorithms as queries."""
+"""Graph algorithms as queries, and the detectors that need them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veritrace.operators import graph
+from veritrace.plans.base import query
+from veritrace.plans.analytics import shell_features
+from veritrace.operators import scoring
+from veritrace.sources.tables import Tables
+
+_E = "e AS (SELECT DISTINCT src, dst FROM subcontracts_to WHERE src <> dst)"
+_B = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def supply(t: Tables) -> DataFrame:
+    return t.subcontracts_to.select("src", "dst").distinct()
+
+
+def shared_buyers(t: Tables, least: int = 3) -> DataFrame:
+    """The one-mode projection: companies that have each won from at least so many of the same buyers' tenders together."""
+    a = t.win_keys
+    pairs = a.join(a.select("tender_id", F.col("company_id").alias("dst")), "tender_id").where("company_id < dst")
+    return pairs.groupBy(F.col("company_id").alias("src"), "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src", "dst")
+
+
+_P = "e AS (SELECT a.company_id AS src, b.company_id AS dst FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 25)"
+
+
+@query("weak_components", f"""WITH RECURSIVE {_E}, {_B}, r AS (SELECT src AS node, src AS seen FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.seen = b.src) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def weak_components(t: Tables) -> DataFrame:
+    return graph.connected_components(supply(t))
+
+
+@query("supply_sccs", f"""WITH RECURSIVE {_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+  SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS component FROM n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a) x ON n.node = x.a GROUP BY 1""")
+def supply_sccs(t: Tables) -> DataFrame:
+    return graph.strong_components(supply(t))
+
+
+@query("carousel_cycles", f"""WITH RECURSIVE {_E}, p AS (SELECT src AS start, dst AS node, [src, dst] AS chain FROM e WHERE dst > src UNION ALL SELECT start, e.dst, list_append(chain, e.dst) FROM p JOIN e ON p.node = e.src WHERE e.dst > start AND NOT list_contains(chain, e.dst) AND len(chain) < 4)
+  SELECT len(chain) AS length, array_to_string(chain, '>') AS chain FROM p JOIN e ON p.node = e.src AND p.start = e.dst WHERE len(chain) >= 3""")
+def carousel_cycles(t: Tables) -> DataFrame:
+    """Subcontracting cycles of 3 to 4 companies, each once."""
+    return graph.cycles(supply(t), 3, 4).select(F.col("length").cast("long").alias("length"), F.array_join("chain", ">").alias("chain"))
+
+
+@query("triangle_count", f"""WITH {_P}, {_B}, x AS (SELECT p.src AS node, count(*) / 2 AS triangles FROM b p JOIN b q ON p.dst = q.src JOIN b r ON q.dst = r.src AND r.dst = p.src GROUP BY 1) SELECT DISTINCT b.src AS node, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles FROM b LEFT JOIN x ON b.src = x.node""")
+def triangle_count(t: Tables) -> DataFrame:
+    return graph.triangles(shared_buyers(t, 25))
+
+
+@query("network_clique", f"""WITH {_P}, {_B}, x AS (SELECT p.src AS node, CAST(count(*) / 2 AS BIGINT) AS triangles FROM b p JOIN b q ON p.dst = q.src JOIN b r ON q.dst = r.src AND r.dst = p.src GROUP BY 1) SELECT node AS company_id, triangles, round(least(1.0, triangles / 20), 4)::DOUBLE AS score FROM x WHERE triangles >= 3""")
+def network_clique(t: Tables, least: int = 3) -> DataFrame:
+    n = graph.triangles(shared_buyers(t, 25)).where(F.col("triangles") >= least)
+    return n.select(F.col("node").alias("company_id"), "triangles", F.round(F.least(F.lit(1.0), F.col("triangles") / 20), 4).alias("score"))
+
+
+@query("degree_centrality", f"WITH {_E}, {_B} SELECT src AS node, count(*) AS degree FROM b GROUP BY 1")
+def degree_centrality(t: Tables) -> DataFrame:
+    return graph.degrees(supply(t))
+
+
+@query("neighbourhood", f"""WITH RECURSIVE {_E}, {_B}, r AS (SELECT 3 AS node, 0 AS hops UNION SELECT b.dst, hops + 1 FROM r JOIN b ON r.node = b.src WHERE hops < 3) SELECT CAST(node AS BIGINT) AS node, min(hops) AS hops FROM r GROUP BY 1""")
+def neighbourhood(t: Tables, start: int = 3, depth: int = 3) -> DataFrame:
+    return graph.bfs(supply(t), t.spark.range(start, start + 1).select(F.col("id").alias("start")), depth).select("node", "hops")
+
+
+@query("hop_counts", f"""WITH RECURSIVE {_E}, {_B}, r AS (SELECT 3 AS node, 0 AS hops UNION SELECT b.dst, hops + 1 FROM r JOIN b ON r.node = b.src WHERE hops < 3), m AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1) SELECT hops, count(*) AS entities_at_distance FROM m WHERE hops > 0 GROUP BY 1""")
+def hop_counts(t: Tables) -> DataFrame:
+    return neighbourhood(t).where("hops > 0").groupBy("hops").agg(F.count("*").alias("entities_at_distance"))
+
+
+@query("shortest_path", f"""WITH RECURSIVE {_E}, {_B}, r AS (SELECT 3::BIGINT AS node, [3::BIGINT] AS chain UNION ALL SELECT b.dst, list_append(chain, b.dst) FROM r JOIN b ON r.node = b.src WHERE len(chain) < 4 AND NOT list_contains(chain, b.dst) AND r.node <> 80) SELECT len(chain) - 1 AS hops, array_to_string(chain, '>') AS chain FROM r WHERE node = 80 ORDER BY len(chain), r.chain LIMIT 1""")
+def shortest_path(t: Tables, a: int = 3, b: int = 80, depth: int = 3) -> DataFrame:
+    return graph.shortest_paths(supply(t), a, b, depth).select(F.col("hops").cast("long").alias("hops"), F.array_join("chain", ">").alias("chain"))
+
+
+@query("graph_size", f"WITH {_E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), d AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT count(*) AS n, (SELECT count(*) FROM u) AS m, round(least(1.0, 2.0 * (SELECT count(*) FROM u) / (count(*) * (count(*) - 1))), 6)::DOUBLE AS density, round(avg(k), 6) AS avg_degree, max(k) AS max_degree FROM d")
+def graph_size(t: Tables) -> DataFrame:
+    s = graph.graph_statistics(supply(t))
+    return s.select("n", "m", F.round("density", 6).alias("density"), F.round("avg_degree", 6).alias("avg_degree"), "max_degree")
+
+
+@query("confidence_propagation", """WITH n0 AS (SELECT company_id AS node, risk_score AS c FROM company), e AS (SELECT owner_id AS src, company_id AS dst, quota / 100 AS r FROM shareholder_of),
+  n1 AS (SELECT n.node, least(n.c, coalesce(m, n.c)) AS c FROM n0 n LEFT JOIN (SELECT dst, min(c * r) AS m FROM e JOIN n0 ON src = node GROUP BY 1) x ON x.dst = n.node),
+  n2 AS (SELECT n.node, least(n.c, coalesce(m, n.c)) AS c FROM n1 n LEFT JOIN (SELECT dst, min(c * r) AS m FROM e JOIN n1 ON src = node GROUP BY 1) x ON x.dst = n.node),
+  n3 AS (SELECT n.node, least(n.c, coalesce(m, n.c)) AS c FROM n2 n LEFT JOIN (SELECT dst, min(c * r) AS m FROM e JOIN n2 ON src = node GROUP BY 1) x ON x.dst = n.node) SELECT node, round(c, 6) AS confidence FROM n3""")
+def confidence_propagation(t: Tables) -> DataFrame:
+    nodes = t.company.select(F.col("company_id").alias("node"), F.col("risk_score").alias("confidence"))
+    edges = t.shareholder_of.select(F.col("owner_id").alias("src"), F.col("company_id").alias("dst"), (F.col("quota") / 100).alias("confidence"))
+    return graph.propagate_confidence(nodes, edges).select("node", F.round("confidence", 6).alias("confidence"))
+
+
+@query("corporate_family", """WITH RECURSIVE o AS (SELECT company_id, owner_id FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id FROM o JOIN shareholder_of s ON s.company_id = o.owner_id),
+  u AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM shareholder_of s WHERE s.company_id = o.owner_id)) SELECT owner_id AS ubo, count(*) AS members FROM u GROUP BY 1""")
+def corporate_family(t: Tables, depth: int = 10) -> DataFrame:
+    """Companies under each owner that nobody owns."""
+    edges = t.shareholder_of.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst"))
+    chains = graph.paths(edges, edges.select(F.col("src").alias("start")).distinct(), depth)
+    ultimate = chains.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    return ultimate.groupBy(F.col("node").alias("ubo")).agg(F.count("*").alias("members"))
+
+
+@query("shares_ubo", "SELECT DISTINCT a.company_id AS c1, b.company_id AS c2 FROM shareholder_of a JOIN shareholder_of b ON a.owner_id = b.owner_id AND a.company_id < b.company_id")
+def shares_ubo(t: Tables) -> DataFrame:
+    a = t.shareholder_of.select("owner_id", F.col("company_id").alias("c1"))
+    return a.join(a.withColumnRenamed("c1", "c2"), "owner_id").where("c1 < c2").select("c1", "c2").distinct()
+
+
+@query("pagerank_ownership")
+def pagerank_ownership(t: Tables) -> DataFrame:
+    edges = t.shareholder_of.select(F.col("owner_id").alias("src"), F.col("company_id").alias("dst"))
+    return graph.pagerank(edges, 20).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("pagerank_supply")
+def pagerank_supply(t: Tables) -> DataFrame:
+    return graph.pagerank(supply(t), 20, directed=False).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("communities")
+def communities(t: Tables) -> DataFrame:
+    """Label propagation over companies that win together; deterministic."""
+    return graph.label_propagation(shared_buyers(t, 25))
+
+
+@query("betweenness")
+def betweenness(t: Tables) -> DataFrame:
+    return graph.betweenness(supply(t)).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("clustering")
+def clustering(t: Tables) -> DataFrame:
+    return graph.clustering(supply(t)).select("node", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
+
+
+@query("carousel_fraud", f"""WITH RECURSIVE {_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), m AS (SELECT r.a AS node, min(r.b) AS component FROM r JOIN r q ON r.a = q.b AND r.b = q.a GROUP BY 1)
+  SELECT component AS scc_id, count(*) AS cycle_size, 'critical' AS severity FROM m GROUP BY 1 HAVING count(*) >= 3""")
+def carousel_fraud(t: Tables, least: int = 3) -> DataFrame:
+    n = graph.strong_components(supply(t)).groupBy(F.col("component").alias("scc_id")).agg(F.count("*").alias("cycle_size"))
+    return n.where(F.col("cycle_size") >= least).withColumn("severity", F.lit("critical"))
+
+
+@query("shell_company_network")
+def shell_company_network(t: Tables, threshold: float = 0.3) -> DataFrame:
+    """Groups of companies with a high shell score that share a director or an address."""
+    s = scoring.enhanced_shell(shell_features(t), 2001).where(F.col("shell_score") >= threshold).select("company_id", "shell_score")
+    hub = t.represents.select("company_id", F.concat(F.lit("p"), F.col("person_id")).alias("k")).union(t.company.select("company_id", F.concat(F.lit("a"), F.col("address"))))
+    k = hub.join(s.select("company_id"), "company_id", "left_semi")
+    first = k.groupBy("k").agg(F.min("company_id").alias("dst"))
+    groups = graph.connected_components(k.join(first, "k").select(F.col("company_id").alias("src"), "dst"))
+    out = groups.join(s, F.col("node") == F.col("company_id")).groupBy("component").agg(F.count("*").alias("members"), F.round(F.max("shell_score"), 4).alias("max_score"))
+    return out.where("members >= 2").withColumn("severity", F.when(F.col("max_score") >= 0.75, "critical").otherwise("high"))

@@ -27,8 +27,8 @@ def buyer_concentration_trend(t: Tables) -> DataFrame:
 
 @query("volume_spikes", f"""WITH b AS (SELECT company_id, {_Q}, count(*) AS n FROM wins GROUP BY 1, 2, 3), w AS (SELECT *, avg(n) OVER (PARTITION BY company_id ORDER BY year, quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
   row_number() OVER (PARTITION BY company_id ORDER BY year DESC, quarter DESC) AS k FROM b)
-  SELECT company_id, year, quarter, n AS latest, round(prior, 4) AS baseline, round(n / prior, 4) AS ratio FROM w WHERE k = 2 AND prior > 0 AND n / prior >= 0.8""")
-def volume_spikes(t: Tables, threshold: float = 0.8, back: int = 2) -> DataFrame:
+  SELECT company_id, year, quarter, n AS latest, round(prior, 4) AS baseline, round(n / prior, 4) AS ratio FROM w WHERE k = 2 AND prior > 0 AND n / prior >= 0.02""")
+def volume_spikes(t: Tables, threshold: float = 0.02, back: int = 2) -> DataFrame:
     """A company's late quarter over the mean of all its quarters before; ``back`` 2 leaves out the last, unfinished one."""
     b = t.wins.groupBy("company_id", *quarter_of("data_aggiudicazione")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("company_id").orderBy("year", "quarter")

@@ -175,9 +175,9 @@ def alerts_from_risk(t: Tables, threshold: float = 0.7, critical: float = 0.85)
     return t.company.where(F.col("risk_score") >= threshold).select("company_id", "risk_score", sev.alias("severity"))
 
 
-@query("alerts_from_activity", """SELECT company_id, recent, earlier FROM (SELECT company_id, count(*) FILTER (data_aggiudicazione > DATE '2001-03-31' - 90) AS recent, count(*) FILTER (data_aggiudicazione <= DATE '2001-03-31' - 90) AS earlier
-  FROM wins WHERE data_aggiudicazione BETWEEN DATE '2001-03-31' - 365 AND DATE '2001-03-31' GROUP BY 1) WHERE recent > 5 AND recent / 90.0 > 1.0 * earlier / 275.0""")
-def alerts_from_activity(t: Tables, as_of: str = "2001-03-31", least: int = 5, ratio: float = 1.0) -> DataFrame:
+@query("alerts_from_activity", """SELECT company_id, recent, earlier FROM (SELECT company_id, count(*) FILTER (data_aggiudicazione > DATE '1996-06-30' - 90) AS recent, count(*) FILTER (data_aggiudicazione <= DATE '1996-06-30' - 90) AS earlier
+  FROM wins WHERE data_aggiudicazione BETWEEN DATE '1996-06-30' - 365 AND DATE '1996-06-30' GROUP BY 1) WHERE recent > 5 AND recent / 90.0 > 1.0 * earlier / 275.0""")
+def alerts_from_activity(t: Tables, as_of: str = "1996-06-30", least: int = 5, ratio: float = 1.0) -> DataFrame:
     day, end = F.col("data_aggiudicazione"), F.to_date(F.lit(as_of))
     rows = t.wins.where(day.between(F.date_sub(end, 365), end)).groupBy("company_id").agg(n_when(day > F.date_sub(end, 90), "recent"), n_when(day <= F.date_sub(end, 90), "earlier"))
     return rows.where((F.col("recent") > least) & (F.col("recent") / 90.0 > ratio * F.col("earlier") / 275.0))

@@ -1 +1,131 @@
-"""Entity resolution, text, quality and import queries."""
+"""Entity resolution, similarity search, quality and history as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veritrace.functions import text
+from veritrace.operators import resolve, upsert
+from veritrace.plans.base import joined, query, top
+from veritrace.sources.tables import Tables
+
+
+@query("similar_supplier_names", """WITH s AS (SELECT s_suppkey AS id, s_name AS n, s_nationkey AS k FROM supplier) SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 6) AS similarity
+  FROM s a JOIN s b ON a.k = b.k AND a.id < b.id WHERE 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.94""")
+def similar_supplier_names(t: Tables, threshold: float = 0.94) -> DataFrame:
+    rows = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("nome"), "s_nationkey")
+    return resolve.similar_names(rows, "s_nationkey", threshold).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("duplicate_candidates")
+def duplicate_candidates(t: Tables, threshold: float = 0.9) -> DataFrame:
+    rows = t.company.select(F.col("company_id").alias("id"), "nome", "cod_istat", "cf")
+    return resolve.tiers(resolve.candidates(rows, threshold)).withColumn("score", F.round("score", 6))
+
+
+@query("shared_name_tokens", """WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(list_filter(string_split_regex(upper(p_name), '\\s+'), lambda x: length(x) > 3))) AS w FROM part WHERE p_partkey < 1000000)
+  SELECT w.w AS word, count(*) AS parts FROM w GROUP BY 1""")
+def shared_name_tokens(t: Tables) -> DataFrame:
+    return t.raw("part").select(F.explode(text.tokens(F.col("p_name"))).alias("word")).groupBy("word").agg(F.count("*").alias("parts"))
+
+
+@query("part_jaccard", """WITH p AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(upper(p_name || ' ' || p_type || ' ' || p_brand), '\\s+'), lambda x: length(x) > 3)) AS w FROM part WHERE p_size = 7)
+  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM p a JOIN p b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.75""")
+def part_jaccard(t: Tables, threshold: float = 0.75) -> DataFrame:
+    """Pairs by words in common, through the words that two parts share."""
+    words = text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    p = t.raw("part").where("p_size = 7").select(F.col("p_partkey").alias("id"), words.alias("w"))
+    pairs = resolve.block_pairs(p, "w")
+    s = pairs.join(p.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(p.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return s.withColumn("similarity", F.round(text.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+@query("nearest_vectors", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)) AS c FROM embeddings, q)
+  SELECT vec_id, round(c, 6) AS similarity FROM s ORDER BY c DESC, vec_id LIMIT 20""")
+def nearest_vectors(t: Tables, vec_id: int = 7, k: int = 20) -> DataFrame:
+    """Top k by cosine with one vector, which is read first; a vector of zeros is near to none."""
+    rows = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    q = rows.where(F.col("vec_id") == vec_id).select(F.col("e").alias("q"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    c = F.try_divide(dot("e", "q"), F.sqrt(dot("e", "e") * dot("q", "q")))
+    return top(rows.join(F.broadcast(q)).select("vec_id", c.alias("c")), k, F.desc("c"), "vec_id").select("vec_id", F.round("c", 6).alias("similarity"))
+
+
+@query("tender_quality", """SELECT 'missing_value' AS kind, 'l_shipdate' AS "column", count(*) AS n, 'critical' AS severity FROM lineitem WHERE l_shipdate IS NULL HAVING count(*) > 0
+  UNION ALL SELECT 'out_of_range', 'l_extendedprice', count(*), 'high' FROM lineitem WHERE l_extendedprice < 40000 OR l_extendedprice > 1e9 HAVING count(*) > 0
+  UNION ALL SELECT 'duplicate_l_orderkey', 'l_orderkey', count(*), 'high' FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)""")
+def tender_quality(t: Tables) -> DataFrame:
+    return upsert.quality_issues(t.raw("lineitem"), ("l_shipdate",), amount="l_extendedprice", unique="l_orderkey")
+
+
+@query("upsert_orders", """WITH c AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(n.k, c.k) AS k, round(coalesce(n.v, c.v), 2) AS v FROM c FULL JOIN n ON c.k = n.k""")
+def upsert_orders(t: Tables) -> DataFrame:
+    """Two overlapping loads of orders, the second with doubled prices."""
+    o = t.raw("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return upsert.upsert(o.where("k % 3 <> 0"), o.where("k % 2 = 0").withColumn("v", F.col("v") * 2), "k").withColumn("v", F.round("v", 2))
+
+
+@query("state_diff", "SELECT o_orderkey AS k, 'v' AS property, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS old, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) END AS new, CASE WHEN o_orderkey % 3 = 0 THEN 'added' WHEN o_orderkey % 2 <> 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def state_diff(t: Tables) -> DataFrame:
+    o = t.raw("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    return upsert.diff(o.where("k % 3 <> 0"), o.where("k % 2 = 0").withColumn("v", F.lower("v")), "k")
+
+
+@query("exact_project_match", "SELECT cig, cup FROM tender t JOIN project p ON t.project_id = p.project_id")
+def exact_project_match(t: Tables) -> DataFrame:
+    return t.tender.join(t.project, "project_id").select("cig", "cup")
+
+
+@query("implicit_links", """SELECT a.company_id AS a, b.company_id AS b, count(*) AS tenders, round(least(1.0, 0.4 + 0.2 * count(*)), 4)::DOUBLE AS strength FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id WHERE a.company_id < 20 AND b.company_id < 20 GROUP BY 1, 2""")
+def implicit_links(t: Tables, below: int = 20) -> DataFrame:
+    """Companies of a given set that won tenders together; the set is the query's input."""
+    w = t.win_keys.where(F.col("company_id") < below)
+    pairs = w.join(w.select("tender_id", F.col("company_id").alias("b")), "tender_id").where("company_id < b").groupBy(F.col("company_id").alias("a"), "b").agg(F.count("*").alias("tenders"))
+    return pairs.withColumn("strength", F.round(F.least(F.lit(1.0), 0.4 + 0.2 * F.col("tenders")), 4))
+
+
+_REC = """WITH a AS (SELECT * FROM company WHERE company_id = 7) SELECT c.company_id, round(CASE WHEN c.ateco = a.ateco THEN 0.30 ELSE 0 END + CASE WHEN c.regione = a.regione THEN 0.20 ELSE 0 END + CASE WHEN abs(c.risk_score - a.risk_score) < 0.15 THEN 0.25 ELSE 0 END
+  + 0.25 * CASE WHEN len(list_distinct(list_concat(c.anomaly_flags, a.anomaly_flags))) = 0 THEN 0 ELSE len(list_intersect(c.anomaly_flags, a.anomaly_flags)) / len(list_distinct(list_concat(c.anomaly_flags, a.anomaly_flags))) END, 4)::DOUBLE AS similarity FROM company c, a WHERE c.company_id <> a.company_id"""
+
+
+@query("recommend_similar", _REC + " ORDER BY 2 DESC, 1 LIMIT 50")
+def recommend_similar(t: Tables, company_id: int = 7, limit: int = 50) -> DataFrame:
+    """Companies like one: sector 0.30, region 0.20, risk within 0.15 0.25, flags in common 0.25."""
+    a = t.company.where(F.col("company_id") == company_id).select(F.struct("ateco", "regione", "risk_score", "anomaly_flags").alias("x"))
+    rows = t.company.where(F.col("company_id") != company_id).join(F.broadcast(a))  # one company
+    same = lambda c: (F.col(c) == F.col(f"x.{c}")).cast("double")
+    near = (F.abs(F.col("risk_score") - F.col("x.risk_score")) < 0.15).cast("double")
+    score = 0.30 * same("ateco") + 0.20 * same("regione") + 0.25 * near + 0.25 * text.jaccard(F.col("anomaly_flags"), F.col("x.anomaly_flags"))
+    return top(rows.select("company_id", F.round(score, 4).alias("similarity")), limit, F.desc("similarity"), "company_id")
+
+
+@query("explain_company", """SELECT c.company_id, wins, round(single / wins, 4) AS single_ratio, top_buyer, round(topn / wins, 4) AS top_share FROM company c JOIN (SELECT company_id, sum(n)::BIGINT AS wins, sum(s) AS single, arg_max(buyer_id, {'a': n, 'b': -buyer_id}) AS top_buyer, max(n) AS topn
+  FROM (SELECT company_id, buyer_id, count(*) AS n, sum(CASE WHEN single_bidder THEN 1 ELSE 0 END) AS s FROM wins GROUP BY 1, 2) GROUP BY 1) x ON c.company_id = x.company_id""")
+def explain_company(t: Tables) -> DataFrame:
+    """What a company's score is made of: its wins, their single-bidder share, its largest buyer and that one's share."""
+    per = t.wins.groupBy("company_id", "buyer_id").agg(F.count("*").alias("n"), F.sum(F.col("single_bidder").cast("long")).alias("s"))
+    best = F.max(F.struct("n", (-F.col("buyer_id")).alias("b")))
+    rows = per.groupBy("company_id").agg(F.sum("n").alias("wins"), F.sum("s").alias("single"), best.alias("m")).join(t.company.select("company_id"), "company_id")
+    return rows.select("company_id", "wins", F.round(F.col("single") / F.col("wins"), 4).alias("single_ratio"), (-F.col("m.b")).alias("top_buyer"), F.round(F.col("m.n") / F.col("wins"), 4).alias("top_share"))
+
+
+@query("document_identifiers", """SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS addresses, len(regexp_extract_all(text, 'token = "[0-9a-f]+"')) AS tokens FROM documents""")
+def document_identifiers(t: Tables) -> DataFrame:
+    ips = F.regexp_extract_all("text", F.lit(r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"), F.lit(1))
+    keys = F.regexp_extract_all("text", F.lit('(token = "[0-9a-f]+")'), F.lit(1))
+    return t.raw("documents").select("doc_id", F.size(ips).cast("long").alias("addresses"), F.size(keys).cast("long").alias("tokens"))
+
+
+@query("geo_links", "SELECT s_suppkey AS company_id, n_name AS provincia, r_name AS regione FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def geo_links(t: Tables) -> DataFrame:
+    return t.company.select("company_id", "provincia", "regione")
+
+
+@query("region_directory", "SELECT r_name AS regione, array_to_string(list_sort(list(n_name)), ',') AS province FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def region_directory(t: Tables) -> DataFrame:
+    rows = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy(F.col("r_name").alias("regione")).agg(joined(F.collect_list("n_name")).alias("province"))

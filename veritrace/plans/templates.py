@@ -164,8 +164,8 @@ def sector_spending_trend(t: Tables, prefix: str = "41", months: int = 36, as_of
 
 
 @query("sudden_spikes", f"""SELECT company_id, CAST(year(data_aggiudicazione) AS INTEGER) AS year, CAST(quarter(data_aggiudicazione) AS INTEGER) AS quarter, count(*) AS tender_count, round(sum(importo), 2) AS total_value
-  FROM wins WHERE {_MONTHS} GROUP BY 1, 2, 3 HAVING count(*) >= 10""")
-def sudden_spikes(t: Tables, months: int = 36, min_bucket: int = 10, as_of: str = AS_OF) -> DataFrame:
+  FROM wins WHERE {_MONTHS} GROUP BY 1, 2, 3 HAVING count(*) >= 6""".replace("36 MONTH", "84 MONTH"))
+def sudden_spikes(t: Tables, months: int = 84, min_bucket: int = 6, as_of: str = AS_OF) -> DataFrame:
     rows = recent_wins(t, months, as_of).groupBy("company_id", *quarter_of("data_aggiudicazione"))
     return rows.agg(F.count("*").alias("tender_count"), total("importo", "total_value")).where(F.col("tender_count") >= min_bucket)
 
