@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veritrace.llm.common import map_rows, read
 
 #: Pieces that a worker remembers; the memory is emptied beyond it, and longer pieces are never kept.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 #: White space as Unicode has it; Python's own \s also takes four control characters.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Cuts a text where the vocabulary's own pattern surely cuts it: at white space, a space going with what follows.
@@ -64,7 +64,6 @@ class Bpe:
         self.added_pattern = re.compile("|".join(map(re.escape, longest_first))) if added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]").replace(r"[^[" + _SPACE + "]", "[^" + _SPACE))
         self.known: dict[str, tuple[bytes, int, bytes]] = {}
-        self.words: dict[str, tuple[bytes, int, bytes]] = {}
         self.long: list[str] = []
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -178,43 +177,45 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _learn_words(self, words: list[str]) -> None:
-        classes: dict[int, list[tuple[str, bytes]]] = {8: [], 16: [], 32: []}
-        for w in words:
-            raw = w.encode("utf-8", "replace")
-            size = next((s for s in classes if len(raw) <= s), 0)
-            if size:
-                classes[size].append((w, raw))
-            else:
-                self._keep(w, np.array(self.merge(raw), np.int32))
-        for size, some in classes.items():
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                flat, counts = self.merge_all([raw for _, raw in part], size)
-                ends, raw_ids, ids, lo = np.cumsum(counts).tolist(), flat.tobytes(), flat.tolist(), 0
-                name, known = self.bytes_of, self.words
-                for (w, _), hi in zip(part, ends, strict=True):
-                    known[w] = (raw_ids[4 * lo : 4 * hi], hi - lo, b"".join([name[x] for x in ids[lo:hi]]))
-                    lo = hi
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        self.words[word] = (ids.tobytes(), len(ids), self.decode_bytes(ids.tolist()))
-
-    def _learn(self, pieces: set[str]) -> None:
+        known, name = self.known, self.bytes_of
+        raws = [w.encode("utf-8", "replace") for w in words]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        below = 0
+        for size in (8, 16, 32):
+            rows = np.flatnonzero((sizes > below) & (sizes <= size)).tolist()
+            below = size
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                flat, counts = self.merge_all([raws[k] for k in part], size)
+                tokens = [name[x] for x in flat.tolist()]
+                ends = np.cumsum(counts)
+                text_ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))[ends - 1].tolist()
+                ids, text = flat.tobytes(), b"".join(tokens)
+                lo = a = 0
+                for k, n, hi, z in zip(part, counts.tolist(), (4 * ends).tolist(), text_ends, strict=True):
+                    known[words[k]] = (ids[lo:hi], n, text[a:z])
+                    lo, a = hi, z
+        for k in np.flatnonzero(sizes > below).tolist():
+            ids = self.merge(raws[k])
+            known[words[k]] = (np.array(ids, np.int32).tobytes(), len(ids), self.decode_bytes(ids))
+
+    def _learn(self, pieces: list[str]) -> None:
         """Ids as int32 bytes, their number and what they decode to, of each piece."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        cut = [(p, self.pattern.findall(p)) for p in pieces]
-        self._learn_words(list({w for _, ws in cut for w in ws}.difference(self.words)))
-        words, known = self.words, self.known
-        for p, ws in cut:
-            if len(ws) == 1:
-                known[p] = words[ws[0]]
+        known, whole, cut = self.known, [], []
+        for p in pieces:
+            if p.isalpha() or p[0] == " " and p[1:].isalpha():  # letters are one word to the pattern
+                whole.append(p)
             else:
-                parts = [words[w] for w in ws]
+                cut.append((p, self.pattern.findall(p)))
+        words = {w for _, ws in cut for w in ws}
+        words.difference_update(known)
+        words.update(whole)
+        self._learn_words(list(words))
+        for p, ws in cut:
+            if len(ws) > 1:
+                parts = [known[w] for w in ws]
                 known[p] = (b"".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts]))
-        for p in [p for p in pieces if len(p) > REMEMBERED_CHARS]:
-            self.long.append(p)
-            self.words.pop(p, None)
+        self.long += [p for p in (*pieces, *words) if len(p) > REMEMBERED_CHARS]
 
     def pieces(self, texts: list[str | None]) -> list[list[tuple[bytes, int, bytes]]]:
         """Per text: (ids as int32 bytes, their number, decoded bytes) of its pieces."""
@@ -235,7 +236,7 @@ class Bpe:
         every.discard("")
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn(every.difference(self.known))
+        self._learn(list(every.difference(self.known)))
         known = self.known
         known[""] = (b"", 0, b"")
         out = [[known[p] for p in ps] for ps in cut]

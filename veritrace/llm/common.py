@@ -42,7 +42,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Characters of text that one Python step holds at a time; batches of long texts are cut to it.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def map_rows(
