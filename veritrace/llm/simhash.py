@@ -226,12 +226,12 @@ def components(docs: DataFrame, budget: int = 2, width: int = 3, keep: tuple[str
     return marked.join(named, "fp").select(*keep, "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
-    """docs with one row of each group: of its smallest doc_id (none at all last), and of such the least text hash.
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each component of rows (doc_id, _id, _key, component): of its smallest doc_id (none at all
+    last), and of such the least text hash.
 
     Rows that are repeated whole count as one.
     """
-    rows = cut(components(row_key(docs), budget, width, ("doc_id", "_id", "_key")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_id")
     first = rows.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o._id").alias("_one"), F.col("o._key").alias("_one_key"))
     gone = rows.join(first, "component").where((F.col("_id") != F.col("_one")) | (F.col("_key") != F.col("_one_key")))
