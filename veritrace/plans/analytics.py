@@ -284,15 +284,10 @@ def shell_features(t: Tables, depth: int = 10) -> DataFrame:
     subs = t.subcontracts_to.select(F.col("dst").alias("company_id")).distinct().withColumn("is_sub", F.lit(True))
     address = t.company.groupBy("address").agg((F.count("*") - 1).alias("shared_address"))
     one = t.shareholder_of.select("company_id", "owner_id")
-    level = one.select("company_id", "owner_id", F.lit(1).alias("depth"))
-    chain = level
-    for k in range(2, depth + 1):
-        level = level.join(one.select(F.col("company_id").alias("owner_id"), F.col("owner_id").alias("nx")), "owner_id").select("company_id", F.col("nx").alias("owner_id"), F.lit(k).alias("depth"))
-        if k <= 5:
-            chain = chain.union(level)
-        else:
-            break
-    deep = chain.groupBy("company_id").agg(F.max("depth").alias("depth"))
+    deep = one.select("company_id", F.lit(1).alias("depth")).distinct()
+    for _ in range(depth - 1):  # a chain is one longer than its owner's; steps stay a row a company
+        up = deep.select(F.col("company_id").alias("owner_id"), F.col("depth").alias("up"))
+        deep = one.join(up, "owner_id", "left").groupBy("company_id").agg((F.coalesce(F.max("up"), F.lit(0)) + 1).alias("depth"))
     rows = t.company.select("company_id", "address", "vat_active", "last_filing_year").join(wins, "company_id", "left").join(seats, "company_id", "left").join(subs, "company_id", "left").join(deep, "company_id", "left").join(address, "address")
     return rows.select("company_id", "vat_active", "last_filing_year", F.coalesce("wins", F.lit(0)).alias("wins"), F.coalesce("boards", F.lit(0)).alias("boards"), (F.coalesce("is_sub", F.lit(False)) & F.col("wins").isNull()).alias("sub_only"),
         F.coalesce("depth", F.lit(0)).alias("depth"), "shared_address", (F.col("company_id") % 9).cast("int").alias("employees"))
