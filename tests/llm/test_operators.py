@@ -71,15 +71,24 @@ def test_suffix_array_and_shards(monkeypatch):
     common = bytes(r.integers(97, 123, 260, dtype=np.uint8))
     bodies = [bytes(r.integers(97, 123, k, dtype=np.uint8)) + common + bytes(r.integers(97, 123, 9, dtype=np.uint8)) for k in (5, 50, 130, 70)]
     windows = Counter(b[i : i + 200] for b in bodies for i in range(len(b) - 199))
-    got = {(row, s) for row, a, z in suffix_array.shard_repeats(iter([(1, b) for b in bodies])) for s in range(a, z + 1)}
+    got = {(row, s) for row, a, z, _ in suffix_array.shard_repeats(iter([(1, False, b) for b in bodies])) for s in range(a, z + 1)}
     assert got == {(k, i) for k, b in enumerate(bodies) for i in range(len(b) - 199) if windows[b[i : i + 200]] > 1}
 
 
-def test_removal_by_brute_force(spark, folder):
-    kind, d = folder
-    if kind == "none":
-        return
-    raw = [(r[1] or "").encode() for r in ROWS]
+def test_slices_hold_every_start_once(monkeypatch):
+    r = np.random.default_rng(2)
+    raw = [bytes(r.integers(97, 99, n, dtype=np.uint8)) for n in (0, 199, 200, 1499, 1699, 1700, 5000)] + [b"=" * 4000]
+    whole = [(o, a + k, n) for o, a, c, n, *_ in suffix_array._described(list(range(8)), raw) for o, a, c, n in zip(o, a, c, n, strict=True) for k in range(c)]
+    monkeypatch.setattr(suffix_array, "SLICE", 1500)
+    parts = list(suffix_array._described(list(range(8)), raw))
+    sliced = [(o, a + k, n) for o, a, c, n, *_ in parts for o, a, c, n in zip(o, a, c, n, strict=True) for k in range(c)]
+    assert sorted(whole) == sorted(sliced) and len(parts) > 3
+    for owner, start, count, *_, cut in parts:
+        assert all(cut(k) == raw[owner[k]][start[k] : start[k] + count[k] + 199] for k in range(len(owner)))
+
+
+def removed(raw):
+    """(bytes, bytes removed, digest of the rest) of each byte string, by counting all its 200-byte strings."""
     windows = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
     want = []
     for b in raw:
@@ -88,8 +97,34 @@ def test_removal_by_brute_force(spark, folder):
             if windows[b[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\x01" * 200
         want.append((len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(want)
+
+
+def test_removal_by_brute_force(spark, folder):
+    kind, d = folder
+    if kind == "none":
+        return
     got = registry.QUERIES["op9_suffix_array"](spark, d).collect()
-    assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == removed([(r[1] or "").encode() for r in ROWS])
+
+
+@pytest.mark.parametrize("shard", [2000, 60_000])
+def test_names_of_many_shards(spark, monkeypatch, tmp_path, shard):
+    """One passage in many different texts, some of which have a neighbour in common, and texts longer than a slice."""
+    monkeypatch.setattr(suffix_array, "SHARD", shard)
+    r = np.random.default_rng(4)
+
+    def some(n):
+        return bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    passage, ends = some(150), [some(60) for _ in range(6)]
+    texts = [some(int(r.integers(0, 90))) + passage + ends[int(r.integers(0, 6))][: int(r.integers(0, 60))] + some(30) for _ in range(150)]
+    texts += ["=" * 5000, "ab" * 2500, some(4000) + texts[0] + some(700), "é" * 99, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_array.op9_suffix_array(spark, str(tmp_path)).collect()
+    want = removed([(t or "").encode() for t in texts])
+    assert sum(w[1] for w in want) > 10_000
+    assert sorted((x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in got) == want
 
 
 def test_personal_data():

@@ -2,16 +2,19 @@
 
 Every 200-byte string is named by the least hash of the short grams in it, which its own bytes decide; so
 equal strings have equal names, and a text falls into runs of neighbouring string starts with one name.
-Runs whose name is seen once hold no repeat, unless its gram recurs in them. Runs with one name and equal bytes repeat as a whole. What is
-left, runs that share a name and differ or that may repeat in themselves, goes by name into shards: a suffix array of each (Larsson and
-Sadakane's refinement), common prefixes (Kasai's method), and a binary search for names that two shards share.
+Runs whose name is seen once hold no repeat, unless its gram recurs in them. Runs with one name and equal
+bytes repeat as a whole. What is left, runs that share a name and differ or that may repeat in themselves,
+goes by name into shards of bounded size: a suffix array of each (Larsson and Sadakane's refinement) and
+common prefixes (Kasai's method). A name with more bytes than a shard is dealt over several, and strings that
+two of its shards have are found by binary search in their merged, sorted digests.
+
+Two runs count as equal if their names (64 bits) and the hashes of their bytes (64 bits) are; two strings of
+different shards if 128 bits of digest are. Within a shard bytes are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,9 +26,11 @@ from veritrace.llm import bloom
 from veritrace.llm.common import map_rows, read, stored
 
 #: Bytes of a string that must not repeat, and of the grams whose least hash names it.
-LENGTH, GRAM = 200, 32
-#: Bytes of a shard, and runs that one name may bring to a shard; names with more are told apart further.
-SHARD, CROWD = 1 << 21, 256
+LENGTH, GRAM = 200, 64
+#: Bytes of a shard; a name with more is dealt over several. Longer texts are read in slices of SLICE starts.
+SHARD, SLICE = 1 << 21, 1 << 20
+#: Parts in which a name of many shards meets its runs.
+SALTS = 16
 _SEPARATOR = 0xFF  # never in UTF-8
 
 
@@ -35,14 +40,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, by doubling."""
-    h = _mix(data.astype(np.uint64) + np.uint64(1))
-    size = 1
-    while size < GRAM:
-        h = h[: len(h) - size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + h[size:]
-        size *= 2
-    return _mix(h)
+def _hashes(data: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes from each place on, by doubling."""
+    one = _mix(data.astype(np.uint64) + np.uint64(1))
+    out, power, have, mod = one, base, 1, 1 << 64
+    for bit in bin(size)[3:]:
+        out = out[: len(out) - have] * np.uint64(power) + out[have:]
+        have, power = 2 * have, power * power % mod
+        if bit == "1":
+            out = out[: len(out) - 1] * np.uint64(base) + one[have:]
+            have, power = have + 1, power * base % mod
+    return _mix(out)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +71,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
-    grams, width = _gram_hashes(data), LENGTH - GRAM + 1
+    grams, width = _hashes(data, GRAM), LENGTH - GRAM + 1
     names = _least(grams, width)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(names)]
@@ -94,14 +102,35 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _described(ids: list, raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(owner, start, count, name, inner, body hash, row key) of all runs of some texts."""
-    owner, start, count, name, inner = runs(raw)
+def _pieces(raw: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) of slices in which every start of every text lies once, about SLICE bytes at a time."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, r in enumerate(raw):
+        for at in range(0, max(1, len(r) - LENGTH + 1), SLICE):
+            held.append((i, at, r[at : at + SLICE + LENGTH - 1] if len(r) > SLICE else r))
+            size += len(held[-1][2])
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _described(ids: list, raw: list[bytes]) -> Iterator[tuple]:
+    """Some runs at a time: the owner, start, count, name, inner, body hash and row key of each, and its bytes on demand."""
     digest = xxhash.xxh3_64_intdigest
-    body = [digest(raw[o][a:b]) for o, a, b in zip(owner.tolist(), start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
     seeds = [42 if i is None else xxhash.xxh64_intdigest(str(i), 42) for i in ids]
-    text = np.array([xxhash.xxh64_intdigest(r, k) for r, k in zip(raw, seeds, strict=True)], np.uint64).view(np.int64)
-    return owner, start, count, name.view(np.int64), inner, np.array(body, np.uint64).view(np.int64), text[owner]
+    keys = np.array([xxhash.xxh64_intdigest(r, k) for r, k in zip(raw, seeds, strict=True)], np.uint64).view(np.int64)
+    for part in _pieces(raw):
+        owners, offsets = (np.array([p[k] for p in part], np.int64) for k in (0, 1))
+        piece, start, count, name, inner = runs([p[2] for p in part])
+
+        def cut(k: int, part=part, piece=piece, start=start, count=count) -> bytes:
+            return part[piece[k]][2][start[k] : start[k] + count[k] + LENGTH - 1]
+
+        body = np.array([digest(part[o][2][a:b]) for o, a, b in zip(piece.tolist(), start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)], np.uint64)
+        yield owners[piece], start + offsets[piece], count, name.view(np.int64), inner, body.view(np.int64), keys[owners[piece]], cut
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
@@ -115,8 +144,8 @@ def find_runs(docs: DataFrame) -> DataFrame:
 
     def work(groups):
         for ids, texts in groups:
-            owner, start, count, name, inner, body, text = _described(ids, _encoded(texts))
-            yield {"doc_id": [ids[i] for i in owner.tolist()], "text": text, "start": start, "count": count, "name": name, "inner": inner, "body": body}
+            for owner, start, count, name, inner, body, text, _ in _described(ids, _encoded(texts)):
+                yield {"doc_id": [ids[i] for i in owner.tolist()], "text": text, "start": start, "count": count, "name": name, "inner": inner, "body": body}
 
     return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, text bigint, start int, count int, name bigint, inner boolean, body bigint", work)
 
@@ -126,7 +155,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     the ranks twice as far on; suffixes that are alone in their group are left alone."""
     n = len(data)
     key = _eight(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = np.ones(n, bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -141,7 +170,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         # a suffix that has ended comes before those that go on, and the shorter of two such first
         then = np.where(far < n, rank[np.minimum(far, n - 1)], n - 1 - far)
         own = rank[at]
-        by = np.lexsort((then, own))
+        by = np.argsort((own.astype(np.uint64) << np.uint64(32)) + (then + h).astype(np.uint64))
         at, then, own = at[by], then[by], own[by]
         order[todo] = at
         new = np.ones(len(todo), bool)
@@ -204,8 +233,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     return out
 
 
-def repeated_starts(bodies: list[bytes]) -> list[np.ndarray]:
-    """For each of some byte strings without 0xFF: the starts of its LENGTH-byte strings that also start elsewhere in them."""
+def repeated_starts(bodies: list[bytes], told_of: list[bool] | None = None) -> tuple[list[np.ndarray], list[tuple[np.ndarray, list[bytes]]]]:
+    """For each of some byte strings without 0xFF: the starts of its LENGTH-byte strings that also start elsewhere in them.
+
+    And for those in ``told_of``, (starts, digests): one start of every different string, and its 16-byte digest.
+    """
     sizes = np.array([len(b) for b in bodies], np.int64)
     sep = bytes([_SEPARATOR])
     data = np.frombuffer(sep.join(bodies) + sep, np.uint8)
@@ -214,125 +246,72 @@ def repeated_starts(bodies: list[bytes]) -> list[np.ndarray]:
     near = np.maximum(shared, np.append(shared[1:], 0)) >= LENGTH
     hit = np.zeros(len(data), bool)
     hit[order[near]] = True
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    return [np.flatnonzero(hit[a : a + max(0, n - LENGTH + 1)]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
-
-
-def _windows(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), LENGTH)).view(f"S{LENGTH}").ravel()
-
-
-def shard_repeats(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(row, first start, last start) of repeated strings among rows (key, bytes) that come sorted by key.
-
-    Rows go into shards of SHARD bytes. Where a key goes on in the next shard, that shard's strings of the key
-    are looked up by binary search in the sorted strings of the key in earlier shards, and both are told.
+    begins = (np.cumsum(sizes + 1) - sizes - 1).tolist()
+    ends = [a + max(0, n - LENGTH + 1) for a, n in zip(begins, sizes.tolist(), strict=True)]
+    starts = [np.flatnonzero(hit[a:z]) for a, z in zip(begins, ends, strict=True)]
+    if not told_of or not any(told_of):
+        return starts, [(np.zeros(0, np.int64), [])] * len(bodies)
+    one = np.zeros(len(data), bool)
+    one[order[shared < LENGTH]] = True
+    digest = np.stack([_hashes(data, LENGTH, base).astype(">u8") for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)], axis=1)
+    names = []
+    for a, z, wanted in zip(begins, ends, told_of, strict=True):
+        at = np.flatnonzero(one[a:z]) if wanted else np.zeros(0, np.int64)
+        names.append((at, [d.tobytes() for d in digest[a + at]]))
+    return starts, names
+
+
+def shard_repeats(rows: Iterator[tuple[object, bool, bytes]]) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(row, first start, last start, None) of repeated strings among rows (key, spread, bytes) sorted by key.
+
+    Rows go into shards of about SHARD bytes; a key is never cut. Where ``spread`` says that other shards have
+    runs of the same name, (row, start, start, digest) tells them one start of each different string.
     """
 
-    def told(row: int, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if len(starts):
-            cuts = np.flatnonzero(np.diff(starts) > 1)
-            for a, b in zip(np.append(starts[0], starts[cuts + 1]).tolist(), np.append(starts[cuts], starts[-1]).tolist(), strict=True):
-                yield row, a, b
-
-    carried_key, carried = None, None  # sorted windows as text, their rows and starts
-    shard: list[tuple[int, int, bytes]] = []
-    size = 0
-
-    def flush() -> Iterator[tuple[int, int, int]]:
-        nonlocal carried_key, carried
-        if not shard:
-            return
-        for (row, _, _), starts in zip(shard, repeated_starts([b for _, _, b in shard]), strict=True):
-            yield from told(row, starts)
-        if carried is not None and (mine := [(r, b) for r, k, b in shard if k == carried_key]):
-            whole, where = carried
-            for row, body in mine:
-                win = _windows(body)
-                at = np.minimum(np.searchsorted(whole, win), len(whole) - 1)
-                found = np.flatnonzero(whole[at] == win)
-                yield from told(row, found)
-                for k in np.unique(at[found]).tolist():
-                    yield where[k][0], where[k][1], where[k][1]
-        last = shard[-1][1]
-        mine = [(r, b) for r, k, b in shard if k == last]
-        win = np.concatenate([_windows(b) for _, b in mine])
-        where = [(r, i) for r, b in mine for i in range(len(b) - LENGTH + 1)]
-        if carried is not None and carried_key == last:
-            win, where = np.concatenate((carried[0], win)), carried[1] + where
-        by = np.argsort(win, kind="stable")
-        carried_key, carried = last, (win[by], [where[k] for k in by.tolist()])
-
-    for row, (key, body) in enumerate(rows):
-        if size + len(body) > SHARD and shard:
-            yield from flush()
+    def flush(shard: list[tuple[int, bool, bytes]]) -> Iterator[tuple]:
+        starts, names = repeated_starts([b for _, _, b in shard], [w for _, w, _ in shard])
+        for (row, _, _), at, (one, digests) in zip(shard, starts, names, strict=True):
+            if len(at):
+                cuts = np.flatnonzero(np.diff(at) > 1)
+                for a, z in zip(np.append(at[0], at[cuts + 1]).tolist(), np.append(at[cuts], at[-1]).tolist(), strict=True):
+                    yield row, a, z, None
+            for a, d in zip(one.tolist(), digests, strict=True):
+                yield row, a, a, d
+
+    shard: list[tuple[int, bool, bytes]] = []
+    size, last = 0, None
+    for row, (key, spread, body) in enumerate(rows):
+        if size + len(body) > SHARD and key != last and shard:
+            yield from flush(shard)
             shard, size = [], 0
-        shard.append((row, key, body))
+        shard.append((row, spread, body))
         size += len(body)
-    if shard and carried_key != shard[0][1]:
-        carried = None
-    yield from flush()
+        last = key
+    if shard:
+        yield from flush(shard)
 
 
-def _cores(body: bytes, level: int) -> list[tuple[int, int, int, int]]:
-    """(first start, last start, core from, core to): starts of a run that share the core of their strings.
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by their last column, a digest: the rows whose digest another row has too, without it.
 
-    At level 0 the core is the gram with the least hash, the leftmost of equal ones. Each level adds half of
-    what is missing to the left if the string reaches that far, else to the right. The string alone decides.
-    """
-    data = np.frombuffer(body, np.uint8)
-    h = _gram_hashes(data)
-    n = len(data) - LENGTH + 1
-    width = LENGTH - GRAM + 1
-    place = np.lib.stride_tricks.sliding_window_view(h, width)[:n].argmin(axis=1)
-    start = np.arange(n)
-    lo = start + place
-    hi = lo + GRAM
-    for _ in range(level):
-        half = (LENGTH - (hi - lo) + 1) // 2
-        left = lo - half >= start
-        lo, hi = np.where(left, lo - half, lo), np.where(left, hi, hi + half)
-    cut = np.flatnonzero((np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-    return [(int(p[0]), int(p[-1]), int(lo[p[0]]), int(hi[p[0]])) for p in np.split(start, cut)]
-
-
-def _levels() -> int:
-    """Levels until the core is the whole string."""
-    size, n = GRAM, 0
-    while size < LENGTH:
-        size += (LENGTH - size + 1) // 2
-        n += 1
-    return n
-
-
-def _split_crowds(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (key, name, body, off, bytes) of which no key has more than CROWD, and rows (name, body, off) of strings known to repeat.
-
-    A crowd is told apart by ever longer cores of its strings; every string stays in one row at each level.
-    At the last level a key stands for a whole string, so a crowd is a repeat and needs no shard.
+    A digest's place in the sorted list is found by binary search; the last one of a batch waits for the next.
     """
-    rows = rows.select(F.col("name").alias("key"), "name", "body", F.lit(0).alias("off"), "bytes")
-    calm: list[DataFrame] = []
-    for level in range(1, _levels() + 2):
-        crowds = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
-        if crowds.isEmpty():
-            break
-        hot = rows.join(crowds, "key", "left_semi").select("name", "body", "off", "bytes")
-        calm.append(rows.join(crowds, "key", "left_anti").select(rows.columns))
-        if level > _levels():
-            return reduce(DataFrame.union, calm), hot.drop("bytes")
-
-        def finer(batches, level=level):
-            for b in batches:
-                out: list[tuple] = []
-                for name, body, off, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    for a, z, lo, hi in _cores(raw, level):
-                        key = xxhash.xxh64_intdigest(raw[lo:hi], level)
-                        out.append((key - (1 << 64) if key >> 63 else key, name, body, off + a, raw[a : z + LENGTH]))
-                yield _batch(out, {"key": pa.int64(), "name": pa.int64(), "body": pa.int64(), "off": pa.int32(), "bytes": pa.binary()})
 
-        rows = stored(hot.mapInArrow(finer, "key bigint, name bigint, body bigint, off int, bytes binary"))
-    return reduce(DataFrame.union, [*calm, rows]), None
+    def often(b: pa.RecordBatch, d: np.ndarray) -> pa.RecordBatch:
+        n = np.searchsorted(d, d, side="right") - np.searchsorted(d, d, side="left")
+        return b.filter(pa.array(n > 1)).select(b.schema.names[:-1])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.concat_batches([held, b])
+        d = np.array(b.column(b.num_columns - 1).to_pylist(), "S16")
+        end = int(np.searchsorted(d, d[-1], side="left"))
+        yield often(b.slice(0, end), d[:end])
+        held, rest = b.slice(end), d[end:]
+    if held is not None:
+        yield often(held, rest)
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -358,9 +337,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
     again = stored(every.drop("inner").where(known("name")).join(names, "name"))
     mixed = again.where("mixed")
-    bodies = stored(
-        mixed.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("text", "start")).alias("r")).select("name", "body", "n", F.col("r.text").alias("text"), F.col("r.start").alias("start"))
-    )
+    first = F.min(F.struct("text", "start", "count")).alias("r")
+    bodies = stored(mixed.groupBy("name", "body").agg(F.count("*").alias("n"), first).select("name", "body", "n", "r.text", "r.start", "r.count"))
+    large = bodies.groupBy("name").agg(F.sum(F.col("count") + (LENGTH - 1)).alias("size")).where(F.col("size") > SHARD)
+    spread = large.select("name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.ceil(F.col("size") / (SHARD // 2)).cast("int").alias("parts"))
 
     @F.pandas_udf("bigint")
     def key(name, body, text, start):
@@ -370,35 +350,43 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
     def work(groups):
         for ids, texts in groups:
-            raw = _encoded(texts)
-            owner, start, count, name, _, body, text = _described(ids, raw)
-            keep = np.flatnonzero(bloom.passes(chosen.value, _run_key(name, body, text, start)))
-            cut = [raw[o][a : a + c + LENGTH - 1] for o, a, c in zip(owner[keep].tolist(), start[keep].tolist(), count[keep].tolist(), strict=True)]
-            yield {"name": name[keep], "body": body[keep], "text": text[keep], "start": start[keep], "bytes": cut}
+            for _, start, _, name, _, body, text, cut in _described(ids, _encoded(texts)):
+                keep = np.flatnonzero(bloom.passes(chosen.value, _run_key(name, body, text, start)))
+                yield {"name": name[keep], "body": body[keep], "text": text[keep], "start": start[keep], "bytes": [cut(k) for k in keep.tolist()]}
 
     found = map_rows(docs, ["doc_id", "text"], "name bigint, body bigint, text bigint, start int, bytes binary", work)
-    one_each = found.join(bodies.drop("n"), ["name", "body", "text", "start"], "left_semi").dropDuplicates(["name", "body"])
-    rows, solved = _split_crowds(stored(one_each.select("name", "body", "bytes")))
+    own = found.join(bodies.select("name", "body", "text", "start"), ["name", "body", "text", "start"], "left_semi").dropDuplicates(["name", "body"])
+    own = own.withColumn("_salt", F.pmod("body", F.lit(SALTS)).cast("int")).join(spread, ["name", "_salt"], "left")
+    rows = own.select("name", F.coalesce(F.pmod(F.shiftrightunsigned("body", 8), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "body", "bytes")
 
     def shards(batches):
         ids: list[tuple] = []
 
         def feed():
             for b in batches:
-                for k, name, body, off, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    ids.append((name, body, off))
-                    yield k, raw
-
-        out = [(*ids[row][:2], ids[row][2] + a, ids[row][2] + z) for row, a, z in shard_repeats(feed())]
-        yield _batch(out, {"name": pa.int64(), "body": pa.int64(), "from": pa.int32(), "to": pa.int32()})
-
-    parts = rows.repartition("key").sortWithinPartitions("key").mapInArrow(shards, "name bigint, body bigint, `from` int, `to` int")
-    if solved is not None:
-        parts = parts.union(solved.select("name", "body", "off", "off"))
-    whole = mixed.join(bodies.where("n > 1").select("name", "body"), ["name", "body"], "left_semi").unionByName(again.where("NOT mixed"))
-    spans = whole.select("doc_id", "text", F.col("start").alias("lo"), (F.col("start") + F.col("count") + (LENGTH - 1)).alias("hi")).union(
-        mixed.join(parts, ["name", "body"]).select("doc_id", "text", F.col("start") + F.col("from"), F.col("start") + F.col("to") + LENGTH)
-    )
+                for name, part, body, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    ids.append((name, body))
+                    yield (name, part), part >= 0, raw
+
+        out: list[tuple] = []
+        for row, a, z, digest in shard_repeats(feed()):
+            out.append((*ids[row], a, z, digest))
+            if len(out) >= 100_000:
+                yield _batch(out, kinds)
+                out = []
+        yield _batch(out, kinds)
+
+    kinds = {"name": pa.int64(), "body": pa.int64(), "from": pa.int32(), "to": pa.int32(), "digest": pa.binary()}
+    ranges = "name bigint, body bigint, `from` int, `to` int"
+    parts = stored(rows.repartition("name", "part").sortWithinPartitions("name", "part").mapInArrow(shards, ranges + ", digest binary"))
+    told, across = parts.where("digest IS NULL").drop("digest"), parts.where("digest IS NOT NULL")
+    if not across.isEmpty():
+        told = told.union(across.repartitionByRange("digest").sortWithinPartitions("digest").mapInArrow(merged, ranges))
+    told = told.union(bodies.where("n > 1").select("name", "body", F.lit(0), F.col("count") - 1))
+    spans = (
+        again.where("NOT mixed").select("doc_id", "text", F.col("start").alias("lo"), (F.col("start") + F.col("count") + (LENGTH - 1)).alias("hi"))
+        .union(mixed.join(told, ["name", "body"]).select("doc_id", "text", F.col("start") + F.col("from"), F.col("start") + F.col("to") + LENGTH))
+    )
     return spans.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
@@ -436,7 +424,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every whole text once each byte of a repeated 200-byte string is removed.
 
-    Null and short texts stay as they are; repeated rows are documents of their own; extra columns are not read.
+    Null and short texts stay as they are; repeated rows are documents of their own; extra columns are not read;
+    an empty table gives no rows.
     """
     found = remove_repeats(read(spark, sf_dir, "documents"))
     gone = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
