@@ -97,6 +97,8 @@ def _arrow(kind: str) -> pa.DataType:
         "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),
         "double": pa.float64(), "binary": pa.binary(), "float": pa.float32(),
     }
+    if kind.startswith("array<struct<"):
+        return pa.list_(pa.struct({n: _arrow(k) for n, k in (x.split(":") for x in kind[13:-2].split(","))}))
     if kind.startswith("array<"):
         return pa.list_(_arrow(kind[6:-1]))
     return known[kind]

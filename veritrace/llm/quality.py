@@ -1,157 +1,165 @@
 """Quality rules: word counts of every text, and the perplexity of its letters under a Kneser-Ney model.
 
-The model is an interpolated, modified Kneser-Ney n-gram model of letters (order 4), one for each
-language, counted by Spark over the whole corpus. Letters fall into 32 classes, so a language has at most
-32 ** 4 n-grams and the model's size is bounded (about 17 MB a language) whatever the corpus holds.
+The model is an interpolated, modified Kneser-Ney model of runs of ORDER letters, one for each language of the
+table. Spark counts them over every text and fits the model by joins, order by order, so the model is as
+large as the corpus makes it. Each n-gram's cost leaves the occurrence that is scored out of the counts: a text
+cannot vouch for itself. Perplexity is that of a word, so that signs between words weigh on it. The costs are kept in sorted arrays of n-gram hashes, in all tasks while there are at most
+MODEL_ROWS of them; a larger model stays a table, and documents' n-grams are joined to it.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import cut, map_rows, read, stored
-
-#: Length of the n-grams, and bits of a letter class; ORDER * BITS is 20, so 2 ** 20 n-grams at most.
-ORDER, BITS = 4, 5
-#: Languages with a model of their own; all other values of lang (null too) share one, "und".
-LANGUAGES = ("de", "en", "es", "fr")
-#: A text is kept if its log2 perplexity is within the middle of its language, widened by so many
-#: interquartile ranges on either side, and by SLACK bits at least.
-RANGES, SLACK = 4.0, 0.75
-#: Models learn from texts with one symbol in so many characters at most.
-MANY = 50
-#: The last code point with a class of its own; letters above it are one class.
-_TABLE = 0x3000
+from veritrace.llm.common import map_rows, read, stored
+
+#: Letters of an n-gram.
+ORDER = 5
+#: A value of lang with at least so many texts has a model of its own, up to so many values; the rest share one, "und".
+OWN_TEXTS, OWN_MODELS = 500, 1000
+#: n-grams of all models that tasks hold as arrays (12 bytes each); more are joined.
+MODEL_ROWS = 8_000_000
+#: n-grams that a task gathers before it passes their counts on.
+AT_ONCE = 2_000_000
+#: A text is kept if its log2 perplexity is within the middle half of its language's texts, widened by so many times that
+#: half's width on either side. Languages with fewer than SCORED texts that pass the base rules have no band.
+RANGES, SCORED = 5.0, 30
+#: Steps of one bit in which perplexities are ranked.
+STEPS = 1000
 _SPACES, _SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of each code point: 0 space, 1-26 the Latin base letter, 27 digit, 28 punctuation, 29 symbol, 30 other letter, 31 rest."""
-    out = np.full(_TABLE + 1, 31, np.int64)
-    for cp in range(_TABLE):
-        c = chr(cp)
-        kind = unicodedata.category(c)
-        base = unicodedata.normalize("NFKD", c)[0].lower()
-        if c.isspace():
-            out[cp] = 0
-        elif kind[0] == "L":
-            out[cp] = ord(base) - 96 if "a" <= base <= "z" else 30
-        else:
-            out[cp] = {"N": 27, "P": 28, "S": 29, "M": 30}.get(kind[0], 31)
-    out[_TABLE] = 30
-    return out
+def _hash(windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of code points."""
+    out = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].astype(np.uint64) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each letter of each text, end to end, and the letters by text.
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    A text begins after ORDER - 1 spaces, so it has as many n-grams as letters.
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the ORDER letters that end at each letter of each text, end to end, and the letters by text.
+
+    Runs of white space are one space, and ORDER - 1 of them stand before a text.
     """
-    n = np.array([len(t) for t in texts], np.int64)
-    pad = " " * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _classes()[np.minimum(points, _TABLE)]
-    gram = np.zeros(max(0, len(kinds) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        gram |= kinds[k : k + len(gram)] << (BITS * (ORDER - 1 - k))
-    starts = np.concatenate(([0], np.cumsum(n + ORDER - 1)[:-1])).astype(np.int64)
+    plain = [" ".join(t.replace("\0", "\ufffd").split()) for t in texts]  # numpy drops zeros at the end
+    n = np.array([len(t) for t in plain], np.int64)
+    points = _points([" " * (ORDER - 1) + t for t in plain])
+    starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
     at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
-    return gram[at], n
-
+    return (np.lib.stride_tricks.sliding_window_view(points, ORDER)[at] if len(at) else np.zeros((0, ORDER), np.uint32)), n
 
-def model_key(lang: str | None) -> str:
-    return lang if lang in LANGUAGES else "und"
 
+def own_models(df: DataFrame) -> list[str]:
+    """The values of lang that have a model of their own."""
+    n = df.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= OWN_TEXTS)
+    return [r["lang"] for r in n.orderBy(F.desc("n"), "lang").limit(OWN_MODELS).collect()]
 
-def count_grams(df: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each n-gram occurs in each language's running texts, over the whole of df.
 
-    Texts with more than one symbol (of ``#*$%&|<>``) in MANY characters are tables or noise: they are scored
-    like any other, but a model that had learnt from them would find them likely.
-    """
+def count_grams(df: DataFrame, own: list[str]) -> DataFrame:
+    """(model, gram, n): how often each n-gram occurs in the texts of each model, over the whole of df."""
+    known = frozenset(own)
 
     def work(groups):
-        total: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def told():
+            for model, (_, names, n) in held.items():
+                yield {"model": [model] * len(n), "gram": names.tolist(), "n": n}
+            held.clear()
+
         for langs, texts in groups:
             by: dict[str, list[str]] = {}
             for lang, text in zip(langs, texts, strict=True):
-                if text and MANY * sum([text.count(c) for c in _SYMBOLS]) <= len(text):
-                    by.setdefault(model_key(lang), []).append(text)
-            for lang, some in by.items():
-                found = np.bincount(codes(some)[0], minlength=1 << (BITS * ORDER))
-                total[lang] = found if lang not in total else total[lang] + found
-        for lang, found in total.items():
-            at = np.flatnonzero(found)
-            yield {"lang": [lang] * len(at), "gram": at, "n": found[at]}
-
-    parts = map_rows(df, ["lang", "text"], "lang string, gram bigint, n bigint", work)
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _hash(order: int, gram: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of order and n-gram."""
-    x = gram.astype(np.uint64) * np.uint64(8) + np.uint64(order)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney of one language, as sorted arrays of n-gram hashes.
-
-    For each order, ``seen`` holds the sorted hashes of its n-grams with the discounted share of each, and
-    ``context`` the sorted hashes of its contexts with the weight that goes to the next lower order.
+                if text:
+                    by.setdefault(lang if lang in known else "und", []).append(text)
+            for model, some in by.items():
+                found = grams(some)[0]
+                h, first, n = np.unique(_hash(found), return_index=True, return_counts=True)
+                names = np.ascontiguousarray(found[first]).view(f"<U{ORDER}").ravel()
+                if model in held:
+                    before = held[model]
+                    h, first, where = np.unique(np.concatenate((before[0], h)), return_index=True, return_inverse=True)
+                    n = np.bincount(where, np.concatenate((before[2], n))).astype(np.int64)
+                    names = np.concatenate((before[1], names))[first]
+                held[model] = h, names, n
+            if sum(len(x[0]) for x in held.values()) >= AT_ONCE:
+                yield from told()
+        yield from told()
+
+    parts = map_rows(df, ["lang", "text"], "model string, gram string, n bigint", work)
+    return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discount(n: Column) -> Column:
+    """The discount of a count by the columns d1 to d3 of its order."""
+    return F.when(n <= 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def fit(counts: DataFrame) -> DataFrame:
+    """(model, gram, cost): -log2 of the probability of each n-gram's last letter after the others, without one of its occurrences.
+
+    From letters on their own to ORDER of them: the discounted share of an n-gram among those with its first letters,
+    and what the discounts leave, dealt out by the next lower order. Lower orders count in how many n-grams of the
+    next order a run of letters ends. An n-gram seen once is not there without its occurrence, nor is its part of the count below.
     """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.context: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for order in range(ORDER, 0, -1):
-            share = np.bincount(np.minimum(counts, 4), minlength=5).astype(float)
-            y = share[1] / (share[1] + 2 * share[2]) if share[1] else 0.5
-            cut_by = [max(0.01, min(k, k - (k + 1) * y * share[k + 1] / share[k])) if share[k] else y for k in (1, 2, 3)]
-            discount = np.array([0.0, *cut_by])[np.minimum(counts, 3)]
-            before = grams >> BITS
-            names, at = np.unique(before, return_inverse=True)
-            whole = np.bincount(at, counts)
-            self._put(self.seen, order, grams, (counts - discount) / whole[at])
-            self._put(self.context, order, names, np.bincount(at, discount) / whole)
-            lower = grams & ((1 << (BITS * (order - 1))) - 1)
-            grams, counts = np.unique(lower, return_counts=True)  # in how many words to the left each was seen
-
-    @staticmethod
-    def _put(table: dict, order: int, grams: np.ndarray, values: np.ndarray) -> None:
-        h = _hash(order, grams)
+    tables = {ORDER: stored(counts)}
+    for order in range(ORDER - 1, 0, -1):
+        tables[order] = stored(tables[order + 1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+    letters = tables[1].groupBy("model").agg((1 / (F.count("*") + 1)).alias("even"))  # a row a model
+    below = None
+    for order in range(1, ORDER + 1):
+        rows = tables[order]
+        c = [F.greatest(F.count_if(F.col("n") == k), F.lit(0)).alias(f"c{k}") for k in (1, 2, 3, 4)]
+        y = F.when(F.col("c1") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.5)
+        d = [F.when(F.col(f"c{k}") > 0, F.greatest(F.lit(0.01), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")))).otherwise(y).alias(f"d{k}") for k in (1, 2, 3)]
+        rows = rows.join(F.broadcast(rows.groupBy("model").agg(*c).select("model", *d)), "model")  # a row a model
+        head = F.expr(f"left(gram, {order - 1})")
+        rows = rows.withColumns({"head": head, "cut": _discount(F.col("n")), "less": _discount(F.col("n") - 1)})
+        heads = rows.groupBy("model", "head").agg(F.sum("n").alias("whole"), F.sum("cut").alias("left"))
+        rows = rows.join(heads, ["model", "head"])
+        one = F.col("whole") > 1
+        rows = rows.select(
+            "model", "gram", (F.col("n") == 1).alias("lone"), ((F.col("n") - F.col("cut")) / F.col("whole")).alias("share"), (F.col("left") / F.col("whole")).alias("rest"),
+            F.when(one, (F.col("n") - 1 - F.col("less")) / (F.col("whole") - 1)).otherwise(0.0).alias("share1"),
+            F.when(one, (F.col("left") - F.col("cut") + F.col("less")) / (F.col("whole") - 1)).otherwise(1.0).alias("rest1"),
+        )
+        if below is None:
+            rows = rows.join(F.broadcast(letters), "model").withColumns({"p": F.col("even"), "p1": F.col("even")})
+        else:
+            rows = rows.withColumn("tail", F.expr("substring(gram, 2)")).join(below.withColumnRenamed("gram", "tail"), ["model", "tail"])
+        below = rows.select(
+            "model", "gram", (F.col("share") + F.col("rest") * F.col("p")).alias("p"),
+            (F.col("share1") + F.col("rest1") * F.when(F.col("lone"), F.col("p1")).otherwise(F.col("p"))).alias("p1"),
+        )
+    return stored(below.select("model", "gram", (-F.log2("p1")).cast("float").alias("cost")))
+
+
+def arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and costs by model, on the driver; MODEL_ROWS at most."""
+    out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    table = model.repartition("model").sortWithinPartitions("model").toArrow()
+    for b in table.to_batches():
+        names = b.column(0).dictionary_encode()
+        at = names.indices.to_numpy(zero_copy_only=False)
+        points = _points(b.column(1).to_pylist()).reshape(-1, ORDER)
+        for k, name in enumerate(names.dictionary.to_pylist()):
+            out.setdefault(name, []).append((_hash(points[at == k]), b.column(2).to_numpy(zero_copy_only=False)[at == k]))
+    done = {}
+    for name, parts in out.items():
+        h, cost = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         by = np.argsort(h)
-        table[order] = (h[by], values[by].astype(np.float64))
-
-    @staticmethod
-    def _get(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = table
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], missing)
-
-    def probability(self, grams: np.ndarray) -> np.ndarray:
-        """Of each n-gram's last letter after the others."""
-        p = np.full(len(grams), 2.0**-BITS)
-        for order in range(1, ORDER + 1):
-            part = grams & ((1 << (BITS * order)) - 1)
-            p = self._get(self.seen[order], _hash(order, part), 0.0) + self._get(self.context[order], _hash(order, part >> BITS), 1.0) * p
-        return p
-
-
-def fit(counts: DataFrame) -> dict[str, KneserNey]:
-    """The models by language, on the driver; at most 2 ** 20 counts for each of LANGUAGES and "und"."""
-    table = counts.toArrow()
-    langs = np.array(table["lang"].to_pylist(), object)
-    grams, n = (table[c].to_numpy() for c in ("gram", "n"))
-    return {k: KneserNey(grams[langs == k], n[langs == k]) for k in sorted(set(langs))}
+        done[name] = h[by], cost[by]
+    return done
 
 
 def _base(text: str) -> tuple[int, int, int, int, int]:
@@ -173,51 +181,78 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measure(df: DataFrame, models: dict[str, KneserNey], carry: dict[str, str] | None = None) -> DataFrame:
-    """Per row of df: doc_id, the base counts, base_failed, model (its language's) and bits, and what carry names.
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(df: DataFrame, own: list[str], model: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
+    """Per row of df, stored: doc_id, the base counts, base_failed, model (its language's) and bits, and what carry names.
 
-    bits is the log2 of the perplexity, the mean of -log2 p over all letters of the whole text; null where
-    a text has none or no model exists.
+    bits is the log2 of the perplexity, the cost of all letters of the whole text over its words; null where it has none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    known = frozenset(own)
+    small = model.count() <= MODEL_ROWS
+    shared = df.sparkSession.sparkContext.broadcast(arrays(model)) if small else None
 
     def work(groups):
-        known = shared.value
         for ids, langs, texts in groups:
             base = [_base(t or "") for t in texts]
-            keys = [model_key(x) for x in langs]
+            keys = [x if x in known else "und" for x in langs]
             bits: list[float | None] = [None] * len(texts)
-            for lang in set(keys) & set(known):
-                rows = [i for i, k in enumerate(keys) if k == lang and texts[i]]
+            lists: list = [None] * len(texts)
+            for key in set(keys):
+                rows = [i for i, k in enumerate(keys) if k == key and base[i][0]]
                 if not rows:
                     continue
-                grams, n = codes([texts[i] for i in rows])
-                names_, at = np.unique(grams, return_inverse=True)
-                cost = -np.log2(known[lang].probability(names_))[at]
-                for i, v in zip(rows, (np.add.reduceat(cost, np.cumsum(n) - n) / n).tolist(), strict=True):
-                    bits[i] = v
-            out = {"doc_id": ids, "model": keys, "bits": bits}
-            out |= {k: [b[j] for b in base] for j, k in enumerate(names)}
+                found, n = grams([texts[i] for i in rows])
+                h, first, at = np.unique(_hash(found), return_index=True, return_inverse=True)
+                if small:
+                    names, costs = shared.value[key]
+                    cost = costs[np.minimum(np.searchsorted(names, h), len(names) - 1)][at]
+                    for i, v in zip(rows, np.add.reduceat(cost, np.cumsum(n) - n, dtype=np.float64).tolist(), strict=True):
+                        bits[i] = v / base[i][0]
+                else:
+                    names = np.ascontiguousarray(found[first]).view(f"<U{ORDER}").ravel()
+                    for i, part in zip(rows, np.split(at, np.cumsum(n)[:-1]), strict=True):
+                        k, m = np.unique(part, return_counts=True)
+                        lists[i] = [{"gram": g, "n": c} for g, c in zip(names[k].tolist(), m.tolist(), strict=True)]
+            out = {"doc_id": ids, "model": keys, "bits": bits, "grams": pa.array(lists, pa.list_(pa.struct({"gram": pa.string(), "n": pa.int64()})))}
+            out |= {k: [b[j] for b in base] for j, k in enumerate(_COUNTS)}
             out["base_failed"] = [b[0] < 50 or 100 * b[4] > 50 * b[0] for b in base]
             yield out
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{k} bigint" for k in names) + ", base_failed boolean, model string, bits double"
-    return map_rows(df, ["doc_id", "lang", "text"], schema, work, carry)
+    schema = f"doc_id {kind}, " + ", ".join(f"{k} bigint" for k in _COUNTS) + ", base_failed boolean, model string, bits double, grams array<struct<gram:string,n:bigint>>"
+    rows = stored(map_rows(df, ["doc_id", "lang", "text"], schema, work, carry))
+    if small:
+        return rows.drop("grams")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # the rows are files by now, so it stays
+    each = rows.select("_row", "model", F.inline("grams")).join(model, ["model", "gram"])
+    costs = each.groupBy("_row").agg(F.sum(F.col("n") * F.col("cost")).alias("_cost"))
+    rows = rows.drop("grams", "bits").join(costs, "_row", "left").withColumn("bits", F.col("_cost") / F.col("n_words"))
+    return stored(rows.drop("_row", "_cost"))
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """(model, low, high): the perplexity band of each language, in bits, from the texts that pass the base rules."""
-    q = F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
-    found = measured.where(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy("model").agg(q.alias("q"))
-    wide = F.greatest(F.lit(RANGES) * (F.col("q")[2] - F.col("q")[0]), F.lit(SLACK))
-    return found.select("model", (F.col("q")[0] - wide).alias("low"), (F.col("q")[2] + wide).alias("high"))
+    """(model, low, high): the perplexity band of each language, in bits, from the texts that pass the base rules.
 
-
-def _banded(measured: DataFrame) -> DataFrame:
+    Quartiles are of bits rounded to 1 / STEPS, of which a language has some ten thousand values whatever the
+    corpus holds, so they do not hang on how rows are dealt out.
+    """
+    step = F.round(F.col("bits") * STEPS).cast("bigint")
+    n = measured.where(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy("model", step.alias("step")).agg(F.count("*").alias("n"))
+    up = Window.partitionBy("model").orderBy("step")
+    ranked = n.withColumns({"upto": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("model"))})
+    q = [F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("step"))).alias(name) for share, name in ((0.25, "q1"), (0.75, "q3"))]
+    found = ranked.groupBy("model").agg(*q, F.first("all").alias("all")).where(F.col("all") >= SCORED)
+    wide = RANGES * (F.col("q3") - F.col("q1") + 1)
+    return found.select("model", ((F.col("q1") - wide) / STEPS).alias("low"), ((F.col("q3") + wide) / STEPS).alias("high"))
+
+
+def _judged(df: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
+    own = own_models(df)
+    measured = measure(df, own, fit(count_grams(df, own)), carry)
     inside = F.col("bits").between(F.col("low"), F.col("high"))
-    found = measured.join(F.broadcast(bands(measured)), "model", "left")  # a row a language
+    found = measured.join(F.broadcast(bands(measured)), "model", "left")  # a row a model
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
@@ -227,21 +262,20 @@ def judge(df: DataFrame) -> DataFrame:
     A row fails by the base rules (under 50 words, or over half of them in repeated 3-word windows) or by a
     perplexity outside its language's band. Rows repeated in df are judged alike.
     """
-    return _banded(cut(measure(df, fit(count_grams(df)))))
+    return _judged(df)
 
 
 def keep_good(df: DataFrame) -> DataFrame:
     """The rows of df that ``judge`` keeps, with all their columns. Texts are stored once beside their counts, not joined."""
     carry = {c: f"_carried_{i}" for i, c in enumerate(df.columns)}
-    kept = _banded(stored(measure(df, fit(count_grams(df)), carry))).where("kept")
-    return kept.select(*[F.col(new).alias(old) for old, new in carry.items()])
+    return _judged(df, carry).where("kept").select(*[F.col(new).alias(old) for old, new in carry.items()])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts and the verdict on every whole text of documents.
 
-    A null or empty text has no words, fails the base rules and has no perplexity; a null or unknown lang
-    takes the shared model; repeated rows are judged each; extra columns are not read.
+    A null or empty text has no words, fails the base rules and has no perplexity; a null or rare lang takes the
+    shared model; repeated rows are judged each; extra columns are not read; an empty table gives no rows.
     """
     found = judge(read(spark, sf_dir, "documents"))
     return found.select(
