@@ -66,7 +66,7 @@ def texts(seed, n):
 def test_model_by_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(quality, "MODEL_ROWS", rows)
     monkeypatch.setattr(quality, "OWN_TEXTS", 20)
-    data = [(i, "xx" if i < 25 else None, t) for i, t in enumerate(texts(1, 25) + texts(2, 6))] + [(99, "xx", " \n"), (100, "yy", None), (101, "xx", "a\0b")]
+    data = [(i, "xx" if i < 25 else None, t) for i, t in enumerate(texts(1, 25) + texts(2, 6))] + [(99, "xx", " \n\u3000"), (100, "yy", None), (101, "xx", "a\0b")]
     df = spark.createDataFrame(data, "doc_id long, lang string, text string")
     own = quality.own_models(df)
     assert own == ["xx"]
@@ -80,6 +80,15 @@ def test_model_by_brute_force(spark, monkeypatch, rows):
     assert got[99]["bits"] is None and got[100]["bits"] is None
 
 
+def test_many_letters(monkeypatch):
+    wide = "".join(chr(0x4E00 + i) for i in range(8000)) + " ab ab"
+    rows, n = quality.distinct([wide, "ab ab"])
+    want = Counter(grams(wide)) + Counter(grams("ab ab"))
+    assert dict(zip(quality._names(rows).tolist(), n.tolist())) == want
+    rows, n = quality.distinct(["ab ab", "b"])
+    assert dict(zip(quality._names(rows).tolist(), n.tolist())) == Counter(grams("ab ab")) + Counter(grams("b"))
+
+
 def test_base_counts_and_bands(spark, tmp_path):
     r = random.Random(5)
     words = ["".join(r.choices("aeioulnrst", k=r.randint(2, 7))) for _ in range(300)]

@@ -22,7 +22,7 @@ ORDER = 5
 OWN_TEXTS, OWN_MODELS = 500, 1000
 #: n-grams of all models that tasks hold as arrays (12 bytes each); more are joined.
 MODEL_ROWS = 8_000_000
-#: n-grams that a task gathers before it passes their counts on.
+#: Counts that a task gathers before it adds up those of equal n-grams; if half remain, it passes them on.
 AT_ONCE = 2_000_000
 #: A text is kept if its log2 perplexity is within the middle half of its language's texts, widened by so many times that
 #: half's width on either side. Languages with fewer than SCORED texts that pass the base rules have no band.
@@ -32,31 +32,65 @@ STEPS = 1000
 _SPACES, _SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 
 
-def _hash(windows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of code points."""
-    out = np.zeros(len(windows), np.uint64)
-    for k in range(windows.shape[1]):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].astype(np.uint64) + np.uint64(1)
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of ORDER code points, which stand at the same place of as many arrays."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
     return out ^ (out >> np.uint64(31))
 
 
-def _points(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of the ORDER letters that end at each letter of each text, end to end, and the letters by text.
+def _lettered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts end to end, ORDER - 1 spaces before each and at the end, and the letters by text.
 
-    Runs of white space are one space, and ORDER - 1 of them stand before a text.
+    Runs of white space are one space.
     """
     plain = [" ".join(t.replace("\0", "\ufffd").split()) for t in texts]  # numpy drops zeros at the end
-    n = np.array([len(t) for t in plain], np.int64)
-    points = _points([" " * (ORDER - 1) + t for t in plain])
-    starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
-    at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
-    return (np.lib.stride_tricks.sliding_window_view(points, ORDER)[at] if len(at) else np.zeros((0, ORDER), np.uint32)), n
+    pad = " " * (ORDER - 1)
+    return _points(pad + pad.join(plain) + pad), np.array([len(t) for t in plain], np.int64)
+
+
+def _shifted(points: np.ndarray) -> list[np.ndarray]:
+    return [points[k : len(points) - ORDER + 1 + k] for k in range(ORDER)]
+
+
+def _inside(n: np.ndarray) -> np.ndarray:
+    """Which of the n-grams of code points as _lettered gives them end in a text."""
+    out = np.ones(int(n.sum()) + (ORDER - 1) * len(n), bool)
+    ends = np.cumsum(n + ORDER - 1)
+    for k in range(1, ORDER):
+        out[ends - k] = False
+    return out
+
+
+def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of texts, a row of ORDER code points each, and how often they occur."""
+    points, n = _lettered(texts)
+    alphabet, code = np.unique(points, return_inverse=True)
+    if len(alphabet) ** ORDER >= 1 << 64:  # some 7,000 letters
+        rows = np.stack(_shifted(points), axis=1)[_inside(n)]
+        return np.unique(rows, axis=0, return_counts=True)
+    key = np.zeros(len(points) - ORDER + 1, np.uint64)
+    for c in _shifted(code.astype(np.uint64)):
+        key = key * np.uint64(len(alphabet)) + c
+    key = np.sort(key[_inside(n)])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count, key = np.diff(np.append(first, len(key))), key[first]
+    out = np.empty((len(key), ORDER), np.uint32)
+    for k in range(ORDER - 1, -1, -1):
+        out[:, k] = alphabet[key % np.uint64(len(alphabet))]
+        key = key // np.uint64(len(alphabet))
+    return out, count
+
+
+def _names(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"<U{ORDER}").ravel()
 
 
 def own_models(df: DataFrame) -> list[str]:
@@ -69,31 +103,34 @@ def count_grams(df: DataFrame, own: list[str]) -> DataFrame:
     """(model, gram, n): how often each n-gram occurs in the texts of each model, over the whole of df."""
     known = frozenset(own)
 
+    def merged(parts):
+        rows, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        _, first, where = np.unique(_hash(list(rows.T)), return_index=True, return_inverse=True)
+        return rows[first], np.bincount(where, n).astype(np.int64)
+
     def work(groups):
-        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def told():
-            for model, (_, names, n) in held.items():
-                yield {"model": [model] * len(n), "gram": names.tolist(), "n": n}
+            for model, parts in held.items():
+                rows, n = merged(parts)
+                for at in range(0, len(n), 100_000):
+                    some = n[at : at + 100_000]
+                    yield {"model": [model] * len(some), "gram": pa.array(_names(rows[at : at + 100_000])), "n": some}
             held.clear()
 
         for langs, texts in groups:
             by: dict[str, list[str]] = {}
             for lang, text in zip(langs, texts, strict=True):
-                if text:
+                if text and not text.isspace():
                     by.setdefault(lang if lang in known else "und", []).append(text)
             for model, some in by.items():
-                found = grams(some)[0]
-                h, first, n = np.unique(_hash(found), return_index=True, return_counts=True)
-                names = np.ascontiguousarray(found[first]).view(f"<U{ORDER}").ravel()
-                if model in held:
-                    before = held[model]
-                    h, first, where = np.unique(np.concatenate((before[0], h)), return_index=True, return_inverse=True)
-                    n = np.bincount(where, np.concatenate((before[2], n))).astype(np.int64)
-                    names = np.concatenate((before[1], names))[first]
-                held[model] = h, names, n
-            if sum(len(x[0]) for x in held.values()) >= AT_ONCE:
-                yield from told()
+                held.setdefault(model, []).append(distinct(some))
+            if sum(len(n) for parts in held.values() for _, n in parts) >= AT_ONCE:
+                for model, parts in held.items():
+                    held[model] = [merged(parts)]
+                if sum(len(n) for ((_, n),) in held.values()) >= AT_ONCE // 2:
+                    yield from told()
         yield from told()
 
     parts = map_rows(df, ["lang", "text"], "model string, gram string, n bigint", work)
@@ -125,8 +162,8 @@ def fit(counts: DataFrame) -> DataFrame:
         rows = rows.join(F.broadcast(rows.groupBy("model").agg(*c).select("model", *d)), "model")  # a row a model
         head = F.expr(f"left(gram, {order - 1})")
         rows = rows.withColumns({"head": head, "cut": _discount(F.col("n")), "less": _discount(F.col("n") - 1)})
-        heads = rows.groupBy("model", "head").agg(F.sum("n").alias("whole"), F.sum("cut").alias("left"))
-        rows = rows.join(heads, ["model", "head"])
+        heads = Window.partitionBy("model", "head")  # as many rows as there are letters at most
+        rows = rows.withColumns({"whole": F.sum("n").over(heads), "left": F.sum("cut").over(heads)})
         one = F.col("whole") > 1
         rows = rows.select(
             "model", "gram", (F.col("n") == 1).alias("lone"), ((F.col("n") - F.col("cut")) / F.col("whole")).alias("share"), (F.col("left") / F.col("whole")).alias("rest"),
@@ -144,22 +181,35 @@ def fit(counts: DataFrame) -> DataFrame:
     return stored(below.select("model", "gram", (-F.log2("p1")).cast("float").alias("cost")))
 
 
-def arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted hashes and costs by model, on the driver; MODEL_ROWS at most."""
+class Costs:
+    """Costs of one model's n-grams beside their sorted hashes, with the place where each run of leading bits begins."""
+
+    def __init__(self, h: np.ndarray, cost: np.ndarray):
+        by = np.argsort(h)
+        self.h, self.cost = h[by], cost[by]
+        self.bits = max(1, len(h).bit_length())
+        self.begin = np.searchsorted(self.h, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The costs of n-grams that the model has."""
+        at = self.begin[h >> np.uint64(64 - self.bits)]
+        left = np.flatnonzero(self.h[at] != h)
+        while len(left):
+            at[left] += 1
+            left = left[self.h[at[left]] != h[left]]
+        return self.cost[at]
+
+
+def arrays(model: DataFrame) -> dict[str, Costs]:
+    """The models' sorted arrays, on the driver; MODEL_ROWS at most."""
     out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    table = model.repartition("model").sortWithinPartitions("model").toArrow()
-    for b in table.to_batches():
+    for b in model.toArrow().to_batches():
         names = b.column(0).dictionary_encode()
         at = names.indices.to_numpy(zero_copy_only=False)
-        points = _points(b.column(1).to_pylist()).reshape(-1, ORDER)
+        h = _hash(list(_points("".join(b.column(1).to_pylist())).reshape(-1, ORDER).T))
         for k, name in enumerate(names.dictionary.to_pylist()):
-            out.setdefault(name, []).append((_hash(points[at == k]), b.column(2).to_numpy(zero_copy_only=False)[at == k]))
-    done = {}
-    for name, parts in out.items():
-        h, cost = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        by = np.argsort(h)
-        done[name] = h[by], cost[by]
-    return done
+            out.setdefault(name, []).append((h[at == k], b.column(2).to_numpy(zero_copy_only=False)[at == k]))
+    return {name: Costs(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))) for name, parts in out.items()}
 
 
 def _base(text: str) -> tuple[int, int, int, int, int]:
@@ -200,21 +250,18 @@ def measure(df: DataFrame, own: list[str], model: DataFrame, carry: dict[str, st
             bits: list[float | None] = [None] * len(texts)
             lists: list = [None] * len(texts)
             for key in set(keys):
-                rows = [i for i, k in enumerate(keys) if k == key and base[i][0]]
+                rows = [i for i, k in enumerate(keys) if k == key and texts[i] and not texts[i].isspace()]
                 if not rows:
                     continue
-                found, n = grams([texts[i] for i in rows])
-                h, first, at = np.unique(_hash(found), return_index=True, return_inverse=True)
                 if small:
-                    names, costs = shared.value[key]
-                    cost = costs[np.minimum(np.searchsorted(names, h), len(names) - 1)][at]
+                    points, n = _lettered([texts[i] for i in rows])
+                    cost = shared.value[key].of(_hash(_shifted(points))[_inside(n)])
                     for i, v in zip(rows, np.add.reduceat(cost, np.cumsum(n) - n, dtype=np.float64).tolist(), strict=True):
                         bits[i] = v / base[i][0]
                 else:
-                    names = np.ascontiguousarray(found[first]).view(f"<U{ORDER}").ravel()
-                    for i, part in zip(rows, np.split(at, np.cumsum(n)[:-1]), strict=True):
-                        k, m = np.unique(part, return_counts=True)
-                        lists[i] = [{"gram": g, "n": c} for g, c in zip(names[k].tolist(), m.tolist(), strict=True)]
+                    for i in rows:
+                        found, n = distinct([texts[i]])
+                        lists[i] = [{"gram": g, "n": c} for g, c in zip(_names(found).tolist(), n.tolist(), strict=True)]
             out = {"doc_id": ids, "model": keys, "bits": bits, "grams": pa.array(lists, pa.list_(pa.struct({"gram": pa.string(), "n": pa.int64()})))}
             out |= {k: [b[j] for b in base] for j, k in enumerate(_COUNTS)}
             out["base_failed"] = [b[0] < 50 or 100 * b[4] > 50 * b[0] for b in base]
