@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from veritrace.operators.components import connected_components, cut
 
 __all__ = [
-    "betweenness", "bfs", "clustering", "connected_components", "cycles", "degrees", "graph_statistics", "label_propagation", "pagerank",
-    "paths", "propagate_confidence", "shortest_paths", "strong_components", "triangles", "undirected",
+    "articulation_points", "betweenness", "bfs", "clustering", "connected_components", "cycles", "degrees", "graph_size", "graph_statistics", "induced",
+    "label_propagation", "pagerank", "paths", "propagate_confidence", "reachable", "shortest_paths", "strong_components", "triangles", "undirected",
 ]
 
 
@@ -30,28 +32,57 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def paths(edges: DataFrame, starts: DataFrame, depth: int, carry: str | None = None) -> DataFrame:
+def paths(edges: DataFrame, starts: DataFrame, depth: int, carry: str | None = None, limit: int | None = None) -> DataFrame:
     """(start, node, hops, chain, last): all simple paths of 1 to depth edges from ``starts`` (start).
 
-    Each level is one join of the frontier with the edges; ``carry`` is a column of the last edge. The number
-    of paths can grow with the degree to the power of depth: filter the edges first.
+    Each level is one join of the frontier with the edges; ``carry`` is a column of the last edge. With a limit, the
+    first by hops, then chain; longer paths are followed only while there are too few. Without one, the number of paths
+    can grow with the degree to the power of depth: filter the edges first.
     """
     last = F.col(carry) if carry else F.lit(None).cast("double")
     hop = edges.select("src", "dst", last.alias("last"))
     level = starts.join(hop, starts["start"] == hop["src"]).where("src <> dst").select("start", F.col("dst").alias("node"), F.lit(1).alias("hops"), F.array("src", "dst").alias("chain"), "last")
-    levels = [level]
-    for n in range(2, depth + 1):
-        before = levels[-1].drop("last")
-        level = before.join(hop, before["node"] == hop["src"]).where(~F.array_contains("chain", F.col("dst")))
-        level = level.select("start", F.col("dst").alias("node"), F.lit(n).alias("hops"), F.concat("chain", F.array("dst")).alias("chain"), "last")
-        if n % 3 == 0:
-            level = cut(level)
-            if level.isEmpty():
+    levels, left = [], limit
+    for n in range(1, depth + 1):
+        if n > 1:
+            before = level.drop("last")
+            level = before.join(hop, before["node"] == hop["src"]).where(~F.array_contains("chain", F.col("dst")))
+            level = level.select("start", F.col("dst").alias("node"), F.lit(n).alias("hops"), F.concat("chain", F.array("dst")).alias("chain"), "last")
+        if limit is not None:
+            first = cut(level.orderBy("chain", "start").limit(left))
+            left -= first.count()
+            levels.append(first)
+            if left == 0:
                 break
-        levels.append(level)
+            level = first  # it was not cut short, so it is the whole level
+        else:
+            if n % 3 == 0:
+                level = cut(level)
+                if level.isEmpty():
+                    break
+            levels.append(level)
     return reduce(DataFrame.union, levels)
 
 
+def reachable(edges: DataFrame, depth: int) -> DataFrame:
+    """(src, dst): nodes that lead to one another over 1 to depth edges, each pair once; a level keeps only pairs that are new."""
+    hop = edges.select("src", "dst").distinct()
+    level = found = cut(hop)
+    for _ in range(depth - 1):
+        nxt = hop.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
+        level = cut(level.join(nxt, "dst").select("src", F.col("_to").alias("dst")).distinct().join(found, ["src", "dst"], "left_anti"))
+        if level.isEmpty():
+            break
+        found = cut(found.union(level))
+    return found
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between nodes (node)."""
+    n = nodes.select("node").distinct()
+    return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, hops): nodes within depth edges, either way, by their distance; starts have 0."""
     hop = cut(both_ways(edges))
@@ -84,18 +115,29 @@ def shortest_paths(edges: DataFrame, source: int, target: int, depth: int) -> Da
     return spark.createDataFrame([], "hops int, chain array<long>")
 
 
-def cycles(edges: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
-    """(length, chain): simple directed cycles, each once, from its smallest node."""
-    hop = edges.select("src", "dst").where("src <> dst").distinct()
+def cycles(edges: DataFrame, least: int = 3, most: int = 6, limit: int | None = None) -> DataFrame:
+    """(length, chain): simple directed cycles, each once, from its smallest node.
+
+    With a limit, the first by length, then chain; longer paths are followed only while there are too few. Without
+    one, the number of paths can grow with the degree to the power of most.
+    """
+    hop = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    back = hop.select(F.col("src").alias("node"), F.col("dst").alias("start"))
     level = hop.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("chain"))
-    found = []
+    found, left = [], limit
     for n in range(2, most + 1):
         if n >= least:
-            back = hop.select(F.col("src").alias("node"), F.col("dst").alias("start"))
-            found.append(level.join(back, ["node", "start"]).select(F.lit(n).alias("length"), "chain"))
+            closed = level.join(back, ["node", "start"]).select(F.lit(n).alias("length"), "chain")
+            if limit is not None:
+                closed = cut(closed.orderBy("chain").limit(left))
+                left -= closed.count()
+            found.append(closed)
+            if left == 0:
+                break
         if n < most:
             nxt = level.join(hop, level["node"] == hop["src"]).where((F.col("dst") > F.col("start")) & ~F.array_contains("chain", F.col("dst")))
-            level = cut(nxt.select("start", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain")))
+            level = nxt.select("start", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
+            level = cut(level) if n > 2 else level  # paths of three nodes are made anew, not stored
     return reduce(DataFrame.union, found)
 
 
@@ -136,7 +178,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, directed
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): each node takes the commonest label around it, its own counted once, ties to the smallest; deterministic."""
+    """(node, community): each node takes the commonest label around it, its own counted once, ties to the smallest; deterministic.
+
+    Ends when no label moves, or after so many rounds, of which it warns.
+    """
     e = cut(both_ways(edges))
     labels = e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
@@ -148,10 +193,12 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         labels = new
         if same:
             break
+    else:
+        warnings.warn(f"labels still move after {rounds} rounds", stacklevel=2)
     return labels
 
 
-def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components by their smallest node, for every node with an edge.
 
     Nodes without in- or out-edges are trimmed as components of their own; then in rounds each node takes the
@@ -160,7 +207,7 @@ def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     done: list[DataFrame] = []
-    for _ in range(most):
+    while not e.isEmpty():
         while True:
             keep = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
             smaller = cut(e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
@@ -195,50 +242,127 @@ def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
     return nodes.join(reduce(DataFrame.union, done), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def betweenness(edges: DataFrame, most_edges: int = 200_000) -> DataFrame:
-    """(node, betweenness): exact, undirected, by Brandes' accumulation; sources are spread over tasks.
+#: A graph of at most so many edges goes to every task (32 MB).
+TASK_EDGES = 2_000_000
+
+
+def _numbered(edges: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """The nodes of at most TASK_EDGES undirected edges, and for each node the numbers of its neighbours (starts, ends)."""
+    pairs = undirected(edges).toPandas()
+    nodes, code = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True) if len(pairs) else (np.array([], object), np.zeros(0, np.int64))
+    u, v = code[: len(pairs)], code[len(pairs) :]
+    src, dst = np.concatenate([u, v]), np.concatenate([v, u])
+    by = np.lexsort((dst, src))
+    return nodes.tolist(), np.searchsorted(src[by], np.arange(len(nodes) + 1)), dst[by]
+
 
-    Every task needs the whole graph, so it is refused above ``most_edges``; filter to a neighbourhood first.
+def betweenness(edges: DataFrame) -> DataFrame:
+    """(node, betweenness): exact, undirected, by Brandes' accumulation.
+
+    A graph of at most TASK_EDGES edges goes to every task, and its nodes are dealt out as sources; a larger one is
+    walked from all sources at once, a join a level.
     """
-    e = undirected(edges).orderBy("u", "v")
-    if (n := e.count()) > most_edges:
-        raise ValueError(f"betweenness needs the graph in each task; {n} edges are more than {most_edges}")
-    pairs = [(r["u"], r["v"]) for r in e.collect()]  # checked above
-    around: dict[int, list[int]] = {}
-    for u, v in pairs:
-        around.setdefault(u, []).append(v)
-        around.setdefault(v, []).append(u)
-    shared = edges.sparkSession.sparkContext.broadcast(around)
+    if undirected(edges).count() > TASK_EDGES:
+        return _betweenness_by_level(edges)
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    nodes, starts, around = _numbered(edges)  # checked above
+    shared = spark.sparkContext.broadcast((starts, around))
 
     def work(batches):
-        graph = shared.value
+        starts, around = shared.value
+        n = len(starts) - 1
+        total = np.zeros(n)
         for pdf in batches:
-            score: dict[int, float] = {}
-            for s in pdf["node"]:
-                order, before, count, far = [], {}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in graph[v]:
-                        if w not in far:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            count[w] = count.get(w, 0.0) + count[v]
-                            before.setdefault(w, []).append(v)
-                part = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        part[v] += count[v] / count[w] * (1 + part[w])
-                    if w != s:
-                        score[w] = score.get(w, 0.0) + part[w] / 2
-            yield pd.DataFrame({"node": list(score), "b": list(score.values())}, columns=["node", "b"])
-
-    nodes = cut(both_ways(edges).select(F.col("src").alias("node")).distinct())
-    sums = nodes.repartition("node").mapInPandas(work, "node long, b double").groupBy("node").agg(F.sum("b").alias("b"))
+            for s in pdf["id"].to_numpy():
+                far, count = np.full(n, -1), np.zeros(n)
+                far[s], count[s] = 0, 1.0
+                front, steps = np.array([s]), []
+                while len(front):
+                    sizes = starts[front + 1] - starts[front]
+                    src = np.repeat(front, sizes)
+                    dst = around[np.repeat(starts[front], sizes) + np.arange(len(src)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+                    new = np.unique(dst[far[dst] < 0])
+                    far[new] = len(steps) + 1
+                    on = far[dst] == len(steps) + 1
+                    src, dst = src[on], dst[on]
+                    np.add.at(count, dst, count[src])
+                    steps.append((src, dst))
+                    front = new
+                part = np.zeros(n)
+                for src, dst in reversed(steps):
+                    np.add.at(part, src, count[src] / count[dst] * (1 + part[dst]))
+                part[s] = 0.0
+                total += part / 2
+        yield pd.DataFrame({"id": np.arange(n), "b": total})
+
+    width = min(max(1, len(nodes)), 4 * spark.sparkContext.defaultParallelism)
+    sums = spark.range(len(nodes)).repartition(width, "id").mapInPandas(work, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    names = spark.createDataFrame(list(enumerate(nodes)), f"id long, node {kind}")
+    return names.join(sums, "id").select("node", F.col("b").alias("betweenness"))
+
+
+def _betweenness_by_level(edges: DataFrame) -> DataFrame:
+    """Brandes over tables: shortest-path counts from every source level by level, then what each passes back."""
+    hop = cut(both_ways(edges))
+    nodes = hop.select(F.col("src").alias("node")).distinct()
+    seen = cut(nodes.select(F.col("node").alias("source"), "node", F.lit(0).alias("far"), F.lit(1.0).alias("count")))
+    front, levels = seen, [seen]
+    while True:
+        new = front.join(hop, front["node"] == hop["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("count").alias("count"))
+        front = cut(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(len(levels)).alias("far"), "count"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut(seen.union(front))
+    part, parts = levels[-1].withColumn("part", F.lit(0.0)), []
+    for level in reversed(levels[:-1]):
+        parts.append(part)
+        below = part.select("source", F.col("node").alias("dst"), F.col("count").alias("_count"), F.col("part").alias("_part"))
+        sent = hop.join(below, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum((1 + F.col("_part")) / F.col("_count")).alias("sent"))
+        part = cut(level.join(sent, ["source", "node"], "left").withColumn("part", F.col("count") * F.coalesce("sent", F.lit(0.0))).drop("sent"))
+    if not parts:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    sums = reduce(DataFrame.union, parts).where("source <> node").groupBy("node").agg((F.sum("part") / 2).alias("b"))
     return nodes.join(sums, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """(node): nodes whose removal leaves a component in more parts, by depth-first low points.
+
+    For the subgraphs that investigators look at: it runs in one task and refuses more than TASK_EDGES edges.
+    """
+    if (m := undirected(edges).count()) > TASK_EDGES:
+        raise ValueError(f"{m} edges are more than {TASK_EDGES}; take a neighbourhood first")
+    nodes, starts, around = _numbered(edges)
+    number, low, cuts = {}, {}, set()
+    for root in range(len(nodes)):
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        stack, kids = [(root, -1, int(starts[root]))], 0
+        while stack:
+            v, parent, at = stack[-1]
+            if at < starts[v + 1]:
+                stack[-1] = (v, parent, at + 1)
+                w = int(around[at])
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    stack.append((w, v, int(starts[w])))
+                elif w != parent:
+                    low[v] = min(low[v], number[w])
+            else:
+                stack.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[v])
+                    if parent == root:
+                        kids += 1
+                    elif low[v] >= number[parent]:
+                        cuts.add(parent)
+        if kids > 1:
+            cuts.add(root)
+    return edges.sparkSession.createDataFrame([(nodes[i],) for i in sorted(cuts)], f"node {edges.schema['src'].dataType.simpleString()}")
+
+
 def propagate_confidence(nodes: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
     """(node, confidence): in each pass a node takes the least of its own and of its sources' confidence times the edge's.
 
@@ -256,18 +380,22 @@ def propagate_confidence(nodes: DataFrame, edges: DataFrame, passes: int = 3) ->
     return now
 
 
-def graph_statistics(edges: DataFrame, sample: int = 50) -> DataFrame:
-    """One row: nodes with edges, edges, density, average and largest degree, components, mean clustering of the first nodes."""
-    d = degrees(edges)
+def graph_size(edges: DataFrame) -> DataFrame:
+    """One row: nodes with edges, edges, density, average and largest degree."""
     m = undirected(edges).agg(F.count("*").alias("m"))
+    rows = degrees(edges).agg(F.count("*").alias("n"), F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree")).join(F.broadcast(m))  # one row
+    density = F.least(F.lit(1.0), F.try_divide(2 * F.col("m"), F.col("n") * (F.col("n") - 1)))
+    return rows.select("n", "m", density.alias("density"), "avg_degree", "max_degree")
+
+
+def graph_statistics(edges: DataFrame, sample: int = 50) -> DataFrame:
+    """graph_size with the number of components and the mean clustering of the first ``sample`` nodes."""
+    rows = graph_size(edges)
     parts = connected_components(edges).agg(F.count_distinct("component").alias("components"))
     local = clustering(edges).orderBy("node").limit(sample).agg(F.avg("clustering").alias("avg_clustering"))
-    n = F.col("n")
-    rows = d.agg(F.count("*").alias("n"), F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree"))
-    for one in (m, parts, local):
+    for one in (parts, local):
         rows = rows.join(F.broadcast(one))  # frames of one row
-    density = F.least(F.lit(1.0), F.try_divide(2 * F.col("m"), n * (n - 1)))
-    return rows.select("n", "m", density.alias("density"), "avg_degree", "max_degree", "components", "avg_clustering")
+    return rows
 
 
 def top_per_key(df: DataFrame, key: str | list[str], n: int, *order) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions.text import jaccard, levenshtein_similarity, normalize_name, phonetic_key, token_sort_ratio, tokens
-from veritrace.operators.components import connected_components
+from veritrace.operators.components import connected_components, cut
 
 
 def block_keys(name: Column, istat: Column, cf: Column) -> Column:
@@ -22,6 +22,43 @@ def block_pairs(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     return one.join(one.withColumnRenamed("a", "b"), "_k").where("a < b").select("a", "b").distinct()
 
 
+def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of rows (id, w) whose sets w have a Jaccard similarity of threshold or more; empty sets are like none.
+
+    Equal sets are one class, named by its smallest id. Pairs a < b of classes come with their similarity, and (class, id, 1)
+    for the other ids of a class, so copies are not multiplied. Two sets that are alike enough share one of their
+    n - ceil(threshold * n) + 1 rarest words, and only those are joined on; no pair is missed.
+    """
+    rows = rows.where(F.size("w") > 0).select("id", F.array_sort("w").alias("w"))
+    classes = cut(rows.groupBy("w").agg(F.min("id").alias("c")))
+    often = classes.select(F.explode("w").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    ranked = classes.select("c", F.size("w").alias("size"), F.explode("w").alias("k")).join(often, "k").groupBy("c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("o"))
+    keep = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int")
+    keys = cut(ranked.select("c", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("o")).select("c", "size", F.col("o.k").alias("k")))
+    other = keys.select(F.col("c").alias("b"), F.col("size").alias("_size"), "k")
+    pairs = keys.withColumnRenamed("c", "a").join(other, "k").where((F.col("a") < F.col("b")) & (F.least("size", "_size") >= threshold * F.greatest("size", "_size") - 1e-9)).select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(classes.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b")
+    found = both.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return found.union(rows.join(classes, "w").where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"), F.lit(1.0)))
+
+
+def implicit_links(wins: DataFrame, owners: DataFrame, companies: DataFrame) -> DataFrame:
+    """(kind, a, b, n, strength): common tenders 0.4 + 0.2 n, shared owners 0.5 + 0.15 n, 1 at most, and the same region 0.5.
+
+    A region is a class, not pairs: a is its first company, b each other one.
+    """
+
+    def shared(rows: DataFrame, on: str, kind: str, base: float, step: float) -> DataFrame:
+        a = rows.select(on, F.col("company_id").alias("a")).distinct()
+        n = a.join(a.withColumnRenamed("a", "b"), on).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+        return n.select(F.lit(kind).alias("kind"), "a", "b", "n", F.round(F.least(F.lit(1.0), base + step * F.col("n")), 4).alias("strength"))
+
+    first = companies.groupBy("regione").agg(F.min("company_id").alias("a"))
+    region = companies.select("regione", F.col("company_id").alias("b")).join(first, "regione").where("a <> b")
+    region = region.select(F.lit("same_region").alias("kind"), "a", "b", F.lit(1).cast("bigint").alias("n"), F.lit(0.5).alias("strength"))
+    return shared(wins, "tender_id", "common_tender", 0.4, 0.2).union(shared(owners, "owner_id", "shared_owner", 0.5, 0.15)).union(region)
+
+
 def match_score(a: str, b: str) -> Column:
     """Equal tax codes: 1; else 0.7 of the name similarity and 0.3 for the same place. Columns of structs with nome, cod_istat, cf."""
     same = F.coalesce(F.col(f"{a}.cod_istat") == F.col(f"{b}.cod_istat"), F.lit(False)).cast("double")

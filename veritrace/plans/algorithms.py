@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.operators import graph
+from veritrace.operators.components import cut
 from veritrace.plans.base import query
-from veritrace.plans.analytics import shell_features
-from veritrace.operators import scoring
 from veritrace.sources.tables import Tables
 
 _E = "e AS (SELECT DISTINCT src, dst FROM subcontracts_to WHERE src <> dst)"
@@ -26,7 +25,7 @@ def shared_buyers(t: Tables, least: int = 3) -> DataFrame:
     return pairs.groupBy(F.col("company_id").alias("src"), "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src", "dst")
 
 
-_P = "e AS (SELECT a.company_id AS src, b.company_id AS dst FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 25)"
+_P = "e AS (SELECT a.company_id AS src, b.company_id AS dst FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 3)"
 
 
 @query("weak_components", f"""WITH RECURSIVE {_E}, {_B}, r AS (SELECT src AS node, src AS seen FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.seen = b.src) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
@@ -40,22 +39,16 @@ def supply_sccs(t: Tables) -> DataFrame:
     return graph.strong_components(supply(t))
 
 
-@query("carousel_cycles", f"""WITH RECURSIVE {_E}, p AS (SELECT src AS start, dst AS node, [src, dst] AS chain FROM e WHERE dst > src UNION ALL SELECT start, e.dst, list_append(chain, e.dst) FROM p JOIN e ON p.node = e.src WHERE e.dst > start AND NOT list_contains(chain, e.dst) AND len(chain) < 4)
-  SELECT len(chain) AS length, array_to_string(chain, '>') AS chain FROM p JOIN e ON p.node = e.src AND p.start = e.dst WHERE len(chain) >= 3""")
-def carousel_cycles(t: Tables) -> DataFrame:
-    """Subcontracting cycles of 3 to 4 companies, each once."""
-    return graph.cycles(supply(t), 3, 4).select(F.col("length").cast("long").alias("length"), F.array_join("chain", ">").alias("chain"))
+@query("carousel_cycles")
+def carousel_cycles(t: Tables, least: int = 3, most: int = 6, limit: int = 20) -> DataFrame:
+    """The first subcontracting cycles of 3 to 6 companies by length and chain, each once from its smallest company."""
+    rows = graph.cycles(supply(t), least, most, limit)
+    return rows.select(F.col("length").cast("long").alias("length"), F.array_join("chain", ">").alias("chain"))
 
 
 @query("triangle_count", f"""WITH {_P}, {_B}, x AS (SELECT p.src AS node, count(*) / 2 AS triangles FROM b p JOIN b q ON p.dst = q.src JOIN b r ON q.dst = r.src AND r.dst = p.src GROUP BY 1) SELECT DISTINCT b.src AS node, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles FROM b LEFT JOIN x ON b.src = x.node""")
 def triangle_count(t: Tables) -> DataFrame:
-    return graph.triangles(shared_buyers(t, 25))
-
-
-@query("network_clique", f"""WITH {_P}, {_B}, x AS (SELECT p.src AS node, CAST(count(*) / 2 AS BIGINT) AS triangles FROM b p JOIN b q ON p.dst = q.src JOIN b r ON q.dst = r.src AND r.dst = p.src GROUP BY 1) SELECT node AS company_id, triangles, round(least(1.0, triangles / 20), 4)::DOUBLE AS score FROM x WHERE triangles >= 3""")
-def network_clique(t: Tables, least: int = 3) -> DataFrame:
-    n = graph.triangles(shared_buyers(t, 25)).where(F.col("triangles") >= least)
-    return n.select(F.col("node").alias("company_id"), "triangles", F.round(F.least(F.lit(1.0), F.col("triangles") / 20), 4).alias("score"))
+    return graph.triangles(shared_buyers(t))
 
 
 @query("degree_centrality", f"WITH {_E}, {_B} SELECT src AS node, count(*) AS degree FROM b GROUP BY 1")
@@ -80,10 +73,16 @@ def shortest_path(t: Tables, a: int = 3, b: int = 80, depth: int = 3) -> DataFra
 
 @query("graph_size", f"WITH {_E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), d AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT count(*) AS n, (SELECT count(*) FROM u) AS m, round(least(1.0, 2.0 * (SELECT count(*) FROM u) / (count(*) * (count(*) - 1))), 6)::DOUBLE AS density, round(avg(k), 6) AS avg_degree, max(k) AS max_degree FROM d")
 def graph_size(t: Tables) -> DataFrame:
-    s = graph.graph_statistics(supply(t))
+    s = graph.graph_size(supply(t))
     return s.select("n", "m", F.round("density", 6).alias("density"), F.round("avg_degree", 6).alias("avg_degree"), "max_degree")
 
 
+@query("graph_statistics")
+def graph_statistics(t: Tables) -> DataFrame:
+    s = graph.graph_statistics(supply(t))
+    return s.select(*[F.round(c, 6).alias(c) if c in ("density", "avg_degree", "avg_clustering") else c for c in s.columns])
+
+
 @query("confidence_propagation", """WITH n0 AS (SELECT company_id AS node, risk_score AS c FROM company), e AS (SELECT owner_id AS src, company_id AS dst, quota / 100 AS r FROM shareholder_of),
   n1 AS (SELECT n.node, least(n.c, coalesce(m, n.c)) AS c FROM n0 n LEFT JOIN (SELECT dst, min(c * r) AS m FROM e JOIN n0 ON src = node GROUP BY 1) x ON x.dst = n.node),
   n2 AS (SELECT n.node, least(n.c, coalesce(m, n.c)) AS c FROM n1 n LEFT JOIN (SELECT dst, min(c * r) AS m FROM e JOIN n1 ON src = node GROUP BY 1) x ON x.dst = n.node),
@@ -94,37 +93,74 @@ def confidence_propagation(t: Tables) -> DataFrame:
     return graph.propagate_confidence(nodes, edges).select("node", F.round("confidence", 6).alias("confidence"))
 
 
-@query("corporate_family", """WITH RECURSIVE o AS (SELECT company_id, owner_id FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id FROM o JOIN shareholder_of s ON s.company_id = o.owner_id),
-  u AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM shareholder_of s WHERE s.company_id = o.owner_id)) SELECT owner_id AS ubo, count(*) AS members FROM u GROUP BY 1""")
+@query("corporate_family", """WITH RECURSIVE o AS (SELECT company_id, owner_id FROM shareholder_of UNION SELECT o.company_id, s.owner_id FROM o JOIN shareholder_of s ON s.company_id = o.owner_id),
+  u AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM shareholder_of s WHERE s.company_id = o.owner_id)) SELECT owner_id AS ubo, count(DISTINCT company_id) AS members FROM u GROUP BY 1""")
 def corporate_family(t: Tables, depth: int = 10) -> DataFrame:
-    """Companies under each owner that nobody owns."""
+    """Companies under each owner that nobody owns, over at most depth steps; a company counts once however many chains lead to it."""
     edges = t.shareholder_of.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst"))
-    chains = graph.paths(edges, edges.select(F.col("src").alias("start")).distinct(), depth)
-    ultimate = chains.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    return ultimate.groupBy(F.col("node").alias("ubo")).agg(F.count("*").alias("members"))
+    above = graph.reachable(edges, depth)
+    ultimate = above.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
+    return ultimate.groupBy(F.col("dst").alias("ubo")).agg(F.count("*").alias("members"))
 
 
-@query("shares_ubo", "SELECT DISTINCT a.company_id AS c1, b.company_id AS c2 FROM shareholder_of a JOIN shareholder_of b ON a.owner_id = b.owner_id AND a.company_id < b.company_id")
-def shares_ubo(t: Tables) -> DataFrame:
-    a = t.shareholder_of.select("owner_id", F.col("company_id").alias("c1"))
+@query("shares_ubo", """WITH RECURSIVE o AS (SELECT company_id, owner_id, 1 AS d FROM shareholder_of UNION SELECT o.company_id, s.owner_id, d + 1 FROM o JOIN shareholder_of s ON s.company_id = o.owner_id WHERE d < 2), p AS (SELECT DISTINCT company_id, owner_id FROM o)
+  SELECT DISTINCT a.company_id AS c1, b.company_id AS c2 FROM p a JOIN p b ON a.owner_id = b.owner_id AND a.company_id < b.company_id""")
+def shares_ubo(t: Tables, depth: int = 2) -> DataFrame:
+    """Pairs of companies with an owner in common over one or two steps."""
+    edges = t.shareholder_of.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst"))
+    a = graph.reachable(edges, depth).select(F.col("dst").alias("owner_id"), F.col("src").alias("c1"))
     return a.join(a.withColumnRenamed("c1", "c2"), "owner_id").where("c1 < c2").select("c1", "c2").distinct()
 
 
-@query("pagerank_ownership")
+def _rank_sql(edges: str, rounds: int = 20) -> str:
+    """PageRank rounds written out one after the other."""
+    parts = [f"e AS MATERIALIZED ({edges})", "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "o AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY 1)", "r0 AS MATERIALIZED (SELECT node, 0.15::DOUBLE AS r FROM n)"]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT n.node, 0.15 + 0.85 * coalesce(s, 0) AS r FROM n LEFT JOIN (SELECT e.dst, sum(r / k) AS s FROM e JOIN r{i} ON e.src = r{i}.node JOIN o ON o.src = e.src GROUP BY 1) x ON x.dst = n.node)")
+    return f"WITH {', '.join(parts)} SELECT node, round(r, 6)::DOUBLE AS rank FROM r{rounds}"
+
+
+def _node(kind: str, c: str):
+    return F.concat(F.lit(kind), F.col(c).cast("string"))
+
+
+@query("pagerank_ownership", _rank_sql("SELECT DISTINCT 'c' || owner_id AS src, 'c' || company_id AS dst FROM shareholder_of UNION SELECT DISTINCT 'p' || person_id, 'c' || company_id FROM represents"))
 def pagerank_ownership(t: Tables) -> DataFrame:
-    edges = t.shareholder_of.select(F.col("owner_id").alias("src"), F.col("company_id").alias("dst"))
+    """Influence over owners and directors: edges go from the owner or the person to the company."""
+    edges = t.shareholder_of.select(_node("c", "owner_id").alias("src"), _node("c", "company_id").alias("dst")).union(t.represents.select(_node("p", "person_id"), _node("c", "company_id")))
     return graph.pagerank(edges, 20).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_supply")
-def pagerank_supply(t: Tables) -> DataFrame:
-    return graph.pagerank(supply(t), 20, directed=False).select("node", F.round("rank", 6).alias("rank"))
+_PROCUREMENT = "SELECT 'c' || company_id AS u, 't' || tender_id AS v FROM win_keys UNION SELECT 'b' || o_custkey, 't' || o_orderkey FROM orders"
+
+
+def procurement(t: Tables) -> DataFrame:
+    """The graph of companies, buyers and tenders: who won and who issued."""
+    issued = t.raw("orders").select(_node("b", "o_custkey"), _node("t", "o_orderkey"))
+    return t.win_keys.select(_node("c", "company_id").alias("src"), _node("t", "tender_id").alias("dst")).union(issued)
+
+
+@query("pagerank_procurement", _rank_sql(f"SELECT u AS src, v AS dst FROM ({_PROCUREMENT}) UNION SELECT v, u FROM ({_PROCUREMENT})"))
+def pagerank_procurement(t: Tables) -> DataFrame:
+    """Centrality over wins and issues, either way."""
+    return graph.pagerank(procurement(t), 20, directed=False).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("articulation_points")
+def articulation_points(t: Tables, start: int = 3, depth: int = 2) -> DataFrame:
+    """Nodes of the neighbourhood of one company without which it falls apart."""
+    edges = cut(procurement(t))
+    return graph.articulation_points(graph.induced(edges, graph.bfs(edges, _start(t, f"c{start}"), depth).select("node")))
+
+
+def _start(t: Tables, node: str) -> DataFrame:
+    return t.spark.createDataFrame([(node,)], "start string")
 
 
 @query("communities")
 def communities(t: Tables) -> DataFrame:
     """Label propagation over companies that win together; deterministic."""
-    return graph.label_propagation(shared_buyers(t, 25))
+    return graph.label_propagation(shared_buyers(t))
 
 
 @query("betweenness")
@@ -132,25 +168,7 @@ def betweenness(t: Tables) -> DataFrame:
     return graph.betweenness(supply(t)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query("clustering")
+@query("clustering", f"""WITH {_E}, {_B}, d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1), x AS (SELECT p.src AS node, CAST(count(*) / 2 AS BIGINT) AS triangles FROM b p JOIN b q ON p.dst = q.src JOIN b r ON q.dst = r.src AND r.dst = p.src GROUP BY 1)
+  SELECT d.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2) ELSE 0 END, 6)::DOUBLE AS clustering FROM d LEFT JOIN x ON d.node = x.node""")
 def clustering(t: Tables) -> DataFrame:
     return graph.clustering(supply(t)).select("node", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
-
-
-@query("carousel_fraud", f"""WITH RECURSIVE {_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), m AS (SELECT r.a AS node, min(r.b) AS component FROM r JOIN r q ON r.a = q.b AND r.b = q.a GROUP BY 1)
-  SELECT component AS scc_id, count(*) AS cycle_size, 'critical' AS severity FROM m GROUP BY 1 HAVING count(*) >= 3""")
-def carousel_fraud(t: Tables, least: int = 3) -> DataFrame:
-    n = graph.strong_components(supply(t)).groupBy(F.col("component").alias("scc_id")).agg(F.count("*").alias("cycle_size"))
-    return n.where(F.col("cycle_size") >= least).withColumn("severity", F.lit("critical"))
-
-
-@query("shell_company_network")
-def shell_company_network(t: Tables, threshold: float = 0.3) -> DataFrame:
-    """Groups of companies with a high shell score that share a director or an address."""
-    s = scoring.enhanced_shell(shell_features(t), 2001).where(F.col("shell_score") >= threshold).select("company_id", "shell_score")
-    hub = t.represents.select("company_id", F.concat(F.lit("p"), F.col("person_id")).alias("k")).union(t.company.select("company_id", F.concat(F.lit("a"), F.col("address"))))
-    k = hub.join(s.select("company_id"), "company_id", "left_semi")
-    first = k.groupBy("k").agg(F.min("company_id").alias("dst"))
-    groups = graph.connected_components(k.join(first, "k").select(F.col("company_id").alias("src"), "dst"))
-    out = groups.join(s, F.col("node") == F.col("company_id")).groupBy("component").agg(F.count("*").alias("members"), F.round(F.max("shell_score"), 4).alias("max_score"))
-    return out.where("members >= 2").withColumn("severity", F.when(F.col("max_score") >= 0.75, "critical").otherwise("high"))

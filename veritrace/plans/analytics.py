@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veritrace.operators import scoring
 from veritrace.plans.base import joined, mean, query, quarter_of, top, total
-from veritrace.plans.templates import shared_boards
 from veritrace.sources.tables import AS_OF, EU_FUNDS, Tables
 
 _Q = "CAST(year(data_aggiudicazione) AS INTEGER) AS year, CAST(quarter(data_aggiudicazione) AS INTEGER) AS quarter"
@@ -126,132 +125,6 @@ def as_of_wins_diff(t: Tables, a: str = "1998-01-01", b: str = "1999-01-01") ->
     return s.where("b > a").select("company_id", F.col("a").alias("links_before"), (F.col("b") - F.col("a")).alias("links_added"))
 
 
-# -- fraud detectors: tables, as_of and thresholds in, findings out
-
-
-@query("bid_rotation", "SELECT buyer_id, count(*) AS companies, CAST(sum(n) AS BIGINT) AS total_wins, array_to_string(list_sort(list(company_id)), ',') AS rotation FROM (SELECT buyer_id, company_id, count(*) AS n FROM wins GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1 HAVING count(*) >= 2")
-def bid_rotation(t: Tables, least_wins: int = 3, least_companies: int = 2, days: int | None = None, as_of: str = AS_OF) -> DataFrame:
-    w = t.wins if days is None else t.wins.where(F.col("data_aggiudicazione") >= F.date_sub(F.to_date(F.lit(as_of)), days))
-    n = w.groupBy("buyer_id", "company_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_wins)
-    out = n.groupBy("buyer_id").agg(F.count("*").alias("companies"), F.sum("n").alias("total_wins"), joined(F.collect_list("company_id")).alias("rotation"))
-    return out.where(F.col("companies") >= least_companies)
-
-
-_WINNER = "winner AS (SELECT l_orderkey AS tender_id, arg_min(l_suppkey, {'a': -l_extendedprice, 'b': l_suppkey}) AS company_id FROM lineitem GROUP BY 1)"
-
-
-def single_winner(t: Tables) -> DataFrame:
-    """(tender_id, company_id): the supplier of a tender's largest line."""
-    best = F.min(F.struct((-F.col("l_extendedprice")).alias("a"), F.col("l_suppkey").alias("b")))
-    return t.raw("lineitem").groupBy(F.col("l_orderkey").alias("tender_id")).agg(best.alias("m")).select("tender_id", F.col("m.b").alias("company_id"))
-
-
-@query("ghost_bidding", f"""WITH {_WINNER}, big AS (SELECT w.* FROM winner w JOIN tender t ON w.tender_id = t.tender_id WHERE importo > 450000), c AS (SELECT company_id, community_id FROM company),
-  n AS (SELECT community_id, count(DISTINCT tender_id) AS n FROM big JOIN c ON big.company_id = c.company_id GROUP BY 1)
-  SELECT c.company_id AS ghost_id, c.community_id AS community, n AS community_tenders FROM c JOIN n ON c.community_id = n.community_id WHERE NOT EXISTS (SELECT 1 FROM big WHERE big.company_id = c.company_id) AND n >= 5""")
-def ghost_bidding(t: Tables, least: int = 5, above: float = 450_000.0) -> DataFrame:
-    """Companies that win none of the tenders above a value while their community wins at least some."""
-    big = single_winner(t).join(t.tender.where(F.col("importo") > above).select("tender_id"), "tender_id")
-    c = t.company.where("community_id IS NOT NULL").select("company_id", "community_id")
-    n = big.join(c, "company_id").groupBy("community_id").agg(F.count_distinct("tender_id").alias("community_tenders")).where(F.col("community_tenders") >= least)
-    return c.join(big, "company_id", "left_anti").join(n, "community_id").select(F.col("company_id").alias("ghost_id"), F.col("community_id").alias("community"), "community_tenders")
-
-
-@query("split_tendering", "SELECT buyer_id, company_id, count(*) AS tender_count, round(sum(importo), 2) AS total_value FROM wins WHERE importo < 40000 GROUP BY 1, 2 HAVING count(*) >= 2")
-def split_tendering(t: Tables, below: float = 40_000.0, least: int = 2, days: int | None = None, as_of: str = AS_OF) -> DataFrame:
-    w = t.wins.where(F.col("importo") < below)
-    w = w if days is None else w.where(F.col("data_aggiudicazione") >= F.date_sub(F.to_date(F.lit(as_of)), days))
-    return w.groupBy("buyer_id", "company_id").agg(F.count("*").alias("tender_count"), total("importo", "total_value")).where(F.col("tender_count") >= least)
-
-
-@query("short_award_window", "SELECT tender_id, company_id, buyer_id, d AS award_days, CASE WHEN d <= 1 THEN 'critical' ELSE 'high' END AS severity, CASE WHEN d <= 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS score FROM (SELECT *, datediff('day', data_apertura, data_aggiudicazione) AS d FROM wins) WHERE d >= 0 AND d < 7")
-def short_award_window(t: Tables, below: int = 7) -> DataFrame:
-    d = F.datediff("data_aggiudicazione", "data_apertura").cast("long")
-    rows = t.wins.withColumn("award_days", d).where((F.col("award_days") >= 0) & (F.col("award_days") < below))
-    fast = F.col("award_days") <= 1
-    return rows.select("tender_id", "company_id", "buyer_id", "award_days", F.when(fast, "critical").otherwise("high").alias("severity"), F.when(fast, 0.8).otherwise(0.6).alias("score"))
-
-
-@query("price_manipulation", """WITH s AS (SELECT ateco, w.company_id, tender_id, importo FROM wins w JOIN company c ON w.company_id = c.company_id), m AS (SELECT ateco, avg(importo) AS m, stddev_pop(importo) AS sd, count(*) AS n FROM s GROUP BY 1)
-  SELECT s.ateco AS sector, tender_id, company_id, round((importo - m) / sd, 4) AS z_score FROM s JOIN m ON s.ateco = m.ateco WHERE n >= 5 AND sd > 0 AND (importo - m) / sd > 1.6""")
-def price_manipulation(t: Tables, z: float = 1.6, least: int = 5) -> DataFrame:
-    """Moments are aggregated by sector and joined back, so a large sector is not one window."""
-    s = t.wins.join(t.company.select("company_id", "ateco"), "company_id")
-    m = s.groupBy("ateco").agg(F.avg("importo").alias("m"), F.stddev_pop("importo").alias("sd"), F.count("*").alias("n")).where(f"n >= {least} AND sd > 0")
-    score = (F.col("importo") - F.col("m")) / F.col("sd")
-    return s.join(m, "ateco").where(score > z).select(F.col("ateco").alias("sector"), "tender_id", "company_id", F.round(score, 4).alias("z_score"))
-
-
-@query("winner_loser_ring", """WITH c AS (SELECT company_id, community_id FROM company), n AS (SELECT company_id, buyer_id, count(*) AS n FROM wins GROUP BY 1, 2),
-  both_ AS (SELECT a.company_id AS winner, b.company_id AS peer, a.buyer_id, count(*) AS k FROM wins a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id <> b.company_id GROUP BY 1, 2, 3)
-  SELECT n.company_id AS winner, p.company_id AS peer, n.buyer_id, n.n - coalesce(k, 0) AS wins_without FROM n JOIN c ON n.company_id = c.company_id JOIN c p ON c.community_id = p.community_id AND p.company_id <> c.company_id
-  LEFT JOIN both_ ON winner = n.company_id AND peer = p.company_id AND both_.buyer_id = n.buyer_id WHERE n.n - coalesce(k, 0) >= 4""")
-def winner_loser_ring(t: Tables, least: int = 4) -> DataFrame:
-    """Tenders of a buyer that a company won and a peer of its community did not: all its wins there less those that both won.
-
-    Only (company, buyer) pairs with enough wins meet their community's peers.
-    """
-    c = t.company.where("community_id IS NOT NULL").select("company_id", "community_id")
-    n = t.wins.groupBy("company_id", "buyer_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    peers = n.join(c, "company_id").withColumnRenamed("company_id", "winner").join(c.withColumnRenamed("company_id", "peer"), "community_id").where("winner <> peer")
-    a = t.wins.select("tender_id", "buyer_id", F.col("company_id").alias("winner")).join(n.select(F.col("company_id").alias("winner"), "buyer_id"), ["winner", "buyer_id"], "left_semi")
-    both = a.join(t.win_keys.withColumnRenamed("company_id", "peer"), "tender_id").where("winner <> peer").groupBy("winner", "peer", "buyer_id").agg(F.count("*").alias("k"))
-    left = F.col("n") - F.coalesce("k", F.lit(0))
-    return peers.join(both, ["winner", "peer", "buyer_id"], "left").where(left >= least).select("winner", "peer", "buyer_id", left.alias("wins_without"))
-
-
-@query("pnrr_concentration", """WITH e AS (SELECT DISTINCT w.company_id, tender_id, regione, importo FROM wins w JOIN (SELECT project_id FROM project WHERE fondo = 'STANDARD') p ON w.project_id = p.project_id JOIN (SELECT company_id, regione FROM company) c ON w.company_id = c.company_id),
-  r AS (SELECT regione, count(DISTINCT tender_id) AS total FROM e GROUP BY 1) SELECT company_id, e.regione, count(*) AS pnrr_wins, total AS regional_total, round(count(*) / total, 4) AS ratio, round(sum(importo), 2) AS total_value
-  FROM e JOIN r ON e.regione = r.regione GROUP BY 1, 2, 4 HAVING count(*) >= 3 AND count(*) / total >= 0.1""")
-def pnrr_concentration(t: Tables, least: int = 3, ratio: float = 0.1) -> DataFrame:
-    p = t.project.where(F.col("fondo").isin(*EU_FUNDS)).select("project_id")
-    e = t.wins.join(p, "project_id", "left_semi").join(t.company.select("company_id", "regione"), "company_id")
-    r = e.groupBy("regione").agg(F.count_distinct("tender_id").alias("regional_total"))
-    n = e.groupBy("company_id", "regione").agg(F.count("*").alias("pnrr_wins"), total("importo", "total_value")).where(F.col("pnrr_wins") >= least)
-    share = F.col("pnrr_wins") / F.col("regional_total")
-    return n.join(r, "regione").where(share >= ratio).select("company_id", "regione", "pnrr_wins", "regional_total", F.round(share, 4).alias("ratio"), "total_value")
-
-
-@query("community_monopoly", """WITH v AS (SELECT c.community_id, w.company_id, sum(importo) AS v, count(*) AS n FROM wins w JOIN company c ON w.company_id = c.company_id GROUP BY 1, 2), g AS (SELECT community_id, sum(v) AS total, count(*) AS members FROM v GROUP BY 1)
-  SELECT company_id, v.community_id, round(v / total, 4) AS share, members FROM v JOIN g ON v.community_id = g.community_id WHERE n >= 5 AND members >= 2 AND total > 0 AND v / total >= 0.05""")
-def community_monopoly(t: Tables, share: float = 0.05, least: int = 5, members: int = 2) -> DataFrame:
-    v = t.wins.groupBy("company_id").agg(F.sum("importo").alias("v"), F.count("*").alias("n")).join(t.company.select("company_id", "community_id"), "company_id").where("community_id IS NOT NULL")
-    g = v.groupBy("community_id").agg(F.sum("v").alias("total"), F.count("*").alias("members")).where(f"total > 0 AND members >= {members}")
-    part = F.col("v") / F.col("total")
-    return v.where(F.col("n") >= least).join(g, "community_id").where(part >= share).select("company_id", "community_id", F.round(part, 4).alias("share"), "members")
-
-
-@query("board_overlap_collusion", """WITH s AS (SELECT a.company_id AS a, b.company_id AS b, count(*) AS n FROM represents a JOIN represents b ON a.person_id = b.person_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 4), k AS (SELECT DISTINCT company_id, buyer_id FROM wins)
-  SELECT a AS company_a, b AS company_b, k1.buyer_id, n AS shared_count FROM s JOIN k k1 ON k1.company_id = a JOIN k k2 ON k2.company_id = b AND k2.buyer_id = k1.buyer_id""")
-def board_overlap_collusion(t: Tables, least: int = 4) -> DataFrame:
-    """One row per pair and shared buyer."""
-    s = shared_boards(t).where(F.col("shared_count") >= least)
-    k = t.wins.select("company_id", "buyer_id").distinct()
-    a = s.join(k.withColumnRenamed("company_id", "company_a"), "company_a")
-    return a.join(k.withColumnRenamed("company_id", "company_b"), ["company_b", "buyer_id"]).select("company_a", "company_b", "buyer_id", "shared_count")
-
-
-@query("subcontractor_concentration", """WITH p AS (SELECT src, dst, count(*) AS n FROM subcontracts_to GROUP BY 1, 2), g AS (SELECT src, sum(n) AS total FROM p GROUP BY 1) SELECT p.src AS winner, dst AS subcontractor, n AS pair_count, round(n / total, 4) AS ratio FROM p JOIN g ON p.src = g.src WHERE n >= 1 AND n / total >= 0.3""")
-def subcontractor_concentration(t: Tables, ratio: float = 0.3, least: int = 1) -> DataFrame:
-    p = t.subcontracts_to.groupBy("src", "dst").agg(F.count("*").alias("pair_count"))
-    g = p.groupBy("src").agg(F.sum("pair_count").alias("total"))
-    part = F.col("pair_count") / F.col("total")
-    return p.where(F.col("pair_count") >= least).join(g, "src").where(part >= ratio).select(F.col("src").alias("winner"), F.col("dst").alias("subcontractor"), "pair_count", F.round(part, 4).alias("ratio"))
-
-
-@query("ubo_conflict", """WITH RECURSIVE o AS (SELECT company_id, owner_id, 1 AS d FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id, d + 1 FROM o JOIN shareholder_of s ON s.company_id = o.owner_id WHERE d < 5)
-  SELECT DISTINCT w.company_id, w.buyer_id, w.tender_id FROM wins w JOIN o ON w.company_id = o.company_id AND o.owner_id = w.buyer_id""")
-def ubo_conflict(t: Tables, depth: int = 5) -> DataFrame:
-    """Tenders whose winner is owned, over at most depth steps, by the buyer (an owner with the buyer's tax code)."""
-    one = t.shareholder_of.select("company_id", "owner_id")
-    level, out = one, one
-    for _ in range(depth - 1):
-        level = level.join(one.select(F.col("company_id").alias("owner_id"), F.col("owner_id").alias("next")), "owner_id").select("company_id", F.col("next").alias("owner_id"))
-        out = out.union(level)
-    pairs = out.distinct().withColumnRenamed("owner_id", "buyer_id")
-    return t.wins.join(pairs, ["company_id", "buyer_id"], "left_semi").select("company_id", "buyer_id", "tender_id")
-
-
 # -- scores
 
 
@@ -293,7 +166,7 @@ def shell_features(t: Tables, depth: int = 10) -> DataFrame:
         F.coalesce("depth", F.lit(0)).alias("depth"), "shared_address", (F.col("company_id") % 9).cast("int").alias("employees"))
 
 
-_SHELL = """WITH RECURSIVE o AS (SELECT company_id, owner_id, 1 AS d FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id, d + 1 FROM o JOIN shareholder_of s ON s.company_id = o.owner_id WHERE d < 5),
+_SHELL = """WITH RECURSIVE o AS (SELECT company_id, owner_id, 1 AS d FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id, d + 1 FROM o JOIN shareholder_of s ON s.company_id = o.owner_id WHERE d < 10),
   dp AS (SELECT company_id, max(d) AS depth FROM o GROUP BY 1), w AS (SELECT company_id, count(*) AS wins FROM win_keys GROUP BY 1), pn AS (SELECT person_id, count(*) AS n FROM represents GROUP BY 1),
   bd AS (SELECT company_id, max(n) AS boards FROM represents r JOIN pn ON r.person_id = pn.person_id GROUP BY 1), ad AS (SELECT address, count(*) - 1 AS shared FROM company GROUP BY 1),
   x AS (SELECT c.company_id, vat_active, last_filing_year, coalesce(wins, 0) AS w, coalesce(boards, 0) AS b, coalesce(depth, 0) AS d, shared, c.company_id % 9 AS e, w.wins IS NULL AND EXISTS (SELECT 1 FROM subcontracts_to WHERE dst = c.company_id) AS so

@@ -13,9 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, **given):
+    """Register a function of Tables; ``given`` are the arguments of the registered query, beside which defaults stay as they are."""
+
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir), **given)
         if sql is not None:
             ORACLE_SQL[name] = with_tables(sql)
         return f

@@ -30,15 +30,13 @@ def shared_name_tokens(t: Tables) -> DataFrame:
     return t.raw("part").select(F.explode(text.tokens(F.col("p_name"))).alias("word")).groupBy("word").agg(F.count("*").alias("parts"))
 
 
-@query("part_jaccard", """WITH p AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(upper(p_name || ' ' || p_type || ' ' || p_brand), '\\s+'), lambda x: length(x) > 3)) AS w FROM part WHERE p_size = 7)
-  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM p a JOIN p b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.75""")
+@query("part_jaccard", """WITH p AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split_regex(upper(p_name || ' ' || p_type || ' ' || p_brand), '\\s+'), lambda x: length(x) > 3))) AS w FROM part), c AS (SELECT w, min(id) AS id FROM p WHERE len(w) > 0 GROUP BY 1)
+  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM c a JOIN c b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.75
+  UNION ALL SELECT c.id, p.id, 1.0 FROM p JOIN c ON p.w = c.w WHERE p.id <> c.id""")
 def part_jaccard(t: Tables, threshold: float = 0.75) -> DataFrame:
-    """Pairs by words in common, through the words that two parts share."""
-    words = text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    p = t.raw("part").where("p_size = 7").select(F.col("p_partkey").alias("id"), words.alias("w"))
-    pairs = resolve.block_pairs(p, "w")
-    s = pairs.join(p.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(p.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return s.withColumn("similarity", F.round(text.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """Parts by words in common: (a, b, similarity) for the first parts of similar word sets, and (first, b, 1) for the others of each set."""
+    rows = t.raw("part").select(F.col("p_partkey").alias("id"), text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("w"))
+    return resolve.similar_sets(rows, threshold).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("nearest_vectors", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)) AS c FROM embeddings, q)
@@ -80,12 +78,13 @@ def exact_project_match(t: Tables) -> DataFrame:
     return t.tender.join(t.project, "project_id").select("cig", "cup")
 
 
-@query("implicit_links", """SELECT a.company_id AS a, b.company_id AS b, count(*) AS tenders, round(least(1.0, 0.4 + 0.2 * count(*)), 4)::DOUBLE AS strength FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id WHERE a.company_id < 20 AND b.company_id < 20 GROUP BY 1, 2""")
-def implicit_links(t: Tables, below: int = 20) -> DataFrame:
-    """Companies of a given set that won tenders together; the set is the query's input."""
-    w = t.win_keys.where(F.col("company_id") < below)
-    pairs = w.join(w.select("tender_id", F.col("company_id").alias("b")), "tender_id").where("company_id < b").groupBy(F.col("company_id").alias("a"), "b").agg(F.count("*").alias("tenders"))
-    return pairs.withColumn("strength", F.round(F.least(F.lit(1.0), 0.4 + 0.2 * F.col("tenders")), 4))
+@query("implicit_links", """WITH t AS (SELECT 'common_tender' AS kind, a.company_id AS a, b.company_id AS b, count(*) AS n FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id GROUP BY 2, 3),
+  o AS (SELECT 'shared_owner' AS kind, a.company_id AS a, b.company_id AS b, count(*) AS n FROM shareholder_of a JOIN shareholder_of b ON a.owner_id = b.owner_id AND a.company_id < b.company_id GROUP BY 2, 3),
+  r AS (SELECT 'same_region' AS kind, min(company_id) OVER (PARTITION BY regione) AS a, company_id AS b, 1 AS n FROM company)
+  SELECT kind, a, b, n, round(CASE kind WHEN 'common_tender' THEN least(1.0, 0.4 + 0.2 * n) WHEN 'shared_owner' THEN least(1.0, 0.5 + 0.15 * n) ELSE 0.5 END, 4)::DOUBLE AS strength FROM (FROM t UNION ALL FROM o UNION ALL FROM r) WHERE a <> b""")
+def implicit_links(t: Tables) -> DataFrame:
+    """Companies that won tenders together, that owners share, or that are in one region; for regions each company and the region's first."""
+    return resolve.implicit_links(t.win_keys, t.shareholder_of, t.company)
 
 
 _REC = """WITH a AS (SELECT * FROM company WHERE company_id = 7) SELECT c.company_id, round(CASE WHEN c.ateco = a.ateco THEN 0.30 ELSE 0 END + CASE WHEN c.regione = a.regione THEN 0.20 ELSE 0 END + CASE WHEN abs(c.risk_score - a.risk_score) < 0.15 THEN 0.25 ELSE 0 END

@@ -109,27 +109,31 @@ def ownership_chain(t: Tables, company_id: int = 77, depth: int = 10) -> DataFra
     return rows.select(F.col("node").alias("owner"), "hops", F.col("last").alias("quota"), F.array_join("chain", ">").alias("chain"))
 
 
-@query("supply_chain", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM subcontracts_to), p AS (SELECT dst AS node, 1 AS hops, [src, dst] AS chain FROM e WHERE src = 3
-  UNION ALL SELECT e.dst, hops + 1, list_append(chain, e.dst) FROM p JOIN e ON e.src = p.node WHERE hops < 4 AND NOT list_contains(chain, e.dst))
-  SELECT node AS sub, hops AS depth, array_to_string(chain, '>') AS chain FROM p""")
-def supply_chain(t: Tables, company_id: int = 3, depth: int = 4) -> DataFrame:
-    edges = t.subcontracts_to.select("src", "dst").distinct()
-    rows = paths(edges, t.spark.range(company_id, company_id + 1).select(F.col("id").alias("start")), depth)
-    return rows.select(F.col("node").alias("sub"), F.col("hops").alias("depth"), F.array_join("chain", ">").alias("chain"))
+@query("supply_chain")
+def supply_chain(t: Tables, company_id: int = 3, depth: int = 4, up: bool = False, limit: int = 1000) -> DataFrame:
+    """The first chains of subcontractors below a company (``up``: of those that it works for) by depth and chain, with the last link's first tender."""
+    ends = ("dst", "src") if up else ("src", "dst")
+    edges = t.subcontracts_to.groupBy(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).agg(F.min("cig").alias("cig"))
+    rows = paths(edges, t.spark.range(company_id, company_id + 1).select(F.col("id").alias("start")), depth, carry="cig", limit=limit)
+    return rows.select(F.col("node").alias("sub"), F.col("hops").alias("depth"), F.array_join("chain", ">").alias("chain"), F.col("last").alias("cig"))
 
 
 @query("board_overlaps", """SELECT a.company_id AS company_a, b.company_id AS company_b, count(*) AS shared_count, array_to_string(list_sort(list(a.person_id)), ',') AS shared_persons
   FROM represents a JOIN represents b ON a.person_id = b.person_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 50""")
 def board_overlaps(t: Tables, min_shared: int = 2, limit: int = 50) -> DataFrame:
-    return top(shared_boards(t).where(F.col("shared_count") >= min_shared), limit, F.desc("shared_count"), "company_a", "company_b")
+    """The pairs with the most persons on both boards; persons are listed for the pairs that are shown."""
+    pairs = top(shared_boards(t, min_shared), limit, F.desc("shared_count"), "company_a", "company_b")
+    seat = t.represents
+    both = pairs.join(seat.withColumnRenamed("company_id", "company_a"), "company_a").join(seat.withColumnRenamed("company_id", "company_b"), ["company_b", "person_id"])
+    return both.groupBy("company_a", "company_b", "shared_count").agg(joined(F.collect_list("person_id")).alias("shared_persons"))
 
 
-def shared_boards(t: Tables) -> DataFrame:
-    """Pairs of companies (a before b) and the persons that represent both."""
+def shared_boards(t: Tables, least: int = 1) -> DataFrame:
+    """(company_a, company_b, shared_count): pairs of companies, a before b, that so many persons represent both."""
     a = t.represents
     b = a.select("person_id", F.col("company_id").alias("company_b"))
     pairs = a.withColumnRenamed("company_id", "company_a").join(b, "person_id").where("company_a < company_b")
-    return pairs.groupBy("company_a", "company_b").agg(F.count("*").alias("shared_count"), joined(F.collect_list("person_id")).alias("shared_persons"))
+    return pairs.groupBy("company_a", "company_b").agg(F.count("*").alias("shared_count")).where(F.col("shared_count") >= least)
 
 
 _MONTHS = f"data_aggiudicazione >= DATE '{AS_OF}' - INTERVAL 36 MONTH"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: "Now" of all registered queries; no operator reads the clock.
@@ -44,28 +44,36 @@ class Tables:
         )
 
     @cached_property
-    def _lines(self) -> DataFrame:
-        return self.raw("lineitem").groupBy("l_orderkey").agg(
-            F.min(F.to_date("l_shipdate")).alias("award"), F.count_distinct("l_suppkey").alias("bidders"), F.min("l_partkey").alias("project_id")
-        )
+    def _bids(self) -> DataFrame:
+        """(tender_id, company_id, day, part): one row for each supplier of an order, dealt out by order once for all that is asked of an order."""
+        rows = self.raw("lineitem").select(F.col("l_orderkey").alias("tender_id"), F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("day"), "l_partkey")
+        return rows.repartition("tender_id").groupBy("tender_id", "company_id").agg(F.min("day").alias("day"), F.min("l_partkey").alias("part"))
 
     @cached_property
-    def tender(self) -> DataFrame:
-        """Tenders that have been awarded; orders without lines are left out."""
-        return self.raw("orders").join(self._lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    def _orders(self) -> DataFrame:
+        return self.raw("orders").select(
             F.col("o_orderkey").alias("tender_id"), F.format_string("CIG%07d", F.col("o_orderkey")).alias("cig"), F.col("o_totalprice").alias("importo"),
-            F.to_date("o_orderdate").alias("data_apertura"), F.col("award").alias("data_aggiudicazione"), (F.col("bidders") == 1).alias("single_bidder"),
-            F.col("o_orderpriority").alias("procedura"), "project_id", F.col("o_custkey").alias("buyer_id"),
+            F.to_date("o_orderdate").alias("data_apertura"), F.col("o_orderpriority").alias("procedura"), F.col("o_custkey").alias("buyer_id"),
         )
 
+    _TENDER = ("tender_id", "cig", "importo", "data_apertura", "data_aggiudicazione", "single_bidder", "procedura", "project_id", "buyer_id")
+
+    @cached_property
+    def tender(self) -> DataFrame:
+        """Tenders that have been awarded; orders without lines are left out."""
+        award = self._bids.groupBy("tender_id").agg(F.min("day").alias("data_aggiudicazione"), (F.count("*") == 1).alias("single_bidder"), F.min("part").alias("project_id"))
+        return self._orders.join(award, "tender_id").select(*self._TENDER)
+
     @cached_property
     def win_keys(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_suppkey").alias("company_id"), F.col("l_orderkey").alias("tender_id")).distinct()
 
     @cached_property
     def wins(self) -> DataFrame:
-        """(company_id, tender_id) and the tender's columns."""
-        return self.win_keys.join(self.tender, "tender_id")
+        """(company_id, tender_id) and the tender's columns; what an order's lines say of it comes from the same rows, without a second scan."""
+        of = Window.partitionBy("tender_id")  # the suppliers of one order
+        rows = self._bids.select("tender_id", "company_id", F.min("day").over(of).alias("data_aggiudicazione"), (F.count("*").over(of) == 1).alias("single_bidder"), F.min("part").over(of).alias("project_id"))
+        return rows.join(self._orders, "tender_id").select("company_id", *self._TENDER)
 
     @cached_property
     def buyer(self) -> DataFrame:
@@ -89,8 +97,8 @@ class Tables:
 
     @cached_property
     def subcontracts_to(self) -> DataFrame:
-        """(src, dst, cig): suppliers of consecutive lines of every 101st order."""
-        line = self.raw("lineitem").where("l_orderkey % 101 = 0").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+        """(src, dst, cig): suppliers of consecutive lines of an order."""
+        line = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").repartition("l_orderkey").distinct()
         nxt = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("dst"))
         return line.join(nxt, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).where("l_suppkey <> dst").select(
             F.col("l_suppkey").alias("src"), "dst", F.format_string("CIG%07d", F.col("l_orderkey")).alias("cig")).distinct()
@@ -132,7 +140,7 @@ SQL = {
     "represents": "SELECT DISTINCT o_custkey AS person_id, l_suppkey AS company_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1",
     "shareholder_of": "SELECT s_suppkey // 3 AS owner_id, s_suppkey AS company_id, CAST(10 + s_suppkey % 90 AS DOUBLE) AS quota FROM supplier WHERE s_suppkey >= 3",
     "subcontracts_to": """SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst, 'CIG' || lpad(CAST(a.l_orderkey AS VARCHAR), 7, '0') AS cig FROM lineitem a
-  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 101 = 0 AND a.l_suppkey <> b.l_suppkey""",
+  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey""",
     "alert": """SELECT event_id AS alert_id, event_type AS type, ['critical', 'high', 'medium', 'low', 'info'][event_id % 5 + 1] AS severity, status, user_id AS entity_id, value / 500 AS score, ts AS created_at, rule_id,
   CASE WHEN status IN ('acknowledged', 'resolved') THEN ts + to_hours(event_id % 30) END AS acknowledged_at, CASE WHEN status = 'resolved' THEN ts + to_hours(event_id % 90 + 30) END AS resolved_at,
   CASE WHEN status = 'dismissed' THEN ts + to_hours(event_id % 50) END AS dismissed_at
