@@ -114,17 +114,61 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-#: Row keys are broadcast up to this many (some 16 MB); more are joined by a shuffle.
+#: Row keys and small right sides are broadcast up to this many rows (some 16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Parts in which rows with a frequent key meet their match.
+SALTS = 16
 
 
-def row_key(df: DataFrame) -> DataFrame:
-    """df with _id and _key, which tell rows with different doc_id or text apart; null doc_ids are one."""
-    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), "_key": F.xxhash64("text")})
+def free(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that df has no column of (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with two columns that tell rows apart which differ in any column, and their names: 128 bits of hash of the whole row."""
+    a, b = free(df, "_row_a"), free(df, "_row_b")
+    cells = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    # a hash passes nulls over, so which cells are null is hashed with them
+    nulls = F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("string") for c in df.columns])
+    return df.withColumns({a: F.xxhash64(nulls, *cells), b: F.xxhash64(F.lit(7), nulls, *reversed(cells))}), a, b
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key is in keys (_id, _key); their columns and all other rows stay."""
-    keys = stored(keys.select("_id", "_key").distinct())
+    """docs without the rows whose row_key is in the two columns of keys; their columns and all other rows stay."""
+    rows, a, b = row_key(docs)
+    keys = stored(keys.toDF(a, b).distinct())
     small = keys.count() <= BROADCAST_ROWS
-    return row_key(docs).join(F.broadcast(keys) if small else keys, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(F.broadcast(keys) if small else keys, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, every: DataFrame, keep: DataFrame) -> DataFrame:
+    """docs with the rows whose row_key is in keep, once each; every has the keys of all rows of docs, as often as they occur."""
+    left = drop_rows(docs, every.join(keep.distinct(), every.columns, "left_anti"))
+    again = stored(every.groupBy(*every.columns).count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return left
+    rows, a, b = row_key(left)
+    again = again.toDF(a, b)
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    once = rows.join(again, [a, b], "left_semi").dropDuplicates([a, b])
+    return rows.join(again, [a, b], "left_anti").unionByName(once).drop(a, b)
+
+
+def frequent(counts: DataFrame, key: str, total: int) -> list:
+    """Keys of counts (key, n) with more than a thousandth of total rows, so a thousand of them at most, and none below a thousand rows."""
+    return [r[0] for r in counts.where(F.col("n") > max(1000, total // 1000)).select(key).collect()]
+
+
+def join_frequent(left: DataFrame, right: DataFrame, key: str, often: list, salt: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; rows of left with a key in ``often`` meet it in SALTS parts by the hash of salt."""
+    if not often:
+        return left.join(right, key, how)
+    s = free(left, "_salt")
+    hot = F.col(key).isin(*often)
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.withColumn(s, F.when(hot, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return left.join(right.withColumn(s, F.explode(parts)), [key, s], how).drop(s)

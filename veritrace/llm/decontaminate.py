@@ -103,7 +103,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, keep: tup
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """docs without the rows in which a benchmark window occurs; all columns stay."""
-    return drop_rows(docs, find_hits(row_key(docs), benchmark, length, ("_id", "_key")).where("n_hit > 0"))
+    rows, a, b = row_key(docs)
+    return drop_rows(docs, find_hits(rows, benchmark, length, (a, b)).where("n_hit > 0").select(a, b))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

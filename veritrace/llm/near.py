@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import BROADCAST_ROWS, cut, map_rows, row_key, stored
-from veritrace.llm.simhash import keep_first
+from veritrace.llm.common import BROADCAST_ROWS, cut, keep_rows, map_rows, row_key, stored
 from veritrace.operators.components import connected_components
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
@@ -91,7 +90,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, _id, _key, sig, n, prefix) of every row."""
+    """(doc_id, a, b, sig, n, prefix) of every row; a and b are its row_key."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
     num, den = LEAST
 
@@ -109,8 +108,8 @@ def _marked(docs: DataFrame) -> DataFrame:
                 prefix.append(s[:p].view(np.int64))
             yield {"sig": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefix}
 
-    keep = {c: c for c in ("doc_id", "_id", "_key")}
-    return stored(map_rows(row_key(docs), ["text"], "sig bigint, n bigint, prefix array<bigint>", work, keep))
+    rows, a, b = row_key(docs)
+    return stored(map_rows(rows, ["text"], "sig bigint, n bigint, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,8 +147,10 @@ def _linked():
     return (num + den) * F.col("both") >= num * (F.col("ns") + F.col("nd"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, _id, _key, component) for every row of docs: the components of all links of LEAST or more.
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, a, b, sig) for every row of docs, a and b its row_key, and (sig, component) of the sets that have links of LEAST or more.
+
+    Sets without a link are not in the second table: each is a group of its own.
 
     Each set is first compared with one leader a shared shingle. Those that are linked to it are one group, so
     only pairs of different groups are left to compare, and of them only such as the distances to the common
@@ -173,10 +174,16 @@ def groups(docs: DataFrame) -> DataFrame:
     close = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - LEAST[0] / LEAST[1] + 1e-9, F.lit(True))
     rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd") & close)
     links = links.union(_verified(docs, rest.select("src", "dst", "ns", "nd")).where(_linked()).select("src", "dst"))
-    named = connected_components(links).withColumnRenamed("node", "sig")
-    return marked.select("doc_id", "_id", "_key", "sig").join(named, "sig", "left").select("doc_id", "_id", "_key", F.coalesce("component", "sig").alias("component"))
+    return marked.select("doc_id", "a", "b", "sig"), connected_components(links).withColumnRenamed("node", "sig")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, as simhash.keep_first picks it."""
-    return keep_first(docs, cut(groups(docs)))
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (none at all last), of such the least hash of the row.
+
+    Rows that are repeated whole count as one. The best row of a text is found before groups are, so no group
+    meets in one task.
+    """
+    rows, named = groups(docs)
+    best = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("o"))
+    best = best.join(named, "sig", "left").groupBy(F.coalesce("component", "sig").alias("component")).agg(F.min("o").alias("o"))
+    return keep_rows(docs, rows.select("a", "b"), best.select("o.a", "o.b"))

@@ -2,44 +2,56 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import cut, drop_rows, map_rows, read, row_key
+from veritrace.llm.common import cut, frequent, join_frequent, map_rows, read
 from veritrace.operators.components import connected_components
 
-#: A trie node with at most so many fingerprints is one side of a task; with more than LEAVES times as many
-#: fingerprints in all, nodes grow instead, so the driver never holds more than a few times LEAVES nodes.
-LEAF, LEAVES = 4096, 1024
+#: A trie node with at most so many fingerprints is one side of a task, whatever their number in all.
+LEAF = 65_536
+#: Shingle hashes whose bits are counted at once.
+AT_ONCE = 1_000_000
 #: Node pairs with at most so many combinations are compared directly.
 DIRECT = 32
 
 
 def _fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    out, held, owner = np.zeros(len(texts), np.uint64), [], []
+    size = 0
+
+    def told():
+        """Of the texts held whole, their fingerprints."""
+        counts = np.array([len(h) for h in held])
+        bits = np.unpackbits(np.array([x for h in held for x in h], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_in = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+        out[owner] = np.packbits((2 * set_in > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+        held.clear()
+        owner.clear()
+
     for i, text in enumerate(texts):
         w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(w) > width:
-            new = [digest(b" ".join(t), 42) for t in zip(*(w[k:] for k in range(width)), strict=False)]
+        if len(w) - width + 1 > AT_ONCE:  # a very long text, some of it at a time
+            n, set_in = len(w) - width + 1, np.zeros(64, np.int64)
+            for lo in range(0, n, AT_ONCE):
+                part = np.array([digest(b" ".join(w[k : k + width]), 42) for k in range(lo, min(n, lo + AT_ONCE))], "<u8")
+                set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits((2 * set_in > n).astype(np.uint8), bitorder="little").view("<u8")[0]
         elif w:
-            new = [digest(b" ".join(w), 42)]
-        else:
-            continue
-        counts[i] = len(new)
-        hashes += new
-    out = np.zeros(len(texts), np.uint64)
-    has = np.flatnonzero(counts)
-    if len(has):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.concatenate(([0], np.cumsum(counts[has])[:-1]))
-        set_in = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        major = (2 * set_in > counts[has][:, None]).astype(np.uint8)
-        out[has] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+            held.append([digest(b" ".join(t), 42) for t in zip(*(w[k:] for k in range(width)), strict=False)] if len(w) > width else [digest(b" ".join(w), 42)])
+            owner.append(i)
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                told()
+                size = 0
+    if held:
+        told()
     return out.view(np.int64)
 
 
@@ -121,20 +133,22 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def trie_leaves(fps: DataFrame, n: int) -> list[tuple[int, int, int]]:
-    """The trie's nodes (depth, prefix, count) that tasks get: none above max(LEAF, n / LEAVES) fingerprints.
+def trie_leaves(fps: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The trie's nodes (depth, prefix) that tasks get, in order: none with more than LEAF fingerprints, and none without any.
 
-    Nodes that are too full are counted some bits deeper, in rounds; a round brings the driver 65,536 counts
-    at most, or 256 for each of fewer than LEAVES full nodes.
+    Counts come to the driver by node, at most 64 for every LEAF fingerprints; nodes that are too full are counted some
+    bits deeper, in rounds.
     """
-    limit = max(LEAF, -(-n // LEAVES))
-    leaves: list[tuple[int, int, int]] = []
+    leaves: list[tuple[int, int]] = []
     full, depth = [0], 0
     while full:
-        step = 16 if depth == 0 else 8
-        node = F.shiftrightunsigned("fp", 64 - depth - step).alias("node")
-        part = fps if depth == 0 else fps.where(F.shiftrightunsigned("fp", 64 - depth).isin(full))
-        counts = {r["node"] & (2 ** (depth + step) - 1): r["n"] for r in part.groupBy(node).agg(F.count("*").alias("n")).collect()}
+        step = min(64 - depth, max(4, (n // LEAF).bit_length() + 2) if depth == 0 else 5)
+        node = F.shiftrightunsigned("fp", 64 - depth - step)
+        rows = fps.select("fp", node.alias("node"))
+        if depth:
+            above = fps.sparkSession.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in full], "_up long")
+            rows = rows.join(F.broadcast(above), F.shiftrightunsigned("fp", 64 - depth) == F.col("_up"))  # too full, so at most n / LEAF
+        counts = {r["node"] & (2 ** (depth + step) - 1): r["n"] for r in rows.groupBy("node").agg(F.count("*").alias("n")).collect()}
         levels = [counts]
         for _ in range(step):
             up: dict[int, int] = {}
@@ -146,8 +160,8 @@ def trie_leaves(fps: DataFrame, n: int) -> list[tuple[int, int, int]]:
         while stack:
             d, p = stack.pop()
             c = levels[depth + step - d].get(p, 0)
-            if 0 < c <= limit or (c and d == 64):
-                leaves.append((d, p, c))
+            if 0 < c <= LEAF or (c and d == 64):
+                leaves.append((d, p))
             elif c and d == depth + step:
                 again.append(p)
             elif c:
@@ -156,36 +170,43 @@ def trie_leaves(fps: DataFrame, n: int) -> list[tuple[int, int, int]]:
     return sorted(leaves, key=lambda x: x[1] << (64 - x[0]))
 
 
-def leaf_pairs(leaves: list[tuple[int, int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of leaves whose prefixes differ in at most ``budget`` of the bits that both have."""
-    low = np.array([p << (64 - d) for d, p, _ in leaves], np.uint64)
-    depth = np.array([d for d, _, _ in leaves])
-    out = []
-    for i in range(len(leaves)):
-        common = np.minimum(depth[i:], depth[i])
-        mask = np.array([(2**64 - 1) ^ (2 ** (64 - int(c)) - 1) if c else 0 for c in range(65)], np.uint64)[common]
-        near = np.flatnonzero(np.bitwise_count((low[i:] ^ low[i]) & mask) <= budget)
-        out += [(i, i + int(j)) for j in near]
-    return out
+def partners(i: int, starts: np.ndarray, depth: np.ndarray, budget: int) -> list[int]:
+    """The leaves whose prefixes differ from leaf i's in at most ``budget`` of the bits that both have, i among them.
+
+    Leaves are looked up by every prefix that is so near, so the work goes with the depth and not with their number.
+    """
+    d, low = int(depth[i]), int(starts[i])
+    found: set[int] = set()
+    for flips in (c for k in range(min(budget, d) + 1) for c in combinations(range(64 - d, 64), k)):
+        at = low
+        for bit in flips:
+            at ^= 1 << bit
+        # the leaf that holds this prefix, and those below it
+        lo = int(np.searchsorted(starts, np.uint64(at), side="right")) - 1
+        hi = int(np.searchsorted(starts, np.uint64(at | ((1 << (64 - d)) - 1)), side="right"))
+        found.update(range(max(lo, 0), hi))
+    mask = (1 << 64) - 1
+    near = []
+    for j in found:
+        shared = mask ^ ((1 << (64 - min(d, int(depth[j])))) - 1)
+        if ((low ^ int(starts[j])) & shared).bit_count() <= budget:
+            near.append(j)
+    return sorted(near)
 
 
 def link(fps: DataFrame, budget: int = 2) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fp`` that keep all groups of the full link graph connected.
 
-    Each task joins the subtrees below two trie nodes and returns a link from each fingerprint to the
-    smallest of its group there, at most one per fingerprint, instead of all pairs.
+    Each task joins the subtrees below two trie nodes, of at most LEAF fingerprints each, and returns a link from each
+    fingerprint to the smallest of its group there, at most one per fingerprint, instead of all pairs.
     """
     n = fps.count()
     leaves = trie_leaves(fps, n) if n else []
-    pairs = leaf_pairs(leaves, budget)
-    starts = np.array([p << (64 - d) for d, p, _ in leaves], np.uint64)
-    sides: list[list[tuple[int, int]]] = [[] for _ in leaves]
-    for k, (i, j) in enumerate(pairs):
-        sides[i].append((k, 0))
-        if j != i:
-            sides[j].append((k, 1))
+    shared = fps.sparkSession.sparkContext.broadcast((np.array([p << (64 - d) for d, p in leaves], np.uint64), np.array([d for d, _ in leaves], np.int64)))
 
     def deal(batches):
+        starts, depth = shared.value
+        known: dict[int, list[int]] = {}
         for pdf in batches:
             fp = pdf["fp"].to_numpy(np.int64)
             leaf = np.searchsorted(starts, fp.view(np.uint64), side="right") - 1
@@ -193,22 +214,25 @@ def link(fps: DataFrame, budget: int = 2) -> DataFrame:
             cuts = np.flatnonzero(np.diff(leaf[order])) + 1
             for part in np.split(order, cuts):
                 if len(part):
-                    to = sides[leaf[part[0]]]
-                    yield pd.DataFrame(
-                        {"pair": np.repeat([k for k, _ in to], len(part)), "side": np.repeat([s for _, s in to], len(part)), "fp": np.tile(fp[part], len(to))}
-                    )
+                    i = int(leaf[part[0]])
+                    if i not in known:
+                        known[i] = partners(i, starts, depth, budget)
+                    to = np.array(known[i])
+                    yield pd.DataFrame({
+                        "a": np.repeat(np.minimum(to, i), len(part)), "b": np.repeat(np.maximum(to, i), len(part)), "side": np.repeat((to < i).astype(np.int32), len(part)), "fp": np.tile(fp[part], len(to)),
+                    })
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, side = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["side"].to_numpy()
         a, b = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        same = not len(b) and pairs[int(pdf["pair"].iloc[0])][0] == pairs[int(pdf["pair"].iloc[0])][1]
+        same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
         i, j = trie_pairs(a, a if same else b, budget, same)
         every = a if same else np.concatenate([a, b])
         root = _roots(len(every), i, j if same else j + len(a))
         moved = np.flatnonzero(root != np.arange(len(every)))
         return pd.DataFrame({"src": every[moved].view(np.int64), "dst": every[root[moved]].view(np.int64)})
 
-    return fps.select("fp").mapInPandas(deal, "pair int, side int, fp bigint").groupBy("pair").applyInPandas(join, "src bigint, dst bigint")
+    return fps.select("fp").mapInPandas(deal, "a int, b int, side int, fp bigint").groupBy("a", "b").applyInPandas(join, "src bigint, dst bigint")
 
 
 def components(docs: DataFrame, budget: int = 2, width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -218,28 +242,13 @@ def components(docs: DataFrame, budget: int = 2, width: int = 3, keep: tuple[str
     without doc_id take part in links; a group that has only such rows has a null component_id.
     """
     marked = cut(fingerprints(docs, keep, width))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     groups = connected_components(link(classes.select("fp"), budget))
-    linked = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    linked = classes.drop("n").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = cut(linked.join(ids, "component").select("fp", "component", "component_id"))
-    return marked.join(named, "fp").select(*keep, "fp", "component", "component_id")
-
-
-def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with one row of each component of rows (doc_id, _id, _key, component): of its smallest doc_id (none at all
-    last), and of such the least text hash.
-
-    Rows that are repeated whole count as one.
-    """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_id")
-    first = rows.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o._id").alias("_one"), F.col("o._key").alias("_one_key"))
-    gone = rows.join(first, "component").where((F.col("_id") != F.col("_one")) | (F.col("_key") != F.col("_one_key")))
-    kept = drop_rows(docs, gone)
-    if rows.groupBy("_id", "_key").count().where("count > 1").isEmpty():
-        return kept
-    one = Window.partitionBy("_id", "_key").orderBy("_key")
-    return row_key(kept).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = linked.join(ids, "component").select("fp", "component", "component_id")
+    often = frequent(classes, "fp", marked.count())
+    return join_frequent(marked, named, "fp", often, F.col("doc_id")).select(*keep, "fp", "component", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
