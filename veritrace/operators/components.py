@@ -15,13 +15,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Pointers of groups go to all tasks up to this many rows (some 16 MB).
+BROADCAST_ROWS = 500_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
     Edges count both ways; nulls and self-loops are dropped, so a node with no other edge is not in the
     result. Every round hooks each group onto its smallest neighbour, follows the new pointers twice and
     keeps only the distinct edges between different groups, so groups with edges at least halve. Joins are
-    on unique right sides and sums are minima, so a hub is split or combined before it is shuffled.
+    on unique right sides, which go to all tasks while they are few, so that a giant group's rows stay where they are;
+    sums are minima, so a hub is combined before it is shuffled.
     """
     pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"))
     left = cut(pairs.where(F.col("u") < F.col("v")).distinct())
@@ -33,6 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             far = hook.select(F.col("c").alias("to"), F.col("to").alias("_to"))
             hook = hook.join(far, "to", "left").select("c", F.coalesce("_to", "to").alias("to"))
         hook = cut(hook)
+        hook = F.broadcast(hook) if hook.count() <= BROADCAST_ROWS else hook
         labels = cut(
             labels.join(hook, labels["component"] == hook["c"], "left").select("node", F.coalesce("to", "component").alias("component"))
         )
