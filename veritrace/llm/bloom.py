@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits for each key, and the most blocks (4 MB). A longer list makes the filter pass more, never less.
-BITS_A_KEY, MAX_BLOCKS = 16, 1 << 17
+#: Bits for each key, and the most blocks (32 MB, for 16 million keys). A longer list makes the filter pass more, never less.
+BITS_A_KEY, MAX_BLOCKS = 16, 1 << 20
 
 
 def masks(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,18 +7,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import map_rows, read
+from veritrace.llm.common import map_rows, read, stored
 
-#: The model is fitted on about so many labelled rows of each language (all, where there are fewer).
+#: The model is fitted on so many labelled rows of each language (all, where there are fewer): those of the least hashes.
 ROWS_A_LANGUAGE = 2500
-#: Words and n-grams of each order that the model keeps of each language, and the fewest occurrences of a word.
-WORDS, GRAMS, FEWEST = 20_000, 20_000, 3
 LONGEST = 5
-#: Words of evidence that the score counts at most; more would make every score 1.
+#: Words of evidence that the score counts at most: over them a text's words agree so well that every score would be 1.
 EVIDENCE = 12
+#: Words that a task remembers the scores of.
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -34,118 +34,121 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def sample(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) of the rows to learn from, and how many labelled rows each language has.
+
+    Rows need text and lang and are not held out. Of a language come those with the ROWS_A_LANGUAGE least hashes of
+    doc_id and text, however many it has.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"))
+    first = Window.partitionBy("lang").orderBy("_h")
+    last = rows.select("lang", "_h").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= ROWS_A_LANGUAGE).groupBy("lang").agg(F.max("_h").alias("_last"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    return rows.join(F.broadcast(last), "lang").where("_h <= _last").select("lang", "text"), sizes
+
+
 def count(df: DataFrame) -> DataFrame:
-    """(lang, size, gram, n) of the texts of df: words have size 0, n-grams their length; n-grams are those of the distinct words of a group of rows."""
+    """(lang, size, h, n) of the texts of df: words by how often they occur have size 0, n-grams by the different words that they are in their length; h is an XXH64 of the text."""
 
     def work(groups):
         for langs, texts in groups:
             by: dict[str, Counter] = {}
             for lang, text in zip(langs, texts, strict=True):
-                if text:
-                    by.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                by.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
             for lang, words in by.items():
-                parts = {0: words}
-                for n in range(1, LONGEST + 1):
-                    parts[n] = Counter()
-                    for w in words:
-                        parts[n].update(grams(w, n))
-                for size, found in parts.items():
-                    yield {"lang": [lang] * len(found), "size": [size] * len(found), "gram": list(found), "n": list(found.values())}
+                yield {"lang": [lang] * len(words), "word": list(words), "n": list(words.values())}
+
+    words = stored(map_rows(df, ["lang", "text"], "lang string, word string, n bigint", work).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    marked = F.concat(F.lit("<"), "word", F.lit(">"))
+    size = F.char_length("word") + 2
 
-    out = map_rows(df, ["lang", "text"], "lang string, size int, gram string, n bigint", work)
-    return out.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    def parts(n: int):
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(F.lit(n).alias("size"), F.substring(marked, i, F.lit(n)).alias("g"))))
+
+    every = F.flatten(F.array_compact(F.array(*[parts(n) for n in range(1, LONGEST + 1)])))
+    found = words.select("lang", F.inline(every)).groupBy("lang", "size", F.xxhash64("g").alias("h")).agg(F.count("*").alias("n"))
+    return words.select("lang", F.lit(0).alias("size"), F.xxhash64("word").alias("h"), "n").union(found)
 
 
 @dataclass
 class Model:
-    """Natural logs of relative frequencies, a row for each word or n-gram and a column for each language."""
+    """Natural logs of relative frequencies beside the sorted hashes of words and n-grams: a row for each, a column for each language."""
 
     langs: list[str]
-    index: dict[int, dict[str, int]]
+    names: dict[int, np.ndarray]
     table: dict[int, np.ndarray]
     usual: int
 
+    def rows(self, size: int, words: list[str]) -> np.ndarray:
+        """The place of each word or n-gram in the table; -1 if it is not there."""
+        names = self.names[size]
+        if not len(words) or not len(names):
+            return np.full(len(words), -1)
+        h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        return np.where(names[at] == h, at, -1)
 
-def fit(docs: DataFrame) -> Model:
-    """Learn from rows with text and lang that are not held out.
 
-    Rows are picked by a hash of doc_id at a rate that gives about ROWS_A_LANGUAGE rows of a language; what
-    the driver gets is bounded by WORDS and GRAMS for each language and order.
-    """
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame) -> Model:
+    """Learn from ``sample``. What the driver gets are the words and n-grams of those rows, as many as they have."""
+    some, sizes = sample(docs)
     if not sizes:
         return Model([], {}, {}, 0)
-    scale = 1 << 20
-    rate = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(scale, scale * ROWS_A_LANGUAGE // v))])
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate[F.col("lang")])
-    counts = count(some.where(F.col("text").isNotNull()))
-    totals = {(r["lang"], r["size"]): r["n"] for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    kept = counts.where((F.col("size") > 0) | (F.col("n") >= FEWEST)).withColumn("rank", F.row_number().over(order))
-    found = kept.where(F.col("rank") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)).toArrow().to_pylist()
     langs = sorted(sizes)
-    index: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
-    for r in found:
-        index[r["size"]].setdefault(r["gram"], len(index[r["size"]]))
-    table = {}
-    for n, names in index.items():
-        seen = np.full((len(names), len(langs)), 0.5)
-        for r in found:
-            if r["size"] == n:
-                seen[names[r["gram"]], langs.index(r["lang"])] += r["n"]
-        table[n] = np.log(seen / np.array([totals.get((k, n), 0) + 1.0 for k in langs]))
+    found = count(some).toArrow()
+    of = np.searchsorted(np.array(langs, object), np.array(found["lang"].to_pylist(), object)) if found.num_rows else np.zeros(0, np.int64)
+    size, h, n = (found[c].to_numpy() for c in ("size", "h", "n"))
+    names, table = {}, {}
+    for k in range(LONGEST + 1):
+        rows = size == k
+        names[k], at = np.unique(h[rows], return_inverse=True)
+        seen = np.full((len(names[k]), len(langs)), 0.5)
+        np.add.at(seen, (at, of[rows]), n[rows])
+        table[k] = np.log(seen / (np.bincount(of[rows], n[rows], len(langs)) + 1.0)).astype(np.float32)
     usual = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i))
-    return Model(langs, index, table, usual)
+    return Model(langs, names, table, usual)
 
 
 class Scorer:
-    """A model with a bounded memory of the words that it had to back off for."""
+    """A model with a bounded memory of the words met so far."""
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.at = dict(self.model.index.get(0, {}))
-        self.rows = [self.model.table[0]] if self.model.table else []
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.langs)), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        """Words not known: the mean over their known n-grams of the longest size that has any; all zero if none has."""
-        new = np.zeros((len(words), len(self.model.langs)))
-        left = [i for i, w in enumerate(words) if w.isalpha()]
+        """A known word's row; of others the mean over their known n-grams of the longest size that has any, all zero if none has."""
+        model = self.model
+        new = np.zeros((len(words), len(model.langs)), np.float32)
+        place = model.rows(0, words)
+        new[place >= 0] = model.table[0][place[place >= 0]]
+        left = np.flatnonzero(place < 0).tolist()
         for n in range(LONGEST, 0, -1):
-            names, rest, hits, owner = self.model.index[n], [], [], []
-            for i in left:
-                found = [k for g in grams(words[i], n) if (k := names.get(g)) is not None]
-                if found:
-                    hits += found
-                    owner += [i] * len(found)
-                else:
-                    rest.append(i)
-            if hits:
-                own = np.array(owner)
-                np.add.at(new, own, self.model.table[n][hits])
-                size = np.bincount(own, minlength=len(words))
-                some = np.unique(own)
-                new[some] /= size[some][:, None]
-            left = rest
-        base = sum(len(r) for r in self.rows)
-        self.at.update({w: base + i for i, w in enumerate(words)})
-        self.rows.append(new)
+            parts = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.array(left, np.int64), [len(p) for p in parts])
+            place = model.rows(n, [g for p in parts for g in p])
+            own, hits = owner[place >= 0], place[place >= 0]
+            np.add.at(new, own, model.table[n][hits])
+            some, size = np.unique(own, return_counts=True)
+            new[some] /= size[:, None]
+            left = np.setdiff1d(left, some, assume_unique=True).tolist()
+        self.at.update({w: len(self.table) + i for i, w in enumerate(words)})
+        self.table = np.concatenate([self.table, new])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
         counts = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
         if model.langs:
             unseen = set().union(*counts).difference(self.at)
-            if len(unseen):
-                if len(self.at) > len(model.index[0]) + REMEMBERED:
-                    self.forget()
-                    unseen = set().union(*counts).difference(self.at)
-                self.learn(sorted(unseen))
-        table = np.concatenate(self.rows) if self.rows else np.zeros((0, 0))
-        self.rows = [table]
+            if unseen and len(self.at) > REMEMBERED:
+                self.forget()
+                unseen = set().union(*counts)
+            self.learn(sorted(unseen))
         langs, scores = [], []
         for text, words in zip(texts, counts, strict=True):
             if not model.langs or not text or not any(c.isalpha() for c in text):
@@ -153,7 +156,7 @@ class Scorer:
                 scores.append(0.0)
                 continue
             n = np.fromiter(words.values(), float, len(words))
-            rows = table[[self.at[w] for w in words]]
+            rows = self.table[[self.at[w] for w in words]].astype(np.float64)
             used = n[(rows != 0).any(axis=1)].sum() if len(rows) else 0.0
             if not used:
                 langs.append(model.langs[model.usual])
@@ -187,7 +190,9 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents, learned from those that are not held out.
 
-    Repeated rows are judged each; extra columns are not read.
+    A null or empty text, or one without a letter, is "und" with score 0, and so is all where no row has a lang to learn
+    from. Rows without lang are judged, not learned from. Of languages that fit alike the first by name is told. Repeated
+    rows are judged each; extra columns are not read; an empty table gives no rows.
     """
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, fit(docs))
