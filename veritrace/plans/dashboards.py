@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrace.operators import alerts
 from veritrace.plans.base import joined, mean, query, top
-from veritrace.sources.tables import ALERT_AS_OF, Tables
+from veritrace.sources.tables import ALERT_AS_OF, AS_OF, Tables
 
 _NOW = f"TIMESTAMP '{ALERT_AS_OF}'"
 RANK = {"critical": 1, "high": 2, "medium": 3, "low": 4, "info": 5}
@@ -56,8 +57,8 @@ def critical_pending(t: Tables) -> DataFrame:
     return t.alert.where("status = 'pending' AND severity = 'critical'").select("alert_id", "entity_id", "created_at")
 
 
-@query("alerts_last_day", f"SELECT type, severity, status, count(*) AS n FROM alert WHERE created_at >= {_NOW} - INTERVAL 48 HOUR GROUP BY ALL")
-def last_day(t: Tables, hours: int = 48) -> DataFrame:
+@query("alerts_last_day", f"SELECT type, severity, status, count(*) AS n FROM alert WHERE created_at >= {_NOW} - INTERVAL 48 HOUR GROUP BY ALL", hours=48)
+def last_day(t: Tables, hours: int = 24) -> DataFrame:
     return t.alert.where(within(hours)).groupBy("type", "severity", "status").agg(F.count("*").alias("n"))
 
 
@@ -111,11 +112,35 @@ def activity_spikes(t: Tables, least: int = 5) -> DataFrame:
     return t.alert.groupBy("entity_id").agg(n_when(within(168), "recent"), n_when(~within(168), "earlier")).where(F.col("recent") > least)
 
 
-@query("alerts_merge_candidates", """SELECT a.company_id AS first_id, b.company_id AS second_id, a.provincia FROM company a JOIN company b ON a.provincia = b.provincia AND a.company_id < b.company_id
-  WHERE a.ateco = b.ateco AND a.address = b.address""")
+@query("alerts_merge_candidates", """WITH c AS (SELECT company_id, cf, provincia, cod_istat, lower(nome) AS n, string_split(lower(nome), ' ') AS ws FROM company),
+  f AS (SELECT provincia, ws[1] AS w, arg_min({'i': company_id, 'c': cf, 'n': n}, company_id) AS x FROM c GROUP BY 1, 2), g AS (SELECT cod_istat, substr(n, 1, 4) AS w, arg_min({'i': company_id, 'c': cf, 'n': n}, company_id) AS x FROM c WHERE length(n) > 3 GROUP BY 1, 2),
+  p AS (SELECT f.x.i AS a, company_id AS b FROM c JOIN f ON c.provincia = f.provincia AND c.ws[1] = f.w WHERE company_id <> f.x.i AND cf <> f.x.c AND c.n <> f.x.n
+  UNION SELECT g.x.i, company_id FROM c JOIN g ON c.cod_istat = g.cod_istat AND substr(c.n, 1, 4) = g.w WHERE length(c.n) > 3 AND company_id <> g.x.i AND cf <> g.x.c AND c.n <> g.x.n
+  UNION SELECT least(a.company_id, b.company_id), greatest(a.company_id, b.company_id) FROM c a JOIN c b ON a.provincia = b.provincia AND a.ws[1] < b.ws[1] AND list_contains(a.ws, b.ws[1]) AND list_contains(b.ws, a.ws[1]) WHERE a.cf <> b.cf AND a.n <> b.n)
+  SELECT a AS first_id, b AS second_id FROM p""")
 def merge_candidates(t: Tables) -> DataFrame:
-    a = t.company.select("provincia", "ateco", "address", F.col("company_id").alias("first_id"))
-    return a.join(a.withColumnRenamed("first_id", "second_id"), ["provincia", "ateco", "address"]).where("first_id < second_id").select("first_id", "second_id", "provincia")
+    return alerts.merge_pairs(t.company).select(F.col("a").alias("first_id"), F.col("b").alias("second_id"))
+
+
+@query("alerts_generated", f"""WITH r AS (SELECT 'risk_spike' AS type, CASE WHEN risk_score >= 0.85 THEN 'critical' ELSE 'high' END AS severity, CAST(company_id AS VARCHAR) AS entity_id FROM (SELECT * FROM company WHERE risk_score >= 0.7 ORDER BY risk_score DESC, company_id LIMIT 100)),
+  w AS (SELECT company_id, count(*) FILTER (data_aggiudicazione >= DATE '{AS_OF}' - 900) AS recent, count(*) FILTER (data_aggiudicazione < DATE '{AS_OF}' - 900) AS earlier FROM wins WHERE data_aggiudicazione BETWEEN DATE '{AS_OF}' - 1800 AND DATE '{AS_OF}' GROUP BY 1),
+  a AS (SELECT 'activity_spike', 'medium', CAST(company_id AS VARCHAR) FROM (SELECT * FROM w WHERE earlier > 0 AND recent > 5 AND recent / earlier > 1 ORDER BY recent / earlier DESC, company_id LIMIT 50)) SELECT * FROM r UNION ALL SELECT * FROM a""")
+def alerts_generated(t: Tables, now: str = AS_OF) -> DataFrame:
+    """Alerts that the risk and activity generators make of a table without any; activity over longer times, as wins are spread evenly."""
+    none = t.spark.createDataFrame([], alerts.ALERT)
+    made, errors = alerts.run_all(none, {"risk": lambda: alerts.from_risk(t.company, none, now), "activity": lambda: alerts.from_activity(t.wins, none, now, 900, 1800, ratio=1.0)}, now)
+    if errors:
+        raise RuntimeError(f"generators failed: {errors}")
+    return made.select("type", "severity", "entity_id")
+
+
+@query("alert_status_changes", """WITH q AS (SELECT event_id AS k, ['acknowledged', 'resolved', 'pending'][event_id % 3 + 1] AS status, ts + to_hours(event_id % 7) AS at FROM events)
+  SELECT alert_id, CASE WHEN q.status = 'acknowledged' AND alert.status = 'pending' THEN 'acknowledged' WHEN q.status = 'resolved' AND alert.status IN ('pending', 'acknowledged') THEN 'resolved' ELSE alert.status END AS status FROM alert JOIN q ON alert_id = q.k""")
+def alert_status_changes(t: Tables) -> DataFrame:
+    """Every alert's status after one request for each, of which some are refused."""
+    k = F.col("event_id")
+    asked = t.raw("events").select(k.alias("alert_id"), F.element_at(F.array(F.lit("acknowledged"), F.lit("resolved"), F.lit("pending")), (k % 3 + 1).cast("int")).alias("status"), (F.col("ts") + F.make_dt_interval(hours=(k % 7).cast("int"))).alias("at"))
+    return alerts.change(t.alert, asked)[0].select("alert_id", "status")
 
 
 @query("alerts_rule_effectiveness", "SELECT rule_id, count(*) AS alerts_generated, count(*) FILTER (status = 'pending') AS pending_alerts, count(*) FILTER (status = 'resolved') AS resolved_alerts FROM alert GROUP BY 1")
@@ -123,10 +148,10 @@ def rule_effectiveness(t: Tables) -> DataFrame:
     return t.alert.groupBy("rule_id").agg(F.count("*").alias("alerts_generated"), n_when(F.col("status") == "pending", "pending_alerts"), n_when(F.col("status") == "resolved", "resolved_alerts"))
 
 
-@query("alerts_rules_never_triggered", "SELECT n_nationkey AS rule_id, n_name AS rule_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM alert WHERE rule_id = n_nationkey + 90)")
+@query("alerts_rules_never_triggered", "SELECT n_nationkey AS rule_id, n_name AS rule_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM alert WHERE rule_id = n_nationkey)")
 def rules_never_triggered(t: Tables) -> DataFrame:
     rules = t.raw("nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_name").alias("rule_name"))
-    return rules.join(t.alert.select(F.col("rule_id").alias("r")), F.col("rule_id") + 90 == F.col("r"), "left_anti")
+    return rules.join(t.alert.select(F.col("rule_id").alias("r")), F.col("rule_id") == F.col("r"), "left_anti")
 
 
 @query("alerts_entity_audit", "SELECT alert_id, type, severity, status, created_at, acknowledged_at, resolved_at, dismissed_at FROM alert WHERE entity_id = 7")
