@@ -42,10 +42,15 @@ def sample(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h")
-    last = rows.select("lang", "_h").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= ROWS_A_LANGUAGE).groupBy("lang").agg(F.max("_h").alias("_last"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    return rows.join(F.broadcast(last), "lang").where("_h <= _last").select("lang", "text"), sizes
+    if not sizes:
+        return rows.select("lang", "text"), sizes
+    # hashes that about twice as many rows are below, so that few rows are put in order
+    near = [(k, (1 << 63) - 1 if n <= 4 * ROWS_A_LANGUAGE else (2 * ROWS_A_LANGUAGE + 1000) * (1 << 64) // n - (1 << 63)) for k, n in sizes.items()]
+    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(near, "lang string, _near long")), "lang").where("_h <= _near")
+    first = Window.partitionBy("lang").orderBy("_h")
+    last = some.select("lang", "_h").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= ROWS_A_LANGUAGE).groupBy("lang").agg(F.max("_h").alias("_last"))
+    return some.join(F.broadcast(last), "lang").where("_h <= _last").select("lang", "text"), sizes
 
 
 def count(df: DataFrame) -> DataFrame:
