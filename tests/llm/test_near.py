@@ -20,6 +20,7 @@ def similar(a, b):
 @pytest.mark.parametrize("common", [2, 4])
 def test_near_copies_go(spark, monkeypatch, common):
     monkeypatch.setattr(near, "COMMON", common)
+    monkeypatch.setattr(near, "PART", common)
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(3000)]
     line = " ".join(r.choices(vocabulary, k=20))  # many texts have it, few are alike

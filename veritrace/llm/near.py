@@ -6,9 +6,12 @@ any order that is the same for all sets. No pair is missed, which a budget of fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrace.llm.common import BROADCAST_ROWS, cut, keep_rows, map_rows, row_key, stored
@@ -19,6 +22,8 @@ WIDTH, LEAST = 5, (4, 5)
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
 AT_ONCE, COMMON, MOST = 1_000_000, 4, 1_000_000
+#: Sets that one lead is compared with in one task.
+PART = 2000
 #: Words whose hashes a task remembers.
 _WORDS = 100_000
 
@@ -109,32 +114,52 @@ def _marked(docs: DataFrame) -> DataFrame:
             yield {"sig": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefix}
 
     rows, a, b = row_key(docs)
-    return stored(map_rows(rows, ["text"], "sig bigint, n bigint, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, grams) for every sig in wanted."""
+    return stored(map_rows(rows, ["text"], "sig bigint, n int, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (lead, part, member, sig, grams) in order, a lead's own set before its members': (src, dst, ns, nd, both) of each member."""
+    own, of = np.zeros(0, np.uint64), None
+    for b in batches:
+        out: list[tuple] = []
+        for lead, part, member, sig, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            s = np.frombuffer(raw, np.uint64)
+            if not member:
+                own, of = s, (lead, part)
+            elif of == (lead, part):
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                out.append((lead, sig, len(own), len(s), int((own[at] == s).sum())))
+        columns = zip(*out, strict=True) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst", "ns", "nd", "both"])
+
+
+def _verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (src, dst) with ns, nd, the sizes of the two sets, and ``both``, that of their intersection.
+
+    Each set is made once, from one row that has it, and sent to the leads (src) that it is compared with; a lead with
+    many members gets them in parts of PART, its own set in each. Only rows in pairs send anything.
+    """
+    pairs = cut(pairs.select("src", "dst").distinct())
+    if pairs.isEmpty():
+        return pairs.select("src", "dst", *[F.lit(0).cast("bigint").alias(c) for c in ("ns", "nd", "both")])
+    parts = pairs.groupBy("src").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    member = pairs.join(parts, "src").select(F.col("dst").alias("sig"), F.struct(F.col("src").alias("lead"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member")).alias("to"))
+    lead = parts.select(F.col("src").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("sig", F.struct(F.col("sig").alias("lead"), "part", F.lit(0).alias("member")).alias("to"))
+    sends = member.union(lead).groupBy("sig").agg(F.collect_list("to").alias("to"))
+    one = marked.groupBy("sig").agg(F.min(F.struct("a", "b")).alias("r"))
+    rows, a, b = row_key(docs)
+    sends = cut(sends.join(one, "sig").select(F.col("r.a").alias(a), F.col("r.b").alias(b), "sig", "to"))
+    sends = F.broadcast(sends) if sends.count() <= BROADCAST_ROWS // 4 else sends
+    rows = rows.select(a, b, "text").join(sends, [a, b])
 
     def work(groups):
         known = _Hashes()
         for (texts,) in groups:
-            sets = [shingles(t, known) for t in texts]
-            yield {"sig": [_name(s) for s in sets], "grams": [s.view(np.int64) for s in sets]}
-
-    wanted = cut(wanted.distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return map_rows(docs, ["text"], "sig bigint, grams array<bigint>", work).join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+            yield {"grams": [shingles(t, known).tobytes() for t in texts]}
 
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (src, dst, ns, nd) with ``both``, the size of the intersection of the two sets."""
-    pairs = cut(pairs.distinct())
-    if pairs.isEmpty():
-        return pairs.withColumn("both", F.lit(0).cast("bigint"))
-    sets = stored(_sets(docs, pairs.select(F.col("src").alias("sig")).union(pairs.select("dst"))))
-    a, b = sets.select(F.col("sig").alias("src"), F.col("grams").alias("_a")), sets.select(F.col("sig").alias("dst"), F.col("grams").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b")).cast("bigint")
-    return cut(pairs.join(b, "dst").join(a, "src").select("src", "dst", "ns", "nd", both.alias("both")))
+    made = map_rows(rows, ["text"], "grams binary", work, {"sig": "sig", "to": "to"}).dropDuplicates(["sig"])
+    sent = made.select(F.inline("to"), "sig", "grams").repartition("lead", "part").sortWithinPartitions("lead", "part", "member")
+    return cut(sent.mapInArrow(_overlaps, "src bigint, dst bigint, ns bigint, nd bigint, both bigint"))
 
 
 def _similar(a: str, b: str):
@@ -157,11 +182,13 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader allow: 1 - similarity is a metric.
     """
     marked = _marked(docs)
-    tokens = marked.select("sig", "n", F.explode("prefix").alias("token")).distinct()
-    heads = tokens.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(tokens.join(heads, "token").select("token", "sig", "n", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
+    firsts = marked.select("sig", "n", "prefix").dropDuplicates(["sig"])
+    tokens = firsts.select("sig", "n", F.explode("prefix").alias("token"))
+    alike = Window.partitionBy("token")
+    heads = tokens.withColumns({"size": F.count("*").over(alike), "head": F.min(F.struct("sig", "n")).over(alike)}).where("size > 1")
+    shared = stored(heads.select("token", "sig", "n", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
     star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl"))
-    tried = _verified(docs, star.select(F.col("lead").alias("src"), F.col("sig").alias("dst"), F.col("nl").alias("ns"), F.col("n").alias("nd")))
+    tried = _verified(docs, marked, star.select(F.col("lead").alias("src"), F.col("sig").alias("dst")))
     links = tried.where(_linked()).select("src", "dst")
     first = connected_components(links)
     far = tried.select(F.col("src").alias("lead"), F.col("dst").alias("sig"), (1 - F.col("both") / (F.col("ns") + F.col("nd") - F.col("both"))).alias("far"))
@@ -173,7 +200,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("far").alias("fb"), F.col("c").alias("cb"))
     close = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - LEAST[0] / LEAST[1] + 1e-9, F.lit(True))
     rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd") & close)
-    links = links.union(_verified(docs, rest.select("src", "dst", "ns", "nd")).where(_linked()).select("src", "dst"))
+    links = links.union(_verified(docs, marked, rest).where(_linked()).select("src", "dst"))
     return marked.select("doc_id", "a", "b", "sig"), connected_components(links).withColumnRenamed("node", "sig")
 
 
