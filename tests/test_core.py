@@ -2,11 +2,8 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
-from veritrace.functions import text
-from veritrace.operators import graph, scoring, upsert
+from veritrace.operators import graph, scoring
 from veritrace.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,25 +37,112 @@ def test_cycles(spark):
     assert [r["chain"] for r in graph.cycles(edges(spark, (2, 3), (3, 1), (1, 2), (3, 4))).collect()] == [[1, 2, 3]]
 
 
-@pytest.mark.parametrize("raw,want", [("Rossi S.R.L.", "ROSSI"), ("Società Caffè", "SOCIETA CAFFE"), ("  Rossi   &   Figli   S.n.c.  ", "ROSSI FIGLI"), ("Grande Impresa S.R.L. S.P.A.", "GRANDE IMPRESA"), ("SRL ROSSI", "SRL ROSSI"), (None, None)])
-def test_normalize_name(spark, raw, want):
-    assert spark.createDataFrame([(raw,)], "n string").select(text.normalize_name(F.col("n"))).first()[0] == want
-
-
-def test_shell_golden(spark):
-    row = [(5, 1, 7, False, 2019, 25, True, 4)]
-    df = spark.createDataFrame(row, "wins int, employees int, depth int, vat_active boolean, last_filing_year int, boards int, sub_only boolean, shared_address int")
-    r = scoring.enhanced_shell(df, 2023).first()
-    want = 0.30 * (1 + 0.8 + 0.7) / 3 + 0.15 + 0.15 + 0.15 * 25 / 40 + 0.10 + 0.10 + 0.05 * 7 / 8
-    assert abs(r["shell_score"] - want) < 1e-9 and r["risk_tier"] == "HIGH_RISK"
-
-
-def test_quality(spark):
-    good = spark.createDataFrame([("A", 50_000.0, "2024-01-02")], "cig string, importo double, data string")
-    bad = spark.createDataFrame([(None, 5.0, "invalid"), ("D", 50_000.0, None), ("D", 50_000.0, None)], "cig string, importo double, data string")
-    assert upsert.quality_issues(good, ("cig",), "importo", dates=("data",), unique="cig").count() == 0
-    kinds = {r["kind"] for r in upsert.quality_issues(bad, ("cig",), "importo", dates=("data",), unique="cig").collect()}
-    assert kinds == {"missing_value", "out_of_range", "invalid_date_format", "duplicate_cig"}
+def test_shell_scores_by_hand(spark):
+    rows = [(2, 3, 4, None, 2022, 12, None, 1), (40, 0, 0, False, 2010, 60, True, 9), (1, 50, 6, False, None, 0, False, 0)]
+    df = spark.createDataFrame(rows, "wins int, employees int, depth int, vat_active boolean, last_filing_year int, boards int, sub_only boolean, shared_address int")
+    got = [(round(r["shell_score"], 6), r["risk_tier"]) for r in scoring.enhanced_shell(df, 2023).collect()]
+    a = 0.30 * (2 / 3 + 0.4 + 0.4) / 3 + 0.15 * 0.4 + 0.10 / 3
+    b = 0.30 * 2 / 3 + 0.15 * 3 + 0.20
+    c = 0.30 * (1 / 3 + 0.6) / 3 + 0.15 * 0.5 + 0.05 * 0.75
+    assert got == [(round(a, 6), "LOW_RISK"), (round(b, 6), "HIGH_RISK"), (round(c, 6), "LOW_RISK")]
+
+
+def test_betweenness_both_ways(spark, monkeypatch):
+    e = edges(spark, (1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (5, 6), (7, 8))
+    few = as_dict(graph.betweenness(e))
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    many = as_dict(graph.betweenness(e))
+    assert {k: round(v, 9) for k, v in few.items()} == {k: round(v, 9) for k, v in many.items()} == {1: 1.5, 2: 0.5, 3: 1.5, 4: 6.5, 5: 4.0, 6: 0.0, 7: 0.0, 8: 0.0}
+
+
+def test_articulation_points(spark):
+    assert sorted(r["node"] for r in graph.articulation_points(edges(spark, (1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (6, 7))).collect()) == [3, 4]
+    assert graph.articulation_points(edges(spark, (1, 2), (2, 3), (3, 1))).count() == 0
+
+
+def test_cycles_and_paths_with_a_limit(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (2, 4), (4, 5), (5, 2), (2, 2))
+    every = sorted((r["length"], r["chain"]) for r in graph.cycles(e).collect())
+    assert every == [(3, [1, 2, 3]), (3, [1, 2, 4]), (3, [2, 4, 5]), (4, [1, 2, 3, 4]), (4, [2, 3, 4, 5])]
+    for n in range(1, 7):
+        assert sorted((r["length"], r["chain"]) for r in graph.cycles(e, limit=n).collect()) == every[:n]
+    start = spark.createDataFrame([(1,)], "start long")
+    walked = sorted((r["hops"], r["chain"]) for r in graph.paths(e, start, 4).collect())
+    for n in (1, 3, 5, 50):
+        assert sorted((r["hops"], r["chain"]) for r in graph.paths(e, start, 4, limit=n).collect()) == walked[:n]
+
+
+def test_many_strong_components(spark):
+    e = [(3 * k + a, 3 * k + b) for k in range(12) for a, b in ((0, 1), (1, 2), (2, 0))] + [(3 * k, 3 * k + 4) for k in range(11)]
+    assert as_dict(graph.strong_components(edges(spark, *e))) == {i: i // 3 * 3 for i in range(36)}
+
+
+def test_diamond_is_counted_once(spark):
+    from types import SimpleNamespace
+
+    from veritrace.plans.algorithms import corporate_family
+
+    owners = spark.createDataFrame([(10, 1), (11, 1), (99, 10), (99, 11)], "owner_id long, company_id long")
+    assert [tuple(r) for r in corporate_family(SimpleNamespace(shareholder_of=owners)).collect()] == [(99, 3)]
+
+
+def test_similar_sets_by_brute_force(spark):
+    import random
+
+    from veritrace.operators import resolve
+
+    r = random.Random(2)
+    sets = [sorted(r.sample("abcdefghij", r.randint(0, 5))) for _ in range(120)]
+    got = {(x["a"], x["b"]): round(x["similarity"], 6) for x in resolve.similar_sets(spark.createDataFrame(list(enumerate(sets)), "id long, w array<string>"), 0.6).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    want = {(first[tuple(s)], i): 1.0 for i, s in enumerate(sets) if s and first[tuple(s)] != i}
+    for s, i in first.items():
+        for t, j in first.items():
+            if s and t and i < j and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.6:
+                want[i, j] = round(len(set(s) & set(t)) / len(set(s) | set(t)), 6)
+    assert got == want
+
+
+def test_detector_defaults(spark):
+    """Thresholds that investigators work with: on both sides of each."""
+    import datetime as dt
+    from types import SimpleNamespace
+
+    from veritrace.plans import detectors as d
+
+    day = lambda n: dt.date(2001, 12, 31) - dt.timedelta(days=n)
+    w = [(1, 10 + i, 7, 1000.0, day(i)) for i in range(3)] + [(2, 20 + i, 7, 39_999.0, day(80 + i)) for i in range(3)] + [(3, 30 + i, 7, 50.0, day(400)) for i in range(5)] + [(4, 40, 7, 50.0, day(0))]
+    wins = spark.createDataFrame([(c, t, b, v, x, x - dt.timedelta(days=t % 9)) for c, t, b, v, x in w], "company_id long, tender_id long, buyer_id long, importo double, data_aggiudicazione date, data_apertura date")
+    t = SimpleNamespace(wins=wins)
+    assert [(r["rotation"], r["total_wins"], r["severity"], r["score"]) for r in d.bid_rotation(t).collect()] == [("1,2", 6, "high", 0.7)]
+    assert [(r["company_id"], r["tender_count"]) for r in d.split_tendering(t).collect()] == [(1, 3), (2, 3)]
+    short = d.short_award_window(t).collect()
+    assert {(r["award_days"], r["severity"], r["score"]) for r in short} == {(x % 9, "critical" if x % 9 <= 1 else "high", 0.8 if x % 9 <= 1 else 0.6) for _, x, *_ in w if x % 9 < 7}
+    p = [(1, 2)] * 4 + [(1, 3)] + [(5, 6)] * 3 + [(5, 7)] + [(8, 9)] * 2
+    subs = spark.createDataFrame([(a, b, str(i)) for i, (a, b) in enumerate(p)], "src long, dst long, cig string")
+    assert [(r["winner"], r["subcontractor"], r["ratio"]) for r in d.subcontractor_concentration(SimpleNamespace(subcontracts_to=subs)).collect()] == [(1, 2, 0.8)]
+    links = spark.createDataFrame([(1, "a", "high", 0.5), (1, "b", "critical", 0.5), (2, "a", "low", 0.5)], "company_id long, pattern string, severity string, score double")
+    risk = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5)], "company_id long, score double")
+    assert {r["company_id"]: r["score"] for r in d.bumped(risk, links).collect()} == {1: 1.0, 2: 0.55, 3: 0.5}
+
+
+def test_ring_with_and_without_a_limit(spark):
+    import random
+    from types import SimpleNamespace
+
+    from veritrace.plans import detectors as d
+
+    r = random.Random(9)
+    bids = sorted({(r.randrange(14), t) for t in range(90) for _ in range(2)})
+    wins = spark.createDataFrame([(c, t, t % 3) for c, t in bids], "company_id long, tender_id long, buyer_id long")
+    company = spark.createDataFrame([(c, c % 2 if c else None) for c in range(14)], "company_id long, community_id long")
+    t = SimpleNamespace(wins=wins, win_keys=wins.select("company_id", "tender_id"), company=company)
+    every = [tuple(x) for x in d.winner_loser_ring(t, least=3, limit=None).collect()]
+    assert len(every) > 60
+    for n in (1, 7, 30, 60):
+        assert [tuple(x) for x in d.winner_loser_ring(t, least=3, limit=n).collect()] == every[:n]
 
 
 @pytest.mark.parametrize("name", ["top_vendors", "bid_rotation", "risk_trends", "weak_components", "alerts_daily_volume", "state_diff"])

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, keep_old_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """The new state by key: incoming rows win, but columns in keep_old_if_null keep the old value where the new one is null."""
-    new = incoming.dropDuplicates([key])
+    """The new state by key: incoming rows win, but columns in keep_old_if_null keep the old value where the new one is null.
+
+    Of incoming rows with the same key the greatest counts, column by column in the order of incoming (nulls least), so
+    a load gives the same state however its rows are dealt out. Incoming rows without a key go.
+    """
+    others = [c for c in incoming.columns if c != key]
+    new = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*others)).alias("_new")).select(key, "_new.*") if others else incoming.select(key).distinct()
     old = current.select(*[F.col(c).alias(f"_old_{c}") for c in current.columns])
     both = old.join(new, old[f"_old_{key}"] == new[key], "full_outer")
     has = F.col(key).isNotNull()
@@ -52,26 +57,27 @@ def diff(a: DataFrame, b: DataFrame, key: str, ignore: tuple[str, ...] = ()) ->
 def quality_issues(rows: DataFrame, critical: tuple[str, ...], amount: str | None = None, low: float = 40_000.0, high: float = 1e9, dates: tuple[str, ...] = (), unique: str | None = None) -> DataFrame:
     """(kind, column, n, severity) of what is wrong, in one pass over rows and one over duplicate keys.
 
-    Nulls in critical columns are critical above 1 in 100 rows, else a warning; amounts out of range and dates
-    that do not begin like ISO dates are high; repeated keys are high.
+    A critical column that is not there is critical, with all rows; its nulls are critical above 1 in 100 rows, else a
+    warning. Amounts out of range and dates that do not begin like ISO dates are medium; repeated keys are high.
     """
-    checks = {("missing_value", c): F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == "")) for c in critical if c in rows.columns}
+    checks = {("missing_column" if c not in rows.columns else "missing_value", c): F.count("*") if c not in rows.columns else F.count_if(F.col(c).isNull()) for c in critical}
     if amount:
         checks["out_of_range", amount] = F.count_if((F.col(amount) < low) | (F.col(amount) > high))
     for c in dates:
         checks["invalid_date_format", c] = F.count_if(F.col(c).isNotNull() & ~F.col(c).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}"))
     one = rows.agg(F.count("*").alias("total"), *[v.alias(f"c{i}") for i, v in enumerate(checks.values())])
     items = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), F.col(f"c{i}").alias("n")) for i, (k, c) in enumerate(checks)])
-    out = one.select("total", F.explode(items).alias("i")).select("total", "i.kind", "i.column", "i.n").where("n > 0")
-    severity = F.when((F.col("kind") == "missing_value") & (F.col("n") > 0.01 * F.col("total")), "critical").when(F.col("kind") == "missing_value", "warning").otherwise("high")
+    out = one.select("total", F.explode(items).alias("i")).select("total", "i.kind", "i.column", "i.n").where("n > 0 OR kind = 'missing_column'")
+    kind = F.col("kind")
+    severity = F.when((kind == "missing_column") | ((kind == "missing_value") & (F.col("n") > 0.01 * F.col("total"))), "critical").when(kind == "missing_value", "warning").otherwise("medium")
     out = out.withColumn("severity", severity).drop("total")
-    if unique:
+    if unique and unique in rows.columns:
         again = rows.groupBy(unique).agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n")).where("n > 0")
         out = out.unionByName(again.select(F.lit(f"duplicate_{unique}").alias("kind"), F.lit(unique).alias("column"), "n", F.lit("high").alias("severity")))
     return out
 
 
-def quality_score(issues: DataFrame) -> DataFrame:
-    """(score, passed): 1 less 0.1 for each critical and 0.05 for each high issue; passed without a critical one."""
+def quality_score(issues: DataFrame, total: int | None = None) -> DataFrame:
+    """(score, passed): 1 less 0.1 for each critical and 0.05 for each high issue; passed without a critical one, and not for a table of no rows."""
     c, h = F.count_if(F.col("severity") == "critical"), F.count_if(F.col("severity") == "high")
-    return issues.agg(F.round(F.greatest(F.lit(0.0), 1 - 0.1 * c - 0.05 * h), 4).alias("score"), (c == 0).alias("passed"))
+    return issues.agg(F.round(F.greatest(F.lit(0.0), 1 - 0.1 * c - 0.05 * h), 4).alias("score"), ((c == 0) & F.lit(total is None or total > 0)).alias("passed"))

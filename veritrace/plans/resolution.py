@@ -24,7 +24,7 @@ def duplicate_candidates(t: Tables, threshold: float = 0.9) -> DataFrame:
     return resolve.tiers(resolve.candidates(rows, threshold)).withColumn("score", F.round("score", 6))
 
 
-@query("shared_name_tokens", """WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(list_filter(string_split_regex(upper(p_name), '\\s+'), lambda x: length(x) > 3))) AS w FROM part WHERE p_partkey < 1000000)
+@query("shared_name_tokens", """WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(list_filter(string_split_regex(upper(p_name), '\\s+'), lambda x: length(x) > 3))) AS w FROM part)
   SELECT w.w AS word, count(*) AS parts FROM w GROUP BY 1""")
 def shared_name_tokens(t: Tables) -> DataFrame:
     return t.raw("part").select(F.explode(text.tokens(F.col("p_name"))).alias("word")).groupBy("word").agg(F.count("*").alias("parts"))
@@ -54,7 +54,7 @@ def nearest_vectors(t: Tables, vec_id: int = 7, k: int = 20) -> DataFrame:
 
 
 @query("tender_quality", """SELECT 'missing_value' AS kind, 'l_shipdate' AS "column", count(*) AS n, 'critical' AS severity FROM lineitem WHERE l_shipdate IS NULL HAVING count(*) > 0
-  UNION ALL SELECT 'out_of_range', 'l_extendedprice', count(*), 'high' FROM lineitem WHERE l_extendedprice < 40000 OR l_extendedprice > 1e9 HAVING count(*) > 0
+  UNION ALL SELECT 'out_of_range', 'l_extendedprice', count(*), 'medium' FROM lineitem WHERE l_extendedprice < 40000 OR l_extendedprice > 1e9 HAVING count(*) > 0
   UNION ALL SELECT 'duplicate_l_orderkey', 'l_orderkey', count(*), 'high' FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)""")
 def tender_quality(t: Tables) -> DataFrame:
     return upsert.quality_issues(t.raw("lineitem"), ("l_shipdate",), amount="l_extendedprice", unique="l_orderkey")
