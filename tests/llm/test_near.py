@@ -41,3 +41,17 @@ def test_near_copies_go(spark, monkeypatch, common):
     assert len(set(root)) < len(set(texts)) - 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(row["doc_id"] for row in near.keep_one(docs).collect()) == sorted(set(root))
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 300, 3000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        for m in (0, n // 5, n, 2 * n):
+            b = np.unique(np.concatenate([a[: max(0, n - m)], r.integers(0, 2**64, m // 2, dtype=np.uint64)]))
+            d = len(np.setxor1d(a, b))
+            assert near.differ(near.sketch(a), near.sketch(b)) <= d
+            if n > 200 and d > n:
+                assert near.differ(near.sketch(a), near.sketch(b)) > (len(a) + len(b)) / 9

@@ -1,7 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of 5-word shingle sets, found by a prefix-filter join.
+"""Near-duplicates by SimHash and, beyond its reach, by exact Jaccard similarity of 5-word shingle sets.
 
-Two sets with similarity of LEAST or more share one of the first n - ceil(LEAST * n) + 1 members of each, in
-any order that is the same for all sets. No pair is missed, which a budget of fingerprint bits cannot promise.
+The trie self-join of fingerprints links the closest texts. What no budget of bits can promise comes from a prefix
+filter: two sets with similarity of LEAST or more share one of the first n - ceil(LEAST * n) + 1 members of each, in any
+order that is the same for all sets. Candidates of both kinds are held against sketches that bound how much two sets
+differ, and those left against the sets themselves, so no pair is missed and none is linked by chance.
 """
 
 from __future__ import annotations
@@ -14,14 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrace.llm import simhash
 from veritrace.llm.common import BROADCAST_ROWS, cut, keep_rows, map_rows, row_key, stored
 from veritrace.operators.components import connected_components
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 WIDTH, LEAST = 5, (4, 5)
+#: Bits that the fingerprints of a first candidate pair may differ in.
+BITS = 3
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
-AT_ONCE, COMMON, MOST = 1_000_000, 4, 1_000_000
+AT_ONCE, COMMON, MOST = 8_000_000, 3, 1_000_000
 #: Sets that one lead is compared with in one task.
 PART = 2000
 #: Words whose hashes a task remembers.
@@ -64,6 +69,26 @@ def _name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64)) if len(found) else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of at least twice as many places as the set has members, on where an odd number of them falls.
+
+    Two sketches of one length differ in at most as many bits as the sets have members that the other lacks; a longer
+    one is brought to half its length by laying its halves over each other.
+    """
+    size = 64 << max(0, (2 * len(s) - 1) // 64).bit_length()
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """The least that the sets of two sketches differ by."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts have, with their counts."""
 
@@ -95,7 +120,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b, sig, n, prefix) of every row; a and b are its row_key."""
+    """(doc_id, a, b, sig, n, fp, sketch, prefix) of every row; a and b are its row_key, fp is the SimHash of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
     num, den = LEAST
 
@@ -111,10 +136,14 @@ def _marked(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.lexsort((s, np.where(names[at] == s, counts[at], 0)))]
                 prefix.append(s[:p].view(np.int64))
-            yield {"sig": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefix}
+            counts = np.array([len(s) for s in sets], np.int64)
+            fp = np.zeros(len(sets), np.uint64)
+            if counts.any():
+                fp[counts > 0] = simhash.majority(np.concatenate(sets), counts[counts > 0])
+            yield {"sig": [_name(s) for s in sets], "n": counts, "fp": fp.view(np.int64), "sketch": [sketch(s) for s in sets], "prefix": prefix}
 
     rows, a, b = row_key(docs)
-    return stored(map_rows(rows, ["text"], "sig bigint, n int, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
+    return stored(map_rows(rows, ["text"], "sig bigint, n int, fp bigint, sketch binary, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +162,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst", "ns", "nd", "both"])
 
 
-def _verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (src, dst) with ns, nd, the sizes of the two sets, and ``both``, that of their intersection.
+def _possible(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of texts (sig, n, sketch) whose sketches leave it open that they are similar enough."""
+    num, den = LEAST
+
+    def work(batches):
+        for b in batches:
+            ok = [(num + den) * differ(x, y) <= (den - num) * (n + m) for x, y, n, m in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["src", "dst"])
+
+    of = texts.select("sig", F.struct("n", "sketch").alias("t"))
+    both = pairs.select("src", "dst").distinct().join(of.toDF("src", "x"), "src").join(of.toDF("dst", "y"), "dst")
+    return both.select("src", "dst", "x.sketch", F.col("y.sketch").alias("other"), "x.n", F.col("y.n").alias("m")).mapInArrow(work, "src bigint, dst bigint")
+
+
+def _verified(docs: DataFrame, marked: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (src, dst) that may be similar, with ns, nd, the sizes of the two sets, and ``both``, that of their intersection.
 
     Each set is made once, from one row that has it, and sent to the leads (src) that it is compared with; a lead with
     many members gets them in parts of PART, its own set in each. Only rows in pairs send anything.
     """
-    pairs = cut(pairs.select("src", "dst").distinct())
+    pairs = cut(_possible(texts, pairs))
     if pairs.isEmpty():
         return pairs.select("src", "dst", *[F.lit(0).cast("bigint").alias(c) for c in ("ns", "nd", "both")])
     parts = pairs.groupBy("src").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -177,30 +220,38 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Sets without a link are not in the second table: each is a group of its own.
 
-    Each set is first compared with one leader a shared shingle. Those that are linked to it are one group, so
-    only pairs of different groups are left to compare, and of them only such as the distances to the common
-    leader allow: 1 - similarity is a metric.
+    Links are looked for in three rounds, and a round compares only sets that the ones before it have left in different
+    groups: sets whose fingerprints the trie finds near; each set and one leader for every shingle that its prefix
+    shares; the others that share such a shingle.
     """
     marked = _marked(docs)
+    texts = stored(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    prints = cut(texts.groupBy("fp").agg(F.min("sig").alias("src")))
+    near = simhash.link(prints.select("fp"), BITS)
+    near = near.join(prints.toDF("src", "s"), "src").join(prints.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    links = _verified(docs, marked, texts, near.union(texts.join(prints, "fp").where("sig <> src").select("src", "sig"))).where(_linked()).select("src", "dst")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets that links leave in different groups."""
+        group = connected_components(links)
+        a, b = group.toDF("src", "_a"), group.toDF("dst", "_b")
+        return pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
+
     firsts = marked.select("sig", "n", "prefix").dropDuplicates(["sig"])
     tokens = firsts.select("sig", "n", F.explode("prefix").alias("token"))
     alike = Window.partitionBy("token")
     heads = tokens.withColumns({"size": F.count("*").over(alike), "head": F.min(F.struct("sig", "n")).over(alike)}).where("size > 1")
     shared = stored(heads.select("token", "sig", "n", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
-    star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl"))
-    tried = _verified(docs, marked, star.select(F.col("lead").alias("src"), F.col("sig").alias("dst")))
-    links = tried.where(_linked()).select("src", "dst")
-    first = connected_components(links)
-    far = tried.select(F.col("src").alias("lead"), F.col("dst").alias("sig"), (1 - F.col("both") / (F.col("ns") + F.col("nd") - F.col("both"))).alias("far"))
-    named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(far, ["lead", "sig"], "left")
-    named = named.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "far", F.coalesce("component", "sig").alias("c"))
+    star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl")).select(F.col("lead").alias("src"), F.col("sig").alias("dst")).distinct()
+    links = cut(links.union(_verified(docs, marked, texts, apart(star)).where(_linked()).select("src", "dst")))
+    group = connected_components(links).toDF("sig", "c")
+    named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(group, "sig", "left").select("token", "sig", "n", F.coalesce("c", "sig").alias("c"))
     more = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     named = cut(named.join(more, "token", "left_semi"))
-    a = named.select("token", F.col("sig").alias("src"), F.col("n").alias("ns"), F.col("far").alias("fa"), F.col("c").alias("ca"))
-    b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("far").alias("fb"), F.col("c").alias("cb"))
-    close = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - LEAST[0] / LEAST[1] + 1e-9, F.lit(True))
-    rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd") & close)
-    links = links.union(_verified(docs, marked, rest).where(_linked()).select("src", "dst"))
+    a = named.select("token", F.col("sig").alias("src"), F.col("n").alias("ns"), F.col("c").alias("ca"))
+    b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("c").alias("cb"))
+    rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd")).select("src", "dst")
+    links = links.union(_verified(docs, marked, texts, rest).where(_linked()).select("src", "dst"))
     return marked.select("doc_id", "a", "b", "sig"), connected_components(links).withColumnRenamed("node", "sig")
 
 

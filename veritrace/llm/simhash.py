@@ -21,6 +21,13 @@ AT_ONCE = 1_000_000
 DIRECT = 32
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes: the bits that over half of them have. counts has no zeros."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    set_in = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+    return np.packbits((2 * set_in > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _fingerprints(texts: list[str | None], width: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     out, held, owner = np.zeros(len(texts), np.uint64), [], []
@@ -28,10 +35,7 @@ def _fingerprints(texts: list[str | None], width: int) -> np.ndarray:
 
     def told():
         """Of the texts held whole, their fingerprints."""
-        counts = np.array([len(h) for h in held])
-        bits = np.unpackbits(np.array([x for h in held for x in h], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_in = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
-        out[owner] = np.packbits((2 * set_in > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+        out[owner] = majority(np.array([x for h in held for x in h], np.uint64), np.array([len(h) for h in held]))
         held.clear()
         owner.clear()
 
