@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.functions.text import jaccard, levenshtein_similarity, normalize_name, phonetic_key, token_sort_ratio, tokens
+from veritrace.functions.text import IDENTIFIERS, jaccard, levenshtein_similarity, normalize_name, partial_ratio, phonetic_key, ratio, sector, token_set_ratio, token_sort_ratio, tokens, weighted_ratio
 from veritrace.operators.components import connected_components, cut
 
 
@@ -124,7 +124,135 @@ def cup_cig_matches(tenders: DataFrame, projects: DataFrame, threshold: float =
 
 
 def similar_names(rows: DataFrame, block: str, threshold: float, id_col: str = "id", name: str = "nome") -> DataFrame:
-    """(a, b, similarity) of rows in one block by Levenshtein similarity."""
-    s = rows.select(F.col(id_col).alias("a"), F.col(block).alias("k"), F.col(name).alias("na"))
-    pairs = s.join(s.select(F.col("a").alias("b"), "k", F.col("na").alias("nb")), "k").where("a < b")
+    """(a, b, similarity) of rows in one block by Levenshtein similarity.
+
+    A block is not paired with itself: two names of distance d or less have in common at least one of the d + 1 pieces that
+    either falls into, moved by at most d places, and only names with such a piece at such a place are compared. d follows
+    from the threshold and the length, so no pair is missed; names too short for so many pieces are joined by their length.
+    """
+    s = rows.where(F.col(name).isNotNull()).select(F.col(id_col).alias("a"), F.col(block).alias("k"), F.col(name).alias("na"), F.char_length(name).alias("n")).where("n > 0")
+    far = F.floor((1 - threshold) * F.col("n") + 1e-9).cast("int")  # the most that this name may differ from one that is no longer
+    s = s.withColumns({"far": far, "size": F.greatest(F.lit(1), F.floor(F.col("n") / (far + 1)).cast("int"))})
+    # the longer name of a pair is cut into pieces of its own; the shorter one offers what it has near their places
+    i = F.sequence(F.lit(0), F.col("far"))
+    cuts = s.select("a", "k", "na", "n", F.explode(F.transform(i, lambda j: F.struct((j * F.col("size")).alias("at"), F.substring("na", j * F.col("size") + 1, F.col("size")).alias("p")))).alias("c"), "size").select("a", "k", "na", "n", "size", "c.at", "c.p")
+    lengths = s.select(F.col("k"), F.col("n").alias("m"), "far", "size").distinct()
+    offers = s.select("a", "k", "na", "n").join(lengths, "k").where((F.col("m") >= F.col("n")) & (F.col("m") - F.col("n") <= F.col("far")))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("far")), lambda j: F.transform(F.sequence(-F.col("far"), F.col("far")), lambda d: F.struct((j * F.col("size")).alias("at"), (j * F.col("size") + d).alias("q")))))
+    offers = offers.select(F.col("a").alias("b"), "k", F.col("na").alias("nb"), "m", "size", F.inline(F.filter(places, lambda x: (x["q"] >= 0) & (x["q"] + F.col("size") <= F.col("n"))))).select("b", "k", "nb", "m", "at", F.expr("substring(nb, q + 1, size)").alias("p"))
+    met = cuts.withColumnRenamed("n", "m").join(offers, ["k", "m", "at", "p"]).where((F.col("a") != F.col("b")) & ((F.char_length("na") > F.char_length("nb")) | (F.col("a") < F.col("b"))))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     return pairs.withColumn("similarity", levenshtein_similarity(F.col("na"), F.col("nb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+# -- one entity
+
+
+def search(rows: DataFrame, text: str, fields: tuple[str, ...], id_col: str = "id", least: float = 0.6, limit: int = 20) -> DataFrame:
+    """(id, field, similarity): rows whose field is like a text, by the best of five ratios over all fields, case aside. All rows are compared."""
+    wanted = F.lower(F.lit(text))
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.lower(F.col(c).cast("string")).alias("v")) for c in fields])
+    one = rows.select(id_col, F.inline(each)).where("v IS NOT NULL AND v <> ''")
+    best = F.greatest(*[f(F.col("v"), wanted) for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio, weighted_ratio)])
+    scored = one.withColumn("similarity", F.round(best, 4)).where(F.col("similarity") >= least)
+    top = scored.groupBy(id_col).agg(F.max(F.struct("similarity", "field")).alias("s"))
+    return top.select(id_col, "s.field", "s.similarity").orderBy(F.desc("similarity"), id_col).limit(limit)
+
+
+def candidates_for(rows: DataFrame, entity, least: float = 0.7, id_col: str = "id") -> DataFrame:
+    """(id, score, reason) of other rows (id, nome, cf, piva): the same tax code 1, the same VAT number 0.95, else the names' Levenshtein similarity."""
+    x = rows.where(F.col(id_col) == entity).limit(1).select(F.struct("nome", "cf", "piva").alias("x"))
+    other = rows.where(F.col(id_col) != entity).join(F.broadcast(x))  # one row
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"x.{c}"), F.lit(False))
+    name = F.coalesce(levenshtein_similarity(F.lower("nome"), F.lower("x.nome")), F.lit(0.0))
+    score = F.when(same("cf"), 1.0).when(same("piva"), 0.95).otherwise(name)
+    out = other.select(id_col, F.round(score, 4).alias("score"), F.when(same("cf"), "cf").when(same("piva"), "piva").otherwise("name").alias("reason"))
+    return out.where(F.col("score") >= least).orderBy(F.desc("score"), id_col)
+
+
+def weighted_score(a: str, b: str) -> Column:
+    """Same tax code 0.5, names 0.3, same place 0.1, same sector 0.1. Columns of structs with cf, nome, cod_istat, ateco."""
+    same = lambda x, y: F.coalesce(x == y, F.lit(False)).cast("double")
+    name = F.coalesce(token_sort_ratio(normalize_name(F.col(f"{a}.nome")), normalize_name(F.col(f"{b}.nome"))), F.lit(0.0))
+    return 0.5 * same(F.col(f"{a}.cf"), F.col(f"{b}.cf")) + 0.3 * name + 0.1 * same(F.col(f"{a}.cod_istat"), F.col(f"{b}.cod_istat")) + 0.1 * same(sector(F.col(f"{a}.ateco")), sector(F.col(f"{b}.ateco")))
+
+
+def resolve_mentions(mentions: DataFrame, nodes: DataFrame, sure: float = 0.85, perhaps: float = 0.70) -> DataFrame:
+    """(mention_id, node_id, method, score) of mentions (mention_id, text, nome) among nodes (id, cf, piva, cup, cig, nome).
+
+    The first that finds one counts: an identifier in the mention's text, in the order cf, piva, cup, cig; then the most
+    similar name, as name from ``sure`` on, as needs_review from ``perhaps`` on. Others are new. Names are compared
+    where they share their sound or their first word.
+    """
+    found = []
+    for order, (kind, column) in enumerate((("cf_person", "cf"), ("piva", "piva"), ("cup", "cup"), ("cig", "cig"))):
+        every = F.regexp_extract_all(F.upper("text"), F.lit(f"({IDENTIFIERS[kind]})"), F.lit(1))
+        code = mentions.select("mention_id", F.explode(F.array_distinct(F.transform(every, lambda x: F.regexp_replace(x, "^IT(?=[0-9]{11}$)", "")))).alias("code"))
+        node = nodes.where(F.col(column).isNotNull()).select(F.col("id").alias("node_id"), F.regexp_replace(F.upper(column), "^IT(?=[0-9]{11}$)", "").alias("code"))
+        found.append(code.join(node, "code").select("mention_id", "node_id", F.lit(column).alias("method"), F.lit(1.0).alias("score"), F.lit(order).alias("o")))
+        if column == "cf":  # companies' tax codes look like VAT numbers
+            number = F.regexp_extract_all(F.upper("text"), F.lit(f"({IDENTIFIERS['piva']})"), F.lit(1))
+            code = mentions.select("mention_id", F.explode(F.array_distinct(F.transform(number, lambda x: F.regexp_replace(x, "^IT", "")))).alias("code"))
+            found.append(code.join(node, "code").select("mention_id", "node_id", F.lit("cf").alias("method"), F.lit(1.0).alias("score"), F.lit(order).alias("o")))
+    keys = lambda c: F.array_distinct(F.array_compact(F.array(phonetic_key(F.col(c)), F.split(normalize_name(F.col(c)), " ")[0])))
+    m = mentions.where("nome IS NOT NULL").select("mention_id", normalize_name(F.col("nome")).alias("a"), F.explode(keys("nome")).alias("k"))
+    n = nodes.where("nome IS NOT NULL").select(F.col("id").alias("node_id"), normalize_name(F.col("nome")).alias("b"), F.explode(keys("nome")).alias("k"))
+    near = m.join(n, "k").where("k <> ''").select("mention_id", "node_id", "a", "b").distinct()
+    near = near.where(F.least(F.char_length("a"), F.char_length("b")) * 2 >= perhaps * (F.char_length("a") + F.char_length("b")))  # else the ratio cannot be reached
+    scored = near.select("mention_id", "node_id", ratio(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= perhaps)
+    found.append(scored.select("mention_id", "node_id", F.when(F.col("score") >= sure, "name").otherwise("needs_review").alias("method"), "score", F.lit(9).alias("o")))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.union(f)
+    best = rows.groupBy("mention_id").agg(F.min(F.struct("o", (-F.col("score")).alias("k"), "node_id", "method")).alias("r"))
+    out = mentions.select("mention_id").join(best, "mention_id", "left")
+    return out.select("mention_id", "r.node_id", F.coalesce("r.method", F.lit("new")).alias("method"), F.coalesce(-F.col("r.k"), F.lit(0.0)).alias("score"))
+
+
+def merge_entities(found: DataFrame) -> DataFrame:
+    """Extracted entities (key, confidence, nome, and others) as one row a key: the greatest confidence, each column's value from the surest row that has one."""
+    others = [c for c in found.columns if c not in ("key", "confidence")]
+    picked = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("confidence", F.col(c).cast("string")))).alias(c) for c in others]
+    return found.where("key IS NOT NULL AND trim(key) <> ''").groupBy(F.upper(F.trim("key")).alias("key")).agg(F.max("confidence").alias("confidence"), *picked)
+
+
+# -- merges that can be undone
+
+
+def preview(rows: DataFrame, edges: DataFrame, source, target, key: str = "id") -> DataFrame:
+    """One row: how many edges would move, how many of them become equal to others or to a loop, and the columns that differ."""
+    ids = rows.sparkSession.createDataFrame([(source, target)], f"id {rows.schema[key].dataType.simpleString()}, canonical {rows.schema[key].dataType.simpleString()}")
+    touched = edges.where((F.col("src") == source) | (F.col("dst") == source))
+    after = rewrite(edges, ids, "src", "dst")
+    n = touched.agg(F.count("*").alias("edges_moved"), F.count_if(((F.col("src") == source) & (F.col("dst") == target)) | ((F.col("src") == target) & (F.col("dst") == source))).alias("loops"))
+    lost = edges.distinct().agg(F.count("*").alias("_b")).join(F.broadcast(after.agg(F.count("*").alias("_a")))).select((F.col("_b") - F.col("_a")).alias("edges_equal"))
+    a, b = (rows.where(F.col(key) == k).limit(1).select(*[F.col(c).alias(f"{c}_{p}") for c in rows.columns if c != key]) for k, p in ((source, "a"), (target, "b")))
+    names = [F.when(F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_a") != F.col(f"{c}_b")), F.lit(c)) for c in rows.columns if c != key and "map<" not in rows.schema[c].dataType.simpleString()]
+    differ = a.join(F.broadcast(b)).select(F.array_compact(F.array(*names)).alias("conflicts"))
+    return n.join(F.broadcast(lost)).join(F.broadcast(differ), how="left")  # one row each
+
+
+def merge(rows: DataFrame, edges: DataFrame, source, target, path: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) with source merged into target; what they were before is written below path, from where ``undo`` takes it."""
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    both = (F.col(key) == source) | (F.col(key) == target)
+    if rows.where(both).count() != 2:
+        raise ValueError("both entities must be there, once each")
+    near = F.col("src").isin(source, target) | F.col("dst").isin(source, target)
+    rows.where(both).write.parquet(f"{path}/rows")
+    edges.where(near).write.parquet(f"{path}/edges")
+    spark.createDataFrame([(source, target)], f"source {kind}, target {kind}").write.parquet(f"{path}/merge")
+    ids = spark.createDataFrame([(source, target)], f"id {kind}, canonical {kind}")
+    moved = rewrite(spark.read.schema(edges.schema).parquet(f"{path}/edges"), ids, "src", "dst").where("src <> dst")
+    return rows.where(~both).unionByName(merge_rows(spark.read.schema(rows.schema).parquet(f"{path}/rows"), ids, key)), edges.where(~near).unionByName(moved)
+
+
+def undo(rows: DataFrame, edges: DataFrame, path: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) as before the merge below path; edges of the target that are newer than it stay, with the target."""
+    spark = rows.sparkSession
+    m = spark.read.parquet(f"{path}/merge").first()
+    old = spark.read.schema(edges.schema).parquet(f"{path}/edges")
+    ids = spark.createDataFrame([(m["source"], m["target"])], f"id {rows.schema[key].dataType.simpleString()}, canonical {rows.schema[key].dataType.simpleString()}")
+    made = rewrite(old, ids, "src", "dst").where("src <> dst")
+    back = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    return rows.where(F.col(key) != m["target"]).unionByName(back), edges.exceptAll(made).unionByName(old)

@@ -87,21 +87,6 @@ def implicit_links(t: Tables) -> DataFrame:
     return resolve.implicit_links(t.win_keys, t.shareholder_of, t.company)
 
 
-_REC = """WITH a AS (SELECT * FROM company WHERE company_id = 7) SELECT c.company_id, round(CASE WHEN c.ateco = a.ateco THEN 0.30 ELSE 0 END + CASE WHEN c.regione = a.regione THEN 0.20 ELSE 0 END + CASE WHEN abs(c.risk_score - a.risk_score) < 0.15 THEN 0.25 ELSE 0 END
-  + 0.25 * CASE WHEN len(list_distinct(list_concat(c.anomaly_flags, a.anomaly_flags))) = 0 THEN 0 ELSE len(list_intersect(c.anomaly_flags, a.anomaly_flags)) / len(list_distinct(list_concat(c.anomaly_flags, a.anomaly_flags))) END, 4)::DOUBLE AS similarity FROM company c, a WHERE c.company_id <> a.company_id"""
-
-
-@query("recommend_similar", _REC + " ORDER BY 2 DESC, 1 LIMIT 50")
-def recommend_similar(t: Tables, company_id: int = 7, limit: int = 50) -> DataFrame:
-    """Companies like one: sector 0.30, region 0.20, risk within 0.15 0.25, flags in common 0.25."""
-    a = t.company.where(F.col("company_id") == company_id).select(F.struct("ateco", "regione", "risk_score", "anomaly_flags").alias("x"))
-    rows = t.company.where(F.col("company_id") != company_id).join(F.broadcast(a))  # one company
-    same = lambda c: (F.col(c) == F.col(f"x.{c}")).cast("double")
-    near = (F.abs(F.col("risk_score") - F.col("x.risk_score")) < 0.15).cast("double")
-    score = 0.30 * same("ateco") + 0.20 * same("regione") + 0.25 * near + 0.25 * text.jaccard(F.col("anomaly_flags"), F.col("x.anomaly_flags"))
-    return top(rows.select("company_id", F.round(score, 4).alias("similarity")), limit, F.desc("similarity"), "company_id")
-
-
 @query("explain_company", """SELECT c.company_id, wins, round(single / wins, 4) AS single_ratio, top_buyer, round(topn / wins, 4) AS top_share FROM company c JOIN (SELECT company_id, sum(n)::BIGINT AS wins, sum(s) AS single, arg_max(buyer_id, {'a': n, 'b': -buyer_id}) AS top_buyer, max(n) AS topn
   FROM (SELECT company_id, buyer_id, count(*) AS n, sum(CASE WHEN single_bidder THEN 1 ELSE 0 END) AS s FROM wins GROUP BY 1, 2) GROUP BY 1) x ON c.company_id = x.company_id""")
 def explain_company(t: Tables) -> DataFrame:
