@@ -87,6 +87,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sharding": op1_sharding}
 
-_KEY = "coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')"
-#: CRC-32 is taken byte by byte over the hex form, by the polynomial 0xEDB88320.
-ORACLE_SQL: dict[str, str] = {}
+
+def _oracle(shards: int = 8) -> str:
+    """The same in DuckDB: scores from MD5, the CRC byte by byte over a table made from its polynomial."""
+    key = "coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')"
+    scores = ", ".join(f"{{'s': 1.0 / -ln((CAST('0x' || substr(md5(key || ':{i}'), 1, 13) AS BIGINT) + 0.5) / {_UNIT!r}::DOUBLE), 'm': {-i}}}" for i in range(shards + 1))
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    table = "i::BIGINT"
+    for _ in range(8):
+        table = f"(SELECT {step} FROM (SELECT {table} AS c))"
+    return f"""
+WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, {table} AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {key} AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT r, doc_id, key, length(h) // 2 AS n, list_transform(regexp_extract_all(h, '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bytes FROM d),
+c AS (SELECT r, doc_id, key, n + 1 AS size, CASE WHEN n = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, v: xor(a >> 8, t.t[(xor(a, v) & 255) + 1])), 4294967295::BIGINT) END AS crc FROM x, t),
+s AS (SELECT *, [{scores}] AS s FROM c),
+w AS (SELECT *, CAST(-list_max(s[1:{shards}]).m AS INTEGER) AS shard, CAST(-list_max(s).m AS INTEGER) AS grown_shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, {BUCKET_DIGITS}), doc_id NULLS FIRST, crc, size) - 1 AS slot, grown_shard
+FROM w"""
+
+
+ORACLE_SQL = {"op1_sharding": _oracle()}
