@@ -1,8 +1,9 @@
 """A training corpus from documents: quality, near-duplicates, benchmark passages, personal data, token ids.
 
-Each stage takes what its predecessor kept and returns whole rows; the last returns the ids of the tokens.
-Texts may be null: such a document has no words, so the first stage rejects it. Rows repeated whole become
-one in the second stage. An empty table stays empty at every stage; columns beyond those of documents pass by.
+Each stage takes what its predecessor kept and returns whole rows with all their columns; the last returns the ids of
+the tokens beside doc_id. Texts may be null: such a document has no words, so the first stage rejects it. Rows repeated
+whole become one in the second stage; rows with one doc_id that differ in any column stay rows of their own unless their
+texts are near-duplicates. An empty table stays empty at every stage.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near-duplicates: linked by the SimHash trie or a prefix filter, and checked: Jaccard similarity of 5-word shingles 0.8 or more."""
     return near.keep_one(docs)
 
 
@@ -40,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_dedup", unique), ("decontaminate", clean), ("pii", private), ("bpe", tokens)]
 
-#: Perplexity, fingerprint groups, boosted trees and BPE have no SQL form; tests compare run() with brute force.
+#: Perplexity, fingerprint groups, boosted trees and BPE have no SQL form; tests/llm/test_pipeline.py compares run() with a plain Python run.
 ORACLE_SQL = None
 
 
