@@ -39,7 +39,9 @@ def test_near_copies_go(spark, monkeypatch, common):
             if similar(texts[i] or "", texts[j] or ""):
                 root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     assert len(set(root)) < len(set(texts)) - 20
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts += ["long " + " ".join(r.choices(vocabulary, k=200_000))] * 2  # more than one group of rows in a task
+    root += [len(root), len(root)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert sorted(row["doc_id"] for row in near.keep_one(docs).collect()) == sorted(set(root))
 
 

@@ -136,11 +136,11 @@ def _marked(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.lexsort((s, np.where(names[at] == s, counts[at], 0)))]
                 prefix.append(s[:p].view(np.int64))
-            counts = np.array([len(s) for s in sets], np.int64)
+            sizes = np.array([len(s) for s in sets], np.int64)
             fp = np.zeros(len(sets), np.uint64)
-            if counts.any():
-                fp[counts > 0] = simhash.majority(np.concatenate(sets), counts[counts > 0])
-            yield {"sig": [_name(s) for s in sets], "n": counts, "fp": fp.view(np.int64), "sketch": [sketch(s) for s in sets], "prefix": prefix}
+            if sizes.any():
+                fp[sizes > 0] = simhash.majority(np.concatenate(sets), sizes[sizes > 0])
+            yield {"sig": [_name(s) for s in sets], "n": sizes, "fp": fp.view(np.int64), "sketch": [sketch(s) for s in sets], "prefix": prefix}
 
     rows, a, b = row_key(docs)
     return stored(map_rows(rows, ["text"], "sig bigint, n int, fp bigint, sketch binary, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
