@@ -54,6 +54,15 @@ def diff(a: DataFrame, b: DataFrame, key: str, ignore: tuple[str, ...] = ()) ->
     return both.withColumn("change", change)
 
 
+def link_diff(a: DataFrame, b: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
+    """(src, kind, dst, change) between two states of an edge table: added, removed, or changed in one of ``values``."""
+    ends = ["src", "kind", "dst"]
+    old = a.select(*ends, F.struct(F.lit(1).alias("_"), *values).alias("_a")).distinct()
+    new = b.select(*ends, F.struct(F.lit(1).alias("_"), *values).alias("_b")).distinct()
+    both = old.join(new, ends, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return both.select(*ends, F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def quality_issues(rows: DataFrame, critical: tuple[str, ...], amount: str | None = None, low: float = 40_000.0, high: float = 1e9, dates: tuple[str, ...] = (), unique: str | None = None) -> DataFrame:
     """(kind, column, n, severity) of what is wrong, in one pass over rows and one over duplicate keys.
 

@@ -146,6 +146,45 @@ def pagerank_procurement(t: Tables) -> DataFrame:
     return graph.pagerank(procurement(t), 20, directed=False).select("node", F.round("rank", 6).alias("rank"))
 
 
+_PROJECTS = "SELECT 'c' || company_id AS u, 't' || tender_id AS v FROM win_keys UNION SELECT 't' || tender_id, 'p' || project_id FROM tender"
+
+
+@query("pagerank_projects", _rank_sql(f"SELECT u AS src, v AS dst FROM ({_PROJECTS}) UNION SELECT v, u FROM ({_PROJECTS})"))
+def pagerank_projects(t: Tables) -> DataFrame:
+    """Centrality over wins and the projects that tenders are part of, either way."""
+    part = t.tender.select(_node("t", "tender_id"), _node("p", "project_id"))
+    edges = t.win_keys.select(_node("c", "company_id").alias("src"), _node("t", "tender_id").alias("dst")).union(part)
+    return graph.pagerank(edges, 20, directed=False).select("node", F.round("rank", 6).alias("rank"))
+
+
+def run_suite(t: Tables) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The algorithms whose results companies carry, stored, in the order that they build on each other; a failure stops no other."""
+    steps = {
+        "centrality_score": lambda: pagerank_procurement(t), "community_id": lambda: communities(t), "betweenness_score": lambda: betweenness(t), "triangle_count": lambda: triangle_count(t),
+        "wcc_id": lambda: weak_components(t), "supply_scc_id": lambda: supply_sccs(t), "ownership_influence": lambda: pagerank_ownership(t),
+    }
+    found, errors = {}, {}
+    for name, f in steps.items():
+        try:
+            found[name] = cut(f())
+        except Exception as e:  # noqa: BLE001 - told to the caller
+            errors[name] = f"{type(e).__name__}: {e}"
+    return found, errors
+
+
+@query("algorithm_suite")
+def algorithm_suite(t: Tables) -> DataFrame:
+    """How many nodes each algorithm of the suite has a result for."""
+    found, errors = run_suite(t)
+    if errors:
+        raise RuntimeError(f"algorithms failed: {errors}")
+    parts = [df.agg(F.count("*").alias("nodes")).select(F.lit(name).alias("property"), "nodes") for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @query("articulation_points")
 def articulation_points(t: Tables, start: int = 3, depth: int = 2) -> DataFrame:
     """Nodes of the neighbourhood of one company without which it falls apart."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrace.operators import scoring
+from veritrace.operators import scoring, upsert
 from veritrace.plans.base import joined, mean, query, quarter_of, top, total
 from veritrace.sources.tables import AS_OF, EU_FUNDS, Tables
 
@@ -26,15 +26,20 @@ def buyer_concentration_trend(t: Tables) -> DataFrame:
 
 @query("volume_spikes", f"""WITH b AS (SELECT company_id, {_Q}, count(*) AS n FROM wins GROUP BY 1, 2, 3), w AS (SELECT *, avg(n) OVER (PARTITION BY company_id ORDER BY year, quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
   row_number() OVER (PARTITION BY company_id ORDER BY year DESC, quarter DESC) AS k FROM b)
-  SELECT company_id, year, quarter, n AS latest, round(prior, 4) AS baseline, round(n / prior, 4) AS ratio FROM w WHERE k = 2 AND prior > 0 AND n / prior >= 0.02""")
-def volume_spikes(t: Tables, threshold: float = 0.02, back: int = 2) -> DataFrame:
-    """A company's late quarter over the mean of all its quarters before; ``back`` 2 leaves out the last, unfinished one."""
-    b = t.wins.groupBy("company_id", *quarter_of("data_aggiudicazione")).agg(F.count("*").alias("n"))
+  SELECT company_id, year, quarter, n AS latest, round(prior, 4) AS baseline, round(n / prior, 4) AS ratio FROM w WHERE k = 2 AND prior > 0 AND n / prior >= 1 ORDER BY n / prior DESC, company_id LIMIT 30""", threshold=1.0, back=2, quarters=None)
+def volume_spikes(t: Tables, threshold: float = 2.0, back: int = 1, quarters: int | None = 8, limit: int = 30, as_of: str = AS_OF) -> DataFrame:
+    """A company's last quarter over the mean of its quarters before, in the last ``quarters``; ``back`` 2 leaves out an unfinished one.
+
+    Quarters without wins are not counted as zero.
+    """
+    w = t.wins if quarters is None else t.wins.where(F.col("data_aggiudicazione") >= F.add_months(F.to_date(F.lit(as_of)), -3 * quarters))
+    b = w.groupBy("company_id", *quarter_of("data_aggiudicazione")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("company_id").orderBy("year", "quarter")
     last = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("year"), F.desc("quarter")))
     rows = b.withColumn("prior", F.avg("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("k", last)
     ratio = F.col("n") / F.col("prior")
-    return rows.where((F.col("k") == back) & (F.col("prior") > 0) & (ratio >= threshold)).select("company_id", "year", "quarter", F.col("n").alias("latest"), F.round("prior", 4).alias("baseline"), F.round(ratio, 4).alias("ratio"))
+    found = top(rows.where((F.col("k") == back) & (F.col("prior") > 0) & (ratio >= threshold)), limit, F.desc(ratio), "company_id")
+    return found.select("company_id", "year", "quarter", F.col("n").alias("latest"), F.round("prior", 4).alias("baseline"), F.round(ratio, 4).alias("ratio"))
 
 
 MONTHS = ("Gennaio", "Febbraio", "Marzo", "Aprile", "Maggio", "Giugno", "Luglio", "Agosto", "Settembre", "Ottobre", "Novembre", "Dicembre")
@@ -60,41 +65,52 @@ _TIER = "CASE WHEN {0} >= 0.7 THEN 'HIGH' WHEN {0} >= 0.4 THEN 'MEDIUM' ELSE 'LO
 
 @query("risk_trends", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY change_date DESC, snapshot_id DESC) AS k FROM risk_snapshot), g AS (SELECT company_id, max(CASE WHEN k = 1 THEN risk_score END) AS now, max(CASE WHEN k = 2 THEN risk_score END) AS before,
   arg_min(risk_score, {{'a': change_date, 'b': snapshot_id}}) AS oldest, min(risk_score) AS lo, max(risk_score) AS hi, stddev_samp(risk_score) AS sd, count(*) AS n FROM r GROUP BY 1)
-  SELECT company_id, round(now, 4) AS current_score, round(oldest, 4) AS previous_score, round(now - oldest, 4) AS delta, CASE WHEN now - oldest > 0.05 THEN 'increasing' WHEN now - oldest < -0.05 THEN 'decreasing' ELSE 'stable' END AS direction,
+  SELECT company_id, round(now, 4) AS current_score, round(oldest, 4) AS previous_score, round(now - oldest, 4) AS delta, CASE WHEN oldest > 0 THEN round(100 * (now - oldest) / oldest, 2) END AS percent, CASE WHEN now - oldest > 0.05 THEN 'increasing' WHEN now - oldest < -0.05 THEN 'decreasing' ELSE 'stable' END AS direction,
   round(coalesce(sd, 0), 4) AS volatility, round(lo, 4) AS lowest, round(hi, 4) AS highest, coalesce({_TIER.format('now')} <> {_TIER.format('before')}, false) AS tier_crossed, abs(now - oldest) > 0.3 AS significant FROM g WHERE n >= 2""")
 def risk_trends(t: Tables, step: float = 0.05, big: float = 0.3) -> DataFrame:
-    """Newest against oldest snapshot; tiers are compared with the second newest. No window over a company's rows: max_by with two keys."""
+    """Newest against oldest snapshot; tiers are compared with the second newest.
+
+    A company's rows are combined before they are shuffled; the two newest come by a limit of two a company, which Spark
+    also applies before the shuffle.
+    """
     at = F.struct("change_date", "snapshot_id")
-    two = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("change_date", "snapshot_id", "risk_score")))), 1, 2)
-    g = t.risk_snapshot.groupBy("company_id").agg(
-        two.alias("two"), F.min_by("risk_score", at).alias("oldest"), F.min("risk_score").alias("lo"), F.max("risk_score").alias("hi"), F.stddev_samp("risk_score").alias("sd"), F.count("*").alias("n"))
-    g = g.where("n >= 2").withColumn("now", F.col("two")[0]["risk_score"]).withColumn("before", F.col("two")[1]["risk_score"])
+    g = t.risk_snapshot.groupBy("company_id").agg(F.min_by("risk_score", at).alias("oldest"), F.min("risk_score").alias("lo"), F.max("risk_score").alias("hi"), F.stddev_samp("risk_score").alias("sd"), F.count("*").alias("n")).where("n >= 2")
+    newest = Window.partitionBy("company_id").orderBy(F.desc("change_date"), F.desc("snapshot_id"))
+    two = t.risk_snapshot.withColumn("k", F.row_number().over(newest)).where("k <= 2")
+    two = two.groupBy("company_id").agg(F.max(F.when(F.col("k") == 1, F.col("risk_score"))).alias("now"), F.max(F.when(F.col("k") == 2, F.col("risk_score"))).alias("before"))
     d = F.col("now") - F.col("oldest")
-    return g.select(
-        "company_id", F.round("now", 4).alias("current_score"), F.round("oldest", 4).alias("previous_score"), F.round(d, 4).alias("delta"),
+    return g.join(two, "company_id").select(
+        "company_id", F.round("now", 4).alias("current_score"), F.round("oldest", 4).alias("previous_score"), F.round(d, 4).alias("delta"), F.when(F.col("oldest") > 0, F.round(100 * d / F.col("oldest"), 2)).alias("percent"),
         F.when(d > step, "increasing").when(d < -step, "decreasing").otherwise("stable").alias("direction"), F.round("sd", 4).alias("volatility"),
         F.round("lo", 4).alias("lowest"), F.round("hi", 4).alias("highest"), (scoring.tier("now") != scoring.tier("before")).alias("tier_crossed"), (F.abs(d) > big).alias("significant"),
     )
 
 
-@query("risk_distribution", f"""WITH s AS (SELECT CAST(year(change_date) AS INTEGER) AS year, CAST(quarter(change_date) AS INTEGER) AS quarter, company_id, arg_max(risk_score, {{'a': change_date, 'b': snapshot_id}}) AS v FROM risk_snapshot GROUP BY 1, 2, 3)
-  SELECT year, quarter, count(*) AS companies, count(*) FILTER (v >= 0.7) AS high, count(*) FILTER (v >= 0.4 AND v < 0.7) AS medium, count(*) FILTER (v < 0.4) AS low, round(avg(v), 4) AS mean_score, round(median(v), 4) AS median_score, round(coalesce(stddev_samp(v), 0), 4) AS sd FROM s GROUP BY 1, 2""")
-def risk_distribution(t: Tables) -> DataFrame:
-    """The latest snapshot of each company in each quarter."""
-    s = t.risk_snapshot.groupBy(*quarter_of("change_date"), "company_id").agg(F.max_by("risk_score", F.struct("change_date", "snapshot_id")).alias("v"))
+@query("risk_distribution", f"""WITH s AS (SELECT CAST(year(change_date) AS INTEGER) AS year, CAST(quarter(change_date) AS INTEGER) AS quarter, company_id, arg_max(risk_score, {{'a': change_date, 'b': snapshot_id}}) AS v FROM risk_snapshot WHERE change_date >= DATE '2024-01-31' - INTERVAL 24 MONTH GROUP BY 1, 2, 3)
+  SELECT year, quarter, count(*) AS companies, count(*) FILTER (v >= 0.7) AS high, count(*) FILTER (v >= 0.4 AND v < 0.7) AS medium, count(*) FILTER (v < 0.4) AS low, round(100 * count(*) FILTER (v >= 0.7) / count(*), 2) AS high_percent, round(100 * count(*) FILTER (v >= 0.4 AND v < 0.7) / count(*), 2) AS medium_percent, round(100 * count(*) FILTER (v < 0.4) / count(*), 2) AS low_percent,
+  round(avg(v), 4) AS mean_score, round(median(v), 4) AS median_score, round(coalesce(stddev_samp(v), 0), 4) AS sd FROM s GROUP BY 1, 2""")
+def risk_distribution(t: Tables, quarters: int = 8, as_of: str = "2024-01-31") -> DataFrame:
+    """The latest snapshot of each company in each of the last quarters."""
+    rows = t.risk_snapshot.where(F.col("change_date") >= F.add_months(F.to_date(F.lit(as_of)), -3 * quarters))
+    s = rows.groupBy(*quarter_of("change_date"), "company_id").agg(F.max_by("risk_score", F.struct("change_date", "snapshot_id")).alias("v"))
     v = F.col("v")
-    return s.groupBy("year", "quarter").agg(F.count("*").alias("companies"), F.count_if(v >= 0.7).alias("high"), F.count_if((v >= 0.4) & (v < 0.7)).alias("medium"), F.count_if(v < 0.4).alias("low"), mean("v", "mean_score", 4), F.round(F.median("v"), 4).alias("median_score"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("sd"))
+    tiers = {"high": v >= 0.7, "medium": (v >= 0.4) & (v < 0.7), "low": v < 0.4}
+    counts = [F.count_if(c).alias(k) for k, c in tiers.items()] + [F.round(100 * F.count_if(c) / F.count("*"), 2).alias(f"{k}_percent") for k, c in tiers.items()]
+    return s.groupBy("year", "quarter").agg(F.count("*").alias("companies"), *counts, mean("v", "mean_score", 4), F.round(F.median("v"), 4).alias("median_score"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("sd"))
 
 
 @query("risk_changes", f"""WITH r AS (SELECT *, lag(risk_score) OVER (PARTITION BY company_id ORDER BY change_date, snapshot_id) AS before, row_number() OVER (PARTITION BY company_id ORDER BY change_date DESC, snapshot_id DESC) AS k FROM risk_snapshot)
-  SELECT company_id, round(risk_score - before, 4) AS delta, {_TIER.format('before')} AS old_tier, {_TIER.format('risk_score')} AS new_tier, CASE WHEN risk_score - before > 0.3 THEN 'critical' WHEN risk_score > before THEN 'increase' ELSE 'decrease' END AS kind FROM r WHERE k = 1 AND abs(risk_score - before) >= 0.01""")
-def risk_changes(t: Tables, least: float = 0.01, critical: float = 0.3) -> DataFrame:
-    order = Window.partitionBy("company_id").orderBy("change_date", "snapshot_id")
-    last = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("change_date"), F.desc("snapshot_id")))
-    r = t.risk_snapshot.withColumn("before", F.lag("risk_score").over(order)).withColumn("k", last)
-    d = F.col("risk_score") - F.col("before")
+  SELECT company_id, round(risk_score - before, 4) AS delta, {_TIER.format('before')} AS old_tier, {_TIER.format('risk_score')} AS new_tier, {_TIER.format('before')} <> {_TIER.format('risk_score')} AS crossed, CASE WHEN risk_score - before > 0.3 THEN 'critical' WHEN risk_score > before THEN 'increase' ELSE 'decrease' END AS kind
+  FROM r WHERE k = 1 AND abs(risk_score - before) >= 0.01 ORDER BY abs(risk_score - before) DESC, company_id LIMIT 20""", least=0.01)
+def risk_changes(t: Tables, least: float = 0.1, critical: float = 0.3, limit: int | None = 20) -> DataFrame:
+    """The largest steps from the snapshot before to the last one, and whether they cross a tier."""
+    newest = Window.partitionBy("company_id").orderBy(F.desc("change_date"), F.desc("snapshot_id"))
+    two = t.risk_snapshot.withColumn("k", F.row_number().over(newest)).where("k <= 2")
+    r = two.groupBy("company_id").agg(F.max(F.when(F.col("k") == 1, F.col("risk_score"))).alias("now"), F.max(F.when(F.col("k") == 2, F.col("risk_score"))).alias("before"))
+    d = F.col("now") - F.col("before")
     kind = F.when(d > critical, "critical").when(d > 0, "increase").otherwise("decrease")
-    return r.where((F.col("k") == 1) & (F.abs(d) >= least)).select("company_id", F.round(d, 4).alias("delta"), scoring.tier("before").alias("old_tier"), scoring.tier("risk_score").alias("new_tier"), kind.alias("kind"))
+    rows = top(r.where(F.abs(d) >= least), limit, F.desc(F.abs(d)), "company_id")
+    return rows.select("company_id", F.round(d, 4).alias("delta"), scoring.tier("before").alias("old_tier"), scoring.tier("now").alias("new_tier"), (scoring.tier("before") != scoring.tier("now")).alias("crossed"), kind.alias("kind"))
 
 
 @query("risk_by_sector", "SELECT ateco, count(*) AS companies, round(avg(risk_score), 4) AS avg_risk, count(*) FILTER (risk_score >= 0.7) AS high FROM company GROUP BY 1")
@@ -108,14 +124,34 @@ def snapshot_boundaries(t: Tables) -> DataFrame:
 
 
 @query("risk_spikes_between", f"""WITH s AS (SELECT company_id, CAST(change_date AS DATE) AS day, max(risk_score) AS v FROM risk_snapshot GROUP BY 1, 2) SELECT a.company_id, round(a.v, 4) AS old_value, round(b.v, 4) AS new_value, CASE WHEN b.v - a.v > 0.5 THEN 'critical' ELSE 'high' END AS severity
-  FROM s a JOIN s b ON a.company_id = b.company_id WHERE a.day = DATE '2024-01-10' AND b.day = DATE '2024-01-20' AND b.v - a.v > 0.01""")
-def risk_spikes_between(t: Tables, a: str = "2024-01-10", b: str = "2024-01-20", least: float = 0.01) -> DataFrame:
+  FROM s a JOIN s b ON a.company_id = b.company_id WHERE a.day = DATE '2024-01-10' AND b.day = DATE '2024-01-20' AND b.v - a.v > 0.01""", least=0.01)
+def risk_spikes_between(t: Tables, a: str = "2024-01-10", b: str = "2024-01-20", least: float = 0.3) -> DataFrame:
     s = t.risk_snapshot.groupBy("company_id", F.to_date("change_date").alias("day")).agg(F.max("risk_score").alias("v"))
     old, new = (s.where(F.col("day") == F.to_date(F.lit(d))).select("company_id", F.col("v").alias(n)) for d, n in ((a, "o"), (b, "n")))
     d = F.col("n") - F.col("o")
     return old.join(new, "company_id").where(d > least).select("company_id", F.round("o", 4).alias("old_value"), F.round("n", 4).alias("new_value"), F.when(d > 0.5, "critical").otherwise("high").alias("severity"))
 
 
+@query("community_migration", """WITH s AS (SELECT company_id, CAST(change_date AS DATE) AS day, max(snapshot_id) % 5 AS c FROM risk_snapshot GROUP BY 1, 2) SELECT a.company_id, a.c AS old_community, b.c AS new_community
+  FROM s a JOIN s b ON a.company_id = b.company_id WHERE a.day = DATE '2024-01-10' AND b.day = DATE '2024-01-20' AND a.c <> b.c""")
+def community_migration(t: Tables, a: str = "2024-01-10", b: str = "2024-01-20") -> DataFrame:
+    """Entities whose community (here the last snapshot's number by five) is another one on a later day."""
+    s = t.risk_snapshot.groupBy("company_id", F.to_date("change_date").alias("day")).agg((F.max("snapshot_id") % 5).alias("c"))
+    old, new = (s.where(F.col("day") == F.to_date(F.lit(d))).select("company_id", F.col("c").alias(n)) for d, n in ((a, "old_community"), (b, "new_community")))
+    return old.join(new, "company_id").where("old_community <> new_community")
+
+
+@query("link_diff", """WITH a AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione <= DATE '1998-01-01' AND importo > 300000), b AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione BETWEEN DATE '1997-01-01' AND DATE '1998-06-01' AND importo > 300000)
+  SELECT coalesce(a.company_id, b.company_id) AS src, 'WINS' AS kind, coalesce(a.tender_id, b.tender_id) AS dst, CASE WHEN a.company_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM a FULL JOIN b ON a.company_id = b.company_id AND a.tender_id = b.tender_id WHERE a.company_id IS NULL OR b.company_id IS NULL""")
+def link_diff(t: Tables) -> DataFrame:
+    """Links of companies that a later state of the graph has and an earlier one has not, and the other way round."""
+    day = F.col("data_aggiudicazione")
+    e = t.wins.where("importo > 300000").select(F.col("company_id").alias("src"), F.lit("WINS").alias("kind"), F.col("tender_id").alias("dst"), day)
+    old = e.where(day <= F.to_date(F.lit("1998-01-01"))).drop("data_aggiudicazione")
+    new = e.where(day.between(F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1998-06-01")))).drop("data_aggiudicazione")
+    return upsert.link_diff(old, new)
+
+
 @query("as_of_wins_diff", """WITH s AS (SELECT company_id, count(*) FILTER (data_aggiudicazione <= DATE '1998-01-01') AS a, count(*) FILTER (data_aggiudicazione <= DATE '1999-01-01') AS b FROM wins GROUP BY 1)
   SELECT company_id, a AS links_before, b - a AS links_added FROM s WHERE b > a""")
 def as_of_wins_diff(t: Tables, a: str = "1998-01-01", b: str = "1999-01-01") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators import alerts
+from veritrace.operators import alerts, comments
 from veritrace.plans.base import joined, mean, query, top
 from veritrace.sources.tables import ALERT_AS_OF, AS_OF, Tables
 
@@ -215,6 +215,17 @@ def comment_threads(t: Tables) -> DataFrame:
     return rows.select("conv_id", "f.turn", "f.text", "reply_count")
 
 
+@query("comment_replies", "SELECT conv_id, count(*) - 1 AS replies, coalesce(array_to_string(list_slice(list(turn ORDER BY turn), 2, 51), ','), '') AS shown FROM conversations GROUP BY 1")
+def comment_replies(t: Tables) -> DataFrame:
+    """Threads with the first replies listed; a conversation's first turn is the comment, all others answer it."""
+    rows = t.raw("conversations")
+    first = rows.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    own = F.concat_ws(":", F.lpad(F.col("turn").cast("string"), 9, "0"), "conv_id")
+    c = rows.join(first, "conv_id").select(own.alias("comment_id"), F.when(F.col("turn") != F.col("_first"), F.concat_ws(":", F.lpad(F.col("_first").cast("string"), 9, "0"), "conv_id")).alias("parent_id"), F.col("conv_id").cast("string").alias("entity_id"), F.col("role").alias("author"), "text", F.timestamp_seconds("turn").alias("created_at"))
+    turn = F.transform("shown", lambda x: F.split(x, ":")[0].cast("bigint").cast("string"))
+    return comments.threads(c).select(F.col("entity_id").cast("bigint").alias("conv_id"), "replies", F.array_join(turn, ",").alias("shown"))
+
+
 @query("comment_search", "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'the') AND role = 'user'")
 def comment_search(t: Tables, word: str = "the", role: str = "user") -> DataFrame:
     return t.raw("conversations").where(F.lower("text").contains(word) & (F.col("role") == role)).select("conv_id", "turn", "role")

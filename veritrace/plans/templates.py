@@ -100,12 +100,17 @@ def tenders_by_procedure(t: Tables) -> DataFrame:
     return t.tender.groupBy(F.col("procedura").alias("procedure_type")).agg(F.count("*").alias("n"), total("importo", "total_value"), mean("importo", "avg_value", 6))
 
 
-@query("ownership_chain", """WITH RECURSIVE p AS (SELECT owner_id AS owner, company_id AS start, quota, 1 AS hops, [company_id, owner_id] AS chain FROM shareholder_of WHERE company_id = 77
-  UNION ALL SELECT s.owner_id, p.start, s.quota, hops + 1, list_append(chain, s.owner_id) FROM p JOIN shareholder_of s ON s.company_id = p.owner WHERE hops < 10 AND NOT list_contains(chain, s.owner_id))
-  SELECT owner, hops, quota, array_to_string(chain, '>') AS chain FROM p""")
-def ownership_chain(t: Tables, company_id: int = 77, depth: int = 10) -> DataFrame:
-    edges = t.shareholder_of.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst"), "quota")
+@query("ownership_chain", f"""WITH RECURSIVE e AS (SELECT s.* FROM shareholder_of s JOIN company a ON s.company_id = a.company_id JOIN company b ON s.owner_id = b.company_id WHERE a.{VALID.replace(' AND (valid_to', ' AND (a.valid_to').replace('OR valid_to', 'OR a.valid_to')} AND b.{VALID.replace(' AND (valid_to', ' AND (b.valid_to').replace('OR valid_to', 'OR b.valid_to')}),
+  p AS (SELECT owner_id AS owner, company_id AS start, quota, 1 AS hops, [company_id, owner_id] AS chain FROM e WHERE company_id = 77
+  UNION ALL SELECT s.owner_id, p.start, s.quota, hops + 1, list_append(chain, s.owner_id) FROM p JOIN e s ON s.company_id = p.owner WHERE hops < 10 AND NOT list_contains(chain, s.owner_id))
+  SELECT owner, hops, quota, array_to_string(chain, '>') AS chain FROM p ORDER BY hops, quota DESC, p.chain LIMIT 500""")
+def ownership_chain(t: Tables, company_id: int = 77, depth: int = 10, as_of: str = AS_OF, limit: int = 500) -> DataFrame:
+    """Owners above a company over links between companies that are valid at a day: the nearest first, then the largest quota."""
+    valid = valid_at(t.company, as_of).select("company_id")
+    edges = t.shareholder_of.join(valid, "company_id", "left_semi").join(valid.select(F.col("company_id").alias("owner_id")), "owner_id", "left_semi")
+    edges = edges.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst"), "quota")
     rows = paths(edges, t.spark.range(company_id, company_id + 1).select(F.col("id").alias("start")), depth, carry="quota")
+    rows = top(rows, limit, "hops", F.desc("last"), "chain")
     return rows.select(F.col("node").alias("owner"), "hops", F.col("last").alias("quota"), F.array_join("chain", ">").alias("chain"))
 
 
