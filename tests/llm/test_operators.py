@@ -135,3 +135,30 @@ def test_personal_data():
     text = 'write a.b@c.de, 10.0.0.1 or token = "7c72db563d7f6e50cec00950f7bab1f2223b6afd"'
     assert [s[0] for s in pii.all_spans(text, model)] == ["email", "ip", "secret"]
     assert "[EMAIL]" in pii.redact(text, pii.all_spans(text, model))
+
+
+def test_bpe_query(spark, folder):
+    from tokenizers import Tokenizer
+
+    kind, d = folder
+    if kind == "none":
+        return
+    theirs = Tokenizer.from_file(bpe.default_path())
+    want = []
+    for r in ROWS:
+        ids = theirs.encode(r[1] or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False)
+        want.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    got = registry.QUERIES["op4_bpe"](spark, d).collect()
+    assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+
+
+def test_decontaminate_query(spark, folder):
+    kind, d = folder
+    if kind == "none":
+        return
+    got = {r["doc_id"]: r for r in registry.QUERIES["op5_decontaminate"](spark, d).collect()}
+    one = hashlib.sha256(b"1").hexdigest()
+    assert (got[4]["n_hit"], got[4]["n_items"], got[4]["items_sha256"], got[4]["contaminated"]) == (20, 1, one, True)
+    assert (got[3]["n_hit"], got[3]["n_items"], got[3]["items_sha256"]) == (1, 1, hashlib.sha256(b"3").hexdigest())
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["items_sha256"], got[1]["contaminated"]) == (0, 0, hashlib.sha256(b"").hexdigest(), False)

@@ -305,7 +305,8 @@ def decode(df: DataFrame, key: str = "doc_id", path: str | None = None) -> DataF
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and what they decode to, as digests.
 
-    Null texts count as empty; repeated rows are encoded each; extra columns are not read.
+    Null texts count as empty; of pairs with one rank the leftmost is merged first; repeated rows are encoded each; extra
+    columns are not read; an empty table gives no rows.
     """
     found = encode(read(spark, sf_dir, "documents"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")

@@ -11,28 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from veritrace.operators.components import cut
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in
-    tests, one below the warehouse is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        )
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table in the same folder: smaller, and read back by column."""
+    """Like ``cut``, as a Parquet table in the same folder: smaller, and read back by column."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         cut(df.sparkSession.range(1))

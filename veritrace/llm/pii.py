@@ -368,8 +368,8 @@ def redact_documents(df: DataFrame) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base spans by kind and digests of all spans.
 
-    Null and empty texts have none (the digest of the empty string); repeated rows are judged each; extra
-    columns are not read.
+    Null and empty texts have none (the digest of the empty string); spans that begin at one place come by kind; repeated
+    rows are judged each; extra columns are not read; an empty table gives no rows.
     """
     found = find_spans(read(spark, sf_dir, "documents")).withColumn("s", F.arrays_zip("kinds", "starts", "ends", "by_rule"))
     base = F.filter("s", lambda s: s["by_rule"])
