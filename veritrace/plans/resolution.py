@@ -44,7 +44,7 @@ def part_jaccard(t: Tables, threshold: float = 0.75) -> DataFrame:
 def nearest_vectors(t: Tables, vec_id: int = 7, k: int = 20) -> DataFrame:
     """Top k by cosine with one vector, which is read first; a vector of zeros is near to none."""
     rows = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = rows.where(F.col("vec_id") == vec_id).select(F.col("e").alias("q"))
+    q = rows.where(F.col("vec_id") == vec_id).limit(1).select(F.col("e").alias("q"))
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -111,5 +111,5 @@ def geo_links(t: Tables) -> DataFrame:
 
 @query("region_directory", "SELECT r_name AS regione, array_to_string(list_sort(list(n_name)), ',') AS province FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def region_directory(t: Tables) -> DataFrame:
-    rows = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy(F.col("r_name").alias("regione")).agg(joined(F.collect_list("n_name")).alias("province"))

@@ -25,7 +25,7 @@ def companies_by_region(t: Tables, region: str = "EUROPE", as_of: str = AS_OF, l
   FROM company c LEFT JOIN wins w ON c.company_id = w.company_id WHERE cf = '{_CF}' AND {VALID} GROUP BY ALL""")
 def company_by_cf(t: Tables, cf: str = _CF, as_of: str = AS_OF) -> DataFrame:
     c = valid_at(t.company.where(F.col("cf") == cf), as_of)
-    w = t.wins.join(F.broadcast(c.select("company_id")), "company_id", "left_semi").groupBy("company_id").agg(F.count("*").alias("n"), F.sum("importo").alias("v"))
+    w = t.wins.join(c.select("company_id"), "company_id", "left_semi").groupBy("company_id").agg(F.count("*").alias("n"), F.sum("importo").alias("v"))
     return c.join(w, "company_id", "left").select("nome", "cf", "risk_score", joined("anomaly_flags").alias("flags"), "regione", F.coalesce("n", F.lit(0)).alias("total_tenders"), F.round(F.coalesce("v", F.lit(0.0)), 2).alias("total_value"))
 
 
@@ -86,7 +86,7 @@ def project_funding_analysis(t: Tables, limit: int = 20) -> DataFrame:
   WHERE cf = '{_CF}' AND {VALID} ORDER BY importo DESC, cig LIMIT 20""")
 def tender_to_project(t: Tables, cf: str = _CF, as_of: str = AS_OF, limit: int = 20) -> DataFrame:
     c = valid_at(t.company.where(F.col("cf") == cf), as_of).select("company_id")
-    rows = t.wins.join(F.broadcast(c), "company_id", "left_semi").join(t.project, "project_id")  # one cf is one company
+    rows = t.wins.join(c, "company_id", "left_semi").join(t.project, "project_id")
     return top(rows.select("cig", "cup", "titolo", "importo"), limit, F.desc("importo"), "cig")
 
 

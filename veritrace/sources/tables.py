@@ -33,8 +33,8 @@ class Tables:
     @cached_property
     def company(self) -> DataFrame:
         k = F.col("s_suppkey")
-        geo = self.raw("nation").join(F.broadcast(self.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-        return self.raw("supplier").join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        geo = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return self.raw("supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select(
             k.alias("company_id"), F.format_string("CF%09d", k).alias("cf"), F.col("s_name").alias("nome"), F.col("n_name").alias("provincia"),
             F.col("r_name").alias("regione"), F.col("s_nationkey").cast("string").alias("cod_istat"), (41 + k % 5).cast("string").alias("ateco"),
             (F.col("s_nationkey") % 5).cast("long").alias("community_id"), ((k * 37) % 100 / 100.0).alias("risk_score"),

@@ -1 +1 @@
-
+"""The same alerts and loads from streams."""
