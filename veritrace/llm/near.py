@@ -26,7 +26,7 @@ WIDTH, LEAST = 5, (4, 5)
 BITS = 3
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
-AT_ONCE, COMMON, MOST = 8_000_000, 3, 1_000_000
+AT_ONCE, COMMON, MOST = 3_000_000, 3, 1_000_000
 #: Sets that one lead is compared with in one task.
 PART = 2000
 #: Words whose hashes a task remembers.
@@ -220,30 +220,24 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Sets without a link are not in the second table: each is a group of its own.
 
-    Links are looked for in three rounds, and a round compares only sets that the ones before it have left in different
-    groups: sets whose fingerprints the trie finds near; each set and one leader for every shingle that its prefix
-    shares; the others that share such a shingle.
+    Links are looked for in three rounds: between sets whose fingerprints the trie finds near; between each set and one
+    leader for every shingle that its prefix shares; and between the others that share such a shingle and are in
+    different groups by then.
     """
     marked = _marked(docs)
     texts = stored(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     prints = cut(texts.groupBy("fp").agg(F.min("sig").alias("src")))
     near = simhash.link(prints.select("fp"), BITS)
     near = near.join(prints.toDF("src", "s"), "src").join(prints.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
-    links = _verified(docs, marked, texts, near.union(texts.join(prints, "fp").where("sig <> src").select("src", "sig"))).where(_linked()).select("src", "dst")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of sets that links leave in different groups."""
-        group = connected_components(links)
-        a, b = group.toDF("src", "_a"), group.toDF("dst", "_b")
-        return pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
-
+    first = near.union(texts.join(prints, "fp").where("sig <> src").select("src", "sig"))
+    links = _verified(docs, marked, texts, first).where(_linked()).select("src", "dst")
     firsts = marked.select("sig", "n", "prefix").dropDuplicates(["sig"])
     tokens = firsts.select("sig", "n", F.explode("prefix").alias("token"))
     alike = Window.partitionBy("token")
     heads = tokens.withColumns({"size": F.count("*").over(alike), "head": F.min(F.struct("sig", "n")).over(alike)}).where("size > 1")
     shared = stored(heads.select("token", "sig", "n", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
-    star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl")).select(F.col("lead").alias("src"), F.col("sig").alias("dst")).distinct()
-    links = cut(links.union(_verified(docs, marked, texts, apart(star)).where(_linked()).select("src", "dst")))
+    star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl")).select(F.col("lead").alias("src"), F.col("sig").alias("dst"))
+    links = links.union(_verified(docs, marked, texts, star.join(links, ["src", "dst"], "left_anti")).where(_linked()).select("src", "dst"))
     group = connected_components(links).toDF("sig", "c")
     named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(group, "sig", "left").select("token", "sig", "n", F.coalesce("c", "sig").alias("c"))
     more = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
@@ -251,8 +245,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = named.select("token", F.col("sig").alias("src"), F.col("n").alias("ns"), F.col("c").alias("ca"))
     b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("c").alias("cb"))
     rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd")).select("src", "dst")
-    links = links.union(_verified(docs, marked, texts, rest).where(_linked()).select("src", "dst"))
-    return marked.select("doc_id", "a", "b", "sig"), connected_components(links).withColumnRenamed("node", "sig")
+    more = cut(_verified(docs, marked, texts, rest).where(_linked()).select("src", "dst"))
+    group = group if more.isEmpty() else connected_components(links.union(more)).toDF("sig", "c")
+    return marked.select("doc_id", "a", "b", "sig"), group.withColumnRenamed("c", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
