@@ -24,13 +24,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Edges count both ways; nulls and self-loops are dropped, so a node with no other edge is not in the
     result. Every round hooks each group onto its smallest neighbour, follows the new pointers twice and
-    keeps only the distinct edges between different groups, so groups with edges at least halve. Joins are
-    on unique right sides, which go to all tasks while they are few, so that a giant group's rows stay where they are;
-    sums are minima, so a hub is combined before it is shuffled.
+    keeps only the distinct edges between different groups, so groups with edges at least halve. The rounds'
+    pointers are followed one after the other at the end. Joins are on unique right sides, which go to all
+    tasks while they are few, so that a giant group's rows stay where they are; sums are minima, so a hub is
+    combined before it is shuffled.
     """
     pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"))
     left = cut(pairs.where(F.col("u") < F.col("v")).distinct())
-    labels = cut(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("component", F.col("node")))
+    labels = left.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
+    hooks = []
     while not left.isEmpty():
         both = left.union(left.select("v", "u"))
         hook = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("to")))
@@ -38,13 +40,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             far = hook.select(F.col("c").alias("to"), F.col("to").alias("_to"))
             hook = hook.join(far, "to", "left").select("c", F.coalesce("_to", "to").alias("to"))
         hook = cut(hook)
+        hooks.append(hook)
         hook = F.broadcast(hook) if hook.count() <= BROADCAST_ROWS else hook
-        labels = cut(
-            labels.join(hook, labels["component"] == hook["c"], "left").select("node", F.coalesce("to", "component").alias("component"))
-        )
         for end in ("u", "v"):
             other = "v" if end == "u" else "u"
             left = left.join(hook, left[end] == hook["c"]).select(F.col("to").alias(end), other)
         left = left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         left = cut(left.where(F.col("u") < F.col("v")).distinct())
-    return labels
+    for n, hook in enumerate(reversed(hooks)):
+        # every node of the first round is a group of its own, so its pointers are all nodes' labels
+        later = labels.select(F.col("node").alias("to"), "component")
+        labels = hook.join(later, "to", "left").select(F.col("c").alias("node"), F.coalesce("component", "to").alias("component")) if n else hook.select(F.col("c").alias("node"), F.col("to").alias("component"))
+        if n % 4 == 3:
+            labels = cut(labels)
+    return cut(labels) if hooks else labels
