@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritrace.operators import access, recommend, resolve, subgraph
 
@@ -168,6 +169,30 @@ def test_merge_and_undo(spark, tmp_path):
         resolve.merge(rows, edges, 2, 77, str(tmp_path / "n"))
 
 
+def test_greedy_is_one_pass(spark):
+    r = random.Random(31)
+    pairs = {(a, b): round(r.uniform(0.7, 1.0), 2) for a, b in (sorted(r.sample(range(40), 2)) for _ in range(70))}
+    gone = {}
+    for (a, b), s in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+        if s >= 0.92 and a not in gone and b not in gone:
+            gone[b] = a
+    last = lambda x: last(gone[x]) if x in gone else x
+    df = resolve.tiers(spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, score double"))
+    assert {x["id"]: x["canonical"] for x in resolve.greedy_ids(df).collect()} == {k: last(k) for k in gone} and len(gone) > 8
+
+
+def test_candidates(spark):
+    rows = spark.createDataFrame([(1, "Alfa Ponti srl", "H1", "C1"), (2, "Ponti Alfa", "H1", "C2"), (3, "Beta", "H1", "C1"), (4, "Alfa Ponte", "H2", None), (5, "Zeta Molto Lunga Davvero", "H1", None), (6, None, "H1", None)], "id long, nome string, cod_istat string, cf string")
+    got = {(r["a"], r["b"]): round(r["score"], 3) for r in resolve.candidates(rows).collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 1.0}
+    assert resolve.merged_ids(resolve.tiers(resolve.candidates(rows))).count() == 3
+
+
+def test_person_keys(spark):
+    df = spark.createDataFrame([(" Rossini", "bari", "x1"), ("Li", None, None)], "s string, b string, cf string")
+    assert [x[0] for x in df.select(resolve.person_keys(F.col("s"), F.col("b"), F.col("cf"))).collect()] == [["PERS_ROSS_BARI", "CF_X1"], []]
+
+
 def test_weighted_score(spark):
     s = "struct<cf:string,nome:string,cod_istat:string,ateco:string>"
     df = spark.createDataFrame([(("1", "Alfa", "H", "41.2"), ("1", "Alfa srl", "H", "41")), (("1", "Alfa", "H", "41"), ("2", None, None, "42"))], f"a {s}, b {s}")

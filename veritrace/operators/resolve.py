@@ -14,6 +14,11 @@ def block_keys(name: Column, istat: Column, cf: Column) -> Column:
     return F.array_compact(F.array(F.concat(F.lit("PHON_"), phonetic_key(name)), F.concat(F.lit("GEO_"), istat), F.concat(F.lit("CF_"), cf)))
 
 
+def person_keys(surname: Column, birthplace: Column, cf: Column) -> Column:
+    """Keys of persons by the first four letters of the surname with the birthplace, and by tax code; null parts give no key."""
+    return F.array_compact(F.array(F.concat(F.lit("PERS_"), F.substring(F.upper(F.trim(surname)), 1, 4), F.lit("_"), F.upper(F.trim(birthplace))), F.concat(F.lit("CF_"), F.upper(cf))))
+
+
 def block_pairs(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     """Unordered id pairs (a, b) that share a value of ``key`` (a column or an array of keys); each pair once."""
     kind = rows.schema[key].dataType.simpleString()
@@ -67,10 +72,17 @@ def match_score(a: str, b: str) -> Column:
 
 
 def candidates(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, score) of rows (id, nome, cod_istat, cf) that share a block and score enough."""
+    """(a, b, score) of rows (id, nome, cod_istat, cf) that share a block and score enough.
+
+    A ratio of names is at most twice the shorter over both lengths, so pairs that this keeps below the threshold are not
+    compared.
+    """
     keyed = rows.withColumn("keys", block_keys(F.col("nome"), F.col("cod_istat"), F.col("cf")))
-    s = rows.select("id", F.struct("nome", "cod_istat", "cf").alias("s"))
-    pairs = block_pairs(keyed, "keys").join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    s = rows.select("id", F.struct("nome", "cod_istat", "cf").alias("s"), F.coalesce(F.char_length(normalize_name(F.col("nome"))), F.lit(0)).alias("n"))
+    pairs = block_pairs(keyed, "keys").join(s.toDF("a", "sa", "na"), "a").join(s.toDF("b", "sb", "nb"), "b")
+    same = lambda c: F.coalesce(F.col(f"sa.{c}") == F.col(f"sb.{c}"), F.lit(False))
+    most = 0.7 * F.coalesce(F.try_divide(2 * F.least("na", "nb"), F.col("na") + F.col("nb")), F.lit(1.0)) + 0.3 * same("cod_istat").cast("double")
+    pairs = pairs.where(same("cf") | (most >= threshold))
     return pairs.withColumn("score", match_score("sa", "sb")).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
@@ -86,6 +98,27 @@ def merged_ids(pairs: DataFrame) -> DataFrame:
     return connected_components(sure).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
 
 
+def greedy_ids(pairs: DataFrame) -> DataFrame:
+    """(id, canonical) as one pass over accepted pairs by falling score would give: a pair whose two ids are both still
+    there merges the larger into the smaller, and what is merged away takes part no more.
+
+    In rounds, every pair that comes before all other undecided pairs of both its ids is decided, so the result is that of
+    the single pass, whatever the number of pairs; ties go by the ids. Chains of merges end at their last id.
+    """
+    left = cut(pairs.where("tier <> 'needs_review'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct())
+    made = left.select(F.col("b").alias("id"), F.col("a").alias("to")).limit(0)
+    while not left.isEmpty():
+        at = F.struct((-F.col("score")).alias("k"), "a", "b")
+        first = left.select(F.explode(F.array("a", "b")).alias("id"), at.alias("at")).groupBy("id").agg(F.min("at").alias("first"))
+        own = left.withColumn("at", at).join(first.toDF("a", "fa"), "a").join(first.toDF("b", "fb"), "b")
+        now = cut(own.where("at = fa AND at = fb").select(F.col("b").alias("id"), F.col("a").alias("to")))
+        made = cut(made.union(now))
+        gone = now.select("id")
+        left = cut(left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b", "score"))
+    ends = connected_components(made.select(F.col("id").alias("src"), F.col("to").alias("dst")))
+    return ends.where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("canonical"))
+
+
 def rewrite(edges: DataFrame, ids: DataFrame, *ends: str) -> DataFrame:
     """Edges with the given columns mapped to canonical ids; equal edges become one."""
     columns = edges.columns
