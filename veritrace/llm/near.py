@@ -23,7 +23,7 @@ from veritrace.operators.components import connected_components
 #: Words of a shingle, and the least similarity of a link as a fraction.
 WIDTH, LEAST = 5, (4, 5)
 #: Bits that the fingerprints of a first candidate pair may differ in.
-BITS = 3
+BITS = 2
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
 AT_ONCE, COMMON, MOST = 3_000_000, 3, 1_000_000

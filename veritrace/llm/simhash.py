@@ -14,7 +14,7 @@ from veritrace.llm.common import cut, frequent, join_frequent, map_rows, read
 from veritrace.operators.components import connected_components
 
 #: A trie node with at most so many fingerprints is one side of a task, whatever their number in all.
-LEAF = 65_536
+LEAF = 16_384
 #: Shingle hashes whose bits are counted at once.
 AT_ONCE = 1_000_000
 #: Node pairs with at most so many combinations are compared directly.
