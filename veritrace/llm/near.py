@@ -26,7 +26,7 @@ WIDTH, LEAST = 5, (4, 5)
 BITS = 2
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
-AT_ONCE, COMMON, MOST = 3_000_000, 3, 1_000_000
+AT_ONCE, COMMON, MOST = 1_000_000, 2, 1_000_000
 #: Sets that one lead is compared with in one task.
 PART = 2000
 #: Words whose hashes a task remembers.
@@ -151,10 +151,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own, of = np.zeros(0, np.uint64), None
     for b in batches:
         out: list[tuple] = []
-        for lead, part, member, sig, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            s = np.frombuffer(raw, np.uint64)
+        grams = b.column(4)  # not copied
+        for i, (lead, part, member, sig) in enumerate(zip(*[c.to_pylist() for c in b.columns[:4]], strict=True)):
+            s = np.frombuffer(grams[i].as_buffer(), np.uint64)
             if not member:
-                own, of = s, (lead, part)
+                own, of = s.copy(), (lead, part)
             elif of == (lead, part):
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
                 out.append((lead, sig, len(own), len(s), int((own[at] == s).sum())))
