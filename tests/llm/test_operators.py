@@ -53,7 +53,9 @@ def test_bpe_is_the_librarys():
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False) == t
 
 
-def test_trie_pairs():
+@pytest.mark.parametrize("together", [7, 1 << 16])
+def test_trie_pairs(monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     r = np.random.default_rng(5)
     a = np.unique(np.concatenate([r.integers(0, 2**64, 300, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
     i, j = simhash.trie_pairs(a, a, 2, True)

@@ -14,11 +14,13 @@ from veritrace.llm.common import cut, frequent, join_frequent, map_rows, read
 from veritrace.operators.components import connected_components
 
 #: A trie node with at most so many fingerprints is one side of a task, whatever their number in all.
-LEAF = 16_384
+LEAF = 65_536
 #: Shingle hashes whose bits are counted at once.
 AT_ONCE = 1_000_000
 #: Node pairs with at most so many combinations are compared directly.
 DIRECT = 32
+#: Node pairs that descend together; more wait for their turn, so that memory does not grow with the nodes.
+TOGETHER = 1 << 16
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,12 +83,14 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[n
     ``same``, a is b and each unordered pair comes once.
     """
     one = np.uint64(1)
-    front = [np.array([x], np.int64) for x in (0, len(a), 0, len(b), 0)] if len(a) and len(b) else [np.zeros(0, np.int64)] * 5
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for bit in range(63, -2, -1):
+    waiting = [(63, [np.array([x], np.int64) for x in (0, len(a), 0, len(b), 0)])] if len(a) and len(b) else []
+    while waiting:
+        bit, front = waiting.pop()
+        if len(front[0]) > TOGETHER:
+            waiting += [(bit, [c[k : k + TOGETHER] for c in front]) for k in range(0, len(front[0]), TOGETHER)]
+            continue
         alo, ahi, blo, bhi, err = front
-        if not len(alo):
-            break
         size = (ahi - alo) * (bhi - blo)
         small = (size <= DIRECT) | (bit < 0)
         if small.any():
@@ -100,8 +104,8 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[n
                 near &= i < j
             found.append((i[near], j[near]))
             alo, ahi, blo, bhi, err = (v[~small] for v in front)
-            if not len(alo):
-                break
+        if not len(alo):
+            continue
         shift = np.uint64(bit)
 
         def middle(x, lo, hi, shift=shift):
@@ -116,7 +120,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[n
             live = (cols[1] > cols[0]) & (cols[3] > cols[2])
             live = live if ok is None else live & ok
             kids.append([c[live] for c in cols])
-        front = [np.concatenate(c) for c in zip(*kids, strict=True)]
+        waiting.append((bit - 1, [np.concatenate(c) for c in zip(*kids, strict=True)]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
