@@ -30,6 +30,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 #: Characters of text that one Python step holds at a time; batches of long texts are cut to it.
 CHARS_AT_ONCE = 1_000_000
+#: Rows that Spark sends to Python at a time, at most: a batch of texts lies in memory four times, on its way in and out.
+ROWS_AT_ONCE = 2_000
 
 
 def map_rows(
@@ -44,8 +46,11 @@ def map_rows(
     ``work`` gets an iterator of column lists and yields dicts of column lists or Arrow arrays; groups are cut
     so that the last of ``columns``, the text, stays under CHARS_AT_ONCE bytes a group, or is one row.
     ``carry`` names columns of any type that pass by unchanged, and their names in the result; it asks for one
-    yield of as many rows for each group.
+    yield of as many rows for each group. The session's Arrow batches are brought down to ROWS_AT_ONCE rows.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= ROWS_AT_ONCE:
+        df.sparkSession.conf.set(rows, ROWS_AT_ONCE)
     carry = carry or {}
     made = StructType.fromDDL(schema)
     fields = [(f.name, _arrow(f.dataType.simpleString())) for f in made.fields]

@@ -23,7 +23,7 @@ OWN_TEXTS, OWN_MODELS = 500, 1000
 #: n-grams of all models that tasks hold as arrays (12 bytes each); more are joined.
 MODEL_ROWS = 8_000_000
 #: Counts that a task gathers before it adds up those of equal n-grams; if half remain, it passes them on.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: A text is kept if its log2 perplexity is within the middle half of its language's texts, widened by so many times that
 #: half's width on either side. Languages with fewer than SCORED texts that pass the base rules have no band.
 RANGES, SCORED = 5.0, 30
