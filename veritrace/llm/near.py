@@ -27,8 +27,8 @@ BITS = 2
 #: Shingles counted at once in a task; those found COMMON times among them are ordered by their counts, after all
 #: others. At most MOST of them: the order decides how many candidates there are, never which links are found.
 AT_ONCE, COMMON, MOST = 1_000_000, 2, 1_000_000
-#: Sets that one lead is compared with in one task.
-PART = 2000
+#: Sets that one lead is compared with in one task, and the ranges of hashes that a set is sent in.
+PART, SLICES = 2000, 8
 #: Words whose hashes a task remembers.
 _WORDS = 100_000
 
@@ -146,19 +146,25 @@ def _marked(docs: DataFrame) -> DataFrame:
     return stored(map_rows(rows, ["text"], "sig bigint, n int, fp bigint, sketch binary, prefix array<bigint>", work, {"doc_id": "doc_id", a: "a", b: "b"}))
 
 
+def _sliced(s: np.ndarray) -> list[bytes]:
+    """A sorted set in SLICES ranges of its hashes, so that rows stay short."""
+    cuts = np.searchsorted(s, np.arange(1, SLICES, dtype=np.uint64) * np.uint64((1 << 64) // SLICES))
+    return [x.tobytes() for x in np.split(s, cuts)]
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (lead, part, member, sig, grams) in order, a lead's own set before its members': (src, dst, ns, nd, both) of each member."""
+    """Of rows (lead, part, slice, member, sig, grams) in order, a lead's own slice before its members': (src, dst, ns, nd, both) of each member's slice."""
     own, of = np.zeros(0, np.uint64), None
     for b in batches:
         out: list[tuple] = []
-        grams = b.column(4)  # not copied
-        for i, (lead, part, member, sig) in enumerate(zip(*[c.to_pylist() for c in b.columns[:4]], strict=True)):
+        grams = b.column(5)  # not copied
+        for i, (lead, part, k, member, sig) in enumerate(zip(*[c.to_pylist() for c in b.columns[:5]], strict=True)):
             s = np.frombuffer(grams[i].as_buffer(), np.uint64)
             if not member:
-                own, of = s.copy(), (lead, part)
-            elif of == (lead, part):
+                own, of = s.copy(), (lead, part, k)
+            elif of == (lead, part, k):
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                out.append((lead, sig, len(own), len(s), int((own[at] == s).sum())))
+                out.append((lead, sig, len(own), len(s), int((own[at] == s).sum()) if len(own) else 0))
         columns = zip(*out, strict=True) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst", "ns", "nd", "both"])
 
@@ -199,11 +205,14 @@ def _verified(docs: DataFrame, marked: DataFrame, texts: DataFrame, pairs: DataF
     def work(groups):
         known = _Hashes()
         for (texts,) in groups:
-            yield {"grams": [shingles(t, known).tobytes() for t in texts]}
-
-    made = map_rows(rows, ["text"], "grams binary", work, {"sig": "sig", "to": "to"}).dropDuplicates(["sig"])
-    sent = made.select(F.inline("to"), "sig", "grams").repartition("lead", "part").sortWithinPartitions("lead", "part", "member")
-    return cut(sent.mapInArrow(_overlaps, "src bigint, dst bigint, ns bigint, nd bigint, both bigint"))
+            yield {"slices": [_sliced(shingles(t, known)) for t in texts]}
+
+    made = map_rows(rows, ["text"], "slices array<binary>", work, {"sig": "sig", "to": "to"}).dropDuplicates(["sig"])
+    sent = made.select("to", "sig", F.posexplode("slices").alias("slice", "grams")).select(F.inline("to"), "slice", "sig", "grams")
+    order = ["lead", "part", "slice", "member"]
+    sent = sent.select(*order, "sig", "grams").repartition("lead", "part").sortWithinPartitions(*order)
+    found = sent.mapInArrow(_overlaps, "src bigint, dst bigint, ns bigint, nd bigint, both bigint")
+    return cut(found.groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in ("ns", "nd", "both")]))
 
 
 def _similar(a: str, b: str):
