@@ -236,7 +236,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     marked = _marked(docs)
     texts = stored(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    prints = cut(texts.groupBy("fp").agg(F.min("sig").alias("src")))
+    prints = texts.groupBy("fp").agg(F.min("sig").alias("src"))
     near = simhash.link(prints.select("fp"), BITS)
     near = near.join(prints.toDF("src", "s"), "src").join(prints.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
     first = near.union(texts.join(prints, "fp").where("sig <> src").select("src", "sig"))
@@ -251,11 +251,11 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = connected_components(links).toDF("sig", "c")
     named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(group, "sig", "left").select("token", "sig", "n", F.coalesce("c", "sig").alias("c"))
     more = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    named = cut(named.join(more, "token", "left_semi"))
+    named = named.join(more, "token", "left_semi")
     a = named.select("token", F.col("sig").alias("src"), F.col("n").alias("ns"), F.col("c").alias("ca"))
     b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("c").alias("cb"))
     rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd")).select("src", "dst")
-    more = cut(_verified(docs, marked, texts, rest).where(_linked()).select("src", "dst"))
+    more = _verified(docs, marked, texts, rest).where(_linked()).select("src", "dst")
     group = group if more.isEmpty() else connected_components(links.union(more)).toDF("sig", "c")
     return marked.select("doc_id", "a", "b", "sig"), group.withColumnRenamed("c", "component")
 
