@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     hooks = []
     while not left.isEmpty():
         both = left.union(left.select("v", "u"))
-        hook = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("to")))
+        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("to"))
         for _ in range(2):
             far = hook.select(F.col("c").alias("to"), F.col("to").alias("_to"))
             hook = hook.join(far, "to", "left").select("c", F.coalesce("_to", "to").alias("to"))
