@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators import graph
-from veritrace.operators.components import cut
+from veritrace.operators import community, graph
+from veritrace.operators.components import cut, stored
 from veritrace.plans.base import query
 from veritrace.sources.tables import Tables
 
@@ -18,11 +18,16 @@ def supply(t: Tables) -> DataFrame:
     return t.subcontracts_to.select("src", "dst").distinct()
 
 
-def shared_buyers(t: Tables, least: int = 3) -> DataFrame:
-    """The one-mode projection: companies that have each won from at least so many of the same buyers' tenders together."""
+def won_together(t: Tables, least: int = 3) -> DataFrame:
+    """(src, dst, n): companies that have won at least so many tenders together."""
     a = t.win_keys
     pairs = a.join(a.select("tender_id", F.col("company_id").alias("dst")), "tender_id").where("company_id < dst")
-    return pairs.groupBy(F.col("company_id").alias("src"), "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src", "dst")
+    return pairs.groupBy(F.col("company_id").alias("src"), "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def shared_buyers(t: Tables, least: int = 3) -> DataFrame:
+    """The one-mode projection: companies that have each won from at least so many of the same buyers' tenders together."""
+    return won_together(t, least).select("src", "dst")
 
 
 _P = "e AS (SELECT a.company_id AS src, b.company_id AS dst FROM win_keys a JOIN win_keys b ON a.tender_id = b.tender_id AND a.company_id < b.company_id GROUP BY 1, 2 HAVING count(*) >= 3)"
@@ -196,10 +201,18 @@ def _start(t: Tables, node: str) -> DataFrame:
     return t.spark.createDataFrame([(node,)], "start string")
 
 
-@query("communities")
-def communities(t: Tables) -> DataFrame:
-    """Label propagation over companies that win together; deterministic."""
-    return graph.label_propagation(shared_buyers(t))
+@query("communities", tolerance=1e-3)
+def communities(t: Tables, least: int = 3, tolerance: float = 1e-4) -> DataFrame:
+    """Louvain communities of companies by how many tenders they won together. Over ``procurement(t)`` the operator takes buyers and tenders in."""
+    return community.louvain(won_together(t, least), "n", tolerance)
+
+
+def with_communities(t: Tables, labels: DataFrame | None = None) -> Tables:
+    """The same tables with each company's community_id from ``communities``; a company that has won with nobody is one of its own."""
+    labels = (communities(t) if labels is None else labels).toDF("company_id", "_community")
+    found = Tables(t.spark, t.sf_dir)
+    found.__dict__["company"] = t.company.join(stored(labels), "company_id", "left").withColumn("community_id", F.coalesce("_community", "company_id")).drop("_community")
+    return found
 
 
 @query("betweenness")
