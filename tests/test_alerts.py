@@ -1,6 +1,7 @@
 """Alerts: repeats within a day, status changes, rules and generators."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -58,6 +59,20 @@ def test_rules(spark):
     assert sorted(r["entity_id"] for r in al.evaluate(lower, m).collect()) == ["1", "2", "4"] and lower.count() == 8
 
 
+def test_merge_pairs_lose_no_company(spark):
+    """Small classes with few codes and names, against each row's first partner by all pairs."""
+    r = random.Random(1)
+    rows = [(i, r.choice(["A", "B", "C", None]), "rossi " + r.choice(["uno", "due", "tre"]), f"P{r.randrange(12)}", None) for i in range(70)]
+    rows += [(100, "A", "rossi uno", "X", None), (101, "A", "rossi due", "X", None), (102, "B", "rossi uno", "X", None)]
+    got = {(x["a"], x["b"]) for x in al.merge_pairs(spark.createDataFrame(rows, "company_id long, cf string, nome string, provincia string, cod_istat string")).collect()}
+    want = set()
+    for a in rows:
+        others = [b[0] for b in rows if a[1] and b[1] and a[3] == b[3] and a[1] != b[1] and a[2] != b[2]]
+        if others:
+            want.add((min(a[0], min(others)), max(a[0], min(others))))
+    assert got == want and (101, 102) in want
+
+
 def test_generators(spark):
     c = spark.createDataFrame([(1, "A1", "Alfa Costruzioni", "RM", "H5", 0.9), (2, "B2", "Nuova Alfa Costruzioni", "RM", "H5", 0.7), (3, "C3", "Beta", "RM", "H5", 0.1), (4, "D4", "Betaville", "MI", "H5", 0.75), (5, "E5", None, "RM", "H5", None), (6, "F6", "Nuova Gamma", "RM", "X", 0.0), (7, "A1", "Alfa", "RM", "K", 0.0), (8, "G8", "Costruzioni Alfa", "RM", "Z", 0.0), (9, "G9", "  ", "RM", "H5", 0.0)], "company_id long, cf string, nome string, provincia string, cod_istat string, risk_score double")
     assert {(r["a"], r["b"]) for r in al.merge_pairs(c).collect()} == {(2, 6), (3, 4), (1, 8)}

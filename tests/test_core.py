@@ -1,5 +1,7 @@
 """Hand fixtures for operators that SQL does not check, and a sample of queries against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 import __spark_entry__ as entry
@@ -55,9 +57,19 @@ def test_betweenness_both_ways(spark, monkeypatch):
     assert {k: round(v, 9) for k, v in few.items()} == {k: round(v, 9) for k, v in many.items()} == {1: 1.5, 2: 0.5, 3: 1.5, 4: 6.5, 5: 4.0, 6: 0.0, 7: 0.0, 8: 0.0}
 
 
-def test_articulation_points(spark):
-    assert sorted(r["node"] for r in graph.articulation_points(edges(spark, (1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (6, 7))).collect()) == [3, 4]
-    assert graph.articulation_points(edges(spark, (1, 2), (2, 3), (3, 1))).count() == 0
+def test_sampled_betweenness(spark):
+    r = random.Random(3)
+    pairs = [(i, r.randrange(i)) for i in range(1, 60)] + [(r.randrange(60), r.randrange(60)) for _ in range(30)]
+    e = edges(spark, *pairs)
+    exact = {x["node"]: x["betweenness"] for x in graph.betweenness(e).collect()}
+    whole = {x["node"]: (x["betweenness"], x["bound"]) for x in graph.sampled_betweenness(e, 10**6).collect()}
+    assert whole.keys() == exact.keys() and all(abs(b - exact[k]) < 1e-6 and d == 0 for k, (b, d) in whole.items())
+    some = {x["node"]: (x["betweenness"], x["bound"]) for x in graph.sampled_betweenness(e, 40).collect()}
+    assert all(0 < d and abs(b - exact[k]) <= d for k, (b, d) in some.items())
+    order = [sorted(exact, key=f) for f in (lambda k: (exact[k], k), lambda k: (some[k][0], k))]
+    rank = [{k: i for i, k in enumerate(o)} for o in order]
+    n = len(exact)
+    assert 1 - 6 * sum((rank[0][k] - rank[1][k]) ** 2 for k in exact) / (n * (n * n - 1)) > 0.9
 
 
 def test_cycles_and_paths_with_a_limit(spark):

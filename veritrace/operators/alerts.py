@@ -222,7 +222,7 @@ def merge_pairs(companies: DataFrame) -> DataFrame:
     Either both are in one province and each name has the other's first word among its words, or both are in one
     municipality and their first four letters are the same, with names of more than three. Companies with the same first
     word in a province, or the same four letters in a municipality, are a class: each is paired with the class's first
-    one that it differs from, or that differs from it, not with all others.
+    one that it differs from, not with all others; so no company that differs from any of its class is left out.
     """
     name = F.lower("nome")
     words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
@@ -230,11 +230,25 @@ def merge_pairs(companies: DataFrame) -> DataFrame:
     c = c.withColumns({"w": F.col("ws")[0], "four": F.when(F.char_length("n") > 3, F.substring("n", 1, 4))})
 
     def by_class(*keys: str) -> DataFrame:
-        rows = c.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+        """Each row with the first of its class that differs from it in code and name: one of five, whatever the class's size."""
+        rows = c.where(" AND ".join(f"{k} IS NOT NULL" for k in (*keys, "cf"))).select(*keys, "company_id", "cf", "n")
         me = F.struct("company_id", "cf", "n")
-        first = rows.groupBy(*keys).agg(F.min(me).alias("x"))
-        met = rows.join(first, list(keys)).where((F.col("company_id") != F.col("x.company_id")) & (F.col("cf") != F.col("x.cf")) & (F.col("n") != F.col("x.n")))
-        return met.select(F.col("x.company_id").alias("a"), F.col("company_id").alias("b"))
+
+        def with_first(rows: DataFrame, **which) -> DataFrame:
+            return rows.join(rows.groupBy(*keys).agg(*[F.min(F.when(on, me)).alias(k) for k, on in which.items()]), list(keys))
+
+        def differs(k: str, of: str):
+            return F.col(k) != F.col(f"{of}.{k}")
+
+        # the first of all; the first that differs from it in name, in code, in both; and for rows like those again in the other
+        name, code = differs("n", "x"), differs("cf", "x")
+        rows = with_first(with_first(rows, x=F.lit(True)), s=name, t=code, u=name & code)
+        rows = with_first(rows, s2=name & differs("cf", "s"), t2=code & differs("n", "t"))
+        same_name = F.when(differs("cf", "s"), F.col("s")).otherwise(F.col("s2"))
+        same_code = F.when(differs("n", "t"), F.col("t")).otherwise(F.col("t2"))
+        other = F.when(name & code, F.col("x")).when(~name & ~code, F.col("u")).when(code, same_name).otherwise(same_code)
+        met = rows.select("company_id", other["company_id"].alias("o")).where("o IS NOT NULL")
+        return met.select(F.least("company_id", "o").alias("a"), F.greatest("company_id", "o").alias("b"))
 
     both = c.select("company_id", "cf", "n", "provincia", "w", F.explode(F.array_distinct("ws")).alias("u")).where("u <> w").withColumns({"lo": F.least("w", "u"), "hi": F.greatest("w", "u")})
     x = both.where("w = lo").select("provincia", "lo", "hi", *[F.col(k).alias(f"{k}_x") for k in ("company_id", "cf", "n")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import warnings
+import math
 from functools import reduce
 
 import numpy as np
@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrace.operators.components import connected_components, cut
+from veritrace.operators.components import connected_components, cut, stored
 
 __all__ = [
-    "articulation_points", "betweenness", "bfs", "clustering", "connected_components", "cycles", "degrees", "graph_size", "graph_statistics", "induced",
-    "label_propagation", "pagerank", "paths", "propagate_confidence", "reachable", "shortest_paths", "strong_components", "triangles", "undirected",
+    "betweenness", "bfs", "clustering", "connected_components", "cycles", "degrees", "graph_size", "graph_statistics", "induced",
+    "pagerank", "paths", "propagate_confidence", "reachable", "sampled_betweenness", "shortest_paths", "strong_components", "triangles", "undirected",
 ]
 
 
@@ -177,27 +177,6 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, directed
     return ranks
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): each node takes the commonest label around it, its own counted once, ties to the smallest; deterministic.
-
-    Ends when no label moves, or after so many rounds, of which it warns.
-    """
-    e = cut(both_ways(edges))
-    labels = e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = e.join(labels, e["dst"] == labels["node"]).select(F.col("src").alias("node"), "community").union(labels)
-        n = votes.groupBy("node", "community").agg(F.count("*").alias("n"))
-        best = n.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("k"), "community")).alias("b"))
-        new = cut(best.select("node", F.col("b.community").alias("community")))
-        same = new.join(labels, ["node", "community"], "left_anti").isEmpty()
-        labels = new
-        if same:
-            break
-    else:
-        warnings.warn(f"labels still move after {rounds} rounds", stacklevel=2)
-    return labels
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components by their smallest node, for every node with an edge.
 
@@ -257,13 +236,13 @@ def _numbered(edges: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(node, betweenness): exact, undirected, by Brandes' accumulation.
+    """(node, betweenness): undirected, by Brandes' accumulation; exact for a graph of at most TASK_EDGES edges.
 
-    A graph of at most TASK_EDGES edges goes to every task, and its nodes are dealt out as sources; a larger one is
-    walked from all sources at once, a join a level.
+    Such a graph goes to every task, and its nodes are dealt out as sources. Of a larger one, ``sampled_betweenness`` from
+    SOURCES nodes, with its bound as a third column.
     """
     if undirected(edges).count() > TASK_EDGES:
-        return _betweenness_by_level(edges)
+        return sampled_betweenness(edges, SOURCES)
     spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
     nodes, starts, around = _numbered(edges)  # checked above
     shared = spark.sparkContext.broadcast((starts, around))
@@ -301,66 +280,42 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return names.join(sums, "id").select("node", F.col("b").alias("betweenness"))
 
 
-def _betweenness_by_level(edges: DataFrame) -> DataFrame:
-    """Brandes over tables: shortest-path counts from every source level by level, then what each passes back."""
-    hop = cut(both_ways(edges))
-    nodes = hop.select(F.col("src").alias("node")).distinct()
-    seen = cut(nodes.select(F.col("node").alias("source"), "node", F.lit(0).alias("far"), F.lit(1.0).alias("count")))
+#: Sources of the estimate, and the chance that any node's bound fails.
+SOURCES, FAILS = 1024, 0.05
+
+
+def sampled_betweenness(edges: DataFrame, sources: int = SOURCES, fails: float = FAILS) -> DataFrame:
+    """(node, betweenness, bound): shortest paths from the ``sources`` nodes of the least hashes, weighed up to all nodes.
+
+    All sources are walked at once, a join a level: counts of shortest paths on the way out, what each node passes back on the
+    way in; at most nodes x sources rows. One source adds n - 2 at most, so by Hoeffding's inequality all estimates
+    are within ``bound`` of the exact values but for a chance of ``fails``; with as many sources as nodes they are exact and bound is 0.
+    """
+    hop = stored(both_ways(edges))
+    nodes = stored(hop.select(F.col("src").alias("node")).distinct())
+    n = nodes.count()
+    k = min(n, sources)
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("bound"))
+    starts = nodes.orderBy(F.xxhash64("node"), "node").limit(k)
+    seen = stored(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("count")))
     front, levels = seen, [seen]
     while True:
         new = front.join(hop, front["node"] == hop["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("count").alias("count"))
-        front = cut(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(len(levels)).alias("far"), "count"))
+        front = stored(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", "count"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = cut(seen.union(front))
+        seen = seen.union(front)
     part, parts = levels[-1].withColumn("part", F.lit(0.0)), []
     for level in reversed(levels[:-1]):
         parts.append(part)
         below = part.select("source", F.col("node").alias("dst"), F.col("count").alias("_count"), F.col("part").alias("_part"))
         sent = hop.join(below, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum((1 + F.col("_part")) / F.col("_count")).alias("sent"))
-        part = cut(level.join(sent, ["source", "node"], "left").withColumn("part", F.col("count") * F.coalesce("sent", F.lit(0.0))).drop("sent"))
-    if not parts:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    sums = reduce(DataFrame.union, parts).where("source <> node").groupBy("node").agg((F.sum("part") / 2).alias("b"))
-    return nodes.join(sums, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
-
-
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """(node): nodes whose removal leaves a component in more parts, by depth-first low points.
-
-    For the subgraphs that investigators look at: it runs in one task and refuses more than TASK_EDGES edges.
-    """
-    if (m := undirected(edges).count()) > TASK_EDGES:
-        raise ValueError(f"{m} edges are more than {TASK_EDGES}; take a neighbourhood first")
-    nodes, starts, around = _numbered(edges)
-    number, low, cuts = {}, {}, set()
-    for root in range(len(nodes)):
-        if root in number:
-            continue
-        number[root] = low[root] = len(number)
-        stack, kids = [(root, -1, int(starts[root]))], 0
-        while stack:
-            v, parent, at = stack[-1]
-            if at < starts[v + 1]:
-                stack[-1] = (v, parent, at + 1)
-                w = int(around[at])
-                if w not in number:
-                    number[w] = low[w] = len(number)
-                    stack.append((w, v, int(starts[w])))
-                elif w != parent:
-                    low[v] = min(low[v], number[w])
-            else:
-                stack.pop()
-                if parent >= 0:
-                    low[parent] = min(low[parent], low[v])
-                    if parent == root:
-                        kids += 1
-                    elif low[v] >= number[parent]:
-                        cuts.add(parent)
-        if kids > 1:
-            cuts.add(root)
-    return edges.sparkSession.createDataFrame([(nodes[i],) for i in sorted(cuts)], f"node {edges.schema['src'].dataType.simpleString()}")
+        part = stored(level.join(sent, ["source", "node"], "left").withColumn("part", F.col("count") * F.coalesce("sent", F.lit(0.0))).drop("sent"))
+    bound = 0.0 if k == n else n * max(0, n - 2) / 2 * math.sqrt(math.log(2 * n / fails) / (2 * k))
+    sums = reduce(DataFrame.union, parts).where("source <> node").groupBy("node").agg((F.sum("part") * (n / k / 2)).alias("b"))
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"), F.lit(bound).alias("bound"))
 
 
 def propagate_confidence(nodes: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:

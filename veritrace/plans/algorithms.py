@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators import community, graph
+from veritrace.operators import between, community, cuts, graph
 from veritrace.operators.components import cut, stored
 from veritrace.plans.base import query
 from veritrace.sources.tables import Tables
@@ -191,14 +191,52 @@ def algorithm_suite(t: Tables) -> DataFrame:
 
 
 @query("articulation_points")
-def articulation_points(t: Tables, start: int = 3, depth: int = 2) -> DataFrame:
-    """Nodes of the neighbourhood of one company without which it falls apart."""
-    edges = cut(procurement(t))
-    return graph.articulation_points(graph.induced(edges, graph.bfs(edges, _start(t, f"c{start}"), depth).select("node")))
+def articulation_points(t: Tables) -> DataFrame:
+    """The companies, buyers and tenders of the whole procurement graph without which it falls apart."""
+    return cuts.cut_nodes(procurement(t)).select("node", "blocks")
 
 
-def _start(t: Tables, node: str) -> DataFrame:
-    return t.spark.createDataFrame([(node,)], "start string")
+#: Owners, and pairs with twelve subcontracts or more, either way: a graph with some cycles.
+_TIES = """x AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM subcontracts_to GROUP BY 1, 2 HAVING count(*) >= 12), e AS (SELECT u, v FROM x UNION SELECT least(owner_id, company_id), greatest(owner_id, company_id) FROM shareholder_of), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"""
+
+
+def ties(t: Tables, least: int = 12) -> DataFrame:
+    pairs = t.subcontracts_to.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return t.shareholder_of.select(F.col("owner_id").alias("src"), F.col("company_id").alias("dst")).union(pairs.select("src", "dst"))
+
+
+@query("company_bridges", f"""WITH RECURSIVE {_TIES}, r AS (SELECT u, v, u AS at FROM e UNION SELECT r.u, r.v, b.v FROM r JOIN b ON r.at = b.u AND (least(b.u, b.v) <> r.u OR greatest(b.u, b.v) <> r.v)) SELECT u, v FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = e.u AND r.v = e.v AND r.at = e.v)""")
+def company_bridges(t: Tables) -> DataFrame:
+    """Ties between companies that no other way replaces."""
+    return cuts.bridges(ties(t))
+
+
+@query("company_cut_points", f"""WITH RECURSIVE {_TIES}, f AS (SELECT u AS x, min(v) AS s FROM b GROUP BY 1), r AS (SELECT x, s AS at FROM f UNION SELECT r.x, b.v FROM r JOIN b ON r.at = b.u WHERE b.v <> r.x) SELECT DISTINCT u AS node FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = b.u AND r.at = b.v)""")
+def company_cut_points(t: Tables) -> DataFrame:
+    """Companies that alone hold others together: without one, some of its neighbours no longer reach each other."""
+    return cuts.cut_nodes(ties(t)).select("node")
+
+
+def _paths_sql(depth: int = 4) -> str:
+    """Levels written out from one end: each new node of a pair with its least chain."""
+    parts = [
+        "e AS (SELECT 'c' || owner_id AS u, 'c' || company_id AS v FROM shareholder_of UNION SELECT 'p' || person_id, 'c' || company_id FROM represents), g AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v)",
+        "q AS (SELECT 'c' || company_id AS a, 'c' || ((company_id * 7 + 3) % (SELECT count(*) FROM company)) AS b FROM company)", "f0 AS (SELECT a, b, a AS node, [a] AS chain FROM q WHERE a <> b)",
+    ]
+    for i in range(1, depth + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM f{k} s WHERE s.a = f.a AND s.b = f.b AND s.node = g.v)" for k in range(i))
+        parts.append(f"f{i} AS MATERIALIZED (SELECT f.a, f.b, g.v AS node, min(list_append(f.chain, g.v)) AS chain FROM f{i - 1} f JOIN g ON f.node = g.u WHERE f.node <> f.b AND {seen} GROUP BY 1, 2, 3)")
+    every = " UNION ALL ".join(f"SELECT a, b, {i} AS hops, array_to_string(chain, '>') AS chain FROM f{i} WHERE node = b" for i in range(1, depth + 1))
+    return f"WITH {', '.join(parts)} {every}"
+
+
+@query("company_paths", _paths_sql())
+def company_paths(t: Tables, depth: int = 4) -> DataFrame:
+    """How each company is linked with one other through owners and board members, in at most four steps."""
+    edges = t.shareholder_of.select(_node("c", "owner_id").alias("src"), _node("c", "company_id").alias("dst")).union(t.represents.select(_node("p", "person_id"), _node("c", "company_id")))
+    n, k = t.raw("supplier").count(), F.col("s_suppkey")
+    pairs = t.raw("supplier").select(_node("c", "s_suppkey").alias("a"), F.concat(F.lit("c"), ((k * 7 + 3) % n).cast("string")).alias("b"))
+    return between.paths_between(edges, pairs, depth).select("a", "b", "hops", F.array_join("chain", ">").alias("chain"))
 
 
 @query("communities", tolerance=1e-3)

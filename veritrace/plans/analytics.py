@@ -141,12 +141,12 @@ def community_migration(t: Tables, a: str = "2024-01-10", b: str = "2024-01-20")
     return old.join(new, "company_id").where("old_community <> new_community")
 
 
-@query("link_diff", """WITH a AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione <= DATE '1998-01-01' AND importo > 300000), b AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione BETWEEN DATE '1997-01-01' AND DATE '1998-06-01' AND importo > 300000)
+@query("link_diff", """WITH a AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione <= DATE '1998-01-01'), b AS (SELECT company_id, tender_id FROM wins WHERE data_aggiudicazione BETWEEN DATE '1997-01-01' AND DATE '1998-06-01')
   SELECT coalesce(a.company_id, b.company_id) AS src, 'WINS' AS kind, coalesce(a.tender_id, b.tender_id) AS dst, CASE WHEN a.company_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM a FULL JOIN b ON a.company_id = b.company_id AND a.tender_id = b.tender_id WHERE a.company_id IS NULL OR b.company_id IS NULL""")
 def link_diff(t: Tables) -> DataFrame:
     """Links of companies that a later state of the graph has and an earlier one has not, and the other way round."""
     day = F.col("data_aggiudicazione")
-    e = t.wins.where("importo > 300000").select(F.col("company_id").alias("src"), F.lit("WINS").alias("kind"), F.col("tender_id").alias("dst"), day)
+    e = t.wins.select(F.col("company_id").alias("src"), F.lit("WINS").alias("kind"), F.col("tender_id").alias("dst"), day)
     old = e.where(day <= F.to_date(F.lit("1998-01-01"))).drop("data_aggiudicazione")
     new = e.where(day.between(F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1998-06-01")))).drop("data_aggiudicazione")
     return upsert.link_diff(old, new)

@@ -113,9 +113,9 @@ def activity_spikes(t: Tables, least: int = 5) -> DataFrame:
 
 
 @query("alerts_merge_candidates", """WITH c AS (SELECT company_id, cf, provincia, cod_istat, lower(nome) AS n, string_split(lower(nome), ' ') AS ws FROM company),
-  f AS (SELECT provincia, ws[1] AS w, arg_min({'i': company_id, 'c': cf, 'n': n}, company_id) AS x FROM c GROUP BY 1, 2), g AS (SELECT cod_istat, substr(n, 1, 4) AS w, arg_min({'i': company_id, 'c': cf, 'n': n}, company_id) AS x FROM c WHERE length(n) > 3 GROUP BY 1, 2),
-  p AS (SELECT f.x.i AS a, company_id AS b FROM c JOIN f ON c.provincia = f.provincia AND c.ws[1] = f.w WHERE company_id <> f.x.i AND cf <> f.x.c AND c.n <> f.x.n
-  UNION SELECT g.x.i, company_id FROM c JOIN g ON c.cod_istat = g.cod_istat AND substr(c.n, 1, 4) = g.w WHERE length(c.n) > 3 AND company_id <> g.x.i AND cf <> g.x.c AND c.n <> g.x.n
+  f AS (SELECT a.company_id AS m, min(b.company_id) AS o FROM c a JOIN c b ON a.provincia = b.provincia AND a.ws[1] = b.ws[1] AND a.cf <> b.cf AND a.n <> b.n GROUP BY 1),
+  g AS (SELECT a.company_id AS m, min(b.company_id) AS o FROM c a JOIN c b ON a.cod_istat = b.cod_istat AND substr(a.n, 1, 4) = substr(b.n, 1, 4) AND length(a.n) > 3 AND length(b.n) > 3 AND a.cf <> b.cf AND a.n <> b.n GROUP BY 1),
+  p AS (SELECT least(m, o) AS a, greatest(m, o) AS b FROM (FROM f UNION ALL FROM g)
   UNION SELECT least(a.company_id, b.company_id), greatest(a.company_id, b.company_id) FROM c a JOIN c b ON a.provincia = b.provincia AND a.ws[1] < b.ws[1] AND list_contains(a.ws, b.ws[1]) AND list_contains(b.ws, a.ws[1]) WHERE a.cf <> b.cf AND a.n <> b.n)
   SELECT a AS first_id, b AS second_id FROM p""")
 def merge_candidates(t: Tables) -> DataFrame:

@@ -76,7 +76,7 @@ def csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ";",
 
 #: Headers of project files and the columns that they are read into.
 PROJECT_HEADERS = (
-    ("cup", ("CUP",)), ("titolo", ("TITOLO_PROGETTO", "TITOLO")), ("descrizione", ("DESCRIZIONE_PROGETTO", "DESCRIZIONE")), ("importo_previsto", ("COSTO_PROGETTO", "IMPORTO_PREVISTO")),
+    ("cup", ("CUP",)), ("titolo", ("DESCRIZIONE_SINTETICA_CUP", "TITOLO_PROGETTO", "TITOLO")), ("descrizione", ("DESCRIZIONE_PROGETTO", "DESCRIZIONE")), ("importo_previsto", ("COSTO_PROGETTO", "IMPORTO_PREVISTO")),
     ("importo_finanziato", ("FINANZIAMENTO_PROGETTO", "IMPORTO_FINANZIATO")), ("stato", ("STATO_PROGETTO",)), ("settore", ("SETTORE_INTERVENTO", "SETTORE")), ("sottosettore", ("SOTTOSETTORE_INTERVENTO",)),
     ("categoria", ("NATURA_INTERVENTO",)), ("fondi", ("STRUMENTO_PROGRAMMAZIONE", "FONDI_UE")), ("data_inizio", ("DATA_INIZIO",)), ("data_fine", ("DATA_FINE",)), ("regione", ("REGIONE",)), ("provincia", ("PROVINCIA",)),
     ("comune", ("COMUNE",)), ("soggetto", ("SOGGETTO_TITOLARE", "SOGGETTO")), ("soggetto_cf", ("CF_SOGGETTO_TITOLARE", "PIVA_CODFISCALE_SOG_TITOLARE")),
