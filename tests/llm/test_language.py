@@ -59,3 +59,16 @@ def test_memory_does_not_change_results(spark, monkeypatch):
     monkeypatch.setattr(language, "REMEMBERED", 5)
     scorer = language.Scorer(model)
     assert once == tuple(sum(x, []) for x in zip(*[scorer.predict([t]) for t in texts]))
+
+
+def test_copies_are_learnt_from_once(spark, monkeypatch):
+    """One row many times over leaves all different rows to learn from, as long as there are few enough."""
+    monkeypatch.setattr(language, "ROWS_A_LANGUAGE", 50)
+    rows = [(i, f"text number {i}", "xx") for i in range(200)] + [(7, "copied text", "xx")] * 20_000 + [(i, f"texte {i}", "yy") for i in range(30)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, sizes = language.sample(docs)
+    got = [(r["lang"], r["text"]) for r in found.collect()]
+    free = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(t for k, t in got if k == "yy") == sorted(f"texte {i}" for i in free) and sizes["yy"] == 3 * len(free)
+    xx = [t for k, t in got if k == "xx"]
+    assert len(xx) == len(set(xx)) == 50 and sizes["xx"] > 200

@@ -38,19 +38,22 @@ def sample(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(lang, text) of the rows to learn from, and how many labelled rows each language has.
 
     Rows need text and lang and are not held out. Of a language come those with the ROWS_A_LANGUAGE least hashes of
-    doc_id and text, however many it has.
+    doc_id and text, however many it has; rows that are equal in both are learnt from once.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    hashes = stored(rows.groupBy("lang", "_h").agg(F.count("*").alias("_n")))
+    counted = hashes.groupBy("lang").agg(F.sum("_n").alias("n"), F.count("*").alias("k")).collect()  # a row a language
+    sizes = {r["lang"]: r["n"] for r in counted}
     if not sizes:
         return rows.select("lang", "text"), sizes
-    # hashes that about twice as many rows are below, so that few rows are put in order
-    near = [(k, (1 << 63) - 1 if n <= 4 * ROWS_A_LANGUAGE else (2 * ROWS_A_LANGUAGE + 1000) * (1 << 64) // n - (1 << 63)) for k, n in sizes.items()]
-    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(near, "lang string, _near long")), "lang").where("_h <= _near")
+    # hashes that about twice as many different rows are below, so that few are put in order
+    near = [(r["lang"], (1 << 63) - 1 if r["k"] <= 4 * ROWS_A_LANGUAGE else (2 * ROWS_A_LANGUAGE + 1000) * (1 << 64) // r["k"] - (1 << 63)) for r in counted]
+    near = F.broadcast(docs.sparkSession.createDataFrame(near, "lang string, _near long"))
     first = Window.partitionBy("lang").orderBy("_h")
-    last = some.select("lang", "_h").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= ROWS_A_LANGUAGE).groupBy("lang").agg(F.max("_h").alias("_last"))
-    return some.join(F.broadcast(last), "lang").where("_h <= _last").select("lang", "text"), sizes
+    few = hashes.join(near, "lang").where("_h <= _near").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= ROWS_A_LANGUAGE)
+    last = few.groupBy("lang").agg(F.max("_h").alias("_last"))
+    return rows.join(F.broadcast(last), "lang").where("_h <= _last").dropDuplicates(["lang", "_h"]).select("lang", "text"), sizes
 
 
 def count(df: DataFrame) -> DataFrame:
