@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,15 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared checkpoint folder that nothing has been written to."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a Parquet table in the same folder. Its size is that of its files, while a checkpoint keeps the
     estimate of its plan, which loops of joins multiply from round to round until planning takes longer than the work."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Pointers of groups go to all tasks up to this many rows (some 16 MB).

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrace.operators import graph, scoring
-from veritrace.operators.components import cut
+from veritrace.operators import graph, runs, scoring
+from veritrace.operators.components import cut, new_path
 from veritrace.plans.algorithms import _B, _E, _P, shared_buyers, supply
 from veritrace.plans.analytics import _SHELL, shell_features
 from veritrace.plans.base import joined, query, top, total
@@ -286,3 +286,11 @@ def fraud_flags(t: Tables) -> DataFrame:
 def risk_after_findings(t: Tables) -> DataFrame:
     risk = t.company.select("company_id", F.col("risk_score").alias("score"))
     return bumped(risk, flagged(run_all(t, _given())[0])).select("company_id", F.round("score", 4).alias("score"))
+
+
+@query("latest_findings", f"""SELECT pattern, severity, count(DISTINCT company_id) AS affected FROM ({_LINKS}) GROUP BY 1, 2 ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, 1 LIMIT 10""")
+def latest_findings(t: Tables, limit: int = 10, at: str = "2024-02-01 00:00:00") -> DataFrame:
+    """The gravest patterns of the newest run, read from the log in which a run of all detectors keeps its findings."""
+    log = new_path(t.spark, "findings")
+    runs.keep_findings(flagged(run_all(t, _given())[0]), log, "run", at)
+    return runs.latest_findings(runs.findings_log(t.spark, log), limit).drop("at")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions import text
-from veritrace.operators import resolve, upsert
+from veritrace.operators import linkage, nearest, resolve, runs, upsert
+from veritrace.operators.components import new_path
 from veritrace.plans.base import joined, query, top
 from veritrace.sources.tables import Tables
 
@@ -113,3 +114,46 @@ def geo_links(t: Tables) -> DataFrame:
 def region_directory(t: Tables) -> DataFrame:
     rows = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy(F.col("r_name").alias("regione")).agg(joined(F.collect_list("n_name")).alias("province"))
+
+
+@query("part_word_pairs", """WITH p AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split_regex(upper(p_name), '\\s+'), lambda x: length(x) > 3))) AS w FROM part), c AS (SELECT w, min(id) AS id FROM p WHERE len(w) >= 2 GROUP BY 1)
+  SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS common FROM c a JOIN c b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 2 UNION ALL SELECT c.id, p.id, CAST(len(p.w) AS INTEGER) FROM p JOIN c ON p.w = c.w WHERE p.id <> c.id""")
+def part_word_pairs(t: Tables, least: int = 2) -> DataFrame:
+    """Token blocking: parts whose names have two words or more in common; classes of equal names by their first part."""
+    rows = t.raw("part").select(F.col("p_partkey").alias("id"), text.tokens(F.col("p_name")).alias("w"))
+    return linkage.common_words(rows, F.col("w"), least)
+
+
+@query("supplier_clusters")
+def supplier_clusters(t: Tables, threshold: float = 0.94) -> DataFrame:
+    """Average-linkage clusters of suppliers of one nation by the likeness of their names; pairs below the threshold count as unlike."""
+    return linkage.average_linkage(similar_supplier_names(t, threshold).select("a", "b", F.col("similarity").alias("score")), threshold)
+
+
+@query("risk_snapshots", """SELECT company_id, CASE WHEN risk_score > 0 THEN 2 ELSE 1 END AS snapshots, round(risk_score + 0.25, 4) AS risk_score, CASE WHEN risk_score > 0 THEN round(risk_score, 4) END AS before FROM company""")
+def risk_snapshots(t: Tables) -> DataFrame:
+    """What two runs leave in the log of risk scores, the second with every score raised and written twice, as after a lost driver."""
+    log = new_path(t.spark, "risk")
+    c = t.company.select("company_id", "risk_score")
+    runs.snapshot_risk(c, log, "first", "2024-01-01 00:00:00")
+    for _ in range(2):
+        runs.snapshot_risk(c.withColumn("risk_score", F.col("risk_score") + 0.25), log, "second", "2024-02-01 00:00:00")
+    rows = runs.latest_scores(runs.risk_log(t.spark, log))
+    return rows.select("company_id", F.col("snapshots").cast("int").alias("snapshots"), *[F.round(c, 4).alias(c) for c in ("risk_score", "before")])
+
+
+_NEAR = """x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS question, x.vec_id AS id, round(list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v)), 6) AS score FROM x q JOIN x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id)"""
+
+
+@query("nearest_many", f"WITH {_NEAR} SELECT question, id, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10")
+def nearest_many(t: Tables, k: int = 10) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 50, against all rows."""
+    return _nearest(t, k).drop("first")
+
+
+def _nearest(t: Tables, k: int) -> DataFrame:
+    rows = t.raw("embeddings")
+    cells = nearest.build(rows)
+    if cells is None:
+        return t.spark.createDataFrame([], "question long, id long, score double, rank int, first boolean")
+    return nearest.nearest(cells, nearest.usable(rows.where("vec_id % 50 = 0"), "vec_id", "embedding"), k)
