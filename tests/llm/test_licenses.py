@@ -33,6 +33,20 @@ def test_declared(spark, moved):
     assert [got[i]["license"] for i in range(len(CASES))] == [want for *_, want in CASES]
 
 
+def test_whole_licence_wins_over_the_part_that_others_share(spark):
+    """Headers in comments of several styles and widths, with code after them."""
+    code = "\n\n#include <stdio.h>\nint main(void) {\n  return 0;\n}\n"
+    bsd3, bsd2 = lic._BSD + " " + lic._BSD3 + " " + lic._BSD_AS_IS, lic._BSD + " " + lic._BSD_AS_IS
+    rows, want = [], []
+    for width in (60, 75, 100):
+        for mark in (" * ", "// ", "# "):
+            for name, text in (("BSD-3-Clause", bsd3), ("BSD-2-Clause", bsd2), ("MIT", lic._MIT + " " + lic._AS_IS), ("ISC", lic.TEXTS[6][1])):
+                rows.append((f"{len(rows)}/x.c", "Copyright (c) 2020 Somebody\n" + textwrap.indent(textwrap.fill(text, width), mark) + code))
+                want.append(name)
+    got = found(spark, rows)
+    assert [got[i]["license"] for i in range(len(rows))] == want
+
+
 def test_nearest_directory_wins(spark):
     rows = [("LICENSE", MIT), ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/x", "nothing"), ("a/b/c/d/x", None), ("a/b/x", "SPDX-License-Identifier: ISC"), (None, "nothing"), ("a/b/c/d/x", "twice")]
     got = found(spark, rows)

@@ -126,7 +126,9 @@ def declared(files: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     Compared are headers: each line with a cue word on its own and with the lines after it, LINES in all; and of
     files named as licences the whole and each paragraph. Words that no template has count in the length, so
-    prose about licences stays below LEAST. Of templates with the same score the last name counts.
+    prose about licences stays below LEAST. Of what is above, that counts which has most in common with its template, less for
+    the words that it has besides: a licence that is whole wins over the part that it shares with a shorter one. Of templates
+    with the same score the last name counts.
     """
     table, unknown = weights(templates)
     spark = files.sparkSession
@@ -159,8 +161,11 @@ def declared(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     sums = counts.select(*who, "unit", F.inline(F.concat(F.array(square), dots))).groupBy(*who, "unit", "template").agg(F.sum("v").alias("v"))
     best = F.max(F.when(F.col("template") >= 0, F.struct(F.round("v", 9).alias("v"), F.get(names, F.col("template")).alias("license"))))
     by_unit = sums.groupBy(*who, "unit").agg(best.alias("b"), F.max(F.when(F.col("template") < 0, F.sqrt("v"))).alias("norm"))
-    top = by_unit.groupBy(*who).agg(F.max(F.struct(F.round(F.try_divide(F.col("b.v"), F.col("norm")), 6).alias("score"), F.col("b.license").alias("license"))).alias("b"))
-    own = F.col("b.score") >= LEAST
+    # what all words of a unit have in common with a template grows with the unit; by its cosine, for what it has besides
+    score = F.round(F.try_divide(F.col("b.v"), F.col("norm")), 6)
+    cover = F.round(F.try_divide(F.col("b.v") * F.col("b.v"), F.col("norm")), 6)
+    top = by_unit.groupBy(*who).agg(F.max(F.when(score >= LEAST, F.struct(cover.alias("cover"), F.col("b.license").alias("license"), score.alias("score")))).alias("b"))
+    own = F.col("b.score").isNotNull()
     return top.select("doc_id", "path", "n_words", F.when(own, F.col("b.license")).alias("license"), F.when(own, F.col("b.score")).alias("score"))
 
 
@@ -226,9 +231,9 @@ tk AS (SELECT r, unit, tok, count(*) AS tf FROM (SELECT r, unit, unnest(list_fil
 s AS (SELECT r, unit, sqrt(sum(power({wt}, 2))) AS norm FROM tk LEFT JOIN k USING (tok) GROUP BY r, unit),
 dt AS (SELECT unit, template, sum({wt} * w) AS v FROM tk JOIN k USING (tok) JOIN kw USING (tok) GROUP BY unit, template),
 bu AS (SELECT unit, max({{'v': round(v, 9), 'license': license}}) AS b FROM dt JOIN kn USING (template) GROUP BY unit),
-b AS (SELECT r, max({{'score': round(bu.b.v / norm, 6), 'license': bu.b.license}}) AS b FROM s JOIN bu USING (unit) GROUP BY r),
+b AS (SELECT r, max({{'cover': round(bu.b.v * bu.b.v / norm, 6), 'license': bu.b.license, 'score': round(bu.b.v / norm, 6)}}) AS b FROM s JOIN bu USING (unit) WHERE round(bu.b.v / norm, 6) >= {LEAST} GROUP BY r),
 f AS (SELECT d.r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, n_words,
-    CASE WHEN b.b.score >= {LEAST} THEN b.b.license END AS license, CASE WHEN b.b.score >= {LEAST} THEN b.b.score END AS score
+    b.b.license AS license, b.b.score AS score
   FROM d JOIN n USING (r) LEFT JOIN b USING (r)),
 up AS (SELECT dir, arg_min({{'p': path, 'l': license}}, {{'s': -score, 'p': path}}) AS f FROM f WHERE license IS NOT NULL AND n_words <= {NOTICE_WORDS} GROUP BY dir),
 m AS (SELECT a.dir, arg_max(up.f, length(up.dir)) AS f FROM (SELECT DISTINCT dir FROM f) a JOIN up ON up.dir = '' OR a.dir = up.dir OR starts_with(a.dir, up.dir || '/') GROUP BY a.dir)
