@@ -80,3 +80,13 @@ def test_quality(spark):
     assert tuple(score) == (0.85, False)
     assert tuple(upsert.quality_score(upsert.quality_issues(rows, ("cig",), "importo", dates=("data",))).first()) == (1.0, True)
     assert upsert.quality_score(upsert.quality_issues(rows.limit(0), ("cig",)), 0).first()["passed"] is False
+
+
+def test_load_archived(spark):
+    schema = "k string, v long, valid_from date, valid_to date"
+    load = lambda *rows: spark.createDataFrame(rows, "k string, v long")
+    current, archive = loaders.load_archived(spark.createDataFrame([], schema), None, load(("a", 1), ("b", None), (None, 4)), "k", "2024-01-01")
+    current, archive = loaders.load_archived(current, archive, load(("a", 1), ("b", 2), ("c", 3), ("c", 1)), "k", "2024-02-01")
+    current, archive = loaders.load_archived(current, archive, load(("b", None)), "k", "2024-03-01")
+    got = sorted((r["k"], r["version"], r["v"], str(r["valid_from"])[5:7], str(r["valid_to"])[5:7]) for r in loaders.versions(current, archive, "k").collect())
+    assert got == [("a", 1, 1, "01", ""), ("b", 1, None, "01", "02"), ("b", 2, 2, "02", "03"), ("b", 3, None, "03", ""), ("c", 1, 3, "02", "")]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrace.operators.components import connected_components, cut, stored
+from veritrace.operators.components import BROADCAST_ROWS, connected_components, cut, stored
 
 __all__ = [
     "betweenness", "bfs", "clustering", "connected_components", "cycles", "degrees", "graph_size", "graph_statistics", "induced",
@@ -83,14 +83,20 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def _hops(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """front (node, ...) with the other end of each edge that a node has, either way, as ``dst``; edges meet a small frontier where they lie."""
+    front = F.broadcast(front) if front.count() <= BROADCAST_ROWS else front
+    out = front.join(edges.select(F.col("src").alias("node"), "dst"), "node")
+    return out.unionByName(front.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("dst")), "node")).where("node <> dst")
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, hops): nodes within depth edges, either way, by their distance; starts have 0."""
-    hop = cut(both_ways(edges))
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    front = seen
+    edges = stored(edges.select("src", "dst"))
+    seen = front = stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     for n in range(1, depth + 1):
-        new = front.join(hop, front["node"] == hop["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        front = cut(new.withColumn("hops", F.lit(n)))
+        new = _hops(front.select("start", "node"), edges).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = stored(new.withColumn("hops", F.lit(n)))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -99,19 +105,19 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, source: int, target: int, depth: int) -> DataFrame:
     """(hops, chain) of a shortest path, either way; of several, the one whose nodes come first. No rows if there is none within depth."""
-    hop = cut(both_ways(edges))
+    edges = stored(edges.select("src", "dst"))
     spark = edges.sparkSession
     front = spark.createDataFrame([(source, [source])], "node long, chain array<long>")
     seen = front.select("node")
     for n in range(1, depth + 1):
-        new = front.join(hop, front["node"] == hop["src"]).select(F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
-        front = cut(new.join(seen, "node", "left_anti").groupBy("node").agg(F.min("chain").alias("chain")))
+        new = _hops(front, edges).select(F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
+        front = stored(new.join(seen, "node", "left_anti").groupBy("node").agg(F.min("chain").alias("chain")))
         found = front.where(F.col("node") == target)
         if not found.isEmpty():
             return found.select(F.lit(n).alias("hops"), "chain")
         if front.isEmpty():
             break
-        seen = cut(seen.union(front.select("node")))
+        seen = seen.union(front.select("node"))
     return spark.createDataFrame([], "hops int, chain array<long>")
 
 

@@ -108,3 +108,27 @@ def history(versions: DataFrame, key: str, at: str) -> DataFrame:
     """versions with valid_from, their own day, and valid_to, the day of the key's next one."""
     nxt = F.lead(F.to_date(at)).over(Window.partitionBy(key).orderBy(at))
     return versions.withColumns({"valid_from": F.to_date(at), "valid_to": nxt})
+
+
+def load_archived(current: DataFrame, archive: DataFrame | None, incoming: DataFrame, key: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(current, archive) after a load at a day: rows whose key came with other values are closed on that day and archived, the new ones are open from it.
+
+    current has the columns of incoming with valid_from and valid_to. Rows that came unchanged or not at all stay; of a key that comes
+    several times the greatest row counts; rows without key are left out.
+    """
+    values = [c for c in incoming.columns if c != key]
+    day = F.to_date(F.lit(at))
+    new = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*values)).alias("_new"))
+    rows = current.join(new, key, "full")
+    old = F.struct(*values)
+    changed = F.col("valid_from").isNotNull() & F.col("_new").isNotNull() & ~old.eqNullSafe(F.col("_new"))
+    closed = rows.where(changed).select(key, *values, "valid_from", day.alias("valid_to"))
+    opened = rows.where(changed | F.col("valid_from").isNull()).select(key, *[F.col(f"_new.{c}").alias(c) for c in values], day.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    kept = rows.where(F.col("valid_from").isNotNull() & ~changed).select(key, *values, "valid_from", "valid_to")
+    return kept.unionByName(opened), closed if archive is None else archive.unionByName(closed)
+
+
+def versions(current: DataFrame, archive: DataFrame, key: str) -> DataFrame:
+    """All versions of each key with its days, numbered from the oldest."""
+    rows = current.unionByName(archive)
+    return rows.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy("valid_from")))

@@ -228,7 +228,7 @@ def shell_company_network(t: Tables, threshold: float = 0.5, year: int = int(AS_
 
 def run_all(t: Tables, given: dict[str, dict] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Every detector's findings, stored, and what went wrong with those that failed; one failure stops no other."""
-    found, errors = {}, {}
+    found, errors, t = {}, {}, t.keep("wins")
     for name, (f, _, _, _) in DETECTORS.items():
         try:
             found[name] = cut(f(t, **(given or {}).get(name, {})))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators import recommend, subgraph
+from veritrace.operators import loaders, recommend, subgraph
 from veritrace.plans.base import joined, query
 from veritrace.sources.tables import Tables
 
@@ -128,10 +128,18 @@ def companies_with_eu_projects(t: Tables) -> DataFrame:
     return t.wins.join(p, "project_id", "left_semi").groupBy("company_id").agg(F.count_distinct("project_id").alias("projects"), F.round(F.sum("importo"), 2).alias("total_value"))
 
 
-@query("amount_history", "SELECT snapshot_id, change_date, round(risk_score, 4) AS value FROM risk_snapshot WHERE company_id = 7")
-def amount_history(t: Tables, company_id: int = 7) -> DataFrame:
-    """Every value that one entity has had, with its day."""
-    return t.risk_snapshot.where(F.col("company_id") == company_id).select("snapshot_id", "change_date", F.round("risk_score", 4).alias("value"))
+@query("amount_history", """WITH v AS (SELECT o_orderkey AS tender_id, 1 AS version, o_totalprice AS importo, DATE '2000-01-01' AS valid_from, CASE WHEN o_orderkey % 3 = 0 AND o_totalprice <> 0 THEN DATE '2000-02-01' END AS valid_to FROM orders
+  UNION ALL SELECT o_orderkey, 2, o_totalprice * 2, DATE '2000-02-01', CASE WHEN o_orderkey % 6 = 0 THEN DATE '2000-03-01' END FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 3, o_totalprice * 4, DATE '2000-03-01', NULL FROM orders WHERE o_orderkey % 6 = 0)
+  SELECT tender_id, version, round(importo, 2) AS importo, valid_from, valid_to FROM v""")
+def amount_history(t: Tables, tender_id: int | None = None) -> DataFrame:
+    """Every amount that a tender (all, if none is named) has had with its days, from three loads of which the later two change some; what a load replaces is archived."""
+    o = t.raw("orders").select(F.col("o_orderkey").alias("tender_id"), F.col("o_totalprice").alias("importo"))
+    o = o if tender_id is None else o.where(F.col("tender_id") == tender_id)
+    none = o.limit(0).select("tender_id", "importo", *[F.lit(None).cast("date").alias(c) for c in ("valid_from", "valid_to")])
+    current, archive = loaders.load_archived(none, None, o, "tender_id", "2000-01-01")
+    for k, factor, day in ((3, 2, "2000-02-01"), (6, 4, "2000-03-01")):
+        current, archive = loaders.load_archived(current, archive, o.where(F.col("tender_id") % k == 0).withColumn("importo", F.col("importo") * factor), "tender_id", day)
+    return loaders.versions(current, archive, "tender_id").select("tender_id", "version", F.round("importo", 2).alias("importo"), "valid_from", "valid_to")
 
 
 @query("high_risk_list", "SELECT company_id, risk_score FROM company WHERE risk_score > 0.1 ORDER BY 2 DESC, 1 LIMIT 50")

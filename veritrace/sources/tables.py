@@ -30,6 +30,15 @@ class Tables:
             self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
+    def keep(self, *names: str) -> Tables:
+        """The same tables, of which those named are made once and read back by all that follows."""
+        from veritrace.operators.components import stored
+
+        found = Tables(self.spark, self.sf_dir, self._raw)
+        found.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("spark", "sf_dir", "_raw")})
+        found.__dict__.update({name: stored(getattr(self, name)) for name in names})
+        return found
+
     @cached_property
     def company(self) -> DataFrame:
         k = F.col("s_suppkey")
