@@ -239,7 +239,7 @@ def company_paths(t: Tables, depth: int = 4) -> DataFrame:
     return between.paths_between(edges, pairs, depth).select("a", "b", "hops", F.array_join("chain", ">").alias("chain"))
 
 
-@query("communities", tolerance=1e-3)
+@query("communities", tolerance=5e-3)
 def communities(t: Tables, least: int = 3, tolerance: float = 1e-4) -> DataFrame:
     """Louvain communities of companies by how many tenders they won together. Over ``procurement(t)`` the operator takes buyers and tenders in."""
     return community.louvain(won_together(t, least), "n", tolerance)
