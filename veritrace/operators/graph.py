@@ -359,6 +359,36 @@ def graph_statistics(edges: DataFrame, sample: int = 50) -> DataFrame:
     return rows
 
 
+def typed_statistics(nodes: DataFrame, edges: DataFrame, sample: int = 50) -> DataFrame:
+    """(measure, of, value) of a graph of nodes (node, kind) and edges (src, dst, kind) between them.
+
+    node_count, edge_count and how many there are of each kind; density, 2 E / N (N - 1) and 1 at most; avg_degree and max_degree over nodes
+    with edges, a loop twice; connected_components, nodes without edges among them; avg_clustering over the first ``sample`` nodes by id, where
+    equal edges count once and loops not. Only edges among neighbours of these are looked at. Without nodes all measures are 0.
+    """
+    edges = stored(edges.select("src", "dst", "kind"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    counts = nodes.agg(F.count("*").alias("n")).join(F.broadcast(edges.agg(F.count("*").alias("m"))))  # frames of one row
+    counts = counts.join(F.broadcast(ends.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("d"), F.lit(0)).alias("most"))))
+    linked = connected_components(edges).agg(F.count("*").alias("in"), F.count_distinct("component").alias("groups"))
+    first = stored(nodes.select(F.col("node").alias("s")).orderBy("s").limit(sample))
+    e = undirected(edges)
+    adj = stored(e.union(e.select("v", "u")).toDF("s", "x").join(F.broadcast(first), "s"))  # sample rows at most
+    at = adj.select("x").distinct()
+    inner = e.join(at.toDF("u"), "u", "left_semi").join(at.toDF("v"), "v", "left_semi")
+    closed = adj.join(inner, adj["x"] == inner["u"]).select("s", F.col("v").alias("x")).join(adj, ["s", "x"]).groupBy("s").agg(F.count("*").alias("t"))
+    k = F.col("k") * (F.col("k") - 1) / 2
+    local = first.join(adj.groupBy("s").agg(F.count("*").alias("k")), "s", "left").join(closed, "s", "left")
+    local = local.agg(F.coalesce(F.avg(F.when(F.col("k") > 1, F.coalesce("t", F.lit(0)) / k).otherwise(F.lit(0.0))), F.lit(0.0)).alias("local"))
+    one = counts.join(F.broadcast(linked)).join(F.broadcast(local))
+    density = F.when(F.col("n") > 1, F.least(F.lit(1.0), 2 * F.col("m") / (F.col("n") * (F.col("n") - 1)))).otherwise(F.lit(0.0))  # least passes nulls over
+    values = {"node_count": F.col("n"), "edge_count": F.col("m"), "density": F.round(density, 4), "avg_degree": F.round("mean", 2), "max_degree": F.col("most"), "connected_components": F.col("n") - F.col("in") + F.col("groups"), "avg_clustering": F.round("local", 4)}
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.lit("all").alias("of"), v.cast("double").alias("value")) for name, v in values.items()])).alias("r")).select("r.*")
+    for name, df in (("node_types", nodes), ("edge_types", edges)):
+        rows = rows.union(df.groupBy("kind").agg(F.count("*").cast("double").alias("value")).select(F.lit(name), "kind", "value"))
+    return rows
+
+
 def top_per_key(df: DataFrame, key: str | list[str], n: int, *order) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

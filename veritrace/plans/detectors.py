@@ -103,11 +103,12 @@ def price_manipulation(t: Tables, z: float = 2.5, least: int = 5, limit: int | N
 
 
 @detector("ubo_conflict", """WITH RECURSIVE o AS (SELECT company_id, owner_id, 1 AS d FROM shareholder_of UNION ALL SELECT o.company_id, s.owner_id, d + 1 FROM o JOIN shareholder_of s ON s.company_id = o.owner_id WHERE d < 5)
-  SELECT DISTINCT w.company_id, w.buyer_id, w.tender_id, 'critical' AS severity, 1.0::DOUBLE AS score FROM wins w JOIN o ON w.company_id = o.company_id AND o.owner_id = w.buyer_id ORDER BY 1, 2, 3 LIMIT 50""", ("company_id",))
+  SELECT DISTINCT w.company_id, w.buyer_id, w.tender_id, 'critical' AS severity, 1.0::DOUBLE AS score FROM wins w JOIN o ON w.company_id = o.company_id JOIN company c ON c.company_id = o.owner_id JOIN buyer b ON b.buyer_id = w.buyer_id AND b.buyer_cf = c.cf ORDER BY 1, 2, 3 LIMIT 50""", ("company_id",))
 def ubo_conflict(t: Tables, depth: int = 5, limit: int | None = 50) -> DataFrame:
-    """Tenders whose winner is owned, over at most depth steps, by the buyer (an owner with the buyer's tax code)."""
+    """Tenders whose winner is owned, over at most depth steps, by the buyer: a company whose tax code, or VAT number where companies have one, is the buyer's code."""
     above = graph.reachable(t.shareholder_of.select(F.col("company_id").alias("src"), F.col("owner_id").alias("dst")), depth)
-    pairs = above.select(F.col("src").alias("company_id"), F.col("dst").alias("buyer_id"))
+    codes = t.company.select(F.col("company_id").alias("dst"), F.explode(F.array(*[c for c in ("cf", "piva") if c in t.company.columns])).alias("buyer_cf"))
+    pairs = above.join(codes, "dst").join(t.buyer.select("buyer_id", "buyer_cf"), "buyer_cf").select(F.col("src").alias("company_id"), "buyer_id")
     rows = t.wins.join(pairs, ["company_id", "buyer_id"], "left_semi").select("company_id", "buyer_id", "tender_id")
     return _marked(rows, "critical", 1.0, limit, "company_id", "buyer_id", "tender_id")
 
