@@ -155,6 +155,12 @@ def test_bpe_query(spark, folder):
     assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
 
 
+def test_bpe_forgets(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} and more, again") for i in range(40)] + [(99, None)], "doc_id long, text string").repartition(8)
+    kept, gone = (sorted(map(tuple, bpe.encode(docs, decoded=True, forget=f).collect())) for f in (False, True))
+    assert kept == gone and len(gone) == 41
+
+
 def test_decontaminate_query(spark, folder):
     kind, d = folder
     if kind == "none":

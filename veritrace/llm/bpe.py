@@ -265,10 +265,12 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, key: str = "doc_id", path: str | None = None, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, key: str = "doc_id", path: str | None = None, decoded: bool = False, forget: bool = False) -> DataFrame:
     """(key, n_tokens, ids) of every whole text, and with ``decoded`` what the ids decode to, as ``decoded``.
 
     A null or empty text has no ids and decodes to the empty text. ``path`` must be readable on the executors.
+    Words that one task has met are there for the next one in the same Python worker; with ``forget`` they and the
+    vocabulary go when a task ends, so that other jobs' tasks, which get the same workers, do not carry them along.
     """
     path = path or default_path()
 
@@ -283,6 +285,8 @@ def encode(df: DataFrame, key: str = "doc_id", path: str | None = None, decoded:
             if decoded:
                 out["decoded"] = [b"".join([p[2] for p in f]).decode("utf-8", "replace") for f in found]
             yield out
+        if forget:
+            load.cache_clear()
 
     kind = df.schema[key].dataType.simpleString()
     return map_rows(df, [key, "text"], f"{key} {kind}, n_tokens bigint, ids array<int>" + ", decoded string" * decoded, work)
