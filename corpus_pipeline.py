@@ -36,7 +36,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): the token ids of each text and what they decode to."""
-    return bpe.encode(docs, decoded=True)
+    return bpe.encode(docs, decoded=True, forget=True)
 
 
 STAGES = [("quality", good), ("near_dedup", unique), ("decontaminate", clean), ("pii", private), ("bpe", tokens)]
