@@ -172,3 +172,19 @@ def test_against_duckdb(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def _random_edges(n, p, seed):
+    r = random.Random(seed)
+    return [(a, b) for a in range(n) for b in range(n) if a != b and r.random() < p]
+
+
+@pytest.mark.parametrize("first,more", [(1, 2), (2, 8)])
+def test_first_cycles_from_smallest_starts(spark, monkeypatch, first, more):
+    pairs = _random_edges(9, 0.45, 3)
+    every = sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4).collect())
+    monkeypatch.setattr(graph, "FIRST_STARTS", first)
+    monkeypatch.setattr(graph, "MORE_STARTS", more)
+    assert len(every) > 8
+    for n in (1, len(every) // 2, len(every) + 3):
+        assert sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4, n).collect()) == every[:n]
