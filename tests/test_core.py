@@ -188,3 +188,17 @@ def test_first_cycles_from_smallest_starts(spark, monkeypatch, first, more):
     assert len(every) > 8
     for n in (1, len(every) // 2, len(every) + 3):
         assert sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4, n).collect()) == every[:n]
+
+
+def test_triangles_over_groups_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TRIANGLE_EDGES", 40)
+    pairs = _random_edges(30, 0.15, 1)
+    near = {a: {b for e in pairs for b in e if a in e and b != a} for a in range(30)}
+    expected = {a: sum(b < c and c in near[b] for b in near[a] for c in near[a]) for a in near if near[a]}
+    assert max(expected.values()) > 5
+    assert as_dict(graph.triangles(edges(spark, *pairs))) == expected
+    text = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    got = graph.triangles(text)
+    assert as_dict(got) == {f"n{a}": k for a, k in expected.items()}
+    # paths of two edges are not rows: the edges are joined with nothing but their own counts
+    assert "Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
