@@ -202,3 +202,11 @@ def test_triangles_over_groups_of_nodes(spark, monkeypatch):
     assert as_dict(got) == {f"n{a}": k for a, k in expected.items()}
     # paths of two edges are not rows: the edges are joined with nothing but their own counts
     assert "Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statistics_look_only_at_the_first_nodes(spark, monkeypatch):
+    pairs = _random_edges(20, 0.3, 4)
+    local = {r["node"]: r["clustering"] for r in graph.clustering(edges(spark, *pairs)).collect()}
+    monkeypatch.setattr(graph, "clustering", None)
+    got = graph.graph_statistics(edges(spark, *pairs), 5).first()["avg_clustering"]
+    assert got == pytest.approx(sum(local[k] for k in sorted(local)[:5]) / 5)
