@@ -179,17 +179,6 @@ def _random_edges(n, p, seed):
     return [(a, b) for a in range(n) for b in range(n) if a != b and r.random() < p]
 
 
-@pytest.mark.parametrize("first,more", [(1, 2), (2, 8)])
-def test_first_cycles_from_smallest_starts(spark, monkeypatch, first, more):
-    pairs = _random_edges(9, 0.45, 3)
-    every = sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4).collect())
-    monkeypatch.setattr(graph, "FIRST_STARTS", first)
-    monkeypatch.setattr(graph, "MORE_STARTS", more)
-    assert len(every) > 8
-    for n in (1, len(every) // 2, len(every) + 3):
-        assert sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4, n).collect()) == every[:n]
-
-
 def test_triangles_over_groups_of_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "TRIANGLE_EDGES", 40)
     pairs = _random_edges(30, 0.15, 1)
@@ -204,9 +193,30 @@ def test_triangles_over_groups_of_nodes(spark, monkeypatch):
     assert "Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("first,more", [(1, 2), (2, 8)])
+def test_first_cycles_from_smallest_starts(spark, monkeypatch, first, more):
+    pairs = _random_edges(9, 0.45, 3)
+    every = sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4).collect())
+    monkeypatch.setattr(graph, "FIRST_STARTS", first)
+    monkeypatch.setattr(graph, "MORE_STARTS", more)
+    assert len(every) > 8
+    for n in (1, len(every) // 2, len(every) + 3):
+        assert sorted((r["length"], r["chain"]) for r in graph.cycles(edges(spark, *pairs), 3, 4, n).collect()) == every[:n]
+
+
 def test_statistics_look_only_at_the_first_nodes(spark, monkeypatch):
     pairs = _random_edges(20, 0.3, 4)
     local = {r["node"]: r["clustering"] for r in graph.clustering(edges(spark, *pairs)).collect()}
     monkeypatch.setattr(graph, "clustering", None)
     got = graph.graph_statistics(edges(spark, *pairs), 5).first()["avg_clustering"]
     assert got == pytest.approx(sum(local[k] for k in sorted(local)[:5]) / 5)
+
+
+@pytest.mark.parametrize("steps,copies", [(10**8, 64), (50, 64), (50, 1)])
+def test_betweenness_by_component(spark, monkeypatch, steps, copies):
+    pairs = _random_edges(12, 0.2, 5) + [(a + 20, b + 20) for a, b in _random_edges(8, 0.3, 6)] + [(40, 41), (41, 42)]
+    exact = as_dict(graph.betweenness(edges(spark, *pairs)))
+    for name, value in (("TASK_STEPS", steps), ("TASK_COPIES", copies), ("BIN_EDGES", 5), ("SOURCES", 1000)):
+        monkeypatch.setattr(graph, name, value)
+    got = graph._by_component(graph.undirected(edges(spark, *pairs))).collect()
+    assert {r["node"]: pytest.approx(r["betweenness"]) for r in got} == exact and {r["bound"] for r in got} == {0.0}
