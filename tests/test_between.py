@@ -97,3 +97,36 @@ def test_bridges_and_cut_nodes(spark, monkeypatch, kind):
 
 def test_no_edges(spark):
     assert cuts.cut_nodes(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def pieces(edges):
+    """{node: components that its own falls into without it}, of nodes with two or more."""
+    adj, found = around(edges), {}
+    for x in adj:
+        left, n = set(adj[x]), 0
+        while left:
+            stack, seen = [left.pop()], {x}
+            while stack:
+                v = stack.pop()
+                if v not in seen:
+                    seen.add(v)
+                    stack += adj[v]
+            left -= seen
+            n += 1
+        if n > 1:
+            found[x] = n
+    return found
+
+
+@pytest.mark.parametrize("levels", [32, 3])
+def test_cut_nodes_by_levels(spark, monkeypatch, levels):
+    def tour(forest):
+        raise AssertionError("a shallow graph went by the Euler tour, some fifty rounds of all its nodes")
+
+    edges = graph(3, 60, 66) + [(500, 500 + i) for i in range(1, 12)] + [(501, 502), (503, 504), (504, 505), (600, 601)]
+    edges += [(700 + i, 701 + i) for i in range(8)] if levels == 3 else []
+    monkeypatch.setattr(cuts, "LEVELS", levels)
+    if levels == 32:
+        monkeypatch.setattr(cuts, "rooted", tour)
+    df = spark.createDataFrame([*edges, (1, 1), (None, 5)], "src long, dst long")
+    assert dict(map(tuple, cuts.cut_nodes(df).collect())) == pieces(edges)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrace.operators.components import connected_components, stored
+from veritrace.operators.components import BROADCAST_ROWS, connected_components, new_path, stored
 from veritrace.operators.graph import undirected
 
 #: Parts that a node's neighbours are put in order in, so that no hub is one window.
@@ -127,12 +127,72 @@ def bridges(edges: DataFrame) -> DataFrame:
     return tree.where(_is_bridge()).select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
 
 
+#: Levels that a component is walked from its smallest node; what is deeper goes by the Euler tour, whose rounds do not follow the depth.
+LEVELS = 32
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _walked(graph: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes at each distance from their component's smallest node, and those of the last level beyond LEVELS (none, if all was walked)."""
+    both = stored(graph.union(graph.select("v", "u")).toDF("src", "dst"))
+    front = stored(connected_components(graph, "u", "v").where("node = component").select("node"))
+    levels, before = [front], None
+    while True:
+        new = both.join(_few(front.toDF("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        for old in (front, before):  # neighbours lie at most one level apart
+            new = new.join(old, "node", "left_anti") if old is not None else new
+        before, front = front, stored(new)
+        if len(levels) > LEVELS or front.isEmpty():
+            return levels, front
+        levels.append(front)
+
+
 def cut_nodes(edges: DataFrame) -> DataFrame:
     """(node, blocks): nodes without which their component falls apart, and how many two-connected parts meet in each.
 
-    All of it is joins, sums and pointers that double, in rounds that grow with the logarithm of the graph's size; hubs are combined before
-    they are shuffled. An empty graph gives no rows.
+    Components are walked level by level from their smallest nodes, and looked at from the last level up: nodes of a level that hang
+    together by what is as deep or deeper are a group. A group whose edges up all lead to one node falls off without it; one with
+    several nodes above makes these hang together. Each edge is met once, as a minimum or in components, so hubs are combined before a
+    shuffle. A component deeper than LEVELS goes by its forest's Euler tour. An empty graph gives no rows.
     """
+    graph = stored(undirected(edges))
+    levels, beyond = _walked(graph)
+    found = []
+    if not beyond.isEmpty():
+        parts = connected_components(graph, "u", "v")
+        deep = parts.join(beyond, "node", "left_semi").select("component").distinct()
+        deep = stored(parts.join(deep, "component", "left_semi").select("node"))
+        found.append(_cut_nodes_of_forest(graph.join(deep.toDF("u"), "u", "left_semi").toDF("src", "dst")))
+        graph = stored(graph.join(deep.toDF("u"), "u", "left_anti"))
+        levels = [stored(level.join(deep, "node", "left_anti")) for level in levels]
+    at = stored(reduce(DataFrame.union, [level.select("node", F.lit(n).alias("level")) for n, level in enumerate(levels)]))
+    placed = graph.join(at.toDF("u", "lu"), "u").join(at.toDF("v", "lv"), "v")
+    low = F.col("lu") > F.col("lv")
+    placed = placed.select(F.greatest("lu", "lv").alias("level"), F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), (F.col("lu") == F.col("lv")).alias("same"))
+    path = new_path(graph.sparkSession, "levels")
+    placed.write.partitionBy("level").parquet(path)
+    placed = graph.sparkSession.read.schema("x {0}, y {0}, same boolean, level int".format(graph.schema["u"].dataType.simpleString())).parquet(path)
+    alone, links = [levels[0].limit(0)], None
+    for n in range(len(levels) - 1, 0, -1):
+        rows = placed.where(F.col("level") == n)
+        across = rows.where("same").select("x", "y")
+        groups = connected_components(across if links is None else across.union(links), "x", "y")
+        up = rows.where("NOT same").select("x", "y").join(_few(groups.toDF("x", "g")), "x", "left").select(F.coalesce("g", "x").alias("g"), "y")
+        up = stored(up)
+        each = stored(up.groupBy("g").agg(F.min("y").alias("first"), F.max("y").alias("last")))
+        alone.append(each.where("first = last").select(F.col("first").alias("node")))
+        links = up.join(_few(each.where("first < last").select("g", "first")), "g").where("y > first").select("first", "y")
+    # all but a component's first node are also in the part that leads to it
+    blocks = reduce(DataFrame.union, alone).groupBy("node").agg(F.count("*").alias("n")).join(_few(levels[0].select("node", F.lit(0).cast("long").alias("above"))), "node", "left")
+    blocks = blocks.select("node", (F.col("n") + F.coalesce("above", F.lit(1).cast("long"))).alias("blocks")).where("blocks > 1")
+    return stored(reduce(DataFrame.union, [*found, blocks]))
+
+
+def _cut_nodes_of_forest(edges: DataFrame) -> DataFrame:
+    """The same from the rooted forest's low points: joins, sums and pointers that double, in rounds that grow with the logarithm of the graph's size."""
     tree, blocks = _blocks(edges)
     rows = tree.where("parent IS NOT NULL").join(blocks, "node")
     at = rows.select("node", "block").union(rows.select("parent", "block")).distinct()
