@@ -15,10 +15,13 @@ def average_linkage(scores: DataFrame, least: float) -> DataFrame:
     of merging the best two again and again (of equal means, those whose smallest ids come first), cluster is the least id. Here all pairs that
     are each other's best merge in one round, which gives the same: a merged cluster is never nearer to a third than
     the nearer of its parts was. Scores of merged clusters are sums, so rounds only join and add up, and hubs are combined before a shuffle.
-    Rows with a null or of an id with itself are left out.
+    Rows with a null or of an id with itself are left out. With columns na and nb an id stands for so many records.
     """
-    rows = scores.where("a <> b AND score IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("s"))
-    left = stored(rows.withColumns({"na": F.lit(1).cast("long"), "nb": F.lit(1).cast("long")}))
+    swap, one = F.col("a") > F.col("b"), F.lit(1).cast("long")
+    na, nb = (F.col("na"), F.col("nb")) if "na" in scores.columns else (one, one)
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, nb).otherwise(na).alias("na"), F.when(swap, na).otherwise(nb).alias("nb")]
+    rows = scores.where("a <> b AND score IS NOT NULL").select(*ends, "score").groupBy("a", "b", "na", "nb").agg(F.max("score").alias("s"))
+    left = stored(rows.select("a", "b", (F.col("s") * F.col("na") * F.col("nb")).alias("s"), "na", "nb"))
     labels = stored(left.select("a").union(left.select("b")).distinct().toDF("id").withColumn("cluster", F.col("id")))
     while True:
         rank = F.struct((-F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).alias("d"), "a", "b")
