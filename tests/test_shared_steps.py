@@ -2,8 +2,10 @@
 
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
+from veritrace.operators import graph
 from veritrace.plans import detectors
 from veritrace.sources.tables import Tables
 
@@ -33,3 +35,24 @@ def test_board_overlap_of_first_pairs(spark, monkeypatch, few):
     monkeypatch.setattr(detectors, "_marked", lambda df, *a, f=detectors._marked: looked.append(plan(df)) or f(df, *a))
     detectors.board_overlap_collusion(t, limit=1)
     assert len(looked) > 1  # the first pair alone is asked first
+
+
+def test_rank_by_blocks(spark, monkeypatch):
+    """Whole-number nodes, some without an edge to many others, loops, nulls and repeated edges: the same ranks as by plain rounds, in blocks."""
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 200, raising=False)
+    r = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-40, 400, (700, 2))] + [(5, int(b)) for b in range(500, 700)] + [(3, 3), (7, 8), (8, 7)]
+    df = spark.createDataFrame([*pairs, (None, 4), (4, None)], "src long, dst long")
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.15)
+    for _ in range(20):
+        want = {v: 0.15 + 0.85 * sum(want[u] / len(near[u]) for u in near[v]) for v in near}
+    blocks = []
+    monkeypatch.setattr(graph, "_block_ranks", lambda *a, f=getattr(graph, "_block_ranks", None): blocks.append(1) or f(*a), raising=False)
+    got = {x["node"]: x["rank"] for x in graph.pagerank(df, 20, directed=False).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and blocks
+    assert graph.pagerank(df.limit(0), 20, directed=False).count() == 0
