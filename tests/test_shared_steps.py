@@ -56,3 +56,39 @@ def test_rank_by_blocks(spark, monkeypatch):
     got = {x["node"]: x["rank"] for x in graph.pagerank(df, 20, directed=False).collect()}
     assert got == pytest.approx(want, abs=1e-9) and blocks
     assert graph.pagerank(df.limit(0), 20, directed=False).count() == 0
+
+
+ODD_LINES = [(1, 1, 7, 5, "1996-03-02"), (1, 2, 7, 4, "1996-03-01"), (1, 3, 8, 6, "1996-04-01"), (2, 1, 7, 9, "1996-05-01"), (2, 2, None, 8, None), (3, 1, 9, 3, "1996-06-01"), (3, 2, 9, 3, "1996-06-01"), (None, 1, 9, 1, "1996-07-01"), (4, 1, 9, 1, "1996-07-01")]
+
+
+def small_tables(spark):
+    lines = spark.createDataFrame(ODD_LINES, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate string")
+    orders = spark.createDataFrame([(k, float(k), "1996-01-01", "p", k % 2) for k in (1, 2, 3, 5)], "o_orderkey long, o_totalprice double, o_orderdate string, o_orderpriority string, o_custkey long")
+    return Tables(spark, SF, {"lineitem": lines, "orders": orders})
+
+
+@pytest.mark.parametrize("lines", [1, 1_000_000])
+def test_wins_in_parts_of_some_lines(spark, monkeypatch, lines):
+    """The same wins in many parts as in few; a part has no more lines however many there are, and nothing is held by pair of order and supplier."""
+    from veritrace.sources import tables
+
+    monkeypatch.setattr(tables, "LINES", lines, raising=False)
+    t = small_tables(spark)
+    got = sorted((r["tender_id"], -1 if r["company_id"] is None else r["company_id"], str(r["data_aggiudicazione"]), r["single_bidder"], r["project_id"], r["buyer_id"]) for r in t.wins.collect())
+    assert got == [(1, 7, "1996-03-01", False, 4, 1), (1, 8, "1996-03-01", False, 4, 1), (2, -1, "1996-05-01", True, 8, 0), (2, 7, "1996-05-01", True, 8, 0), (3, 9, "1996-06-01", True, 3, 1)]
+    assert sorted((r["tender_id"], r["single_bidder"], r["project_id"]) for r in t.tender.collect()) == [(1, False, 4), (2, True, 8), (3, True, 3)]
+    assert t.parts == (9 if lines == 1 else 0)
+    assert "HashAggregate" not in plan(t.wins)
+
+
+def test_link_changes_joins_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from veritrace.operators import upsert
+
+    e = spark.createDataFrame([(1, "W", 1, True, True), (1, "W", 2, True, False), (1, "W", 3, False, True), (1, "W", 4, False, False), (None, "W", 5, True, True), (2, "W", 6, None, True), (2, "W", None, True, True)], "src long, kind string, dst long, a boolean, b boolean")
+    got = upsert.link_changes(e, F.col("a"), F.col("b"))
+    want = upsert.link_diff(e.where("a"), e.where("b"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want) and len(key(got)) == 7
+    assert "Exchange" not in plan(got)

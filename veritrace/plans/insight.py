@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.operators import loaders, recommend, subgraph
-from veritrace.plans.base import joined, query
+from veritrace.plans.base import joined, query, spread
 from veritrace.sources.tables import Tables
 
 _X = "a AS (SELECT * FROM company WHERE company_id = 7), o AS (SELECT c.*, a.ateco AS xa, a.regione AS xr, a.risk_score AS xs, a.anomaly_flags AS xf, a.community_id AS xc FROM company c, a WHERE c.company_id <> a.company_id)"
@@ -54,7 +54,7 @@ _FACTORS = """p AS (SELECT company_id, buyer_id, count(*) AS n, count(*) FILTER
 
 @query("explain_factors", f"WITH {_FACTORS} SELECT * FROM r")
 def explain_factors(t: Tables) -> DataFrame:
-    return recommend.factors(t.company, t.wins)
+    return recommend.factors(t.company, spread(t, t.wins.select("company_id", "buyer_id", "single_bidder"), "company_id", "buyer_id"))
 
 
 @query("explain_trend", "WITH s AS (SELECT company_id, arg_max(risk_score, {'a': change_date, 'b': snapshot_id}) AS b, count(*) AS n FROM risk_snapshot GROUP BY 1) SELECT c.company_id, CASE WHEN coalesce(n, 0) < 2 THEN 'STABLE' WHEN round(c.risk_score - b, 4) >= 0.05 THEN 'WORSENING' WHEN round(c.risk_score - b, 4) <= -0.05 THEN 'IMPROVING' ELSE 'STABLE' END AS trend FROM company c LEFT JOIN s ON c.company_id = s.company_id")
@@ -65,7 +65,7 @@ def explain_trend(t: Tables) -> DataFrame:
 @query("explain_summary", f"""WITH {_FACTORS}, w AS (SELECT company_id, rank, CASE factor WHEN 'single_bidder_ratio' THEN printf('%d%% single-bidder wins', round(value * 100)::INT) WHEN 'market_dominance' THEN printf('centrality %.2f', value) ELSE printf('%d%% buyer concentration', round(value * 100)::INT) END AS t FROM r),
   j AS (SELECT company_id, string_agg('(' || rank || ') ' || t, ', ' ORDER BY rank) AS t FROM w GROUP BY 1) SELECT c.company_id, printf('This company scored %.2f because: ', risk_score) || t || '.' AS summary FROM company c JOIN j ON c.company_id = j.company_id""")
 def explain_summary(t: Tables) -> DataFrame:
-    return recommend.summary(t.company, recommend.factors(t.company, t.wins))
+    return recommend.summary(t.company, explain_factors(t))
 
 
 # -- parts of the graph
