@@ -57,3 +57,28 @@ def test_sketches_bound_the_difference():
             assert near.differ(near.sketch(a), near.sketch(b)) <= d
             if n > 200 and d > n:
                 assert near.differ(near.sketch(a), near.sketch(b)) > (len(a) + len(b)) / 9
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_sets_that_share_a_shingle_meet_in_tasks(spark, monkeypatch, block):
+    """All pairs of different groups that are similar are found; hundreds of others that only share one make no rows."""
+    import numpy as np
+
+    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    r = np.random.default_rng(1)
+    num, den = near.LEAST
+    made = []
+    for i in range(60):
+        base = r.integers(1, 2**63, int(r.integers(9, 400)), dtype=np.uint64)
+        for k in range(3):
+            s = base.copy()
+            s[: len(s) * k // 20] = r.integers(1, 2**63, len(s) * k // 20, dtype=np.uint64)
+            made.append(np.unique(np.append(s[k:], np.uint64(0))))  # 0 is the first shingle of all
+    prefix = [s[: len(s) - -(-num * len(s) // den) + 1] for s in made]
+    rows = [(int(t.view(np.int64)), i, len(s), at, i) for i, s in enumerate(made) for at, t in enumerate(prefix[i])]
+    named = spark.createDataFrame(rows, "token long, sig long, n int, at int, c long")
+    sketches = spark.createDataFrame([(i, near.sketch(s)) for i, s in enumerate(made)], "sig long, sketch binary")
+    got = [tuple(x) for x in near._met(named, sketches).collect()]
+    want = {(i, j) for j, b in enumerate(made) for i, a in enumerate(made[:j]) if (num + den) * len(np.intersect1d(a, b)) >= num * (len(a) + len(b))}
+    assert len(want) > 60 and want <= set(got)
+    assert len(got) == len(set(got)) < 180 * 3

@@ -29,6 +29,8 @@ BITS = 2
 AT_ONCE, COMMON, MOST = 1_000_000, 2, 1_000_000
 #: Sets that one lead is compared with in one task, and the ranges of hashes that a set is sent in.
 PART, SLICES = 2000, 8
+#: Sets that share a shingle in one block.
+BLOCK = 1000
 #: Words whose hashes a task remembers.
 _WORDS = 100_000
 
@@ -169,6 +171,85 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst", "ns", "nd", "both"])
 
 
+def _close(own: list[np.ndarray], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places (i < j) of one group of sets that may be similar.
+
+    Besides sizes and sketches, it counts what is left: of the first shingle that two sets share, in their common order,
+    neither has more than itself and what follows to share. A pair that is similar passes at that shingle.
+    """
+    part, home, n, at, c = own
+    num, den = LEAST
+    width = min(map(len, sketches))
+    bits = np.empty((len(sketches), width), np.uint8)
+    for i, b in enumerate(sketches):
+        x = np.frombuffer(b, np.uint8)
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        bits[i] = x
+    bits = bits.view(np.uint64)
+    found: list[tuple[int, np.ndarray]] = []
+    for i in range(len(n) - 1):
+        m, k = n[i + 1 :], slice(i + 1, None)
+        both = n[i] + m
+        ok = (c[k] != c[i]) & (den * np.minimum(n[i], m) >= num * np.maximum(n[i], m)) & ((num + den) * np.minimum(n[i] - at[i], m - at[k]) >= num * both)
+        ok &= home[k] | home[i]  # two that only visit have met at home
+        if part[0] != part[1]:
+            ok &= part[2][k] != part[2][i]  # those of one block meet by themselves
+        j = np.flatnonzero(ok)
+        if len(j):
+            j = j[(num + den) * np.bitwise_count(bits[i + 1 + j] ^ bits[i]).sum(1, dtype=np.int64) <= (den - num) * both[j]]
+            found.append((i, i + 1 + j))
+    left = np.concatenate([np.full(len(j), i) for i, j in found]) if found else np.zeros(0, np.int64)
+    return left, np.concatenate([j for _, j in found]) if found else np.zeros(0, np.int64)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, step, lo, hi, block, home, sig, n, at, c, sketch), each group of the first four in one stretch: the pairs (src, dst) that may be similar."""
+    held = None
+
+    def pairs(table):
+        lo, hi = (table.column(i)[0].as_py() for i in (2, 3))
+        block, sig, n, at, c = (table.column(i).to_numpy() for i in (4, 6, 7, 8, 9))
+        home = table.column(5).to_numpy(zero_copy_only=False)
+        i, j = _close([(lo, hi, block), home, n.astype(np.int64), at.astype(np.int64), c], table.column(10).to_pylist())
+        return np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
+
+    def made(found):
+        src, dst = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    for b in batches:
+        table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if not table.num_rows:
+            continue
+        keys = [table.column(i).to_numpy() for i in range(4)]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        held = table.slice(edges[-1])
+        yield made([pairs(table.slice(x, y - x).combine_chunks()) for x, y in zip(edges, edges[1:], strict=False) if y - x > 1])
+    if held is not None and held.num_rows > 1:
+        yield made([pairs(held.combine_chunks())])
+
+
+def _met(named: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (src, dst) of sets that share a token, are in different groups c and may be similar, from rows (token, sig, n, at, c).
+
+    Sets of a token meet in tasks by steps of size, each at home and as a visitor one step up, so that sizes that can be
+    similar meet. BLOCK or more of them are dealt over blocks that meet two by two. Only pairs that pass become rows.
+    """
+    keys = ["token", "step"]
+    # a little wider than the ratio of similar sizes, so that rounded logarithms put these at most one step apart
+    rows = named.withColumn("step", F.floor(F.log("n") / (np.log(LEAST[1] / LEAST[0]) + 1e-9)).cast("int"))
+    rows = rows.select("token", "sig", "n", "at", "c", F.explode(F.array(*[F.struct((F.col("step") + k).alias("step"), F.lit(k == 0).alias("home")) for k in range(2)])).alias("s")).select("token", "s.*", "sig", "n", "at", "c")
+    many = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.count_if("home").alias("homes"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("homes > 0 AND _lo < _hi")
+    rows = rows.join(many.select(*keys, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), keys)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*keys, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "sig", "n", "at", "c").join(sketches, "sig")
+    order = [*keys, "lo", "hi"]
+    rows = rows.select(*order, "block", "home", "sig", "n", "at", "c", "sketch").repartition(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(_meetings, "src bigint, dst bigint").distinct()
+
+
 def _possible(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (src, dst) of texts (sig, n, sketch) whose sketches leave it open that they are similar enough."""
     num, den = LEAST
@@ -232,7 +313,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Links are looked for in three rounds: between sets whose fingerprints the trie finds near; between each set and one
     leader for every shingle that its prefix shares; and between the others that share such a shingle and are in
-    different groups by then.
+    different groups by then, which are compared by sketches where they meet.
     """
     marked = _marked(docs)
     texts = stored(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
@@ -242,19 +323,15 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = near.union(texts.join(prints, "fp").where("sig <> src").select("src", "sig"))
     links = _verified(docs, marked, texts, first).where(_linked()).select("src", "dst")
     firsts = marked.select("sig", "n", "prefix").dropDuplicates(["sig"])
-    tokens = firsts.select("sig", "n", F.explode("prefix").alias("token"))
+    tokens = firsts.select("sig", "n", F.posexplode("prefix").alias("at", "token"))
     alike = Window.partitionBy("token")
     heads = tokens.withColumns({"size": F.count("*").over(alike), "head": F.min(F.struct("sig", "n")).over(alike)}).where("size > 1")
-    shared = stored(heads.select("token", "sig", "n", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
+    shared = stored(heads.select("token", "sig", "n", "at", "size", F.col("head.sig").alias("lead"), F.col("head.n").alias("nl")))
     star = shared.where((F.col("sig") != F.col("lead")) & _similar("n", "nl")).select(F.col("lead").alias("src"), F.col("sig").alias("dst"))
     links = links.union(_verified(docs, marked, texts, star.join(links, ["src", "dst"], "left_anti")).where(_linked()).select("src", "dst"))
     group = connected_components(links).toDF("sig", "c")
-    named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(group, "sig", "left").select("token", "sig", "n", F.coalesce("c", "sig").alias("c"))
-    more = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    named = named.join(more, "token", "left_semi")
-    a = named.select("token", F.col("sig").alias("src"), F.col("n").alias("ns"), F.col("c").alias("ca"))
-    b = named.select("token", F.col("sig").alias("dst"), F.col("n").alias("nd"), F.col("c").alias("cb"))
-    rest = a.join(b, "token").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _similar("ns", "nd")).select("src", "dst")
+    named = shared.where((F.col("size") > 2) & (F.col("sig") != F.col("lead"))).join(group, "sig", "left").select("token", "sig", "n", "at", F.coalesce("c", "sig").alias("c"))
+    rest = _met(named, texts.select("sig", "sketch"))
     more = _verified(docs, marked, texts, rest).where(_linked()).select("src", "dst")
     group = group if more.isEmpty() else connected_components(links.union(more)).toDF("sig", "c")
     return marked.select("doc_id", "a", "b", "sig"), group.withColumnRenamed("c", "component")
