@@ -130,3 +130,15 @@ def test_cut_nodes_by_levels(spark, monkeypatch, levels):
         monkeypatch.setattr(cuts, "rooted", tour)
     df = spark.createDataFrame([*edges, (1, 1), (None, 5)], "src long, dst long")
     assert dict(map(tuple, cuts.cut_nodes(df).collect())) == pieces(edges)
+
+
+def test_paths_keep_no_nodes_seen_before(spark, monkeypatch):
+    """Long chains of pairs that share no path: what is stored has a row a node of a frontier, and nothing of rounds before."""
+    stored, kept = between.stored, []
+    monkeypatch.setattr(between, "stored", lambda df: kept.append(df.columns) or stored(df))
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n3", "m"), ("m", "n5"), ("k0", "k1")]
+    pairs = [("n0", "n4"), ("n3", "n5"), ("n0", "n12"), ("n0", "k1"), ("k1", "k0"), ("x", "n1")]
+    e, p = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "a string, b string")
+    got = sorted((x["a"], x["b"], x["hops"], ">".join(x["chain"])) for x in between.paths_between(e, p, 4).collect())
+    assert got == [("k1", "k0", 1, "k1>k0"), ("n0", "n4", 4, "n0>n1>n2>n3>n4"), ("n3", "n5", 2, "n3>m>n5")]
+    assert not [c for c in kept if "side" in c and "chain" in c and "a" in c]  # frontiers go by numbers of pairs
