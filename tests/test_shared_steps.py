@@ -92,3 +92,22 @@ def test_link_changes_joins_nothing(spark):
     key = lambda df: sorted(map(str, df.collect()))
     assert key(got) == key(want) and len(key(got)) == 7
     assert "Exchange" not in plan(got)
+
+
+@pytest.mark.parametrize("report", ["fraud_summary", "fraud_flags", "risk_after_findings", "latest_findings"])
+def test_reports_raise_when_a_detector_fails(spark, monkeypatch, report):
+    """What the other detectors found must not pass for the whole report."""
+
+    def works(t):
+        return spark.createDataFrame([(1, "high", 0.5)], "company_id long, severity string, score double")
+
+    def fails(t):
+        raise ValueError("no such column")
+
+    t = SimpleNamespace(spark=spark, company=spark.createDataFrame([(1, 0.1), (2, 0.2)], "company_id long, risk_score double"))
+    t.keep = lambda *_: t
+    monkeypatch.setattr(detectors, "DETECTORS", {"works": (works, {}, "", ("company_id",))})
+    assert getattr(detectors, report)(t).count() > 0
+    monkeypatch.setitem(detectors.DETECTORS, "fails", (fails, {}, "", ("company_id",)))
+    with pytest.raises(RuntimeError, match="fails.*no such column"):
+        getattr(detectors, report)(t)
