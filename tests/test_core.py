@@ -220,3 +220,10 @@ def test_betweenness_by_component(spark, monkeypatch, steps, copies):
         monkeypatch.setattr(graph, name, value)
     got = graph._by_component(graph.undirected(edges(spark, *pairs))).collect()
     assert {r["node"]: pytest.approx(r["betweenness"]) for r in got} == exact and {r["bound"] for r in got} == {0.0}
+
+
+def test_statistics_look_at_all_nodes(spark):
+    """Sixty nodes of a star, then a triangle: the first fifty nodes alone have no triangle."""
+    star, triangle = [(0, i) for i in range(1, 60)], [(100, 101), (101, 102), (100, 102)]
+    got = graph.graph_statistics(edges(spark, *star, *triangle)).first()
+    assert got["avg_clustering"] == pytest.approx(3 / 63) and got["components"] == 2
