@@ -227,3 +227,36 @@ def test_statistics_look_at_all_nodes(spark):
     star, triangle = [(0, i) for i in range(1, 60)], [(100, 101), (101, 102), (100, 102)]
     got = graph.graph_statistics(edges(spark, *star, *triangle)).first()
     assert got["avg_clustering"] == pytest.approx(3 / 63) and got["components"] == 2
+
+
+@pytest.mark.parametrize("n,p", [(24, 0.12), (24, 0.5)])
+def test_betweenness_is_exact_whatever_the_size(spark, monkeypatch, n, p):
+    """Components too large for a task are walked from all nodes, a few at a time, not estimated; those with many edges go as a matrix."""
+    pairs = _random_edges(n, p, 7) + [(100 + i, 101 + i) for i in range(4)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        far, count, order, part = {s: 0}, {s: 1}, [s], dict.fromkeys(near, 0.0)
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w], count[w] = far[v] + 1, 0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    count[w] += count[v]
+        for w in reversed(order[1:]):
+            for v in near[w]:
+                if far[v] == far[w] - 1:
+                    part[v] += count[v] / count[w] * (1 + part[w])
+            want[w] += part[w] / 2
+    e = edges(spark, *pairs)
+    for name, value in {"SOURCES": 15, "FOREST_EDGES": 7, "LEVELS": 3}.items():
+        monkeypatch.setattr(graph, name, value, raising=False)
+    for most in (2_000_000, 0) if p < 0.5 else (2_000_000,):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        rows = graph.betweenness(e)
+        assert rows.columns == ["node", "betweenness"] and as_dict(rows) == pytest.approx(want)
